@@ -10,6 +10,7 @@ their own nodes in a join, and only the surviving pairs of pages are compared me
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,7 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, block: np.ndarray | int, valu
     return pa.RecordBatch.from_arrays([full(kind, np.int32), full(a, np.int64), full(b, np.int64), full(block, np.int32), full(value, np.int64), full(page, np.int64)], ["kind", "a", "b", "block", "value", "page"])
 
 
-def _link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_pages(batches: Iterator[pa.RecordBatch], size: int = PAGE) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, value, Gray rank): cut them into pages and link within each. Kind 0 is a link; kind 1 a member of a page
     whose node may go on elsewhere: it is the first or last of this partition, or has several pages."""
     number = TaskContext.get().partitionId() << 32
@@ -182,7 +183,7 @@ def _link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.cumsum(np.append(False, (block[1:] != block[:-1]) | (value[1:] != value[:-1])))
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         place = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
-        page = np.cumsum((place % PAGE == 0)) - 1
+        page = np.cumsum((place % size == 0)) - 1
         forest, roots = Forest(fp.view(np.uint64), page), np.arange(len(fp))
         tops = np.arange(len(forest.ands[-1]))
         for a, b in close_pairs(forest, forest, tops, tops):
@@ -190,7 +191,7 @@ def _link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = np.flatnonzero(roots != np.arange(len(fp)))
         if len(linked):
             yield _rows(0, fp[linked], fp[roots[linked]], 0, 0, 0)
-        pages = np.bincount(node[place % PAGE == 0])
+        pages = np.bincount(node[place % size == 0])
         wide = pages > 1
         wide[0] |= open_first
         wide[-1] |= open_last
@@ -209,8 +210,8 @@ def _link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, value, _ = columns
         start = int(np.flatnonzero((block != block[-1]) | (value != value[-1])).max(initial=-1)) + 1
         tail = len(block) - start
-        if tail >= 2 * PAGE:  # a hot node: its full pages are closed, the rest goes on
-            cut = start + tail // PAGE * PAGE
+        if tail >= 2 * size:  # a hot node: its full pages are closed, the rest goes on
+            cut = start + tail // size * size
             yield from close([c[:cut] for c in columns], going_on, True)
             going_on, rest = True, [c[cut:] for c in columns]
             continue
@@ -255,7 +256,7 @@ def _link_page_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from link(rest[2], rest[3])
 
 
-def fingerprint_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
+def fingerprint_links(prints: DataFrame, fp: str = "fp", page: int = PAGE) -> DataFrame:
     """(a, b): links that join exactly the distinct fingerprints within DISTANCE bits of each other, directly or through others.
 
     Not all pairs: each page yields one link per member at most. Every fingerprint is sent once per block, as 20 bytes.
@@ -266,7 +267,7 @@ def fingerprint_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     entries = prints.select(F.col(fp).alias("fp")).where(F.col(fp).isNotNull()).distinct().select("fp", F.explode(F.array(*blocks)).alias("e")).select("e.*", "fp")
     order = ["block", "value", gray_rank(F.col("fp")), F.col("fp")]
     ranged = entries.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    paged = written(ranged.mapInArrow(_link_pages, _PAGED), "pages")
+    paged = written(ranged.mapInArrow(partial(_link_pages, size=page), _PAGED), "pages")
     within = paged.where("kind = 0").select("a", "b")
     members = paged.where("kind = 1").select("block", "value", "page", F.col("a").alias("fp"))
     nodes = members.groupBy("block", "value", "page").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
