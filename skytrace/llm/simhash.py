@@ -119,6 +119,8 @@ def close_pairs(left: Forest, right: Forest, x: np.ndarray, y: np.ndarray) -> It
     same, todo = left is right, [(left.top, x, y)]
     while todo:
         level, x, y = todo.pop()
+        if not len(x):
+            continue
         if level == 0:
             keep = (x < y) if same else slice(None)
             yield x[keep], y[keep]
