@@ -3,16 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skytrace.llm.common import table
+from skytrace.llm import chunks, mixing, toxicity
+from skytrace.llm.common import crc32_of_id, table
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
 
+def _held_out(mod: int, is_: int) -> F.Column:
+    return F.coalesce(crc32_of_id("doc_id") % mod == is_, F.lit(False))
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.copies(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    predicted = (F.col("toxic_score") >= toxicity.REJECT_FROM).cast("int")
+    return rated.select("doc_id", _held_out(3, 1).alias("held_out"), F.col("toxic_score").alias("score"), predicted.alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.withColumn("fingerprint", fingerprint_text(groups["fp"])).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op4_simhash": op4_simhash}
-
-ORACLE_SQL: dict[str, str] = {}
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document of which passages go, with the byte ranges and the documents that keep them."""
+    spans = chunks.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "starts", "ends", "cut_words", "first_ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op6_substrings)}
+
+_SOURCES = """
+sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows,
+  (ARRAY[3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY source),
+capped AS (SELECT *, sum(source_size) OVER () AS total,
+  coalesce(sum(source_size) OVER w, 0) AS below, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest FROM per
+  WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT min((1.5::DOUBLE * total - 2 * below) / rest) FILTER (WHERE (1.5::DOUBLE * total - 2 * below) / rest < 2.0::DOUBLE * source_size / weight) AS level FROM capped),
+targets AS (SELECT source, source_size, n_rows, least(source_size::DOUBLE * 2, coalesce(level, 0) * weight) AS target FROM per, water)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix": f"""WITH {_SOURCES},
+placed AS (SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+  ('0x' || substr(md5('mix' || coalesce('1' || s.source, '0')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u,
+  row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(place * each + u) - floor((place - 1) * each + u)) * size)::BIGINT AS taken FROM placed"""
+}
