@@ -43,10 +43,10 @@ _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows,
   (ARRAY[3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY source),
-capped AS (SELECT *, sum(source_size) OVER () AS total,
-  coalesce(sum(source_size) OVER w, 0) AS below, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest FROM per
+capped AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level,
+  2.0::DOUBLE * source_size / weight AS stop FROM per
   WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-water AS (SELECT min((1.5::DOUBLE * total - 2 * below) / rest) FILTER (WHERE (1.5::DOUBLE * total - 2 * below) / rest < 2.0::DOUBLE * source_size / weight) AS level FROM capped),
+water AS (SELECT arg_min(level, stop) FILTER (WHERE level < stop) AS level FROM capped),
 targets AS (SELECT source, source_size, n_rows, least(source_size::DOUBLE * 2, coalesce(level, 0) * weight) AS target FROM per, water)"""
 
 ORACLE_SQL: dict[str, str] = {
