@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chunks, mixing, toxicity
+from skytrace.llm import bpe, chunks, mixing, toxicity
 from skytrace.llm.common import crc32_of_id, table
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
@@ -31,13 +31,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("fingerprint", fingerprint_text(groups["fp"])).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document of which passages go, with the byte ranges and the documents that keep them."""
     spans = chunks.repeated_spans(table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "starts", "ends", "cut_words", "first_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op6_substrings)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
