@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import bpe, chunks, mixing, toxicity
-from skytrace.llm.common import crc32_of_id, table
+from skytrace.llm import bpe, chunks, mixing, shards, toxicity
+from skytrace.llm.common import crc32_of_id, new_folder, table
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
 
@@ -41,7 +41,14 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "starts", "ends", "cut_words", "first_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings)}
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), new_folder(spark, "ids")
+    shards.write_shards(docs, path)
+    doc_id = F.when(F.col("key") != shards.NO_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    return shards.read_index(spark, path).select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings, op9_shards)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
