@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import bpe, chunks, mixing, shards, toxicity
+from skytrace.llm import bpe, chunks, mixing, quality, shards, toxicity, urls
 from skytrace.llm.common import crc32_of_id, new_folder, table
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
@@ -41,6 +41,17 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "starts", "ends", "cut_words", "first_ids")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = quality.score(docs, quality.fit(docs, labels))
+    predicted = (F.col("quality_score") >= quality.KEEP_FROM).cast("int")
+    return rated.select("doc_id", _held_out(5, 0).alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), new_folder(spark, "ids")
     shards.write_shards(docs, path)
@@ -48,7 +59,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_index(spark, path).select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
