@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import bpe, chunks, mixing, quality, shards, toxicity, urls
+from skytrace.llm import bpe, chunks, mixing, quality, shards, toxicity, urls, vectors
 from skytrace.llm.common import crc32_of_id, new_folder, table
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", _held_out(3, 1).alias("held_out"), F.col("toxic_score").alias("score"), predicted.alias("predicted"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.withColumn("fingerprint", fingerprint_text(groups["fp"])).select("doc_id", "fingerprint", "component_id")
@@ -59,7 +63,11 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_index(spark, path).select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_neighbours, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards, op10_embeddings)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
