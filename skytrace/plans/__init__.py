@@ -1 +1,6 @@
-"""Skytrace subpackage."""
+"""Queries over the test tables, one per operator, with the same results in SQL where SQL can express them."""
+
+from skytrace.plans import relational
+
+QUERIES = relational.QUERIES
+SQL = relational.SQL
