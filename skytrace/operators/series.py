@@ -6,28 +6,30 @@ shuffle on flight_id serves them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skytrace.functions.geo import flat_distance_m, haversine_m
 
-_FLIGHT = W.partitionBy("flight_id")
-IN_ORDER = _FLIGHT.orderBy("idx")
 
+def in_order() -> WindowSpec:
+    """The fixes of a flight in order. A function, as windows need a session."""
+    return W.partitionBy("flight_id").orderBy("idx")
 
-def _around(seconds: int):
-    return _FLIGHT.orderBy("t").rangeBetween(-seconds, seconds)
+
+def _around(seconds: int) -> WindowSpec:
+    return W.partitionBy("flight_id").orderBy("t").rangeBetween(-seconds, seconds)
 
 
 def path_speed_kmh(fixes: DataFrame) -> DataFrame:
     """path_kmh: speed over the step to each fix; a step of no time repeats the speed before; the first fix has the second's."""
-    dt = F.col("t") - F.lag("t").over(IN_ORDER)
-    step = haversine_m(F.lag("lat_e5").over(IN_ORDER), F.lag("lon_e5").over(IN_ORDER), "lat_e5", "lon_e5")
+    dt = F.col("t") - F.lag("t").over(in_order())
+    step = haversine_m(F.lag("lat_e5").over(in_order()), F.lag("lon_e5").over(in_order()), "lat_e5", "lon_e5")
     own = fixes.withColumn("_own", F.when(dt > 0, step / dt * 3.6)).withColumn("_dt", dt)
-    carried = F.last("_own", ignorenulls=True).over(IN_ORDER.rowsBetween(W.unboundedPreceding, 0))
+    carried = F.last("_own", ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0))
     carried = own.withColumn("_kmh", F.coalesce(carried, F.lit(0.0)))
-    first = F.coalesce(F.lead("_kmh").over(IN_ORDER), F.lit(0.0))
+    first = F.coalesce(F.lead("_kmh").over(in_order()), F.lit(0.0))
     return carried.withColumn("path_kmh", F.when(F.col("_dt").isNull(), first).otherwise(F.col("_kmh"))).drop("_own", "_dt", "_kmh")
 
 
@@ -60,15 +62,15 @@ def vario_bucket(vario: Column) -> Column:
 
 def runs(fixes: DataFrame, value: str) -> DataFrame:
     """(flight_id, run, value, start_idx, end_idx, start_t, end_t): maximal runs of fixes with one value."""
-    changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(IN_ORDER)) & F.lag("idx").over(IN_ORDER).isNotNull(), 0).otherwise(1)
-    numbered = fixes.withColumn("_new", changed).withColumn("run", F.sum("_new").over(IN_ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(in_order())) & F.lag("idx").over(in_order()).isNotNull(), 0).otherwise(1)
+    numbered = fixes.withColumn("_new", changed).withColumn("run", F.sum("_new").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy("flight_id", "run").agg(F.first(value).alias(value), F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("t").alias("start_t"), F.max("t").alias("end_t"))
 
 
 def bucket_means(fixes: DataFrame, column: str, buckets: int) -> DataFrame:
     """(flight_id, bucket, mean): a series cut into `buckets` even parts; as it is where it has no more values."""
-    n = F.count("*").over(_FLIGHT)
-    numbered = fixes.withColumn("_i", F.row_number().over(IN_ORDER)).withColumn("_n", n)
+    n = F.count("*").over(W.partitionBy("flight_id"))
+    numbered = fixes.withColumn("_i", F.row_number().over(in_order())).withColumn("_n", n)
     bucket = F.when(F.col("_n") <= buckets, F.col("_i") - 1).otherwise(F.ceil(F.col("_i") * buckets / F.col("_n")) - 1).cast("long")
     return numbered.groupBy("flight_id", bucket.alias("bucket")).agg(F.avg(column).alias("mean"))
 
@@ -76,8 +78,8 @@ def bucket_means(fixes: DataFrame, column: str, buckets: int) -> DataFrame:
 def summary(fixes: DataFrame) -> DataFrame:
     """One row per flight: bounds, altitudes in metres (halves up), peaks, path length, the upper median of sample intervals within
     1 to 65,535 s, and whether the altitude tells anything (5 fixes, 4 values, 10 m)."""
-    step = flat_distance_m(F.lag("lat_e5").over(IN_ORDER), F.lag("lon_e5").over(IN_ORDER), "lat_e5", "lon_e5")
-    dt = F.col("t") - F.lag("t").over(IN_ORDER)
+    step = flat_distance_m(F.lag("lat_e5").over(in_order()), F.lag("lon_e5").over(in_order()), "lat_e5", "lon_e5")
+    dt = F.col("t") - F.lag("t").over(in_order())
     stepped = fixes.withColumn("_step", step).withColumn("_dt", dt)
     metres = lambda x: F.floor(x / 10 + 0.5).cast("long")
     intervals = F.array_sort(F.collect_list("_dt"))

@@ -1,6 +1,6 @@
 """Queries over the test tables, one per operator, with the same results in SQL where SQL can express them."""
 
-from skytrace.plans import relational
+from skytrace.plans import relational, series
 
-QUERIES = relational.QUERIES
-SQL = relational.SQL
+QUERIES = relational.QUERIES | series.QUERIES
+SQL = relational.SQL | series.SQL
