@@ -1 +1 @@
-"""Skytrace subpackage."""
+"""Structured Streaming: sessions of live fixes and the scoring queue."""
