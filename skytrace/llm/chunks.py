@@ -21,6 +21,7 @@ ONE_IN, LEAST_BYTES, MOST_BYTES = 4, 16, 512
 #: A run of repeated chunks is cut from so many words on.
 RUN_WORDS = 15
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
+_GEAR[0] = 0  # so that the bytes between texts leave no trace
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A chunk's place in one long: the offset from bit 32 on, 11 bits of text mark, 11 of size in bytes, 9 of words.
 _BATCH_BYTES = 2 << 20
