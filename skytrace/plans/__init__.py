@@ -1,6 +1,6 @@
 """Queries over the test tables, one per operator, with the same results in SQL where SQL can express them."""
 
-from skytrace.plans import relational, series, tracks
+from skytrace.plans import charts, relational, series, tracks
 
-QUERIES = relational.QUERIES | series.QUERIES | tracks.QUERIES
-SQL = relational.SQL | series.SQL | tracks.SQL
+QUERIES = relational.QUERIES | series.QUERIES | tracks.QUERIES | charts.QUERIES
+SQL = relational.SQL | series.SQL | tracks.SQL | charts.SQL
