@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from skytrace.llm.common import crc32_of_id, written
 
 #: Bounds of what the classifier is fitted on: rows of confirmed toxic text, rows of unlabelled text, words used.
-POSITIVES, UNLABELLED, WORDS = 6_000, 12_000, 512
-#: A word tells something from this many standard errors on, and from so many toxic texts.
-LEAST_Z, LEAST_TEXTS = 5.0, 4
+POSITIVES, UNLABELLED, WORDS = 6_000, 12_000, 1_024
+#: A word tells something from this many standard errors on, from so many toxic texts and from this share of them.
+LEAST_Z, LEAST_TEXTS, LEAST_SHARE = 5.0, 4, 0.01
 REJECT_FROM = 0.7
 _WORDS_OF = r"[^\p{L}\p{N}]+"
 
@@ -30,25 +30,33 @@ class Model:
         return 1 / (1 + np.exp(-sums))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
-    """Weights and bias of a logistic classifier that minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)).
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, shrink: float = 5e-3) -> np.ndarray:
+    """Weights and bias of a linear classifier that minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)).
 
-    Where the second term is negative, the step goes against it, so that it can't be driven down by overfitting. Adam, full batches.
+    The loss of a toxic text taken for a clean one is logistic, so that texts with a single telling word count too; that of a clean
+    one taken for toxic is the sigmoid, which is bounded: a few texts full of such words can't outweigh the rest. Where the second
+    term would be negative, it is 0 and has no slope, so that nothing is gained by overfitting it. Words are given for being more
+    frequent in toxic texts, so no weight falls below 0; only the bias is shrunk. Adam, full batches.
     """
-    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
+    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
+    in_p, in_u = p.mean(axis=0), u.mean(axis=0)
+    # Start from each word's log odds; what of its share in U is due to toxic texts is taken out.
+    clean = np.maximum(in_u - prior * in_p, 0) / max(1 - prior, 1e-6)
+    w = np.maximum(np.log((in_p + 0.5 / len(p)) / (clean + 0.5 / len(u))), 0).astype(np.float32)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        up = prior * p.T @ (sp - 1) / len(p)  # of the risk of P as positive
-        down = u.T @ su / len(u) - prior * p.T @ sp / len(p)  # of the corrected risk as negative
-        grad = (up + down if negative >= 0 else -down) + decay * w
+        negative = su.mean() - prior * sp.mean()
+        up = prior * p.T @ (sp - 1) / len(p)
+        down = u.T @ (su * (1 - su)) / len(u) - prior * p.T @ (sp * (1 - sp)) / len(p)
+        grad = up + down if negative > 0 else up
+        grad[-1] += shrink * w[-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return w
+        np.maximum(w[:-1], 0, out=w[:-1])
+    return w.astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -72,13 +80,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spare = docs.where(learn).select("doc_id").distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id")).limit(UNLABELLED).select(F.col("doc_id").alias("_u"))
     texts = docs.where(learn).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_p"), "left").join(F.broadcast(spare), F.col("doc_id") == F.col("_u"), "left")
     sample = written(texts.where("_p is not null or _u is not null").select("doc_id", told.alias("toxic"), F.col("_u").isNotNull().alias("unlabelled"), words.alias("words")), "toxicity-sample")
+    # Copies count once, so that the words of one toxic text with many copies don't tell.
+    sample = sample.groupBy(F.xxhash64("words").alias("text")).agg(F.max("toxic").alias("toxic"), F.max("unlabelled").alias("unlabelled"), F.first("words").alias("words"))
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if("unlabelled")).first()
     if not n_p or not n_u:
         return none
     counts = sample.select("toxic", "unlabelled", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("p"), F.count_if("unlabelled").alias("u"))
-    share = (F.col("u") + 0.5) / (n_u + 1)
-    z = (F.col("p") / n_p - share) / F.sqrt(share * (1 - share) / n_p)
-    vocabulary = [r.word for r in counts.where(F.col("p") >= LEAST_TEXTS).where(z >= LEAST_Z).orderBy(z.desc(), "word").limit(WORDS).select("word").collect()]
+    both = (F.col("p") + F.col("u")) / (n_p + n_u)
+    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    vocabulary = [r.word for r in counts.where(F.col("p") >= max(LEAST_TEXTS, LEAST_SHARE * n_p)).where(z >= LEAST_Z).orderBy(z.desc(), "word").limit(WORDS).select("word").collect()]
     known_words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     has = F.transform(F.array_intersect("words", known_words), lambda x: F.array_position(known_words, x).cast("int"))
     rows = sample.select("toxic", "unlabelled", has.alias("has")).toPandas()
