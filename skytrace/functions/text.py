@@ -70,6 +70,16 @@ def email(text: Column) -> Column:
     return F.nullif(F.lower(F.trim(text)), F.lit(""))
 
 
+def full_name(first: Column, last: Column, login: Column) -> Column:
+    """First and last name, whichever there are, else the login."""
+    return F.coalesce(F.nullif(F.trim(F.concat_ws(" ", F.nullif(F.trim(first), F.lit("")), F.nullif(F.trim(last), F.lit("")))), F.lit("")), login)
+
+
+def told_apart(name: Column, key: Column, taken_before: Column) -> Column:
+    """A name that another row has taken before, whatever its case, with its key."""
+    return F.when(taken_before, F.concat(name, F.lit(" (#"), key.cast("string"), F.lit(")"))).otherwise(name)
+
+
 # --- units ------------------------------------------------------------------------------------------------------------------------
 
 # How many of the second unit make one of the first, by quantity.

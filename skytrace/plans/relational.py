@@ -274,3 +274,22 @@ def fix_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     zoom = F.lit(12)
     x, y = geo.mercator_x(geo.degrees("lon_e5")), geo.mercator_y(geo.degrees("lat_e5"))
     return fixes(spark, sf_dir).select("flight_id", "event_id", geo.tile_index(x, zoom).alias("x"), geo.tile_index(y, zoom).alias("y"), F.round(geo.degrees("lat_e5"), 5).alias("lat"))
+
+
+@query("""SELECT c_custkey AS user_id, CASE WHEN row_number() OVER (PARTITION BY lower(c_mktsegment), c_nationkey ORDER BY c_custkey) > 1 THEN c_mktsegment || ' (#' || c_custkey || ')' ELSE c_mktsegment END AS name,
+lower(trim('  ' || c_name || ' ')) AS email FROM customer""")
+def users_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of another system: normalised addresses, and names that are taken get the key."""
+    taken = F.row_number().over(W.partitionBy(F.lower("c_mktsegment"), "c_nationkey").orderBy("c_custkey")) > 1
+    users = table(spark, sf_dir, "customer").withColumn("taken", taken)
+    name = text.full_name(F.lit(None).cast("string"), F.col("c_mktsegment"), F.col("c_name"))
+    return users.select(F.col("c_custkey").alias("user_id"), text.told_apart(name, F.col("c_custkey"), F.col("taken")).alias("name"), text.email(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("email"))
+
+
+@query("""SELECT o_orderkey AS flight_id, strftime(to_timestamp(CAST(floor(epoch(o_orderdate)) AS BIGINT) + 7200) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS local_time, printf('%02d:%02d', o_custkey * 7 // 3600, o_custkey * 7 // 60 % 60) AS duration,
+CASE WHEN o_custkey < 1000 THEN o_custkey || ' m' ELSE printf('%.1f km', floor(o_custkey / 100.0 + 0.5) / 10) END AS distance, round(o_custkey * 3.280839895, 3) AS feet FROM orders""")
+def flights_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at a fixed offset, durations, distances and converted units as texts."""
+    f, key = flights(spark, sf_dir), F.col("user_id")
+    metres = F.when(key < 1000, key).otherwise(F.floor(key / 100 + 0.5) * 100).cast("double")  # halves up, in either engine
+    return f.select("flight_id", text.local_time_text(F.col("takeoff_at"), F.lit(7200)).alias("local_time"), text.duration_text(key * 7).alias("duration"), text.distance_text(metres).alias("distance"), F.round(text.converted(key.cast("double"), "m", "ft"), 3).alias("feet"))
