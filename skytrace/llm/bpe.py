@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.llm.common import few_at_once
+
 #: Characters of a leaf; the least part of a window on either side of a border.
 LEAF, WINDOW = 4096, 64
 #: Between a character that is no white space and a plain blank, every way to split a text has a border: a piece holds white space
@@ -113,7 +115,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): ids of each whole text as little-endian unsigned 32-bit integers; a null text counts as empty. Rows keep
     their number and order within their partition; other columns are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", "text")
+    source = few_at_once(docs).select("doc_id", "text")
     return source.mapInArrow(partial(_mapped, take="text", give="ids", change=partial(_encoder, path)), f"doc_id {kind}, ids binary")
 
 

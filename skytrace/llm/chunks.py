@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.llm.common import few_at_once
+
 #: The hash has 16 bits and shifts by one a byte, so it forgets what lies further back.
 GEAR_BYTES = 16
 #: One word start in so many may begin a chunk; the least and the most bytes of one (a chunk at a text's start or end may be shorter).
@@ -100,7 +102,7 @@ def _mark() -> Column:
 def text_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, place, digest): every chunk of every whole text; place packs offset, text mark, bytes and words into one long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("text"), _mark().alias("mark"), F.octet_length("text").alias("size"))
+    texts = few_at_once(docs).where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("text"), _mark().alias("mark"), F.octet_length("text").alias("size"))
     return texts.mapInArrow(_chunk_batches, f"doc_id {kind}, place long, digest long")
 
 

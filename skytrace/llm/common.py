@@ -55,6 +55,18 @@ def forget_written() -> None:
             return
 
 
+#: Rows of texts that go to Python at once, where the session allows more.
+TEXT_ROWS = 1_000
+
+
+def few_at_once(docs: DataFrame) -> DataFrame:
+    """docs, with its session sending few rows to Python at a time: texts may be long, and each batch is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        docs.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import crc32_of_id
+from skytrace.llm.common import crc32_of_id, few_at_once
 
 #: Bound of the labelled rows that are sent to all tasks; hashed features; dimensions; neighbours that vote; rows of a block.
 LABELLED, FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = 4_000, 4_096, 48, 25, 256
 KEEP_FROM = 0.3
 _TOKENS = re.compile(r"\w+|[^\w\s]").findall
-_KEPT = 1 << 18
+_KEPT = 1 << 16
 
 
 class Features:
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where((crc32_of_id("doc_id") % 5 != 0) & F.col("quality").isNotNull())
     picked = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit("quality"), "doc_id")).limit(LABELLED)
     # LABELLED rows of two numbers, so they may be sent to all tasks.
-    texts = docs.where(crc32_of_id("doc_id") % 5 != 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = few_at_once(docs).where(crc32_of_id("doc_id") % 5 != 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(_feature_rows, f"doc_id {kind}, quality int, at array<long>, value array<double>").toPandas().sort_values("doc_id")
     table = np.zeros((len(rows), FEATURES), dtype=np.float32)
@@ -131,4 +131,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, quality_score), 0 to 1, of every whole text: cosines with all labelled vectors, a block of texts at a time. A text
     without tokens, null ones too, gets the mean label. Rows keep their number; other columns are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(partial(_scores, model=model), f"doc_id {kind}, quality_score double")
+    return few_at_once(docs).select("doc_id", "text").mapInArrow(partial(_scores, model=model), f"doc_id {kind}, quality_score double")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import partitions, written
+from skytrace.llm.common import few_at_once, partitions, written
 from skytrace.llm.components import connected_components
 
 DISTANCE, BLOCKS, PAGE, FANOUT, STEP = 3, 4, 4096, 8, 1 << 18
@@ -76,7 +76,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of each whole text as a signed long; rows keep their number."""
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    source = few_at_once(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import crc32_of_id, written
+from skytrace.llm.common import crc32_of_id, few_at_once, written
 
 #: Bounds of what the classifier is fitted on: rows of confirmed toxic text, rows of unlabelled text, words used.
 POSITIVES, UNLABELLED, WORDS = 6_000, 12_000, 1_024
@@ -26,7 +26,7 @@ class Model:
     weights: np.ndarray  # one per word, then the bias
 
     def scores(self, present: list[list[int]]) -> np.ndarray:
-        sums = np.array([self.weights[at].sum() for at in present]) + self.weights[-1]
+        sums = np.array([self.weights[at].sum() for at in present], dtype=float) + self.weights[-1]
         return 1 / (1 + np.exp(-sums))
 
 
@@ -106,12 +106,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     weights = model.weights
     split = re.compile(r"[^\W_]+").findall
 
-    def one(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(list(place), weights)
         for batch in texts:
-            yield pd.Series(own.scores([[place[w] for w in place.keys() & set(split((t or "").lower()))] for t in batch]), dtype="float64")
+            yield pa.array(own.scores([[place[w] for w in place.keys() & set(split((t or "").lower()))] for t in batch.to_pylist()]), pa.float64())
 
-    return docs.withColumn("toxic_score", F.pandas_udf(one, "double")("text"))
+    return few_at_once(docs).withColumn("toxic_score", F.arrow_udf(one, "double")("text"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
