@@ -80,6 +80,12 @@ def told_apart(name: Column, key: Column, taken_before: Column) -> Column:
     return F.when(taken_before, F.concat(name, F.lit(" (#"), key.cast("string"), F.lit(")"))).otherwise(name)
 
 
+def short_id(*keys: Column) -> Column:
+    """Eight signs of base64url that name a row by its keys; the same keys give the same name."""
+    digest = F.unhex(F.sha2(F.concat_ws("\0", *keys), 256))
+    return F.translate(F.substring(F.base64(digest), 1, 8), "+/", "-_")
+
+
 # --- units ------------------------------------------------------------------------------------------------------------------------
 
 # How many of the second unit make one of the first, by quantity.

@@ -10,8 +10,10 @@ which tells absent keys, and the place of its ids.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import partitions
+from skytrace.llm.common import few_at_once, partitions
 
 #: A shard is closed once it holds so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 22, 1 << 16
@@ -96,7 +98,8 @@ def _turns(keys: np.ndarray) -> np.ndarray:
 _LETTER, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _PLAIN = re.compile("[\0-ɏ]*")
-_KEPT = 1 << 18
+#: Pieces that a worker looks up rather than encodes again.
+_KEPT = 1 << 19
 
 
 class Tokenizer:
@@ -107,25 +110,44 @@ class Tokenizer:
 
         self._own = tokenizers.Tokenizer.from_file(path)
         self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
+        self._known: dict[str, bytes] = {}
+        #: Bytes of an id in a payload.
+        self.width = 2 if self._own.get_vocab_size() <= 1 << 16 else 4
+
+    def packed(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.width == 2 else "I", ids)
+        if byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed."""
+        out: list[bytes] = [b""] * len(texts)
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self._special) for t in texts]
         whole = [i for i, p in enumerate(plain) if not p]
-        for i, e in zip(whole, self._own.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array(e.ids, dtype="<u4")
-        pieces = {i: _PIECE.findall(texts[i]) for i, p in enumerate(plain) if p}
+        for i, e in zip(whole, self._own.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = self.packed(e.ids)
+        pieces = [(i, _PIECE.findall(texts[i])) for i, p in enumerate(plain) if p]
         if len(self._known) > _KEPT:
             self._known.clear()
-        new = list(set().union(*pieces.values()).difference(self._known)) if pieces else []
-        self._known.update(zip(new, (tuple(e.ids) for e in self._own.encode_batch(new, add_special_tokens=False))))
-        look = self._known.__getitem__
-        for i, own in pieces.items():
-            ids: list[int] = []
-            for x in map(look, own):
-                ids.extend(x)
-            out[i] = np.array(ids, dtype="<u4")
+        known, new = self._known, set()
+        looked = []
+        for i, own in pieces:
+            found, missing = list(map(known.get, own)), []
+            try:  # list.index is the fastest way to the few that are new
+                at = found.index(None)
+                while True:
+                    missing.append(at)
+                    new.add(own[at])
+                    at = found.index(None, at + 1)
+            except ValueError:
+                looked.append((i, own, found, missing))
+        listed = list(new)
+        known.update(zip(listed, (self.packed(e.ids) for e in self._own.encode_batch_fast(listed, add_special_tokens=False))))
+        for i, own, found, missing in looked:
+            for at in missing:
+                found[at] = known[own[at]]
+            out[i] = b"".join(found)
         return out
 
 
@@ -142,18 +164,16 @@ def tokenizer(path: str | None) -> Tokenizer:
 # --- writing ----------------------------------------------------------------------------------------------------------------------
 
 
-def _shard(part: int, seq: int, keys: np.ndarray, turns: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
-    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    payload = np.concatenate(ids)
-    width = 2 if not len(payload) or payload.max() < 1 << 16 else 4
+def _shard(part: int, seq: int, width: int, keys: np.ndarray, turns: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
     own = _key_bits(keys, turns)
     index = PerfectHash.of(own)
     slots = index.slots(own)
     prints, at = np.zeros(len(keys), dtype="<u4"), np.zeros((len(keys), 2), dtype="<u4")
     prints[slots] = (mixed_bits(own, 63) >> np.uint64(32)).astype("<u4")
     at[slots] = np.stack([np.cumsum(size) - size, size], axis=1)
-    row = {"part": part, "seq": seq, "first": int(keys[0]), "last": int(keys[-1]), "n_docs": len(keys), "n_ids": len(payload), "width": width}
-    row |= {"keys": np.stack([keys, turns], axis=1).astype("<i8").tobytes(), "payload": payload.astype(f"<u{width}").tobytes(), "level_bits": index.level_bits.astype("<u8").tobytes(), "bits": index.bits.astype("<u8").tobytes(), "ranks": index.ranks.astype("<u4").tobytes(), "fingerprints": prints.tobytes(), "at": at.tobytes()}
+    row = {"part": part, "seq": seq, "first": int(keys[0]), "last": int(keys[-1]), "n_docs": len(keys), "n_ids": int(size.sum()), "width": width}
+    row |= {"keys": np.stack([keys, turns], axis=1).astype("<i8").tobytes(), "payload": b"".join(ids), "level_bits": index.level_bits.astype("<u8").tobytes(), "bits": index.bits.astype("<u8").tobytes(), "ranks": index.ranks.astype("<u4").tobytes(), "fingerprints": prints.tobytes(), "at": at.tobytes()}
     kinds = {"width": pa.int32()} | dict.fromkeys(("part", "seq", "first", "last", "n_docs", "n_ids"), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
 
@@ -161,7 +181,7 @@ def _shard(part: int, seq: int, keys: np.ndarray, turns: np.ndarray, ids: list[n
 def _write_shards(batches: Iterator[pa.RecordBatch], path: str | None, shard_ids: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition in ascending order of id to shards."""
     own, seq, keys, turns, ids, n = tokenizer(path), 0, [], [], [], 0
-    part, last, turn = 0, None, 0
+    part, last, turn, end = 0, None, 0, own.packed([END_ID])
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             some = batch.slice(lo, 256)
@@ -170,13 +190,13 @@ def _write_shards(batches: Iterator[pa.RecordBatch], path: str | None, shard_ids
                 last, part = key, p
                 keys.append(key)
                 turns.append(turn)
-                ids.append(np.append(new, np.array([END_ID], dtype="<u4")))
-                n += len(ids[-1])
+                ids.append(new + end)
+                n += len(ids[-1]) // own.width
                 if n >= shard_ids or len(keys) >= shard_docs:
-                    yield _shard(part, seq, np.array(keys, dtype=np.int64), np.array(turns, dtype=np.int64), ids)
+                    yield _shard(part, seq, own.width, np.array(keys, dtype=np.int64), np.array(turns, dtype=np.int64), ids)
                     seq, keys, turns, ids, n = seq + 1, [], [], [], 0
     if keys:
-        yield _shard(part, seq, np.array(keys, dtype=np.int64), np.array(turns, dtype=np.int64), ids)
+        yield _shard(part, seq, own.width, np.array(keys, dtype=np.int64), np.array(turns, dtype=np.int64), ids)
 
 
 #: The key of a row without an id; it comes before all others.
@@ -191,10 +211,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     """
     n = partitions(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    placed = docs.select(key.alias("key"), "text")
+    placed = few_at_once(docs).select(key.alias("key"), "text")
     ranged = placed.repartitionByRange(n, "key", F.xxhash64("text")).withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions("key", F.xxhash64("text"))
     shards = ranged.mapInArrow(partial(_write_shards, path=tokenizer_path, shard_ids=shard_ids, shard_docs=shard_docs), _SHARD)
-    shards.write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    shards.write.option("compression", "none").option("parquet.block.size", BLOCK_BYTES).parquet(path)
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------------------
@@ -231,20 +251,23 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, at, size = shard.find(shard.keys, shard.turns)
             if not found.all():
                 raise ValueError("a shard doesn't have one of its own keys")
-            checks = [crc32(shard.ids[a : a + s].astype("<u4").tobytes()) for a, s in zip(at.tolist(), size.tolist())]
-            columns = [pa.array(x, pa.int64()) for x in (shard.keys, at + row["start"], size, checks)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "start", "n_tokens", "ids_crc32"])
+            wide = memoryview(shard.ids.astype("<u4")).cast("B")
+            checks = [crc32(wide[4 * a : 4 * (a + s)]) for a, s in zip(at.tolist(), size.tolist())]
+            own = (np.full(len(at), row[c]) for c in ("part", "seq"))
+            columns = [pa.array(x, pa.int64()) for x in (*own, shard.keys, at, size, checks)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "key", "at", "n_tokens", "ids_crc32"])
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document in the shards at path; start counts the ids of all documents before it.
 
-    A shard's start is a running sum over one row per shard; all else is done within shards.
+    A shard's start is a running sum over one row per shard; it is joined with the documents' few numbers, so no payload moves.
     """
     shards = spark.read.parquet(path)
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("part", "seq", "n_ids").select("part", "seq", before.alias("start"))
-    return shards.join(starts, ["part", "seq"]).mapInArrow(_read_shards, "key long, start long, n_tokens long, ids_crc32 long")
+    found = shards.mapInArrow(_read_shards, "part long, seq long, key long, at long, n_tokens long, ids_crc32 long")
+    return found.join(starts, ["part", "seq"]).select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], wanted: list[int]) -> Iterator[pa.RecordBatch]:

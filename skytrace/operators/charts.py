@@ -70,3 +70,23 @@ def readout(fixes: DataFrame, cursors: DataFrame) -> DataFrame:
 def share_of(idx: Column, takeoff: Column, landing: Column) -> Column:
     """Where a fix lies within the flight, 0 to 1."""
     return F.when(landing > takeoff, (idx - takeoff) / (landing - takeoff)).otherwise(0.0)
+
+
+#: A route's turnpoints as JSON.
+TURNPOINTS = "array<struct<type:string,fix:struct<idx:bigint,lat:int,lon:int>>>"
+
+
+def turnpoints_json(routes: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(flight_id, type, turnpoints): each route's turnpoints with their positions as JSON, which from_json reads with TURNPOINTS."""
+    at = routes.select("flight_id", "type", F.posexplode("turns").alias("_k", "idx")).join(fixes.select("flight_id", "idx", "lat_e5", "lon_e5"), ["flight_id", "idx"])
+    point = F.struct(F.lit("point").alias("type"), F.struct("idx", F.col("lat_e5").alias("lat"), F.col("lon_e5").alias("lon")).alias("fix"))
+    listed = at.groupBy("flight_id", "type").agg(F.array_sort(F.collect_list(F.struct("_k", point.alias("p")))).alias("_l"))
+    return listed.select("flight_id", "type", F.to_json(F.col("_l.p")).alias("turnpoints"))
+
+
+def sliced_logs(fixes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(flight_id, igc): the logs of the stretches between takeoff and landing. windows: (flight_id, takeoff_t, landing_t)."""
+    from skytrace.operators.cleaning import time_slice
+    from skytrace.sources.igc import compose
+
+    return compose(time_slice(fixes, windows))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skytrace.functions.geo import mercator_lat, mercator_lon, mercator_x, mercator_y, tile_index
+
 # Pixels of a tile's side; metres of a quantum of elevation; the largest elevation; tiles of a block's side.
 SIDE, QUANTUM_M, MOST_M, BLOCK = 256, 8, 32_767, 64
 
@@ -104,3 +106,31 @@ def leaf_zoom(pixel_deg: Column) -> Column:
     """The zoom whose pixels are about as large as the source's; 0 where a tile holds the whole source."""
     tiles = F.floor(360.0 / pixel_deg / SIDE)
     return F.when(tiles >= 1, F.floor(F.log2(tiles))).otherwise(0).cast("int")
+
+
+def tile_bounds(z: Column, x: Column, y: Column) -> Column:
+    """struct(west, south, east, north) of a tile in degrees."""
+    n = F.pow(F.lit(2.0), z)
+    return F.struct(mercator_lon(x / n).alias("west"), mercator_lat((y + 1) / n).alias("south"), mercator_lon((x + 1) / n).alias("east"), mercator_lat(y / n).alias("north"))
+
+
+def tiles_over(bounds: DataFrame, zoom: int) -> DataFrame:
+    """A row (z, x, y) per tile that the bounds (west, south, east, north) reach into, next to the bounds' own columns."""
+    z = F.lit(zoom)
+    x = F.sequence(tile_index(mercator_x(F.col("west")), z), tile_index(mercator_x(F.col("east")), z, upper=True))
+    y = F.sequence(tile_index(mercator_y(F.col("north")), z), tile_index(mercator_y(F.col("south")), z, upper=True))
+    return bounds.withColumn("z", z).withColumn("x", F.explode(x)).withColumn("y", F.explode(y))
+
+
+def pixel_region(low: Column, high: Column, origin: Column, pixel: Column, size: Column) -> Column:
+    """struct(first, count) of the pixels along an axis that [low, high] touches: outward, but a bound within a millionth of a pixel's
+    edge lies on it. Null where it leaves the source: nothing is clamped."""
+    snap = lambda v: F.when(F.abs(v - F.round(v)) < 1e-6, F.round(v)).otherwise(v)
+    first, last = F.floor(snap((low - origin) / pixel)), F.ceil(snap((high - origin) / pixel))
+    return F.when((first >= 0) & (last <= size) & (last > first), F.struct(first.alias("first"), (last - first).alias("count")))
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Tiles as Parquet, a folder per zoom and files by block, so a reader of one block prunes all else."""
+    placed = tiles.withColumn("block_x", F.shiftright("x", 6)).withColumn("block_y", F.shiftright("y", 6))
+    placed.repartition("z", "block_x", "block_y").sortWithinPartitions("block_x", "block_y", "y", "x").write.partitionBy("z").mode("overwrite").parquet(path)

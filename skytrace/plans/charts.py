@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions import gliders
-from skytrace.operators import charts, lookup, routes
+from skytrace.operators import charts, lookup, routes, tiles
 from skytrace.plans.tables import FIXES, fixes, table
 from skytrace.sources import catalog
 
@@ -114,3 +114,20 @@ def catalog_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = table(spark, sf_dir, "part").groupBy("p_brand", key.alias("key")).agg(F.collect_set("p_name").alias("names")).groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("key", "names"))).alias("classes"))
     json = classes.select(F.lit("pg").alias("kind"), F.to_json(F.create_map("p_brand", "classes")).alias("json"))
     return catalog.models(json).groupBy("kind", "brand", "class", "name").agg(F.count("*").alias("n"))
+
+
+@query()
+def route_turnpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnpoints of all routes as JSON."""
+    f = fixes(spark, sf_dir)
+    return charts.turnpoints_json(routes.scored_routes(f), f)
+
+
+@query(f"""WITH {FIXES}, b AS (SELECT flight_id, min(lon_e5) / 1e5 AS west, min(lat_e5) / 1e5 AS south, max(lon_e5) / 1e5 AS east, max(lat_e5) / 1e5 AS north FROM fixes GROUP BY 1),
+t AS (SELECT flight_id, floor((west / 360 + 0.5) * 1024) AS x0, ceil((east / 360 + 0.5) * 1024) - 1 AS x1, floor((0.5 - asinh(tan(radians(north))) / (2 * pi())) * 1024) AS y0, ceil((0.5 - asinh(tan(radians(south))) / (2 * pi())) * 1024) - 1 AS y1 FROM b)
+SELECT flight_id, 10 AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM t, range(0, 1024) a(x), range(0, 1024) c(y) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
+def flight_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that each flight's bounds reach into."""
+    e5 = lambda f, c: (f(c) / 1e5)
+    bounds = fixes(spark, sf_dir).groupBy("flight_id").agg(e5(F.min, "lon_e5").alias("west"), e5(F.min, "lat_e5").alias("south"), e5(F.max, "lon_e5").alias("east"), e5(F.max, "lat_e5").alias("north"))
+    return tiles.tiles_over(bounds, 10).select("flight_id", "z", "x", "y")

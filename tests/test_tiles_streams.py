@@ -116,3 +116,20 @@ def test_queue_scores_each_file_once(spark, tmp_path):
     go()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.flight_id, r.v, r.batch) for r in got.collect()) == [(1, 20, 0), (2, 5, 0), (3, 7, 1)]
+
+
+def test_regions_and_bounds(spark):
+    rows = [(0.5, 2.5, 0, 3), (1.0000000001, 2.0, 1, 1), (-0.1, 1.0, None, None), (9.0, 10.5, None, None)]
+    df = spark.createDataFrame(rows, "low double, high double, first long, count long")
+    got = df.select(tiles.pixel_region(F.col("low"), F.col("high"), F.lit(0.0), F.lit(1.0), F.lit(10)).alias("r"), "first", "count").collect()
+    assert [None if r.r is None else (r.r[0], r.r[1]) for r in got] == [(0, 3), (1, 1), None, None]
+    b = spark.range(1).select(tiles.tile_bounds(F.lit(1), F.lit(1), F.lit(0)).alias("b")).first().b
+    assert (round(b.west, 6), round(b.south, 6), round(b.east, 6)) == (0, 0, 180) and 85 < b.north < 85.1
+    assert [r.z for r in spark.createDataFrame([(0.30,), (1.5,), (400.0,)], "p double").select(tiles.leaf_zoom(F.col("p")).alias("z")).collect()] == [2, 0, 0]
+
+
+def test_written_tiles_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame([(z, x, 3, "p") for z in (1, 2) for x in range(70)], "z int, x int, y int, p string")
+    tiles.write_tiles(df, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 140 and back.where("z = 2 and block_x = 1").count() == 6
