@@ -287,7 +287,7 @@ def users_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS flight_id, strftime(to_timestamp(CAST(floor(epoch(o_orderdate)) AS BIGINT) + 7200) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS local_time, printf('%02d:%02d', o_custkey * 7 // 3600, o_custkey * 7 // 60 % 60) AS duration,
-CASE WHEN o_custkey < 1000 THEN o_custkey || ' m' ELSE printf('%.1f km', floor(o_custkey / 100.0 + 0.5) / 10) END AS distance, round(o_custkey * 3.280839895, 3) AS feet FROM orders""")
+CASE WHEN o_custkey < 1000 THEN o_custkey || ' m' ELSE printf('%.1f km', floor(o_custkey / 100.0 + 0.5) / 10) END AS distance, round(o_custkey::DOUBLE * 3.280839895::DOUBLE, 3) AS feet FROM orders""")
 def flights_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times at a fixed offset, durations, distances and converted units as texts."""
     f, key = flights(spark, sf_dir), F.col("user_id")
