@@ -53,7 +53,7 @@ def speed_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FIXES}, {_WINDOWS}, seg AS (SELECT flight_id, CAST(k - 5 AS INT) AS bucket, takeoff_idx + k * 4 AS start_idx, takeoff_idx + k * 4 + 3 AS end_idx FROM win, range(12) r(k)),
 lines AS (SELECT flight_id, -1 AS colour, 0 AS start_idx, takeoff_idx AS end_idx FROM win WHERE takeoff_idx > 0 UNION ALL
   SELECT flight_id, least(greatest(bucket + 5, 0), 10), start_idx, least(end_idx + 1, n_fixes - 1) FROM seg JOIN win USING (flight_id) UNION ALL SELECT flight_id, -1, landing_idx, n_fixes - 1 FROM win WHERE landing_idx < n_fixes - 1)
-SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY start_idx, end_idx) AS run FROM lines""")
+SELECT *, (row_number() OVER (PARTITION BY flight_id ORDER BY start_idx, end_idx))::INT AS run FROM lines""")
 def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one colour of each flight's line."""
     w = _windows(fixes(spark, sf_dir))

@@ -153,7 +153,7 @@ def queue_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH used AS (SELECT o_custkey AS user_id, o_orderstatus AS kind, o_orderpriority AS class, o_orderdate AS flown, o_orderkey AS id FROM orders WHERE o_custkey % 10 = 7),
 one AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, class ORDER BY flown DESC, id DESC) AS n FROM used),
-four AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY flown DESC, id DESC) AS place FROM one WHERE n = 1) SELECT user_id, kind, class, id, place FROM four WHERE place <= 4""")
+four AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY flown DESC, id DESC) AS place FROM one WHERE n = 1) SELECT user_id, kind, class, id, place::INT AS place FROM four WHERE place <= 4""")
 def recent_gliders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last four gliders of each of a set of users: the newest flight per glider, and of those the four newest."""
     used = table(spark, sf_dir, "orders").where("o_custkey % 10 = 7").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("class"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))

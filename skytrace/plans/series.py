@@ -146,7 +146,7 @@ def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIXES}, r AS (SELECT flight_id, idx, lat_e5 // 8000 AS lat_e5, lon_e5 // 16000 AS lon_e5 FROM fixes)
-SELECT flight_id, idx, lat_e5, lon_e5 FROM (SELECT *, lag(lat_e5) OVER w AS a, lag(lon_e5) OVER w AS o FROM r WINDOW w AS (PARTITION BY flight_id ORDER BY idx)) WHERE a IS NULL OR a <> lat_e5 OR o <> lon_e5""")
+SELECT flight_id, idx, lat_e5::BIGINT AS lat_e5, lon_e5::BIGINT AS lon_e5 FROM (SELECT *, lag(lat_e5) OVER w AS a, lag(lon_e5) OVER w AS o FROM r WINDOW w AS (PARTITION BY flight_id ORDER BY idx)) WHERE a IS NULL OR a <> lat_e5 OR o <> lon_e5""")
 def moving_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes without those that repeat the position before; idx stays that of the whole track."""
     f = fixes(spark, sf_dir).select("flight_id", "idx", F.expr("lat_e5 div 8000").alias("lat_e5"), F.expr("lon_e5 div 16000").alias("lon_e5"))
