@@ -16,8 +16,6 @@ from skytrace.llm.common import written
 ORDER = 4
 #: Weight of the shorter context; chance of a character never seen; one URL in so many calibrates the threshold.
 SMOOTH, UNSEEN, HOLD_OUT = 4.0, 1 / 256, 5
-#: The model that is sent to all tasks has at most so many rows per order, whatever the corpus.
-SLOTS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -56,7 +54,7 @@ def _tail(gram: str, order: int) -> Column:
 
 
 def fit(ruled: DataFrame) -> list[DataFrame]:
-    """For each order, (slot, ratio) with SLOTS rows at most: the log ratio of a gram, by the hash of the gram. ruled: (url, good)."""
+    """For each order, (gram, ratio): the log ratio of every gram that the URLs have. ruled: (url, good)."""
     counts = _grams(ruled, ["good"]).groupBy("gram").agg(F.count_if("good").cast("double").alias("a"), F.count_if(~F.col("good")).cast("double").alias("b"))
     counts = written(counts, "grams")
     below, tables = None, []
@@ -70,24 +68,27 @@ def fit(ruled: DataFrame) -> list[DataFrame]:
             own = own.withColumn("shorter", F.substring("gram", 2, order)).join(below.select(F.col("gram").alias("shorter"), "pa", "pb"), "shorter")
         smooth = lambda n, total, shorter: (F.col(n) + SMOOTH * F.col(shorter)) / (F.col(total) + SMOOTH)
         below = written(own.select("gram", "a", "b", smooth("a", "ca", "pa").alias("pa"), smooth("b", "cb", "pb").alias("pb")), "chances")
-        n = F.col("a") + F.col("b")
-        ratio = F.sum(n * (F.log("pa") - F.log("pb"))) / F.sum(n)
-        tables.append(written(below.groupBy(_slot(F.col("gram")).alias("slot")).agg(ratio.alias("ratio")), "ratios"))
+        tables.append(below.select("gram", (F.log("pa") - F.log("pb")).alias("ratio")))
     return tables
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
 def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """(url, score) of distinct URLs; empty ones are left out."""
-    grams = _grams(urls, ["url"])
+    numbered = written(urls.where("length(url) > 0").select(F.monotonically_increasing_id().alias("n"), "url"), "asked")
+    grams = _grams(numbered, ["n"]).groupBy("n", "gram").agg(F.count("*").alias("times"))
+    # Each distinct gram gets its ratio once, from order to order, so that no join has a hot key: a gram goes on in as many as there
+    # are characters. Rows of a gram that many URLs have are dealt by AQE.
+    asked, known = written(grams.select("gram").distinct(), "asked_grams"), None
     for order, ratios in enumerate(tables):
-        # SLOTS rows of 12 bytes at most, so each may be sent to all tasks.
-        grams = grams.join(F.broadcast(ratios.select(F.col("slot").alias(f"s{order}"), F.col("ratio").alias(f"r{order}"))), _slot(_tail("gram", order)) == F.col(f"s{order}"), "left")
-    longest = F.coalesce(*[F.col(f"r{order}") for order in reversed(range(len(tables)))], F.lit(0.0))
-    return grams.select("url", longest.alias("ratio")).groupBy("url").agg(F.avg("ratio").alias("score"))
+        own = asked.select(_tail("gram", order).alias("gram")).distinct().join(ratios.hint("shuffle_merge"), "gram", "left")
+        if known is None:
+            known = own.select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+        else:
+            shorter = known.select(F.col("gram").alias("shorter"), F.col("ratio").alias("less"))
+            known = own.withColumn("shorter", F.substring("gram", 2, order)).join(shorter, "shorter").select("gram", F.coalesce("ratio", "less").alias("ratio"))
+        known = written(known, "known")
+    score = F.sum(F.col("times") * F.col("ratio")) / F.sum("times")
+    return grams.join(known.hint("shuffle_merge"), "gram").groupBy("n").agg(score.alias("score")).join(numbered, "n").select("url", "score")
 
 
 def threshold(scored: DataFrame) -> float:

@@ -142,6 +142,38 @@ def test_url_models_against_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_url_models_keep_every_gram(spark):
+    """More grams than a table of 65,536 slots could hold: each has its own ratio, and one that no model saw backs off."""
+    rng = np.random.default_rng(6)
+    made = ["".join(map(chr, x)) for x in rng.integers(0x4E00, 0x4E00 + 300, (6_000, 20))]
+    pages = [(u, bool(i % 2)) for i, u in enumerate(made[:5_000])]
+    counts, contexts = [Counter(), Counter()], [Counter(), Counter()]
+    for u, good in pages:
+        padded = "\0" * urls.ORDER + u
+        for i in range(len(u)):
+            for k in range(urls.ORDER + 1):
+                gram = padded[i + urls.ORDER - k : i + urls.ORDER + 1]
+                counts[good][gram] += 1
+                contexts[good][gram[:-1]] += 1
+
+    def chance(good, gram):
+        if not gram:
+            return urls.UNSEEN
+        return (counts[good][gram] + urls.SMOOTH * chance(good, gram[1:])) / (contexts[good][gram[:-1]] + urls.SMOOTH)
+
+    def ratio(gram):
+        while not (counts[0][gram] or counts[1][gram]):
+            gram = gram[1:]
+        return math.log(chance(1, gram)) - math.log(chance(0, gram))
+
+    asked = made[4_900:5_200]
+    want = {u: np.mean([ratio(("\0" * urls.ORDER + u)[i : i + urls.ORDER + 1]) for i in range(len(u))]) for u in asked}
+    tables = urls.fit(spark.createDataFrame(pages, "url string, good boolean"))
+    assert sum(len(g) == urls.ORDER + 1 for g in counts[0] | counts[1]) > 65_536 and tables[-1].count() > 65_536
+    got = {r.url: r.score for r in urls.score(spark.createDataFrame([(u,) for u in asked], "url string"), tables).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_url_threshold_and_learning(spark):
     scored = spark.createDataFrame([(0.5, True), (0.3, True), (-0.2, False), (-0.4, False)], "score double, good boolean")
     assert -0.2 < urls.threshold(scored) <= 0.3
