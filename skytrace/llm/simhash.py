@@ -71,14 +71,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prints = text_fingerprints(part.column("text").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            names = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(prints)], [*names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of each whole text as a signed long; rows keep their number."""
-    source = few_at_once(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+    """(doc_id, fp): the 64-bit fingerprint of each whole text as a signed long; rows keep their number, and columns but text stay."""
+    source = few_at_once(docs).withColumn("text", F.col("text").cast("binary"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
+    return source.mapInArrow(_fingerprint_batches, f"{kept}, fp long")
 
 
 # --- the index --------------------------------------------------------------------------------------------------------------------
@@ -291,7 +292,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     paired with each other. Repeated rows stay; a null doc_id stays too, but names no group unless all its members are null. Other
     columns are ignored.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
     groups = connected_components(fingerprint_links(prints))
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     placed = own.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -299,12 +300,28 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Prefix of the columns that are added to documents for a while; documents bring none like these.
+_OWN = "__simhash_"
+
+
+def _row_key() -> dict[str, Column]:
+    """The id and 128 bits of the text's hash: tells apart texts that share an id or have none."""
+    return {_OWN + "id": F.col("doc_id"), _OWN + "h1": F.xxhash64("text"), _OWN + "h2": F.xxhash64(F.lit(1), "text")}
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group has one with a smaller doc_id: one row of each group stays, rows with a null doc_id
-    aside, which all stay. Columns as they come."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one document of each group: the one of least doc_id (null ids last), then of least text hash. Rows with the same id
+    and text are one document and stay or go together. Columns as they come."""
+    own = _row_key()
+    rank = F.struct(F.col(_OWN + "id").isNull().alias("none"), *own)
+    prints = written(fingerprints(docs.select(*(c.alias(k) for k, c in own.items()), "text")), "fingerprints")
+    groups = connected_components(fingerprint_links(prints)).withColumnRenamed("node", "fp")
+    members = prints.distinct().join(groups, "fp", "left").select(*own, F.coalesce("component", "fp").alias("component"))
+    # A min per group, summed on the map side: a large group is one row per task.
+    least = members.groupBy("component").agg(F.min(rank).alias("least"))
+    gone = members.join(least, "component").where(rank != F.col("least")).select(*own)
+    same = [c.eqNullSafe(gone[k]) for k, c in own.items()]
+    return docs.join(gone, same[0] & same[1] & same[2], "left_anti")
 
 
 def fingerprint_text(fp: Column) -> Column:

@@ -79,6 +79,14 @@ def test_simhash_of_odd_documents(odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_that_share_an_id(spark):
+    """One copy under an id takes no other text of that id along; copies without an id go, and one of each group stays."""
+    a, b, c, d, e = (words(40, seed) for seed in range(30, 35))
+    rows = [(1, a), (2, a), (2, b), (2, c), (None, a), (None, d), (None, d + " "), (5, e), (5, e + " "), (None, e), (None, None), (7, "")]
+    got = [(r.doc_id, (r.text or "").strip()) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter(got) == Counter([(1, a), (2, b), (2, c), (None, d), (5, e), (7, "")])
+
+
 @pytest.mark.parametrize("page", [4, 16, simhash.PAGE])
 def test_links_lose_no_fingerprint(spark, page):
     """Clouds of near fingerprints that fill many pages, wide groups in one block, and far ones."""
