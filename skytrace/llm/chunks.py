@@ -25,7 +25,7 @@ RUN_WORDS = 15
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 _GEAR[0] = 0  # so that the bytes between texts leave no trace
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: A chunk's place in one long: the offset from bit 32 on, 11 bits of text mark, 11 of size in bytes, 9 of words.
+#: A chunk's place in one long: the offset from bit 20 on, 11 bits of size in bytes, 9 of words.
 _BATCH_BYTES = 2 << 20
 
 
@@ -79,8 +79,8 @@ def _chunk_texts(ids: pa.Array, marks: np.ndarray, texts: list[bytes]) -> pa.Rec
     before = np.append(0, word_starts)
     words = before[end] - before[begin]
     digests = np.array([xxh3_64_intdigest(joined[s:e]) for s, e in zip(begin.tolist(), end.tolist())], dtype=np.uint64).view(np.int64)
-    place = (begin - starts[of]) << 32 | marks[of] << 20 | (end - begin) << 9 | np.minimum(words, 511)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(place), pa.array(digests)], ["doc_id", "place", "digest"])
+    place = (begin - starts[of]) << 20 | (end - begin) << 9 | np.minimum(words, 511)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(place), pa.array(marks[of]), pa.array(digests)], ["doc_id", "place", "mark", "digest"])
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +95,15 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _mark() -> Column:
-    """Eleven bits of the text's hash: tells apart texts that share a doc_id."""
-    return F.xxhash64("text").bitwiseAND(0x7FF)
+    """The text's 64-bit hash: tells apart texts that share a doc_id."""
+    return F.xxhash64("text")
 
 
 def text_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, digest): every chunk of every whole text; place packs offset, text mark, bytes and words into one long."""
+    """(doc_id, place, mark, digest): every chunk of every whole text; place packs offset, bytes and words into one long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = few_at_once(docs).where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("text"), _mark().alias("mark"), F.octet_length("text").alias("size"))
-    return texts.mapInArrow(_chunk_batches, f"doc_id {kind}, place long, digest long")
+    return texts.mapInArrow(_chunk_batches, f"doc_id {kind}, place long, mark long, digest long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, row = place[order], row[order]
         lone = np.append(True, (place[1:] != place[:-1]) | (row[1:] != row[:-1]))[: len(place)]  # repeated rows bring each place again
         order, place, row = order[lone], place[lone], row[lone]
-        start, size, count = place >> 32, place >> 9 & 0x7FF, place & 0x1FF
+        start, size, count = place >> 20, place >> 9 & 0x7FF, place & 0x1FF
         heads = np.flatnonzero(np.append(True, (start[1:] != (start + size)[:-1]) | (row[1:] != row[:-1]))[: len(place)])
         total = np.add.reduceat(count, heads) if len(heads) else heads
         tails = np.append(heads[1:], len(place)) - 1
@@ -148,10 +148,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     chunks = text_chunks(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A min and a count per digest, summed on the map side: a passage in a third of all texts is one row per task.
-    first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
+    first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "place", "mark")).alias("first"), F.max(F.struct("doc_id", "place", "mark")).alias("last"))
     first = first.where("first != last").select("digest", "first")
-    later = chunks.join(first, "digest").where(F.struct("doc_id", "place") != F.col("first"))
-    found = later.select("doc_id", F.expr("(place >> 20) & 2047").alias("mark"), F.struct("place", F.col("first.doc_id").alias("first_id")).alias("found"))
+    later = chunks.join(first, "digest").where(F.struct("doc_id", "place", "mark") != F.col("first"))
+    found = later.select("doc_id", "mark", F.struct("place", F.col("first.doc_id").alias("first_id")).alias("found"))
     listed = found.groupBy("doc_id", "mark").agg(F.collect_list("found").alias("found"))
     return listed.mapInArrow(_runs, f"doc_id {kind}, mark long, starts array<long>, ends array<long>, cut_words long, first_ids array<{kind}>")
 

@@ -216,6 +216,25 @@ def test_cutting(odd_docs, no_docs, spark):
     assert got[6].text.split()[-20:] == words(30, 6).split()[-20:] and len(got[6].text) < 400
 
 
+def test_texts_that_share_an_id(spark):
+    """A passage at the same place in two texts without an id, whose hashes agree in the last eleven bits, is found and cut from one."""
+    from xxhash import xxh64_intdigest
+
+    passage, seen = words(60, 21), {}
+    for n in range(10_000):
+        text = f"{passage} žluť {words(12, 1_000 + n)}"
+        other = seen.setdefault(xxh64_intdigest(text.encode(), 42) & 0x7FF, text)
+        if other != text:
+            break
+    docs = spark.createDataFrame([(None, text), (None, other), (None, words(50, 22))], "doc_id long, text string").repartition(2)
+    (span,) = chunks.repeated_spans(docs).collect()
+    assert span.doc_id is None and span.cut_words >= 25
+    left = {r.text for r in chunks.cut_repeated_passages(docs).collect()}
+    assert len(left & {text, other}) == 1 and words(50, 22) in left
+    (short,) = left - {text, other, words(50, 22)}
+    assert any(full.endswith(short[-60:]) for full in (text, other)) and len(short.split()) <= 73 - 25
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------------------
 
 
