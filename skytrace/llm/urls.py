@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import written
+from skytrace.llm.common import partitions, written
 
 ORDER = 4
 #: Weight of the shorter context; chance of a character never seen; one URL in so many calibrates the threshold.
@@ -43,10 +43,11 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def _grams(urls: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per character of each URL: gram is the character with the ORDER before it, padded at the start."""
-    padded = F.concat(F.lit("\0" * ORDER), "url")
-    at = F.explode(F.sequence(F.lit(1), F.length("url")))
-    return urls.where("length(url) > 0").select(*keep, padded.alias("padded"), at.alias("at")).select(*keep, F.substring("padded", F.col("at"), F.lit(ORDER + 1)).alias("gram"))
+    """A row per character of each URL: gram is the character with the ORDER before it, padded at the start. The URL is cut into
+    characters once, so a row costs the same whatever its length."""
+    padded = F.concat(F.array_repeat(F.lit("\0"), ORDER), F.split("url", ""))
+    grams = F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER - 1), lambda i: F.concat(*[F.get("chars", i + k) for k in range(ORDER + 1)]))
+    return urls.where("length(url) > 0").select(*keep, padded.alias("chars")).select(*keep, F.explode(grams).alias("gram"))
 
 
 def _tail(gram: str, order: int) -> Column:
@@ -55,7 +56,7 @@ def _tail(gram: str, order: int) -> Column:
 
 def fit(ruled: DataFrame) -> list[DataFrame]:
     """For each order, (gram, ratio): the log ratio of every gram that the URLs have. ruled: (url, good)."""
-    counts = _grams(ruled, ["good"]).groupBy("gram").agg(F.count_if("good").cast("double").alias("a"), F.count_if(~F.col("good")).cast("double").alias("b"))
+    counts = _grams(ruled.repartition(partitions(ruled.sparkSession)), ["good"]).groupBy("gram").agg(F.count_if("good").cast("double").alias("a"), F.count_if(~F.col("good")).cast("double").alias("b"))
     counts = written(counts, "grams")
     below, tables = None, []
     for order in range(ORDER + 1):
@@ -74,7 +75,7 @@ def fit(ruled: DataFrame) -> list[DataFrame]:
 
 def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """(url, score) of distinct URLs; empty ones are left out."""
-    numbered = written(urls.where("length(url) > 0").select(F.monotonically_increasing_id().alias("n"), "url"), "asked")
+    numbered = written(urls.where("length(url) > 0").repartition(partitions(urls.sparkSession)).select(F.monotonically_increasing_id().alias("n"), "url"), "asked")
     grams = _grams(numbered, ["n"]).groupBy("n", "gram").agg(F.count("*").alias("times"))
     # Each distinct gram gets its ratio once, from order to order, so that no join has a hot key: a gram goes on in as many as there
     # are characters. Rows of a gram that many URLs have are dealt by AQE.
@@ -112,7 +113,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
 
     Models are learned from the distinct URLs that rules decide, but for one in HOLD_OUT by hash, which calibrates the threshold.
     A URL without characters, null ones too, has score 0. Without rules' URLs every score is 0 and the verdict allow. Repeated rows
-    stay; other columns are left out.
+    stay, also those that share an id; a URL of any length costs in proportion to it; other columns are left out, and an empty table
+    gives no rows.
     """
     split = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"))
     split = split.withColumn("chosen", rule_of(F.col("host"), F.col("path"), rules)) if rules else split.withColumn("chosen", F.lit(None).cast("struct<rule:string,verdict:string>"))
