@@ -42,7 +42,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document of which passages go, with the byte ranges and the documents that keep them."""
     spans = chunks.repeated_spans(table(spark, sf_dir, "documents"))
-    return spans.select("doc_id", "starts", "ends", "cut_words", "first_ids")
+    return spans.select("doc_id", "starts", "ends", "cut_bytes", "first_ids")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
