@@ -15,10 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (tests) one in the warehouse."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; in local mode, where there is one machine, a
+    folder in the warehouse does."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
@@ -71,6 +74,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_evenly(work: DataFrame, n: int) -> DataFrame:
+    """work, written, with a column task from 0 to n - 1 for repartitionById(): each task gets as many rows as the next, whereas a
+    hash of few rows may give some task several and others none."""
+    numbered = written(work.withColumn("task", F.monotonically_increasing_id()), "work")
+    within, part = F.col("task").bitwiseAND((1 << 33) - 1), F.shiftright("task", 33)
+    return numbered.withColumn("task", F.pmod(within + part * 7919, F.lit(n)).cast("int"))
+
+
 def crc32_of_id(doc_id: str | Column) -> Column:
     """crc32 of the id written as text, which splits rows into learning and held-out ones."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))

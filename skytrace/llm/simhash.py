@@ -1,9 +1,10 @@
 """SimHash fingerprints and near-duplicate groups over a Gray-order hierarchical index.
 
-Two fingerprints within three differing bits agree on at least one of four blocks of 16 bits. Each block value is an upper node of
-the index (mask: the block, pattern: its value); the fingerprints below it are sorted by Gray rank and cut into pages. Within a
-page, runs of neighbours are factored into nodes that hold the bits all members share; two nodes whose shared bits differ in more
-than three places are pruned with everything below them. Where a block value has more than one page, pages are first compared by
+Two fingerprints within three differing bits agree on all but three of any number of blocks that the 64 bits are cut into. Each
+choice of blocks with its value is an upper node of the index (mask: the blocks, pattern: their value): one block of four of 16 bits,
+two of five, three of six, as the fingerprints get more, so that nodes stay small. The fingerprints below a node are sorted by Gray
+rank and cut into pages. Within a page, runs of neighbours are factored into nodes that hold the bits all members share; two nodes whose shared bits differ in more
+than three places are pruned with everything below them. Where a node has more than one page, pages are first compared by
 their own nodes in a join, and only the surviving pairs of pages are compared member by member.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import few_at_once, partitions, written
+from skytrace.llm.common import dealt_evenly, few_at_once, partitions, written
 from skytrace.llm.components import connected_components
 
-DISTANCE, BLOCKS, PAGE, FANOUT, STEP = 3, 4, 4096, 8, 1 << 18
+DISTANCE, PAGE, FANOUT, STEP = 3, 4096, 8, 1 << 18
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------------------------
@@ -259,14 +261,26 @@ def _link_page_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from link(rest[2], rest[3])
 
 
-def fingerprint_links(prints: DataFrame, fp: str = "fp", page: int = PAGE) -> DataFrame:
+def blocks_for(n: int, page: int = PAGE) -> int:
+    """Blocks to cut 64 bits into for n fingerprints: the fewest whose nodes hold half a page on average; six at most."""
+    return next((b for b in range(DISTANCE + 1, 6) if n >> 64 * (b - DISTANCE) // b <= page // 2), 6)
+
+
+def masks(blocks: int) -> list[int]:
+    """The bits of every choice of all but DISTANCE blocks, as signed longs."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    own = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    return [int(np.uint64(sum(chosen)).astype(np.int64)) for chosen in combinations(own, blocks - DISTANCE)]
+
+
+def fingerprint_links(prints: DataFrame, fp: str = "fp", page: int = PAGE, blocks: int | None = None) -> DataFrame:
     """(a, b): links that join exactly the distinct fingerprints within DISTANCE bits of each other, directly or through others.
 
-    Not all pairs: each page yields one link per member at most. Every fingerprint is sent once per block, as 20 bytes.
+    Not all pairs: each page yields one link per member at most. Every fingerprint is sent once per choice of blocks, as 20 bytes.
+    The number of blocks follows the number of fingerprints where it isn't given; links are exact with any.
     """
     spark = prints.sparkSession
-    width = 64 // BLOCKS
-    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1).alias("value")) for k in range(BLOCKS)]
+    blocks = [F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(m).alias("value")) for k, m in enumerate(masks(blocks or blocks_for(prints.count(), page)))]
     entries = prints.select(F.col(fp).alias("fp")).where(F.col(fp).isNotNull()).distinct().select("fp", F.explode(F.array(*blocks)).alias("e")).select("e.*", "fp")
     order = ["block", "value", gray_rank(F.col("fp")), F.col("fp")]
     ranged = entries.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
@@ -278,9 +292,10 @@ def fingerprint_links(prints: DataFrame, fp: str = "fp", page: int = PAGE) -> Da
     settled = F.bitwise_not(F.expr("(l1 ^ h1) | (l2 ^ h2)"))
     near = F.bit_count(F.expr("l1 ^ l2").bitwiseAND(settled)) <= DISTANCE
     pairs = one.join(two, ["block", "value"]).where(F.col("one") < F.col("two")).where(near).select("one", "two")
-    first = pairs.join(members.select(F.col("page").alias("one"), "fp"), "one").select("one", "two", F.lit(0).alias("side"), "fp")
-    second = pairs.join(members.select(F.col("page").alias("two"), "fp"), "two").select("one", "two", F.lit(1).alias("side"), "fp")
-    facing = first.unionByName(second).repartition("one", "two").sortWithinPartitions("one", "two", "side")
+    n = partitions(spark)
+    pairs = dealt_evenly(pairs, n)
+    sides = [pairs.join(members.select(F.col("page").alias(side), "fp"), side).select("one", "two", "task", F.lit(k).alias("side"), "fp") for k, side in enumerate(("one", "two"))]
+    facing = sides[0].unionByName(sides[1]).repartitionById(n, "task").drop("task").sortWithinPartitions("one", "two", "side")
     return within.unionByName(facing.mapInArrow(_link_page_pairs, "a long, b long"))
 
 

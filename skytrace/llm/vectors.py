@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import partitions, written
+from skytrace.llm.common import dealt_evenly, partitions, written
 from skytrace.llm.components import connected_components
 from skytrace.llm.simhash import hang
 
@@ -41,6 +41,33 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, so that no square or sum over- or underflows."""
+    most = np.abs(vectors).max(axis=1, keepdims=True, initial=0)
+    # Twice, as the least doubles need a factor that is no double itself.
+    half = -np.frexp(most)[1] // 2
+    return np.ldexp(np.ldexp(vectors, half), -np.frexp(most)[1] - half)
+
+
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows from a query; where squares would over- or underflow, of scaled differences."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        far = np.sqrt(((vectors - query) ** 2).sum(axis=1))
+        odd = np.flatnonzero(~((far > 1e-140) & (far < 1e150)))
+        if len(odd):
+            some = vectors[odd]
+            most = np.maximum(np.abs(some).max(axis=1, initial=0), np.abs(query).max(initial=0))
+            power = np.frexp(most)[1]
+            # Differences of the numbers themselves where these are small, of a quarter of them where they are large.
+            quarter = np.where(power > 0, 2, 0)
+            apart = np.ldexp(some, -quarter[:, None]) - np.ldexp(query[None], -quarter[:, None])
+            size = np.frexp(np.abs(apart).max(axis=1, initial=0))[1]
+            half = -size // 2
+            apart = np.ldexp(np.ldexp(apart, half[:, None]), (-size - half)[:, None])
+            far[odd] = np.ldexp(np.ldexp(np.sqrt((apart**2).sum(axis=1)), size), quarter)
+    return far
+
+
 def _signs(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -52,7 +79,7 @@ def _signs(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int)
                 planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
             for lo in range(0, part.num_rows, 1024):
                 some = part.slice(lo, 1024)
-                on = _matrix(some.column("vector")) @ planes[dim] > 0
+                on = _scaled(_matrix(some.column("vector"))) @ planes[dim] > 0
                 keys = (on.reshape(-1, tables, bits) << np.arange(bits)).sum(axis=2).astype(np.int32)
                 sent = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in some.schema.names), sent], [*some.schema.names, "signs"])
@@ -63,7 +90,8 @@ class Block:
 
     def __init__(self, cls: np.ndarray, copies: np.ndarray, vectors: np.ndarray, signs: np.ndarray):
         self.cls, self.copies, self.signs = cls, copies, signs
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        scaled = _scaled(vectors)
+        self.unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Block:
@@ -186,8 +214,9 @@ def near_duplicate_vectors(vectors: DataFrame, page: int = PAGE, seed: int = 3)
     members = found.where("kind = 1").select("bits", "bucket", "dim", "page", "cls")
     pages = members.select("bits", "bucket", "dim", "page").distinct()
     pairs = pages.withColumnRenamed("page", "one").join(pages.withColumnRenamed("page", "two"), ["bits", "bucket", "dim"]).where("one < two").select("bits", "one", "two")
-    sides = [pairs.join(members.select(F.col("page").alias(side), "cls"), side).select("bits", "one", "two", F.lit(k).alias("side"), "cls") for k, side in enumerate(("one", "two"))]
-    facing = sides[0].unionByName(sides[1]).join(signed, "cls").repartition("one", "two").sortWithinPartitions("one", "two", "side")
+    pairs = dealt_evenly(pairs, n)
+    sides = [pairs.join(members.select(F.col("page").alias(side), "cls"), side).select("bits", "one", "two", "task", F.lit(k).alias("side"), "cls") for k, side in enumerate(("one", "two"))]
+    facing = sides[0].unionByName(sides[1]).join(signed, "cls").repartitionById(n, "task").drop("task").sortWithinPartitions("one", "two", "side")
     found = found.where("kind != 1").unionByName(written(facing.mapInArrow(_link_facing, _FOUND), "facing"))
     linked = found.where("kind = 0").groupBy("cls").agg(F.sum("other").alias("linked"))
     groups = connected_components(found.where("kind = 2"), "cls", "other").withColumnRenamed("node", "cls")
@@ -213,14 +242,20 @@ class SortedProjections:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 5):
         self.ids, self.vectors = ids, vectors
         self.directions = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], PROJECTIONS))
-        products = vectors @ self.directions
+        products = self._products(vectors)
         self.order = np.argsort(products, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(products.T, self.order.astype(np.int64), axis=1)
         self.flat = np.ascontiguousarray(self.order).ravel()
-        spread = float(np.sqrt(2 * products.var(axis=0).mean()))
-        self.first = spread * FIRST_RADIUS
+        with np.errstate(over="ignore", invalid="ignore"):
+            spread = float(np.sqrt(2 * products.var(axis=0).mean()))
+        # Where a spread is beyond all doubles, so is the first radius: every vector collides at once and is verified.
+        self.first = spread * FIRST_RADIUS if np.isfinite(spread) else np.inf
         self.threshold = math.ceil(PROJECTIONS / 2 - SLACK * math.sqrt(PROJECTIONS) / 2)
 
+    def _products(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num(vectors @ self.directions)
+
     def _collide(self, counts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Count the vectors at places [begin, end) of each sorted array."""
         size = end - begin
@@ -236,7 +271,7 @@ class SortedProjections:
         `threshold` arrays is verified by its distance. A query ends where its k-th distance is within the radius, or when every
         vector has been verified.
         """
-        n, target = len(self.ids), queries @ self.directions
+        n, target = len(self.ids), self._products(queries)
         for q in range(len(queries)):
             counts, done, far = np.zeros(n, dtype=np.int64), self.ids == own[q], np.full(n, np.inf)
             left = int(n - done.sum())
@@ -251,7 +286,7 @@ class SortedProjections:
                 self._collide(counts, hi, new_hi)
                 lo, hi = new_lo, new_hi
                 fresh = np.flatnonzero((counts >= self.threshold) & ~done)
-                far[fresh] = np.sqrt(((self.vectors[fresh] - queries[q]) ** 2).sum(axis=1))
+                far[fresh] = distances(self.vectors[fresh], queries[q])
                 done[fresh] = True
                 left -= len(fresh)
                 if not left or np.partition(far, want - 1)[want - 1] <= radius:
