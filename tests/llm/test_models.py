@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,17 @@ def test_url_models_keep_every_gram(spark):
     assert got == pytest.approx(want)
 
 
+def test_long_urls_cost_in_proportion(spark):
+    """Each of two URLs of 400,000 characters gives as many grams as it has characters; a quadratic cost would take hours."""
+    long = ["http://a.com/" + "xyß漢" * 100_000, "http://b.org/" + "qr\U0001f600s" * 100_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*long, "http://c.net/es/x", "http://d.org/xyß"])], "page_id long, url string")
+    assert {r.page_id: r.rule for r in urls.judge(pages).collect()} == {0: "com/", 1: None, 2: "net/es/", 3: None}
+    grams = urls._grams(pages.where("page_id < 2"), ["page_id"]).groupBy("page_id", "gram").count().collect()
+    for i, u in enumerate(long):
+        padded = "\0" * urls.ORDER + u
+        assert {r.gram: r["count"] for r in grams if r.page_id == i} == Counter(padded[k : k + urls.ORDER + 1] for k in range(len(u)))
+
+
 def test_url_threshold_and_learning(spark):
     scored = spark.createDataFrame([(0.5, True), (0.3, True), (-0.2, False), (-0.4, False)], "score double, good boolean")
     assert -0.2 < urls.threshold(scored) <= 0.3
@@ -226,6 +238,44 @@ def test_near_duplicate_vectors(vecs, page):
     assert sum((found & want).values()) >= 0.95 * len(rows)
 
 
+def test_planted_links_are_found(spark):
+    """Pairs just above the threshold among 50,000 vectors of 64 dimensions."""
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((50_000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for k in range(0, 1_000, 2):
+        away = rows[k + 1] - rows[k] * (rows[k] @ rows[k + 1])
+        cosine = 0.9505 + 0.01 * rng.random()
+        rows[k + 1] = cosine * rows[k] + math.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+    made = pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rows.astype(np.float32).ravel()), 64).cast(pa.list_(pa.float32()))})
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(made).repartition(8)).where("n_links > 0").toPandas()
+    linked = set(got["vec_id"])
+    assert linked <= set(range(1_000)) and len(linked) >= 990
+    assert (got["component_id"] == got["vec_id"] // 2 * 2).all()
+
+
+HUGE = [[1e308] * 8, [1.1e308] + [1e308] * 7, [-1e308] * 8, [3e307] + [1.0] * 7, [1e-310] * 8, [1.05e-310] * 8, [1e-310, -1e-310] * 4, [5e-324] + [0.0] * 7, [1e-323] + [0.0] * 7, [1.0] * 8, [1.0, 2.0] * 4, [3.0] * 8, [1e160] * 8, [2e160] * 8, [1e-170] * 8]
+
+
+def test_vectors_of_extreme_size(spark):
+    """Components near the ends of double precision take part: cosines and distances neither over- nor underflow."""
+    from decimal import Decimal, localcontext
+
+    docs = spark.createDataFrame(list(enumerate(HUGE)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicate_vectors(docs).collect()}
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vectors.nearest_neighbours(docs, F.col("vec_id") % 2 == 0, k=5).collect()}
+    with localcontext() as c:
+        c.prec, c.Emin, c.Emax = 60, -5_000, 5_000
+        exact = [[Decimal(x) for x in v] for v in HUGE]
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+        cosine = lambda a, b: float(dot(a, b) / (dot(a, a) * dot(b, b)).sqrt())
+        assert got == {i: sum(cosine(a, b) >= vectors.COSINE for j, b in enumerate(exact) if i != j) for i, a in enumerate(exact)}
+        for q in range(0, len(HUGE), 2):
+            apart = [(sum((x - y) ** 2 for x, y in zip(exact[q], b)).sqrt(), j) for j, b in enumerate(exact) if j != q]
+            want = sorted((float(d), j) for d, j in apart)[:5]
+            assert [found[q, k + 1][1] for k in range(5)] == pytest.approx([d for d, _ in want], rel=1e-12, abs=1e-323)
+
+
 def test_no_vectors(vecs):
     assert vectors.near_duplicate_vectors(vecs.limit(0)).count() == 0
     assert vectors.nearest_neighbours(vecs.limit(0), F.lit(True)).count() == 0
