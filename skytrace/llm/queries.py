@@ -59,7 +59,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), new_folder(spark, "ids")
     shards.write_shards(docs, path)
-    doc_id = F.when(F.col("key") != shards.NO_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    doc_id = F.col("key").cast(docs.schema["doc_id"].dataType)
     return shards.read_index(spark, path).select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

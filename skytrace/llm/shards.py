@@ -1,7 +1,7 @@
 """Token ids as binary shards with constant-time access by document key.
 
-A shard is one row of a Parquet table, so shards lie wherever Spark can write: payload (the ids of its documents in ascending
-doc_id order, each an unsigned 16- or 32-bit little-endian integer), the keys in that order, and an index. The index is a minimal
+A shard is one row of a Parquet table, so shards lie wherever Spark can write: in one column the payload (the ids of its documents in
+ascending doc_id order, each an unsigned 16- or 32-bit little-endian integer), in others the keys in that order and an index. The index is a minimal
 perfect hash: each level is a bit array; a key whose bit no other key of the level shares is placed there, the rest go on to the
 next, larger salt. A key's slot is the number of set bits before its own. By slot, the shard has the key's 32-bit fingerprint,
 which tells absent keys, and the place of its ids.
@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from skytrace.llm.common import few_at_once, partitions
 
-#: A shard is closed once it holds so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 1 << 22, 1 << 16
+#: A shard is closed once it holds so many ids or documents: what a look-up reads of the payload.
+SHARD_IDS, SHARD_DOCS = 1 << 19, 1 << 14
 END_ID = 0
 #: Row groups of the files, so that a task reads few shards at once.
 BLOCK_BYTES = 16 << 20
 #: Bits per key of a level, and the level count after which keys must have been told apart.
 SPREAD, LEVELS = 2, 64
 
-_SHARD = "part long, seq long, first long, last long, n_docs long, n_ids long, width int, keys binary, payload binary, level_bits binary, bits binary, ranks binary, fingerprints binary, at binary"
+_INDEX = "part long, seq long, first long, last long, n_docs long, n_ids long, width int, keys binary, level_bits binary, bits binary, ranks binary, fingerprints binary, at binary"
+_SHARD = _INDEX + ", payload binary"
+#: Ranges of ids that a look-up asks the files' statistics for.
+RANGES = 32
 
 
 # --- minimal perfect hash ---------------------------------------------------------------------------------------------------------
@@ -82,16 +85,10 @@ class PerfectHash:
 
 
 def _key_bits(keys: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """One 64-bit key for a doc_id and its turn among the rows of that id."""
+    """One 64-bit key for a doc_id and its turn among the rows of that id; turns of rows without an id count down from -1."""
     return mixed_bits(keys.view(np.uint64) ^ mixed_bits(turns.astype(np.uint64), 7), 11)
 
 
-def _turns(keys: np.ndarray) -> np.ndarray:
-    """0, 1, 2 ... within each run of equal keys."""
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
-
-
 # --- tokenizer --------------------------------------------------------------------------------------------------------------------
 
 #: The pieces of the byte-level pre-tokenizer, for texts of characters below U+0250 only, where every library has the same letters, digits and white space.
@@ -111,6 +108,9 @@ class Tokenizer:
         self._own = tokenizers.Tokenizer.from_file(path)
         self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._bytes = np.zeros(self._own.get_vocab_size(), dtype=np.int64)  # of each id: a sign of the alphabet is one
+        for token, number in self._own.get_vocab().items():
+            self._bytes[number] = len(token)
         #: Bytes of an id in a payload.
         self.width = 2 if self._own.get_vocab_size() <= 1 << 16 else 4
 
@@ -120,6 +120,19 @@ class Tokenizer:
             packed.byteswap()
         return packed.tobytes()
 
+    def _new_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces. A blank with letters is split off again where several stand side by side, so many go in one call."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = list(pieces.difference(words))
+        out = dict(zip(rest, (self.packed(e.ids) for e in self._own.encode_batch_fast(rest, add_special_tokens=False))))
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, found in zip(groups, self._own.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ends = np.cumsum([len(p.encode()) for p in group])
+            cuts = (np.searchsorted(np.cumsum(self._bytes[found.ids]), ends) + 1) * self.width
+            packed = self.packed(found.ids)
+            out.update(zip(group, (packed[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist()))))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         out: list[bytes] = [b""] * len(texts)
@@ -142,8 +155,7 @@ class Tokenizer:
                     at = found.index(None, at + 1)
             except ValueError:
                 looked.append((i, own, found, missing))
-        listed = list(new)
-        known.update(zip(listed, (self.packed(e.ids) for e in self._own.encode_batch_fast(listed, add_special_tokens=False))))
+        known.update(self._new_pieces(new))
         for i, own, found, missing in looked:
             for at in missing:
                 found[at] = known[own[at]]
@@ -172,8 +184,9 @@ def _shard(part: int, seq: int, width: int, keys: np.ndarray, turns: np.ndarray,
     prints, at = np.zeros(len(keys), dtype="<u4"), np.zeros((len(keys), 2), dtype="<u4")
     prints[slots] = (mixed_bits(own, 63) >> np.uint64(32)).astype("<u4")
     at[slots] = np.stack([np.cumsum(size) - size, size], axis=1)
-    row = {"part": part, "seq": seq, "first": int(keys[0]), "last": int(keys[-1]), "n_docs": len(keys), "n_ids": int(size.sum()), "width": width}
-    row |= {"keys": np.stack([keys, turns], axis=1).astype("<i8").tobytes(), "payload": b"".join(ids), "level_bits": index.level_bits.astype("<u8").tobytes(), "bits": index.bits.astype("<u8").tobytes(), "ranks": index.ranks.astype("<u4").tobytes(), "fingerprints": prints.tobytes(), "at": at.tobytes()}
+    with_id = keys[turns >= 0]
+    row = {"part": part, "seq": seq, "first": int(with_id[0]) if len(with_id) else None, "last": int(with_id[-1]) if len(with_id) else None, "n_docs": len(keys), "n_ids": int(size.sum()), "width": width}
+    row |= {"keys": np.stack([keys, turns], axis=1).astype("<i8").tobytes(), "level_bits": index.level_bits.astype("<u8").tobytes(), "bits": index.bits.astype("<u8").tobytes(), "ranks": index.ranks.astype("<u4").tobytes(), "fingerprints": prints.tobytes(), "at": at.tobytes(), "payload": b"".join(ids)}
     kinds = {"width": pa.int32()} | dict.fromkeys(("part", "seq", "first", "last", "n_docs", "n_ids"), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
 
@@ -181,15 +194,15 @@ def _shard(part: int, seq: int, width: int, keys: np.ndarray, turns: np.ndarray,
 def _write_shards(batches: Iterator[pa.RecordBatch], path: str | None, shard_ids: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition in ascending order of id to shards."""
     own, seq, keys, turns, ids, n = tokenizer(path), 0, [], [], [], 0
-    part, last, turn, end = 0, None, 0, own.packed([END_ID])
+    part, last, turn, end = 0, (), 0, own.packed([END_ID])
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             some = batch.slice(lo, 256)
             for key, p, new in zip(some.column("key").to_pylist(), some.column("part").to_pylist(), own.encode([t or "" for t in some.column("text").to_pylist()])):
                 turn = turn + 1 if key == last else 0
                 last, part = key, p
-                keys.append(key)
-                turns.append(turn)
+                keys.append(key or 0)
+                turns.append(turn if key is not None else -1 - turn)
                 ids.append(new + end)
                 n += len(ids[-1]) // own.width
                 if n >= shard_ids or len(keys) >= shard_docs:
@@ -199,10 +212,6 @@ def _write_shards(batches: Iterator[pa.RecordBatch], path: str | None, shard_ids
         yield _shard(part, seq, own.width, np.array(keys, dtype=np.int64), np.array(turns, dtype=np.int64), ids)
 
 
-#: The key of a row without an id; it comes before all others.
-NO_ID = -(1 << 63)
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> None:
     """Encode each whole text (null: empty), end it with END_ID and write all ids in ascending doc_id order to shards at path.
 
@@ -210,9 +219,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     shard, the id with its turn. An empty table gives no shard. Other columns are left out.
     """
     n = partitions(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    placed = few_at_once(docs).select(key.alias("key"), "text")
-    ranged = placed.repartitionByRange(n, "key", F.xxhash64("text")).withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions("key", F.xxhash64("text"))
+    placed = few_at_once(docs).select(F.col("doc_id").cast("long").alias("key"), "text")
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+    ranged = placed.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions(*order)
     shards = ranged.mapInArrow(partial(_write_shards, path=tokenizer_path, shard_ids=shard_ids, shard_docs=shard_docs), _SHARD)
     shards.write.option("compression", "none").option("parquet.block.size", BLOCK_BYTES).parquet(path)
 
@@ -221,11 +230,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
 
 class Shard:
-    """One shard as read back."""
+    """The index of one shard as read back."""
 
     def __init__(self, row: dict):
         self.keys, self.turns = np.frombuffer(row["keys"], dtype="<i8").reshape(-1, 2).T
-        self.ids = np.frombuffer(row["payload"], dtype=f"<u{row['width']}")
         self.index = PerfectHash(*(np.frombuffer(row[c], dtype=t) for c, t in (("level_bits", "<u8"), ("bits", "<u8"), ("ranks", "<u4"))))
         self.prints = np.frombuffer(row["fingerprints"], dtype="<u4")
         self.at = np.frombuffer(row["at"], dtype="<u4").reshape(-1, 2).astype(np.int64)
@@ -251,40 +259,64 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, at, size = shard.find(shard.keys, shard.turns)
             if not found.all():
                 raise ValueError("a shard doesn't have one of its own keys")
-            wide = memoryview(shard.ids.astype("<u4")).cast("B")
+            wide = memoryview(np.frombuffer(row["payload"], dtype=f"<u{row['width']}").astype("<u4")).cast("B")
             checks = [crc32(wide[4 * a : 4 * (a + s)]) for a, s in zip(at.tolist(), size.tolist())]
             own = (np.full(len(at), row[c]) for c in ("part", "seq"))
-            columns = [pa.array(x, pa.int64()) for x in (*own, shard.keys, at, size, checks)]
+            columns = [*(pa.array(x, pa.int64()) for x in own), pa.array(shard.keys, pa.int64(), mask=shard.turns < 0), *(pa.array(x, pa.int64()) for x in (at, size, checks))]
             yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "key", "at", "n_tokens", "ids_crc32"])
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document in the shards at path; start counts the ids of all documents before it.
 
-    A shard's start is a running sum over one row per shard; it is joined with the documents' few numbers, so no payload moves.
+    A shard's start is a running sum over the shards of its part, and one over the parts, of which there are as many as partitions
+    when they were written; it is joined with the documents' few numbers, so no payload moves.
     """
     shards = spark.read.parquet(path)
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "seq", "n_ids").select("part", "seq", before.alias("start"))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sizes = shards.select("part", "seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before(W.orderBy("part"))), F.lit(0)).alias("_part"))
+    within = F.coalesce(F.sum("n_ids").over(before(W.partitionBy("part").orderBy("seq"))), F.lit(0))
+    starts = sizes.withColumn("_within", within).join(parts, "part").select("part", "seq", (F.col("_part") + F.col("_within")).alias("start"))
     found = shards.mapInArrow(_read_shards, "part long, seq long, key long, at long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["part", "seq"]).select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], wanted: list[int]) -> Iterator[pa.RecordBatch]:
+    """From the index alone: where in its shard each document lies that is asked for."""
     for batch in batches:
         for n in range(batch.num_rows):
-            shard = Shard({c: batch.column(c)[n].as_py() for c in batch.schema.names})
-            keys, turns = np.unique(np.array(wanted, dtype=np.int64)), 0
+            row = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
+            shard, keys, turn = Shard(row), np.unique(np.array(wanted, dtype=np.int64)), 0
+            starts = shard.turns[np.searchsorted(shard.keys, keys).clip(max=len(shard.keys) - 1)]  # an id may go on from the shard before
+            turns = np.maximum(starts, 0)
             while len(keys):  # the next turn of each id that had one
-                found, at, size = shard.find(keys, np.full(len(keys), turns))
-                keys, turns = keys[found], turns + 1
-                ids = [shard.ids[a : a + s].astype(np.int64) for a, s in zip(at[found].tolist(), size[found].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+                found, at, size = shard.find(keys, turns)
+                keys, turns = keys[found], turns[found] + 1
+                own = [pa.array(np.full(len(keys), row[c]), pa.int64()) for c in ("part", "seq")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys), pa.array(at[found]), pa.array(size[found])], ["part", "seq", "doc_id", "at", "size"])
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents asked for; absent ids give no row. Only shards whose range holds one of them are read."""
+    """(doc_id, ids) of the documents asked for; absent ids give no row.
+
+    The index of the shards whose range holds one of them tells shard, place and size; of the payload, which is a column of its own,
+    only those shards are read, and of each the bytes of the document are taken. The ranges that are pushed down to the files'
+    statistics are RANGES at most, whatever the number of ids.
+    """
+    asked = sorted(set(doc_ids))
+    step = max(1, -(-len(asked) // RANGES))
     near = F.lit(False)
-    for x in doc_ids:
-        near = near | ((F.col("first") <= x) & (F.col("last") >= x))
-    return spark.read.parquet(path).where(near).mapInArrow(partial(_look_up, wanted=list(doc_ids)), "doc_id long, ids array<long>")
+    for some in (asked[at : at + step] for at in range(0, len(asked), step)):
+        near = near | ((F.col("first") <= some[-1]) & (F.col("last") >= some[0]))
+    shards = spark.read.parquet(path).where(near)
+    places = shards.select(*(c.split(" ")[0] for c in _INDEX.split(", "))).mapInArrow(partial(_look_up, wanted=asked), "part long, seq long, doc_id long, at long, size long")
+    own = F.substring("payload", (F.col("at") * F.col("width") + 1).cast("int"), (F.col("size") * F.col("width")).cast("int"))
+    bytes_ = places.join(shards.select("part", "seq", "width", "payload"), ["part", "seq"]).select("doc_id", "width", own.alias("ids"))
+    return bytes_.mapInArrow(_unpacked, "doc_id long, ids array<long>")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, dtype=f"<u{w}").astype(np.int64) for x, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
