@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,35 @@ from skytrace.llm.common import crc32_of_id, few_at_once, written
 #: Bounds of what the classifier is fitted on: rows of confirmed toxic text, rows of unlabelled text, words used.
 POSITIVES, UNLABELLED, WORDS = 6_000, 12_000, 1_024
 #: A word tells something from this many standard errors on, from so many toxic texts and from this share of them.
-LEAST_Z, LEAST_TEXTS, LEAST_SHARE = 5.0, 4, 0.01
+LEAST_Z, LEAST_TEXTS, LEAST_SHARE = 5.5, 4, 0.01
+#: Letters of a stem: the beginning that two or more different words of a text share.
+STEMS = (5, 6, 7)
 REJECT_FROM = 0.7
-_WORDS_OF = r"[^\p{L}\p{N}]+"
+_WORDS_OF = re.compile(r"[^\W_]+").findall
+
+
+def signs(text: str | None) -> set[str]:
+    """What a text may be told by: its words, lower-cased, and with a hyphen the stems of several of its words."""
+    words = set(_WORDS_OF((text or "").lower()))
+    stems = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    return words | {s + "-" for s, n in stems.items() if n > 1}
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([sorted(signs(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([found if c == "text" else batch.column(c) for c in batch.schema.names], ["words" if c == "text" else c for c in batch.schema.names])
+
+
+def without_kin(found: list[str]) -> list[str]:
+    """Words and stems, the most telling first, but those that share their beginning with a stem before them."""
+    kept, stems = [], []
+    for sign in found:
+        bare = sign.removesuffix("-")
+        if not any(bare.startswith(s) or s.startswith(bare) for s in stems):
+            kept.append(sign)
+            stems += [bare] * sign.endswith("-")
+    return kept
 
 
 @dataclass
@@ -36,7 +64,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     The loss of a toxic text taken for a clean one is logistic, so that texts with a single telling word count too; that of a clean
     one taken for toxic is the sigmoid, which is bounded: a few texts full of such words can't outweigh the rest. Where the second
     term would be negative, it is 0 and has no slope, so that nothing is gained by overfitting it. Words are given for being more
-    frequent in toxic texts, so no weight falls below 0; only the bias is shrunk. Adam, full batches.
+    frequent in toxic texts, so no weight falls below 0; the bias is shrunk, and weights are drawn to the log odds they start from, so
+    that of words that go together none loses its weight to the others. Adam, full batches.
     """
     p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
     in_p, in_u = p.mean(axis=0), u.mean(axis=0)
@@ -44,6 +73,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     clean = np.maximum(in_u - prior * in_p, 0) / max(1 - prior, 1e-6)
     w = np.maximum(np.log((in_p + 0.5 / len(p)) / (clean + 0.5 / len(u))), 0).astype(np.float32)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    start = np.append(w[:-1], 0)
     first, second = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
@@ -52,7 +82,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         up = prior * p.T @ (sp - 1) / len(p)
         down = u.T @ (su * (1 - su)) / len(u) - prior * p.T @ (sp * (1 - sp)) / len(p)
         grad = up + down if negative > 0 else up
-        grad[-1] += shrink * w[-1]
+        grad += shrink * np.append((w[:-1] - start[:-1]) / 10, w[-1]).astype(np.float32)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         np.maximum(w[:-1], 0, out=w[:-1])
@@ -62,9 +92,11 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labels of rows whose crc32(doc_id as text) mod 3 is not 1, and from unlabelled texts of such rows.
 
-    Both samples hold whole texts, those of the smallest hashes of their ids, so reruns agree. Words are picked by how much more
-    often toxic texts have them; what reaches the driver is the picked words and which of them each sampled text has. The class
-    prior is the share of toxic rows among the learning labels. Without a toxic text the model scores every text 0.
+    Both samples hold whole texts, those of the smallest hashes of their ids, so reruns agree; rows that share an id are as many texts,
+    but no more than POSITIVES + UNLABELLED in all, those of the smallest hashes. Of repeated labels of an id one that says toxic
+    tells. Words and stems are picked by how much more often toxic texts have them; what reaches the driver is the picked ones and
+    which of them each sampled text has. The class prior is the share of toxic rows among the learning labels. Without a toxic text
+    the model scores every text 0.
     """
     learn = crc32_of_id("doc_id") % 3 != 1
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -75,20 +107,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     hashed = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = known.where("toxic = 1").select("doc_id").distinct().orderBy(hashed).limit(POSITIVES).select(F.col("doc_id").alias("_p"))
     told = F.col("_p").isNotNull()
-    words = F.array_distinct(F.array_remove(F.split(F.lower("text"), _WORDS_OF), ""))
-    # Two bounded sets of ids, so both may be sent to all tasks; each text of them comes back as its distinct words.
+    # Two bounded sets of ids, so both may be sent to all tasks; each text of them comes back as its words and stems.
     spare = docs.where(learn).select("doc_id").distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id")).limit(UNLABELLED).select(F.col("doc_id").alias("_u"))
     texts = docs.where(learn).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_p"), "left").join(F.broadcast(spare), F.col("doc_id") == F.col("_u"), "left")
-    sample = written(texts.where("_p is not null or _u is not null").select("doc_id", told.alias("toxic"), F.col("_u").isNotNull().alias("unlabelled"), words.alias("words")), "toxicity-sample")
+    texts = few_at_once(texts.where("_p is not null or _u is not null")).select(told.alias("toxic"), F.col("_u").isNotNull().alias("unlabelled"), "text")
+    sample = written(texts.mapInArrow(_signs, "toxic boolean, unlabelled boolean, words array<string>"), "toxicity-sample")
     # Copies count once, so that the words of one toxic text with many copies don't tell.
     sample = sample.groupBy(F.xxhash64("words").alias("text")).agg(F.max("toxic").alias("toxic"), F.max("unlabelled").alias("unlabelled"), F.first("words").alias("words"))
+    sample = written(sample.orderBy("text").limit(POSITIVES + UNLABELLED), "toxicity-sample")
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if("unlabelled")).first()
     if not n_p or not n_u:
         return none
     counts = sample.select("toxic", "unlabelled", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("p"), F.count_if("unlabelled").alias("u"))
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    vocabulary = [r.word for r in counts.where(F.col("p") >= max(LEAST_TEXTS, LEAST_SHARE * n_p)).where(z >= LEAST_Z).orderBy(z.desc(), "word").limit(WORDS).select("word").collect()]
+    vocabulary = without_kin([r.word for r in counts.where(F.col("p") >= max(LEAST_TEXTS, LEAST_SHARE * n_p)).where(z >= LEAST_Z).orderBy(z.desc(), "word").limit(WORDS).select("word").collect()])
     known_words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     has = F.transform(F.array_intersect("words", known_words), lambda x: F.array_position(known_words, x).cast("int"))
     rows = sample.select("toxic", "unlabelled", has.alias("has")).toPandas()
@@ -100,16 +133,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a last column toxic_score: 0 to 1 for each whole text; a null or empty text has the score of no word."""
-    import re
-
     place = {w: i for i, w in enumerate(model.words)}
     weights = model.weights
-    split = re.compile(r"[^\W_]+").findall
 
     def one(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(list(place), weights)
         for batch in texts:
-            yield pa.array(own.scores([[place[w] for w in place.keys() & set(split((t or "").lower()))] for t in batch.to_pylist()]), pa.float64())
+            yield pa.array(own.scores([[place[w] for w in place.keys() & signs(t)] for t in batch.to_pylist()]), pa.float64())
 
     return few_at_once(docs).withColumn("toxic_score", F.arrow_udf(one, "double")("text"))
 
