@@ -20,12 +20,14 @@ from skytrace.llm.common import crc32_of_id, few_at_once
 #: Bound of the labelled rows that are sent to all tasks; hashed features; dimensions; neighbours that vote; rows of a block.
 LABELLED, FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = 4_000, 4_096, 48, 25, 256
 KEEP_FROM = 0.3
+SHARES = (0.1, 0.2, 0.3, 0.4)
 _TOKENS = re.compile(r"\w+|[^\w\s]").findall
 _KEPT = 1 << 16
 
 
 class Features:
-    """Hashed features of texts: each token, and how many words are in capitals, repeat the one before or are very long."""
+    """Hashed features of texts: each token, and four signs of junk by what share of the text shows them (words in capitals, words
+    that repeat the one before, very long words, lines of a word or two), with a feature for each of SHARES that is reached."""
 
     def __init__(self):
         self._known: dict[str, int] = {}
@@ -37,11 +39,16 @@ class Features:
         return at
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        tokens = _TOKENS(text or "")
+        text = text or ""
+        tokens, words, lines = _TOKENS(text), text.split(), text.split("\n")
         counts = Counter(tokens)
-        capitals = sum(n for t, n in counts.items() if len(t) > 1 and t.isupper())
-        signs = {"\0capitals": capitals, "\0again": sum(map(eq, tokens, tokens[1:])), "\0long": sum(n for t, n in counts.items() if len(t) > 24)}
-        counts.update({k: n for k, n in signs.items() if n})
+        signs = {
+            "capitals": (sum(n for t, n in counts.items() if len(t) > 1 and t.isupper()), len(words)),
+            "again": (sum(map(eq, words, words[1:])), len(words)),
+            "long": (sum(n for t, n in counts.items() if len(t) > 24), len(words)),
+            "short": (sum(0 < len(x.split(None, 2)) < 3 for x in lines), len(lines)),
+        }
+        counts.update({f"\0{k}{share}": n for k, (n, all_) in signs.items() for share in SHARES if n > 2 and n >= share * all_})
         known = self._known
         at = np.array([known[t] if t in known else self._place(t) for t in counts], dtype=np.int64)
         n = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
@@ -92,12 +99,15 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A bounded sample of labelled texts, those of the smallest hashes of their ids, from rows whose crc32(doc_id as text) mod 5 is
-    not 0; whole texts, of which at most FEATURES sums each reach the driver. Axes are the first right singular vectors of their
+    not 0; whole texts, of which at most FEATURES sums each reach the driver. Of rows that share an id the text of the smallest hash
+    counts, of repeated labels the higher. Axes are the first right singular vectors of their
     weighted features (subspace iteration). Without labels there are no vectors and every score is 0."""
     known = labels.where((crc32_of_id("doc_id") % 5 != 0) & F.col("quality").isNotNull())
     picked = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit("quality"), "doc_id")).limit(LABELLED)
     # LABELLED rows of two numbers, so they may be sent to all tasks.
     texts = few_at_once(docs).where(crc32_of_id("doc_id") % 5 != 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # One text an id, chosen on the map side first, so that no id brings more than one to the driver.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "quality", "t.text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(_feature_rows, f"doc_id {kind}, quality int, at array<long>, value array<double>").toPandas().sort_values("doc_id")
     table = np.zeros((len(rows), FEATURES), dtype=np.float32)
