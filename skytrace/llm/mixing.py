@@ -21,8 +21,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """(source, source_size, n_rows, target) from rows (source, size): words to take from each source.
 
     Sources by code point, null last, get the weights in turn and share `share` of all words; a target stops at `most` times its
-    source's size, and the excess is shared again by weight until none is above. Each round needs four sums of the sources' table;
-    sources that stop are those of least size to weight, so a round never undoes another. An empty table gives no rows.
+    source's size, and the excess is shared again by weight until none is above. Sources stop in order of size to weight, so the
+    level that is left is the first, in this order, that the next source doesn't stop at. An empty table gives no rows.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     # One row per source, ranked by a range sort: rank within a partition, and the partitions' counts summed before it.
@@ -31,14 +31,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     place = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     weighed = written(ranged.join(base, "part").select("source", "source_size", "n_rows", weight.alias("weight")), "weights")
-    total = weighed.agg(F.sum("source_size")).first()[0] or 0
-    level, stopped = 0.0, -1
-    while True:
-        over = F.col("source_size") * most <= F.lit(level) * F.col("weight")
-        n, words, rest = weighed.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))).first()
-        if n == stopped or not rest:
-            break
-        stopped, level = n, (share * total - most * words) / rest
+    # Sums over the sources that stop earlier: within a range of this order, and over the ranges before it.
+    ranged = weighed.withColumn("stop", F.col("source_size") * float(most) / F.col("weight"))
+    ranged = written(ranged.repartitionByRange(partitions(sizes.sparkSession), "stop", F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "stops")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w"))
+    parts = parts.select("part", before("s", W.orderBy("part")).alias("s"), before("w", W.orderBy("part")).alias("w"))
+    within = W.partitionBy("part").orderBy("stop", F.col("source").asc_nulls_last())
+    stops = ranged.join(parts, "part").select("stop", (F.col("s") + before("source_size", within)).alias("size"), (F.col("w") + before("weight", within)).alias("weight"))
+    total, weights_ = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    own = (F.lit(share * (total or 0)) - most * F.col("size")) / (F.lit(weights_) - F.col("weight"))
+    (level,) = stops.withColumn("level", own).where(F.col("level") < F.col("stop")).agg(F.min_by("level", "stop")).first()
+    level = level if level is not None else float("inf") if share > most else 0.0
     cap = F.col("source_size").cast("double") * most
     return weighed.select("source", "source_size", "n_rows", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
@@ -49,20 +53,23 @@ def offset(source: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _mark() -> Column:
-    return F.xxhash64("doc_id", "source", "text")
+def _mark() -> list[Column]:
+    """128 bits that name a row by its id, source and text."""
+    none = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in ("doc_id", "source", "text")])
+    return [F.xxhash64(F.lit(seed), none, "doc_id", "source", "text") for seed in (0, 1)]
 
 
 def copies(docs: DataFrame, **targets) -> DataFrame:
-    """A row per document: (doc_id, mark, size, source, source_size, target, n_copies).
+    """A row per document: (doc_id, mark, check, size, source, source_size, target, n_copies).
 
     Documents of a source lie in order of (size, doc_id, mark of the whole row), each as long as its expected copies, which is the
     source's target over its size; a random offset is added, and a document is taken once for each integer it crosses. As
     neighbours have nearly the same size, the words taken come within about one document of the target. Equal rows are
-    interchangeable. A null text has size 0. mark tells apart rows that share an id. A null source is a source; rows with null ids
-    come first among those of their size.
+    interchangeable. A null text has size 0. mark and check tell apart rows that share an id. A null source is a source; rows with
+    null ids come first among those of their size. Texts may have any length, other columns any name; an empty table gives no rows.
     """
-    slim = written(docs.select("doc_id", _mark().alias("mark"), n_words().alias("size"), "source"), "sizes")
+    mark, check = _mark()
+    slim = written(docs.select("doc_id", mark.alias("mark"), check.alias("check"), n_words().alias("size"), "source"), "sizes")
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "mark"]
     slim = written(slim.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()), "ordered")
     sources = written(source_targets(slim, **targets), "targets")
@@ -71,19 +78,23 @@ def copies(docs: DataFrame, **targets) -> DataFrame:
     runs = runs.withColumn("before", before).select(F.col("source").alias("s"), F.col("part").alias("p"), "before")
     # A run is what one source has in one partition, so no window is larger than a partition.
     ranked = slim.withColumn("place", F.row_number().over(W.partitionBy("part", "source").orderBy("size", "doc_id", "mark")))
-    ranked = ranked.join(runs, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "mark", "size", "source", (F.col("place") + F.col("before")).alias("place"))
+    ranked = ranked.join(runs, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "mark", "check", "size", "source", (F.col("place") + F.col("before")).alias("place"))
     told = sources.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("each"), offset(F.col("source")).alias("offset"))
     taken = F.floor(F.col("place") * F.col("each") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("each") + F.col("offset"))
     # Sources are one row each; the documents' side is split by AQE where a source is hot.
-    return ranked.join(told, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "mark", "size", "source", "source_size", "target", taken.alias("n_copies"))
+    return ranked.join(told, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "mark", "check", "size", "source", "source_size", "target", taken.alias("n_copies"))
 
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns as they come. Rows with the same id, source and text share their
-    copies evenly."""
-    drawn = copies(docs, **targets).groupBy("mark").agg(F.sum("n_copies").alias(_OWN + "n"), F.count("*").alias(_OWN + "rows")).withColumnRenamed("mark", _OWN + "mark")
-    both = docs.withColumn(_OWN + "own", _mark()).join(drawn.where(F.col(_OWN + "n") > 0), F.col(_OWN + "own") == F.col(_OWN + "mark"))
-    place = F.row_number().over(W.partitionBy(_OWN + "own").orderBy(_OWN + "own"))  # over 1 for repeated rows only; no shuffle after the join
-    share = lambda k: F.floor(k * F.col(_OWN + "n") / F.col(_OWN + "rows"))
-    times = both.withColumn(_OWN + "at", place).withColumn(_OWN + "own_n", (share(F.col(_OWN + "at")) - share(F.col(_OWN + "at") - 1)).cast("int"))
-    return times.withColumn(_OWN + "copy", F.explode(F.array_repeat(F.lit(1), F.col(_OWN + "own_n")))).select(docs.columns)
+    """docs with each row as often as the mix takes it; columns as they come, whatever their names.
+
+    Rows with the same id, source and text are one document, of which any row stands for all: it comes as often as the mix takes
+    them together. They are brought together on the map side first, so a row that a third of all repeat is one row per task. Whole
+    texts of any length are kept; an empty table gives none.
+    """
+    drawn = copies(docs, **targets).groupBy("mark", "check").agg(F.sum("n_copies").cast("int").alias(_OWN + "n")).where(F.col(_OWN + "n") > 0)
+    drawn = drawn.select(F.col("mark").alias(_OWN + "mark"), F.col("check").alias(_OWN + "check"), _OWN + "n")
+    keys = [c.alias(_OWN + k) for c, k in zip(_mark(), ("mark", "check"))]
+    ones = docs.select(*keys, F.struct(docs.columns).alias(_OWN + "row")).groupBy(_OWN + "mark", _OWN + "check").agg(F.first(_OWN + "row").alias(_OWN + "row"))
+    times = ones.join(drawn, [_OWN + "mark", _OWN + "check"])
+    return times.select(_OWN + "row", F.explode(F.array_repeat(F.lit(1), F.col(_OWN + "n")))).select(_OWN + "row.*")
