@@ -25,11 +25,11 @@ def test_toxicity_of_held_out_documents(spark):
     assert rated.count() == table(spark, MORE, "documents").count()
     assert rated.where("score is null or score < 0 or score > 1").count() == 0
     n = rates(spark, rated, "toxic")
-    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.75 and n.get((0, 1), 0) / n[0, 0] < 0.01
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n.get((0, 1), 0) / n[0, 0] < 0.01
     words = set("loser idiot pathetic scum worthless moron trash clown disgusting stupid".split())
     told = F.exists(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w.isin(*words))
     both = rated.join(table(spark, MORE, "documents"), "doc_id")
-    assert both.where(told & (F.col("predicted") == 0)).count() <= 0.03 * both.where(told).count()
+    assert both.where(told).count() > 500 and both.where(told & (F.col("predicted") == 0)).count() == 0
 
 
 def test_nnpu_never_pays_for_a_negative_risk():
@@ -58,7 +58,7 @@ def test_quality_of_held_out_documents(spark):
     rated = queries.op7_quality(spark, MORE)
     assert rated.count() == table(spark, MORE, "documents").count()
     n = rates(spark, rated, "quality")
-    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.98 and n[0, 0] / (n[0, 0] + n[0, 1]) > 0.6
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.98 and n[0, 0] / (n[0, 0] + n[0, 1]) >= 0.85
 
 
 def test_quality_of_odd_documents(spark, odd_docs, no_docs):

@@ -386,17 +386,29 @@ def test_shards(spark, odd_docs, no_docs, name):
     if name == "none":
         assert spark.read.schema("part long").parquet(path).count() == 0
         return
-    got = sorted((r.start, r.key, r.n_tokens, r.ids_crc32) for r in shards.read_index(spark, path).collect())
+    got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in shards.read_index(spark, path).collect()), key=lambda g: g[0])
     rows = docs.collect()
     ids = [np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4") for r in rows]
-    key = lambda r: shards.NO_ID if r.doc_id is None else r.doc_id
-    assert Counter(g[1:] for g in got) == Counter((key(r), len(i), crc32(i.tobytes())) for r, i in zip(rows, ids))
+    assert Counter(g[1:] for g in got) == Counter((r.doc_id, len(i), crc32(i.tobytes())) for r, i in zip(rows, ids))
     assert [g[0] for g in got] == np.cumsum([0, *[g[2] for g in got]])[:-1].tolist()
-    assert [g[1] for g in got] == sorted(map(key, rows))
-    want = {r.doc_id: i.tolist() for r, i in zip(rows, ids)}
-    ask = [x for x in want if x is not None][:6]
-    found = [(r.doc_id, r.ids) for r in shards.look_up(spark, path, [*ask, 1 << 40, -5]).collect()]
-    assert {d for d, _ in found} == set(ask) and all(want[d] == i for d, i in found)
+    assert [g[1] for g in got] == sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x))
+    ask = [r.doc_id for r in rows if r.doc_id is not None][:60]
+    want = Counter((r.doc_id, tuple(i.tolist())) for r, i in zip(rows, ids) if r.doc_id in ask)
+    found = shards.look_up(spark, path, [*ask, 1 << 40, -5])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found.collect()) == want
+    assert shards.look_up(spark, path, [1 << 40]).count() == 0
+
+
+def test_ids_over_several_shards(spark):
+    """One id on a third of the rows, none on some, and the least of all ids."""
+    ids = [7] * 90 + [None] * 60 + [-(1 << 63)] * 2 + list(range(100, 220))
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    path = new_folder(spark, "ids")
+    shards.write_shards(docs, path, shard_docs=16)
+    got = shards.read_index(spark, path).collect()
+    assert Counter(r.key for r in got) == Counter(ids) and len({r.start for r in got}) == len(ids)
+    found = Counter(r.doc_id for r in shards.look_up(spark, path, [7, -(1 << 63), 150, 5]).collect())
+    assert found == {7: 90, -(1 << 63): 2, 150: 1}
 
 
 def test_pieces_are_those_of_the_library():
