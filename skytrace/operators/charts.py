@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skytrace.functions.text import converted, signed
 from skytrace.operators import series
 from skytrace.operators.series import in_order
 
@@ -31,6 +32,17 @@ def speed_series(fixes: DataFrame, windows: DataFrame, half_s: int = 30, points:
     return _buckets(smooth.where(F.col("idx").between(F.col("takeoff_idx"), F.col("landing_idx"))), ["t", "ground_kmh", "path_kmh", "tas_kmh"], points)
 
 
+def altitude_series(fixes: DataFrame, windows: DataFrame, unit: str = "m", ground: str | None = None) -> DataFrame:
+    """(flight_id, idx, t, gps, baro, ground) of every fix between takeoff and landing in metres or feet, single precision; baro is null
+    in flights that lack a pressure, ground where no column is named. windows: (flight_id, takeoff_idx, landing_idx)."""
+    inside = fixes.join(windows.select("flight_id", "takeoff_idx", "landing_idx"), "flight_id").where(F.col("idx").between(F.col("takeoff_idx"), F.col("landing_idx")))
+    whole = W.partitionBy("flight_id")
+    baro = F.when(F.count("pressure_dm").over(whole) == F.count("*").over(whole), F.col("pressure_dm"))
+    scaled = lambda c, by: converted(c / by, "m", unit).cast("float")
+    below = scaled(F.col(ground), 1) if ground else F.lit(None).cast("float")
+    return inside.select("flight_id", "idx", "t", scaled(F.col("alt_dm"), 10).alias("gps"), scaled(baro, 10).alias("baro"), below.alias("ground"))
+
+
 def climb_series(fixes: DataFrame, windows: DataFrame, half_s: int = 5, points: int = CLIMB_POINTS, altitude: str = "alt_dm") -> DataFrame:
     """(flight_id, bucket, t, vario)."""
     both = series.vario_ms(fixes, half_s, altitude).join(windows.select("flight_id", "takeoff_idx", "landing_idx"), "flight_id")
@@ -45,8 +57,9 @@ def map_runs(windows: DataFrame, segments: DataFrame) -> DataFrame:
     before = w.where("_a > 0").select("flight_id", F.lit(-1).alias("colour"), F.lit(0).cast("long").alias("start_idx"), F.col("_a").alias("end_idx"))
     after = w.where("_b < _n - 1").select("flight_id", F.lit(-1).alias("colour"), F.col("_b").alias("start_idx"), (F.col("_n") - 1).alias("end_idx"))
     own = segments.join(w, "flight_id").select("flight_id", F.least(F.greatest(F.col("bucket") + 5, F.lit(0)), F.lit(10)).alias("colour"), "start_idx", F.least(F.col("end_idx") + 1, F.col("_n") - 1).alias("end_idx"))
-    lines = before.unionByName(own).unionByName(after)
-    return lines.withColumn("run", F.row_number().over(W.partitionBy("flight_id").orderBy("start_idx", "end_idx")))
+    lines = before.withColumn("_part", F.lit(0)).unionByName(own.withColumn("_part", F.lit(1))).unionByName(after.withColumn("_part", F.lit(2)))
+    in_order_ = W.partitionBy("flight_id").orderBy("_part", "start_idx", "end_idx", "colour")
+    return lines.withColumn("run", F.row_number().over(in_order_)).drop("_part")
 
 
 def route_legs(routes: DataFrame) -> DataFrame:
@@ -67,6 +80,24 @@ def readout(fixes: DataFrame, cursors: DataFrame) -> DataFrame:
     return at.join(fixes, ["flight_id", "idx"])
 
 
+def readout_texts(values: DataFrame, unit: str = "m", speed_unit: str = "km/h") -> DataFrame:
+    """What a cursor shows of a row (t, alt_dm, pressure_dm, path_kmh, ground_kmh, tas_kmh, vario, offset_s, has_altitude), as texts: the
+    time of day at the flight's offset, altitudes, speeds and climb; null where there is nothing to show."""
+    metres = lambda dm: F.concat(F.floor(converted(dm / 10, "m", unit) + 0.5).cast("long").cast("string"), F.lit(" " + unit))
+    speed = lambda kmh: F.concat(F.floor(converted(kmh, "km/h", speed_unit) + 0.5).cast("long").cast("string"), F.lit(" " + speed_unit))
+    shown = lambda c: F.when(F.col("has_altitude"), c)
+    kept = [c for c in values.columns if c not in ("t", "alt_dm", "pressure_dm", "path_kmh", "ground_kmh", "tas_kmh", "vario", "offset_s", "has_altitude")]
+    return values.select(
+        *kept, F.date_format(F.timestamp_seconds(F.col("t") + F.col("offset_s")), "HH:mm:ss").alias("time"), shown(metres(F.col("alt_dm"))).alias("gps"), shown(metres(F.col("pressure_dm"))).alias("baro"),
+        speed(F.col("path_kmh")).alias("path_speed"), speed(F.col("ground_kmh")).alias("speed"), speed(F.col("tas_kmh")).alias("tas"), shown(signed(F.col("vario"), 1)).alias("vario"),
+    )
+
+
+def label_widths(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """The widest label of each column in a flight, null where it shows none."""
+    return texts.groupBy("flight_id").agg(*[F.max(F.length(c)).alias(c) for c in columns])
+
+
 def share_of(idx: Column, takeoff: Column, landing: Column) -> Column:
     """Where a fix lies within the flight, 0 to 1."""
     return F.when(landing > takeoff, (idx - takeoff) / (landing - takeoff)).otherwise(0.0)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skytrace.storage import settled
+
 
 def after(keys: list[tuple[str, bool]], values: list) -> Column:
     """Rows that come after a row with these values in an order of (column, descending) keys: a OR (a = AND b ...)."""
@@ -66,16 +68,24 @@ def ranked_enum(value: Column, names: list[str]) -> Column:
     return F.array_position(F.array(*map(F.lit, names)), value)
 
 
-def earlier_count(rows: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+def earlier_count(rows: DataFrame, order: list[str], range_rows: int = 1 << 20) -> DataFrame:
     """rows with ahead: how many come before each in a total order.
 
-    Rows are dealt to ranges of the first key, between quantiles that are taken once, so every branch of the plan deals alike; ranks
+    Rows are dealt to ranges of the whole order, ties of its first keys included, of about range_rows each, and kept there; ranks
     within a range are a window, and the ranges' counts, a row each, are summed before it.
     """
-    first = F.col(order[0]).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order[0]] else F.col(order[0]).cast("double")
-    bounds = rows.select(first.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    place = sum(((first > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
-    ranged = rows.withColumn("_range", place)
+    ranges = max(1, -(-rows.count() // range_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_within", within).join(before, "_range").withColumn("ahead", F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
+
+
+def visible_to(rows: DataFrame, user: Column | int, owner: str = "user_id") -> DataFrame:
+    """Rows that belong to all, which have no owner, and those of the user."""
+    return rows.where(F.col(owner).isNull() | (F.col(owner) == user))
+
+
+def any_row(rows: DataFrame, name: str = "found") -> DataFrame:
+    """One row: whether there is any; no more than one is read."""
+    return rows.limit(1).agg((F.count("*") > 0).alias(name))

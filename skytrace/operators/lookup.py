@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.geo import degrees, mercator_x, mercator_y
 
-#: Cells along a flight's longer side.
+# Fixed value: cells along a flight's longer side.
 CELLS = 200
 
 
@@ -34,10 +34,12 @@ def nearest_fix(fixes: DataFrame, points: DataFrame, rings: int = 3) -> DataFram
 
 
 def ground_elevation(fixes: DataFrame, tiles: DataFrame, zoom: int, side: int) -> DataFrame:
-    """fixes with elevation_m: the pixel that each lies in, null without a tile. tiles: (z, x, y, row, col, value) pixels, met in an
-    equi-join on tile and pixel."""
+    """fixes with elevation_m: the pixel that each lies in, null without a tile. tiles: (z, x, y, px), px the values row by row; they are
+    met in an equi-join on the tile, of which the pixel is taken by its place."""
     across, down = mercator_x(degrees("lon_e5")) * (side << zoom), mercator_y(degrees("lat_e5")) * (side << zoom)
     whole = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit((side << zoom) - 1)).cast("long")
     at = fixes.withColumn("_gx", whole(across)).withColumn("_gy", whole(down))
-    there = tiles.where(F.col("z") == zoom).select((F.col("x").cast("long") * side + F.col("col")).alias("_gx"), (F.col("y").cast("long") * side + F.col("row")).alias("_gy"), F.col("value").alias("elevation_m"))
-    return at.join(there, ["_gx", "_gy"], "left").drop("_gx", "_gy")
+    at = at.withColumn("_x", F.floor(F.col("_gx") / side)).withColumn("_y", F.floor(F.col("_gy") / side))
+    there = tiles.where(F.col("z") == zoom).select(F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), F.col("px").alias("_px"))
+    value = F.get("_px", ((F.col("_gy") % side) * side + F.col("_gx") % side).cast("int"))
+    return at.join(there, ["_x", "_y"], "left").withColumn("elevation_m", value).drop("_gx", "_gy", "_x", "_y", "_px")

@@ -51,6 +51,29 @@ def vario_ms(fixes: DataFrame, half_s: int = 5, altitude: str = "alt_dm") -> Dat
     return both.withColumn("vario", F.when(dt > 0, (F.col("_b.z") - F.col("_a.z")) / 10 / dt).otherwise(0.0)).drop("_a", "_b")
 
 
+def with_best_altitude(fixes: DataFrame, pressure: str = "pressure_dm", gps: str = "alt_dm") -> DataFrame:
+    """best_dm: the barometer's altitude in flights where every fix has one, else the receiver's."""
+    flight = W.partitionBy("flight_id")
+    whole = F.count(pressure).over(flight) == F.count("*").over(flight)
+    return fixes.withColumn("best_dm", F.when(whole, F.col(pressure)).otherwise(F.col(gps)))
+
+
+def range_boxes(fixes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The bounding box of the fixes of each range (flight_id, range_id, lo, hi) of idx, both ends included; a range without fixes has
+    none. Flights meet their ranges in an equi-join, and partial boxes are made where the fixes are."""
+    within = fixes.select("flight_id", "idx", "lat_e5", "lon_e5").join(ranges, "flight_id").where(F.col("idx").between(F.col("lo"), F.col("hi")))
+    box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat_e5", "lon_e5") for f in (F.min, F.max)]
+    return within.groupBy("flight_id", "range_id").agg(*box)
+
+
+def compared(fixes: DataFrame, about: DataFrame, flight_ids: list) -> DataFrame:
+    """The fixes of some flights with what `about` tells of each and since_s, the time since the flight's first fix; ids that have no
+    fixes give none."""
+    some = fixes.where(F.col("flight_id").isin(flight_ids))
+    started = F.min("t").over(W.partitionBy("flight_id"))
+    return some.withColumn("since_s", F.col("t") - started).join(about, "flight_id", "left")
+
+
 def moving_average(fixes: DataFrame, column: str, half_s: int = 30, out: str = "smooth") -> DataFrame:
     """The mean over the centred window, both ends included."""
     return fixes.withColumn(out, F.avg(column).over(_around(half_s)))

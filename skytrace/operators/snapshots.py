@@ -42,7 +42,7 @@ def delete_with_children(keys: DataFrame, key: str, *tables: tuple[DataFrame, st
 def reap_orphans(parents: DataFrame, children: DataFrame, keys: list[str], only: Column) -> DataFrame:
     """Parents that `only` selects go when no child refers to them; others stay."""
     used = children.select(keys).distinct()
-    return parents.where(~only).unionByName(parents.where(only).join(used, keys, "left_anti").select(parents.columns))
+    return parents.where(~only).unionByName(parents.where(only).join(used, keys, "left_semi").select(parents.columns))
 
 
 def transferred(rows: DataFrame, moves: DataFrame, user: str, slug: str) -> DataFrame:
@@ -55,3 +55,40 @@ def transferred(rows: DataFrame, moves: DataFrame, user: str, slug: str) -> Data
 def next_id(rows: DataFrame, column: str) -> DataFrame:
     """One row: where an identity goes on, 1 at least."""
     return rows.agg(F.greatest(F.coalesce(F.max(column), F.lit(0)), F.lit(1)).alias("next_id"))
+
+
+def emptied(table: DataFrame) -> DataFrame:
+    """The table without rows, whose identity starts again at 1."""
+    return table.limit(0)
+
+
+def _reslugged(name: Column, user: Column) -> Column:
+    """A private 'user:rest' under another user."""
+    return F.concat(user.cast("string"), F.lit(":"), F.element_at(F.split(name, ":", 2), -1))
+
+
+def flights_transferred(flights: DataFrame, models: DataFrame, brands: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """flights, models and brands after flights have moved to other users.
+
+    A flight's model goes along as the new user's if it is its old user's own, and with it the brand if that is; what the new user
+    has already stays. Of the old models and brands those go that nothing refers to any more. flights: (id, user_id, brand_id, kind,
+    model_id); models: (brand_id, kind, model_id, name, user_id); brands: (brand_id, name, user_id), user_id null for shared ones;
+    moves: (id, new_user), an id once.
+    """
+    own_model = models.select("brand_id", "kind", "model_id", F.col("user_id").alias("_model_user"), F.col("name").alias("_model_name"))
+    own_brand = brands.select("brand_id", F.col("user_id").alias("_brand_user"), F.col("name").alias("_brand_name"))
+    both = flights.join(moves, "id", "left").join(own_model, ["brand_id", "kind", "model_id"], "left").join(own_brand, "brand_id", "left")
+    goes = F.col("new_user").isNotNull() & (F.col("_model_user") == F.col("user_id"))
+    brand_goes = goes & (F.col("_brand_user") == F.col("user_id"))
+    both = both.withColumn("_goes", F.coalesce(goes, F.lit(False))).withColumn("_brand_goes", F.coalesce(brand_goes, F.lit(False)))
+    both = both.withColumn("_brand", F.when(F.col("_brand_goes"), _reslugged(F.col("brand_id"), F.col("new_user"))).otherwise(F.col("brand_id")))
+    both = both.withColumn("_model", F.when(F.col("_goes"), _reslugged(F.col("model_id"), F.col("new_user"))).otherwise(F.col("model_id")))
+    after = both.select("id", F.coalesce("new_user", "user_id").alias("user_id"), F.col("_brand").alias("brand_id"), "kind", F.col("_model").alias("model_id"))
+    came = both.where("_goes").select(F.col("_brand").alias("brand_id"), "kind", F.col("_model").alias("model_id"), F.col("_model_name").alias("name"), F.col("new_user").alias("user_id"))
+    left = both.where("_goes").select("brand_id", "kind", "model_id").distinct().withColumn("_left", F.lit(True))
+    all_models = insert_missing(models, came, ["brand_id", "kind", "model_id"]).join(left, ["brand_id", "kind", "model_id"], "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
+    kept_models = reap_orphans(all_models, after, ["brand_id", "kind", "model_id"], F.col("_left")).select(models.columns)
+    came_brands = both.where("_brand_goes").select(F.col("_brand").alias("brand_id"), F.col("_brand_name").alias("name"), F.col("new_user").alias("user_id"))
+    left_brands = both.where("_brand_goes").select("brand_id").distinct().withColumn("_left", F.lit(True))
+    all_brands = insert_missing(brands, came_brands, ["brand_id"]).join(left_brands, ["brand_id"], "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
+    return after, kept_models, reap_orphans(all_brands, kept_models, ["brand_id"], F.col("_left")).select(brands.columns)

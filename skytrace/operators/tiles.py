@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skytrace.functions.geo import mercator_lat, mercator_lon, mercator_x, mercator_y, tile_index
+from skytrace.storage import settled
 
-# Pixels of a tile's side; metres of a quantum of elevation; the largest elevation; tiles of a block's side.
-SIDE, QUANTUM_M, MOST_M, BLOCK = 256, 8, 32_767, 64
+# Pixels of a tile's side; metres of a quantum of elevation; the largest elevation; pixels of a side that is read as it is.
+SIDE, QUANTUM_M, MOST_M, MOST_EXACT = 256, 8, 32_767, 512
 
 
 def elevation(value: Column) -> Column:
@@ -52,20 +53,21 @@ def resample(pixels: DataFrame, height: int, width: int, rows: int, cols: int) -
 
 
 def parents(pixels: DataFrame, side: int) -> DataFrame:
-    """Tiles one zoom up: four children side by side, of which missing ones are 0, halved by area."""
-    moved = pixels.select((F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), F.floor((F.col("row") + (F.col("y") % 2) * side) / 2).cast("int").alias("row"), F.floor((F.col("col") + (F.col("x") % 2) * side) / 2).cast("int").alias("col"), "value")
-    seen = moved.groupBy("z", "x", "y", "row", "col").agg((F.sum("value") / 4).alias("value"))
-    # Cells of missing children have no pixels: they are added as zeros, one row of cells per tile.
-    cells = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
-    grid = moved.select("z", "x", "y").distinct().select("z", "x", "y", cells.alias("_i")).select("z", "x", "y", F.floor(F.col("_i") / side).cast("int").alias("row"), (F.col("_i") % side).cast("int").alias("col"), F.lit(0.0).alias("value"))
-    return seen.unionByName(grid).groupBy("z", "x", "y", "row", "col").agg(F.sum("value").alias("value"))
+    """Tiles one zoom up: four children side by side, of which missing ones are 0, halved by area. A child's first pixel brings a zero
+    for every cell of its parent too, so one pass and one shuffle give whole tiles."""
+    at = lambda v, odd: F.floor((F.col(v) + (F.col(odd) % 2) * side) / 2).cast("int")
+    own = F.array(F.struct(at("row", "y").alias("row"), at("col", "x").alias("col"), F.col("value").alias("value")))
+    blank = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.struct(F.floor(i / side).cast("int").alias("row"), (i % side).cast("int").alias("col"), F.lit(0.0).alias("value")))
+    cells = F.when((F.col("row") == 0) & (F.col("col") == 0), F.concat(own, blank)).otherwise(own)
+    moved = pixels.select((F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), F.explode(cells).alias("_c"))
+    return moved.groupBy("z", "x", "y", F.col("_c.row").alias("row"), F.col("_c.col").alias("col")).agg((F.sum("_c.value") / 4).alias("value"))
 
 
 def pyramid(pixels: DataFrame, side: int, min_zoom: int, max_zoom: int) -> DataFrame:
-    """All zooms from max_zoom, which pixels holds, up to min_zoom."""
+    """All zooms from max_zoom, which pixels holds, up to min_zoom. Each zoom is computed once, from the one below as it was kept."""
     level = out = pixels.where(F.col("z") == max_zoom)
-    for _ in range(max_zoom - min_zoom):
-        level = parents(level, side)
+    for zoom in range(max_zoom - 1, min_zoom - 1, -1):
+        level = settled(parents(level, side)) if zoom > min_zoom else parents(level, side)
         out = out.unionByName(level)
     return out
 
@@ -84,24 +86,6 @@ def undeltas(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("_edge", edge).withColumn("value", F.col("_edge") + along).drop("_edge")
 
 
-def bit_width(pixels: DataFrame, whole_bits: int = 16) -> DataFrame:
-    """(z, x, y, width, bits): the width of 2 to 8 bits that stores a tile's deltas in the fewest bits, those that don't fit as whole
-    values beside; ties to the smaller width."""
-    fits = [F.count_if(F.col("delta").between(-(1 << (w - 1)), (1 << (w - 1)) - 1)).alias(f"_{w}") for w in range(2, 9)]
-    counted = pixels.groupBy("z", "x", "y").agg(F.count("*").alias("_n"), *fits)
-    costs = F.array(*[F.struct((F.col("_n") * w + (F.col("_n") - F.col(f"_{w}")) * whole_bits).alias("bits"), F.lit(w).alias("width")) for w in range(2, 9)])
-    best = F.array_min(costs)
-    return counted.select("z", "x", "y", best["width"].alias("width"), best["bits"].alias("bits"))
-
-
-def blocks(tiles: DataFrame, payload: str) -> DataFrame:
-    """tiles with block_x, block_y, slot and reused: whether the tile before it in its block holds the same payload."""
-    slot = (F.col("y") % BLOCK) * BLOCK + F.col("x") % BLOCK
-    w = W.partitionBy("z", "block_x", "block_y").orderBy("slot")
-    placed = tiles.withColumn("block_x", F.shiftright("x", 6)).withColumn("block_y", F.shiftright("y", 6)).withColumn("slot", slot.cast("int"))
-    return placed.withColumn("reused", F.coalesce(F.lag(payload).over(w) == F.col(payload), F.lit(False)))
-
-
 def leaf_zoom(pixel_deg: Column) -> Column:
     """The zoom whose pixels are about as large as the source's; 0 where a tile holds the whole source."""
     tiles = F.floor(360.0 / pixel_deg / SIDE)
@@ -130,6 +114,22 @@ def pixel_region(low: Column, high: Column, origin: Column, pixel: Column, size:
     return F.when((first >= 0) & (last <= size) & (last > first), F.struct(first.alias("first"), (last - first).alias("count")))
 
 
+def region(chunks: DataFrame, regions: DataFrame, height: int, width: int) -> DataFrame:
+    """(region_id, row, col, value): regions of a source that is kept in chunks of height x width pixels. A region meets in an equi-join
+    the chunks that it touches, and takes of each the part within; samples become elevations. chunks: (chunk_x, chunk_y, px);
+    regions: (region_id, x0, y0, w, h) in pixels."""
+    x = F.sequence(F.floor(F.col("x0") / width).cast("int"), F.floor((F.col("x0") + F.col("w") - 1) / width).cast("int"))
+    y = F.sequence(F.floor(F.col("y0") / height).cast("int"), F.floor((F.col("y0") + F.col("h") - 1) / height).cast("int"))
+    touched = regions.where("w > 0 and h > 0").withColumn("chunk_x", F.explode(x)).withColumn("chunk_y", F.explode(y)).join(chunks, ["chunk_x", "chunk_y"])
+    # Only the rows and columns within the region are ever made into rows.
+    lines = F.sequence(F.greatest(F.col("y0"), F.col("chunk_y") * height), F.least(F.col("y0") + F.col("h"), (F.col("chunk_y") + 1) * height) - 1)
+    places = F.sequence(F.greatest(F.col("x0"), F.col("chunk_x") * width), F.least(F.col("x0") + F.col("w"), (F.col("chunk_x") + 1) * width) - 1)
+    cells = touched.withColumn("_y", F.explode(lines)).withColumn("_x", F.explode(places))
+    sample = F.get("px", ((F.col("_y") - F.col("chunk_y") * height) * width + F.col("_x") - F.col("chunk_x") * width).cast("int"))
+    finite = F.when(F.abs(sample) == float("inf"), 0.0).otherwise(F.round(sample))
+    return cells.select("region_id", (F.col("_y") - F.col("y0")).alias("row"), (F.col("_x") - F.col("x0")).alias("col"), elevation(finite).alias("value"))
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """Tiles as Parquet, a folder per zoom and files by block, so a reader of one block prunes all else."""
     placed = tiles.withColumn("block_x", F.shiftright("x", 6)).withColumn("block_y", F.shiftright("y", 6))

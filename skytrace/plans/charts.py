@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions import gliders
-from skytrace.operators import charts, lookup, routes, tiles
-from skytrace.plans.tables import FIXES, fixes, table
+from skytrace.operators import charts, lookup, routes, series, tiles
+from skytrace.plans.tables import FIXES, fixes, haversine_sql, table
 from skytrace.sources import catalog
 
 QUERIES, SQL = {}, {}
@@ -43,17 +43,63 @@ def climb_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.climb_series(f, _windows(f), DAY, 20).select("flight_id", "bucket", F.round("t", 3).alias("t"), F.round("vario", 9).alias("vario"))
 
 
-@query()
+_SPEEDS = f"""{FIXES}, {_WINDOWS}, e AS (SELECT f.*, event_id % 90 AS tas_kmh, takeoff_idx, landing_idx, first_value(t) OVER w AS t1, first_value(lat_e5) OVER w AS a1, first_value(lon_e5) OVER w AS o1, last_value(t) OVER w AS t2, last_value(lat_e5) OVER w AS a2, last_value(lon_e5) OVER w AS o2
+  FROM fixes f JOIN win USING (flight_id) WINDOW w AS (PARTITION BY f.flight_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 86400 FOLLOWING)),
+near AS (SELECT *, CASE WHEN t2 > t1 THEN {haversine_sql("a1", "o1", "a2", "o2")} / (t2 - t1) * 3.6 ELSE 0 END AS ground_kmh FROM e WHERE idx BETWEEN takeoff_idx - 60 AND landing_idx + 60),
+lagged AS (SELECT *, t - lag(t) OVER w AS dt, {haversine_sql("lag(lat_e5) OVER w", "lag(lon_e5) OVER w", "lat_e5", "lon_e5")} AS step FROM near WINDOW w AS (PARTITION BY flight_id ORDER BY idx)),
+own AS (SELECT *, coalesce(last_value(CASE WHEN dt > 0 THEN step / dt * 3.6 END IGNORE NULLS) OVER (PARTITION BY flight_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) AS kmh FROM lagged),
+path AS (SELECT *, CASE WHEN dt IS NULL THEN coalesce(lead(kmh) OVER (PARTITION BY flight_id ORDER BY idx), 0) ELSE kmh END AS path_kmh FROM own)"""
+
+
+@query(f"""WITH {_SPEEDS}, sm AS (SELECT *, avg(path_kmh) OVER w AS path_s, avg(tas_kmh) OVER w AS tas_s FROM path WINDOW w AS (PARTITION BY flight_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 86400 FOLLOWING)),
+i AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY idx) AS i, count(*) OVER (PARTITION BY flight_id) AS n FROM sm WHERE idx BETWEEN takeoff_idx AND landing_idx)
+SELECT flight_id, CASE WHEN n <= 20 THEN i - 1 ELSE CAST(ceil(i * 20.0 / n) - 1 AS BIGINT) END AS bucket, round(avg(t), 3) AS t, round(avg(ground_kmh), 6) AS ground_kmh, round(avg(path_s), 6) AS path_kmh, round(avg(tas_s), 6) AS tas_kmh FROM i GROUP BY 1, 2""")
 def speed_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speeds of each flight as 20 points. Its parts have queries with SQL of their own."""
+    """Speeds of each flight as 20 points."""
     f = fixes(spark, sf_dir).withColumn("tas_kmh", F.expr("event_id % 90"))
-    return charts.speed_series(f, _windows(f), DAY, 20)
+    return charts.speed_series(f, _windows(f), DAY, 20).select("flight_id", "bucket", F.round("t", 3).alias("t"), *[F.round(c, 6).alias(c) for c in ("ground_kmh", "path_kmh", "tas_kmh")])
+
+
+@query(f"""WITH {FIXES}, {_WINDOWS} SELECT f.flight_id, idx, t, round(CAST(alt_dm / 10.0::DOUBLE * 3.280839895::DOUBLE AS FLOAT)::DOUBLE, 3) AS gps, CASE WHEN f.flight_id % 2 = 0 THEN round(CAST((alt_dm + 57) / 10.0::DOUBLE * 3.280839895::DOUBLE AS FLOAT)::DOUBLE, 3) END AS baro,
+round(CAST(idx * 3.280839895::DOUBLE AS FLOAT)::DOUBLE, 3) AS ground FROM fixes f JOIN win USING (flight_id) WHERE idx BETWEEN takeoff_idx AND landing_idx""")
+def altitude_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Altitudes of every fix in flight, and of the ground, in feet."""
+    f = fixes(spark, sf_dir).withColumn("pressure_dm", F.when(F.col("flight_id") % 2 == 0, F.col("alt_dm") + 57)).withColumn("ground_m", F.col("idx"))
+    found = charts.altitude_series(f, _windows(f), "ft", "ground_m")
+    return found.select("flight_id", "idx", "t", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("gps", "baro", "ground")])
+
+
+_TEXTS = f"""{_SPEEDS}, c AS (SELECT p.*, v.share FROM path p, (VALUES (0.0), (0.25), (1.0)) v(share) WHERE idx = CAST(floor(takeoff_idx + share * (landing_idx - takeoff_idx) + 0.5) AS BIGINT)),
+x AS (SELECT flight_id, CAST(share AS DOUBLE) AS share, idx, strftime(to_timestamp(t + 3600) AT TIME ZONE 'UTC', '%H:%M:%S') AS time, CASE WHEN flight_id % 3 > 0 THEN floor(alt_dm / 10.0::DOUBLE + 0.5)::BIGINT || ' m' END AS gps,
+  CASE WHEN flight_id % 3 > 0 AND flight_id % 2 = 0 THEN floor((alt_dm + 57) / 10.0::DOUBLE + 0.5)::BIGINT || ' m' END AS baro, floor(path_kmh + 0.5)::BIGINT || ' km/h' AS path_speed, floor(ground_kmh + 0.5)::BIGINT || ' km/h' AS speed, floor(tas_kmh + 0.5)::BIGINT || ' km/h' AS tas,
+  CASE WHEN flight_id % 3 > 0 THEN CASE WHEN idx % 7 < 3 THEN '−' WHEN idx % 7 > 3 THEN '+' ELSE '' END || printf('%.1f', abs(idx % 7 - 3)::DOUBLE) END AS vario FROM c)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fixes(spark, sf_dir).withColumn("tas_kmh", F.expr("event_id % 90")).withColumn("pressure_dm", F.when(F.col("flight_id") % 2 == 0, F.col("alt_dm") + 57)).withColumn("vario", (F.col("idx") % 7 - 3).cast("double"))
+    w = _windows(f)
+    near = series.ground_speed_kmh(f, DAY).join(w.select("flight_id", "takeoff_idx", "landing_idx"), "flight_id").where(F.col("idx").between(F.col("takeoff_idx") - 60, F.col("landing_idx") + 60)).drop("takeoff_idx", "landing_idx")
+    values = series.path_speed_kmh(near).withColumn("offset_s", F.lit(3600)).withColumn("has_altitude", F.col("flight_id") % 3 > 0)
+    at = charts.readout(values, w.withColumn("share", F.explode(F.array(*map(F.lit, (0.0, 0.25, 1.0))))))
+    return charts.readout_texts(at.drop("event_id", "lat_e5", "lon_e5"))
+
+
+@query(f"WITH {_TEXTS} SELECT * FROM x")
+def cursor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that three cursors of each flight show."""
+    return _texts(spark, sf_dir)
+
+
+@query(f"WITH {_TEXTS} SELECT flight_id, max(length(gps)) AS gps, max(length(baro)) AS baro, max(length(path_speed)) AS path_speed, max(length(vario)) AS vario FROM x GROUP BY 1")
+def cursor_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest labels of each flight's cursors."""
+    return charts.label_widths(_texts(spark, sf_dir), ["gps", "baro", "path_speed", "vario"])
 
 
 @query(f"""WITH {FIXES}, {_WINDOWS}, seg AS (SELECT flight_id, CAST(k - 5 AS INT) AS bucket, takeoff_idx + k * 4 AS start_idx, takeoff_idx + k * 4 + 3 AS end_idx FROM win, range(12) r(k)),
-lines AS (SELECT flight_id, -1 AS colour, 0 AS start_idx, takeoff_idx AS end_idx FROM win WHERE takeoff_idx > 0 UNION ALL
-  SELECT flight_id, least(greatest(bucket + 5, 0), 10), start_idx, least(end_idx + 1, n_fixes - 1) FROM seg JOIN win USING (flight_id) UNION ALL SELECT flight_id, -1, landing_idx, n_fixes - 1 FROM win WHERE landing_idx < n_fixes - 1)
-SELECT *, (row_number() OVER (PARTITION BY flight_id ORDER BY start_idx, end_idx))::INT AS run FROM lines""")
+lines AS (SELECT flight_id, -1 AS colour, 0 AS start_idx, takeoff_idx AS end_idx, 0 AS part FROM win WHERE takeoff_idx > 0 UNION ALL
+  SELECT flight_id, least(greatest(bucket + 5, 0), 10), start_idx, least(end_idx + 1, n_fixes - 1), 1 FROM seg JOIN win USING (flight_id) UNION ALL SELECT flight_id, -1, landing_idx, n_fixes - 1, 2 FROM win WHERE landing_idx < n_fixes - 1)
+SELECT flight_id, colour, start_idx, end_idx, (row_number() OVER (PARTITION BY flight_id ORDER BY part, start_idx, end_idx, colour))::INT AS run FROM lines""")
 def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one colour of each flight's line."""
     w = _windows(fixes(spark, sf_dir))
@@ -76,11 +122,11 @@ def cursor_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.readout(f, cursors).select("flight_id", "share", "idx", "t", "alt_dm")
 
 
-@query(f"""WITH {FIXES}, p AS (SELECT user_id AS flight_id, event_id AS point_id, CAST(4590000 + (event_id * 31) % 40000 AS INT) AS lat_e5, CAST(1290000 + (event_id * 57) % 50000 AS INT) AS lon_e5 FROM events WHERE event_type = 'click')
+@query(f"""WITH {FIXES}, p AS (SELECT user_id AS flight_id, event_id AS point_id, CAST(4590000 + (event_id * 31) % 40000 AS INT) AS lat_e5, CAST(1290000 + (event_id * 57) % 50000 AS INT) AS lon_e5 FROM events)
 SELECT p.point_id, p.flight_id, arg_min(f.idx, (CAST(f.lat_e5 - p.lat_e5 AS BIGINT) * (f.lat_e5 - p.lat_e5) + CAST(f.lon_e5 - p.lon_e5 AS BIGINT) * (f.lon_e5 - p.lon_e5), f.idx)) AS idx FROM p JOIN fixes f ON f.flight_id = p.flight_id GROUP BY 1, 2""")
 def nearest_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fix of a flight nearest to each of many points."""
-    points = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("point_id"), F.col("user_id").alias("flight_id"), F.expr("int(4590000 + event_id * 31 % 40000)").alias("lat_e5"), F.expr("int(1290000 + event_id * 57 % 50000)").alias("lon_e5"))
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), F.col("user_id").alias("flight_id"), F.expr("int(4590000 + event_id * 31 % 40000)").alias("lat_e5"), F.expr("int(1290000 + event_id * 57 % 50000)").alias("lon_e5"))
     return lookup.nearest_fix(fixes(spark, sf_dir), points).select("point_id", "flight_id", "idx")
 
 
@@ -91,9 +137,9 @@ def ground_elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     x, y = F.sequence(F.lit(2_190), F.lit(2_204)), F.sequence(F.lit(1_446), F.lit(1_462))
     grid = spark.range(1).select(F.explode(x).alias("x"), F.lit(0).alias("_")).withColumn("y", F.explode(y)).where("(x + y) % 3 > 0")
-    pixels = grid.select(F.lit(12).alias("z"), "x", "y", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i")).select("z", "x", "y", F.expr("i div 16").alias("row"), F.expr("i % 16").alias("col"))
-    value = (((F.col("x") * 16 + F.col("col")) * 7 + (F.col("y") * 16 + F.col("row")) * 13) % 900).cast("double")
-    return lookup.ground_elevation(f, pixels.withColumn("value", value), 12, 16).select("flight_id", "idx", "elevation_m")
+    value = lambda i: (((F.col("x") * 16 + i % 16) * 7 + (F.col("y") * 16 + F.floor(i / 16)) * 13) % 900).cast("double")
+    made = grid.select(F.lit(12).alias("z"), "x", "y", F.transform(F.sequence(F.lit(0), F.lit(255)), value).alias("px"))
+    return lookup.ground_elevation(f, made, 12, 16).select("flight_id", "idx", "elevation_m")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN b & 1 <> 0 THEN 'pg' WHEN b & 6 <> 0 THEN 'hg' WHEN b & 8 <> 0 THEN 'sp' WHEN b & 16 <> 0 THEN 'pg' ELSE 'other' END AS kind,

@@ -10,6 +10,8 @@ from skytrace.functions import geo, text
 from skytrace.operators import listing, sites, snapshots
 from skytrace.plans.tables import FIXES, SITES, fixes, haversine_sql, table
 from skytrace.plans.tables import sites as site_table
+from skytrace.sources import catalog
+from skytrace.streaming import queue
 
 QUERIES, SQL = {}, {}
 
@@ -81,13 +83,12 @@ def brands_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size > 10").join(used, "p_partkey", "left_semi").select(F.col("p_brand").alias("brand")).distinct()
 
 
-@query("SELECT p_partkey AS model_id, p_brand AS brand, p_name AS model FROM part p WHERE p_size <= 25 AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45) OR p_size > 25")
+@query("SELECT p_partkey AS model_id, p_brand AS brand, p_name AS model FROM part p WHERE p_size <= 25 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49) OR p_size > 25")
 def orphan_models_reaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue after models of users that no flight refers to are gone."""
     models = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("model"), "p_size")
-    busy = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("model_id"))
-    own = models.where("p_size <= 25").join(busy, "model_id", "left_anti")
-    return own.unionByName(models.where("p_size > 25")).select("model_id", "brand", "model")
+    busy = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("model_id"))
+    return snapshots.reap_orphans(models, busy, ["model_id"], F.col("p_size") <= 25).select("model_id", "brand", "model")
 
 
 @query(f"""WITH {FIXES}, {SITES}, starts AS (SELECT * FROM fixes WHERE idx = 0),
@@ -118,7 +119,7 @@ def main_score_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS flight_id, l_linenumber AS version FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' AND l_linenumber < 3")
 def pending_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored tracks of an older version than the current one."""
-    tracks = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("flight_id"), F.col("l_linenumber").alias("version"))
+    tracks = queue.behind(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("flight_id"), F.col("l_linenumber").alias("version")), 3)
     return flights(spark, sf_dir).where("kind = 'O'").join(tracks, "flight_id").select("flight_id", "version")
 
 
@@ -151,13 +152,14 @@ def queue_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.earlier_count(queued, ["ts", "event_id"]).select("event_id", "ahead")
 
 
-@query("""WITH used AS (SELECT o_custkey AS user_id, o_orderstatus AS kind, o_orderpriority AS class, o_orderdate AS flown, o_orderkey AS id FROM orders WHERE o_custkey % 10 = 7),
+@query("""WITH used AS (SELECT o_custkey AS user_id, o_orderstatus AS kind, o_orderpriority AS class, o_orderdate AS flown, o_orderkey AS id FROM orders),
 one AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, class ORDER BY flown DESC, id DESC) AS n FROM used),
 four AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY flown DESC, id DESC) AS place FROM one WHERE n = 1) SELECT user_id, kind, class, id, place::INT AS place FROM four WHERE place <= 4""")
 def recent_gliders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last four gliders of each of a set of users: the newest flight per glider, and of those the four newest."""
-    used = table(spark, sf_dir, "orders").where("o_custkey % 10 = 7").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("class"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
-    one = listing.top_per_key(used, ["user_id", "kind", "class"], [F.col("at").desc(), F.col("id").desc()])
+    """The last four gliders of every user: the newest flight per glider, on the map side first, and of those the four newest."""
+    newest = F.max(F.struct(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))).alias("n")
+    one = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("class")).agg(newest)
+    one = one.select("user_id", "kind", "class", "n.at", "n.id")
     return one.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("at").desc(), F.col("id").desc()))).where("place <= 4").select("user_id", "kind", "class", "id", "place")
 
 
@@ -203,12 +205,12 @@ def flights_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.insert_missing(rows.where("id % 3 <> 0"), rows.withColumn("user_id", F.lit(-1).cast("long")), ["id"])
 
 
-@query("SELECT 'flight' AS kind, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT 'track', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 5 <> 0")
+@query("SELECT 'flight' AS kind, o_orderkey AS id, 0 AS line FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT 'track', l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 5 <> 0")
 def flights_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left after flights and what refers to them are deleted."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     left = snapshots.delete_with_children(orders.where("o_custkey % 5 = 0"), "o_orderkey", (orders, "o_orderkey"), (lines, "l_orderkey"))
-    return left[0].agg(F.lit("flight").alias("kind"), F.count("*").alias("n")).unionByName(left[1].agg(F.lit("track").alias("kind"), F.count("*").alias("n")))
+    return left[0].select(F.lit("flight").alias("kind"), F.col("o_orderkey").alias("id"), F.lit(0).alias("line")).unionByName(left[1].select(F.lit("track").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")))
 
 
 @query("""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 'set' END ELSE c_mktsegment END AS segment,
@@ -240,9 +242,29 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("""SELECT p_brand AS brand, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS tandems, count(DISTINCT p_type) AS types FROM part GROUP BY 1""")
+_MODELS = """m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'pg' ELSE 'hg' END AS kind, lower(replace(p_brand, '#', '-')) AS brand_slug, p_partkey::VARCHAR AS slug, p_name AS name, p_type AS class, p_size > 25 AS is_tandem, p_size FROM part),
+old AS (SELECT * FROM m WHERE p_size < 30), new AS (SELECT *  REPLACE (name || ' II' AS name) FROM m WHERE p_size > 15)"""
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of models imported over a table that has some of them."""
+    kind = F.when(F.col("p_size") % 2 == 0, "pg").otherwise("hg")
+    m = table(spark, sf_dir, "part").select(kind.alias("kind"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand_slug"), F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("name"), F.col("p_type").alias("class"), (F.col("p_size") > 25).alias("is_tandem"), "p_size")
+    return catalog.imported(m.where("p_size < 30").drop("p_size"), m.where("p_size > 15").withColumn("name", F.concat("name", F.lit(" II"))))
+
+
+@query(f"""WITH {_MODELS} SELECT coalesce(n.kind, o.kind) AS kind, coalesce(n.brand_slug, o.brand_slug) AS brand_slug, coalesce(n.slug, o.slug) AS slug, coalesce(n.name, o.name) AS name, coalesce(n.class, o.class) AS class,
+coalesce(n.is_tandem, o.is_tandem) AS is_tandem, CASE WHEN o.slug IS NULL THEN 'inserted' WHEN n.slug IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM old o FULL JOIN new n ON o.kind = n.kind AND o.brand_slug = n.brand_slug AND o.slug = n.slug""")
+def catalog_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's table after an import, with what became of each model."""
+    return _imported(spark, sf_dir)
+
+
+@query(f"""WITH {_MODELS} SELECT coalesce(n.kind, o.kind) AS kind, count(*) FILTER (WHERE o.slug IS NULL) AS added, count(*) FILTER (WHERE o.slug IS NOT NULL AND n.slug IS NOT NULL) AS updated,
+count(*) FILTER (WHERE n.slug IS NOT NULL AND n.is_tandem) AS tandems FROM old o FULL JOIN new n ON o.kind = n.kind AND o.brand_slug = n.brand_slug AND o.slug = n.slug GROUP BY 1""")
 def catalog_import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("tandems"), F.countDistinct("p_type").alias("types"))
+    """How many models an import adds and updates, by kind."""
+    return catalog.import_summary(_imported(spark, sf_dir))
 
 
 @query("SELECT p_name AS name, trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, count(*) AS n FROM part GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions import geo
 from skytrace.operators import cleaning, series
-from skytrace.plans.tables import FIXES, fixes, flat_sql, haversine_sql
+from skytrace.plans.tables import FIXES, fixes, flat_sql, haversine_sql, table
 
 QUERIES, SQL = {}, {}
 DAY = 86_400
@@ -159,3 +159,34 @@ d AS (SELECT *, max(t) OVER (PARTITION BY flight_id, run) - min(t) OVER (PARTITI
 def sustained_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes within a run that holds a condition for long enough."""
     return cleaning.sustained(fixes(spark, sf_dir).withColumn("low", F.col("alt_dm") < 1200), "low", 40_000).select("flight_id", "idx", "sustained")
+
+
+_BARO = f"""{FIXES}, own AS (SELECT *, CASE WHEN flight_id % 2 = 0 AND (flight_id % 4 > 0 OR idx > 3) THEN alt_dm + event_id % 40 END AS pressure_dm FROM fixes),
+z AS (SELECT *, CASE WHEN count(pressure_dm) OVER (PARTITION BY flight_id) = count(*) OVER (PARTITION BY flight_id) THEN pressure_dm ELSE alt_dm END AS z FROM own),
+e AS (SELECT *, first_value(t) OVER w AS t1, first_value(z) OVER w AS z1, last_value(t) OVER w AS t2, last_value(z) OVER w AS z2 FROM z WINDOW w AS {_RANGE})"""
+
+
+@query(f"WITH {_BARO} SELECT flight_id, idx, round(CASE WHEN t2 > t1 THEN (z2 - z1)::DOUBLE / 10 / (t2 - t1) ELSE 0 END * 3600, 6) AS vario FROM e")
+def barometric_vario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Climb by the barometer where a whole flight has one, else by GPS."""
+    pressure = F.when((F.col("flight_id") % 2 == 0) & ((F.col("flight_id") % 4 > 0) | (F.col("idx") > 3)), F.col("alt_dm") + F.col("event_id") % 40)
+    f = series.with_best_altitude(fixes(spark, sf_dir).withColumn("pressure_dm", pressure))
+    return series.vario_ms(f, DAY, "best_dm").select("flight_id", "idx", F.round(F.col("vario") * 3600, 6).alias("vario"))
+
+
+@query(f"""WITH {FIXES}, r AS (SELECT flight_id, k AS range_id, k * 7 AS lo, k * 11 + 5 AS hi FROM (SELECT DISTINCT flight_id FROM fixes), range(6) v(k))
+SELECT r.flight_id, range_id, min(lat_e5) AS min_lat_e5, max(lat_e5) AS max_lat_e5, min(lon_e5) AS min_lon_e5, max(lon_e5) AS max_lon_e5 FROM r JOIN fixes f ON f.flight_id = r.flight_id AND idx BETWEEN lo AND hi GROUP BY ALL""")
+def range_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounding boxes of ranges of fixes."""
+    f = fixes(spark, sf_dir)
+    ranges = f.select("flight_id").distinct().withColumn("range_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).select("flight_id", "range_id", (F.col("range_id") * 7).alias("lo"), (F.col("range_id") * 11 + 5).alias("hi"))
+    return series.range_boxes(f, ranges)
+
+
+@query(f"""WITH {FIXES}, c AS (SELECT DISTINCT flight_id FROM fixes ORDER BY flight_id DESC LIMIT 3) SELECT f.flight_id, c_name AS pilot, idx, t - min(t) OVER (PARTITION BY f.flight_id) AS since_s, alt_dm FROM fixes f JOIN c USING (flight_id) LEFT JOIN customer ON c_custkey = f.flight_id""")
+def flights_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some flights side by side: who flew, and all fixes by the time since the first."""
+    f = fixes(spark, sf_dir)
+    ids = [r.flight_id for r in f.select("flight_id").distinct().orderBy(F.col("flight_id").desc()).limit(3).collect()]
+    pilots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("flight_id"), F.col("c_name").alias("pilot"))
+    return series.compared(f, pilots, ids).select("flight_id", "pilot", "idx", "since_s", "alt_dm")

@@ -38,17 +38,16 @@ def compact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BACK = "CASE WHEN {c} < 0 THEN -1 ELSE 1 END * (abs({c}) // 100000 * 100000 + (CAST(round(abs({c}) % 100000 * 0.6) AS BIGINT) * 5 + 1) // 3)"
 
 
-@query(f"""WITH {FIXES} SELECT flight_id, idx, t // 1000 AS t, CAST({_BACK.format(c="lat_e5")} AS INT) AS lat_e5, CAST({_BACK.format(c="lon_e5")} AS INT) AS lon_e5,
-CAST(alt_dm // 10 * 10 AS INT) AS geo_dm, CAST(event_id % 90 AS INT) AS tas_kmh FROM fixes""")
+@query(f"""WITH {FIXES} SELECT flight_id, idx, 1_700_000_000 + t // 500 % 100_000_000 AS t, CAST({_BACK.format(c="lat_e5")} AS INT) AS lat_e5, CAST({_BACK.format(c="lon_e5")} AS INT) AS lon_e5,
+CAST(alt_dm // 10 * 10 AS INT) AS geo_dm, CASE WHEN flight_id % 2 = 0 THEN CAST((alt_dm + 57) // 10 * 10 AS INT) END AS pressure_dm, CASE WHEN flight_id % 3 > 0 THEN CAST(event_id % 90 AS INT) END AS tas_kmh FROM fixes""")
 def igc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every track written as an IGC log and read again; the format keeps thousandths of a minute and whole metres."""
-    logs = igc.compose(_tracks(spark, sf_dir))
+    """Every track written as an IGC log and read again, over midnight where it comes, with a pressure for every other flight and TAS for
+    two of three; the format keeps thousandths of a minute and whole metres."""
+    pressure, tas = F.when(F.col("flight_id") % 2 == 0, F.col("alt_dm") + 57), F.when(F.col("flight_id") % 3 > 0, F.expr("int(event_id % 90)"))
+    tracks = fixes(spark, sf_dir).select("flight_id", "idx", F.expr("1700000000 + t div 500 % 100000000").alias("t"), "lat_e5", "lon_e5", F.col("alt_dm").alias("geo_dm"), pressure.cast("int").alias("pressure_dm"), tas.alias("tas_kmh"))
+    logs = igc.compose(tracks)
     lines = logs.select(F.col("flight_id").cast("string").alias("path"), F.posexplode(F.split("igc", "\n")).alias("n", "line"))
-    parsed = igc.parse(lines)
-    # The log names the day of its first fix only and later days by their order, which gaps of days defeat: take the day from the track.
-    days = _tracks(spark, sf_dir).select("flight_id", "idx", (F.floor(F.col("t") / 86_400) * 86_400).alias("day"))
-    both = parsed.withColumn("flight_id", F.col("path").cast("long")).join(days, ["flight_id", "idx"])
-    return both.select("flight_id", "idx", (F.col("day") + F.col("t") % 86_400).alias("t"), "lat_e5", "lon_e5", "geo_dm", "tas_kmh")
+    return igc.parse(lines).select(F.col("path").cast("long").alias("flight_id"), "idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm", "tas_kmh")
 
 
 @query()
@@ -108,13 +107,18 @@ def tiles_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.resample(_pixels(spark, sf_dir), 8, 8, 4, 2).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {_PIXELS}, grid AS (SELECT DISTINCT x // 2 AS x, y // 2 AS y FROM px), cells AS (SELECT x, y, CAST(i // 8 AS INT) AS "row", CAST(i % 8 AS INT) AS col FROM grid, range(64) r(i)),
-up AS (SELECT x // 2 AS x, y // 2 AS y, CAST(("row" + y % 2 * 8) // 2 AS INT) AS "row", CAST((col + x % 2 * 8) // 2 AS INT) AS col, sum(value) / 4 AS value FROM px GROUP BY ALL),
-one AS (SELECT 9 AS z, c.x, c.y, c."row", c.col, coalesce(u.value, 0) AS value FROM cells c LEFT JOIN up u ON u.x = c.x AND u.y = c.y AND u."row" = c."row" AND u.col = c.col)
-SELECT z, x, y, "row", col, round(value, 6) AS value FROM one UNION ALL SELECT z, x, y, "row", col, value FROM px""")
+def _zoom_sql(below: str, name: str, z: int) -> str:
+    """One zoom up from `below`: children side by side, missing ones 0."""
+    return f"""{name}_cells AS (SELECT x, y, CAST(i // 8 AS INT) AS "row", CAST(i % 8 AS INT) AS col FROM (SELECT DISTINCT x // 2 AS x, y // 2 AS y FROM {below}), range(64) r(i)),
+{name}_up AS (SELECT x // 2 AS x, y // 2 AS y, CAST(("row" + y % 2 * 8) // 2 AS INT) AS "row", CAST((col + x % 2 * 8) // 2 AS INT) AS col, sum(value) / 4 AS value FROM {below} GROUP BY ALL),
+{name} AS (SELECT {z} AS z, c.x, c.y, c."row", c.col, coalesce(u.value, 0) AS value FROM {name}_cells c LEFT JOIN {name}_up u ON u.x = c.x AND u.y = c.y AND u."row" = c."row" AND u.col = c.col)"""
+
+
+@query(f"""WITH {_PIXELS}, {_zoom_sql("px", "nine", 9)}, {_zoom_sql("nine", "eight", 8)}, {_zoom_sql("eight", "seven", 7)}
+SELECT z, x, y, "row", col, round(value, 6) AS value FROM (SELECT * FROM px UNION ALL SELECT * FROM nine UNION ALL SELECT * FROM eight UNION ALL SELECT * FROM seven)""")
 def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiles and those one zoom up."""
-    return tiles.pyramid(_pixels(spark, sf_dir), 8, 9, 10).withColumn("value", F.round("value", 6))
+    """All tiles and those of three zooms up."""
+    return tiles.pyramid(_pixels(spark, sf_dir), 8, 7, 10).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {_PIXELS}, q AS (SELECT * REPLACE (greatest(CAST(round(value / 8) AS INT), 0)::DOUBLE AS value) FROM px)

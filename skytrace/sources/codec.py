@@ -26,8 +26,13 @@ def encode(fixes: DataFrame) -> DataFrame:
     flight = W.partitionBy("flight_id")
     step = F.col("t") - F.lag("t").over(in_order())
     rows = fixes.withColumn("_step", step)
-    steps = F.array_sort(F.collect_list("_step").over(flight))
-    interval = F.least(F.greatest(F.coalesce(F.get(steps, F.floor(F.size(steps) / 2).cast("int")), F.lit(1)), F.lit(1)), F.lit(65_535))
+    # The upper median from how often a flight has each step: no list of them is ever held.
+    times = rows.where("_step is not null").groupBy("flight_id", "_step").agg(F.count("*").alias("_times"))
+    upto = F.sum("_times").over(flight.orderBy("_step").rowsBetween(W.unboundedPreceding, 0))
+    ranked = times.withColumn("_upto", upto).withColumn("_all", F.sum("_times").over(flight)).where(F.col("_upto") > F.floor(F.col("_all") / 2))
+    medians = ranked.groupBy("flight_id").agg(F.min("_step").alias("_median"))
+    rows = rows.join(medians, "flight_id", "left")
+    interval = F.least(F.greatest(F.coalesce("_median", F.lit(1)), F.lit(1)), F.lit(65_535))
     for name in ("pressure_dm", "tas_kmh"):
         n = F.count(name).over(flight)
         rows = rows.withColumn(name, F.when((n > 0) & (n < F.count("*").over(flight)), F.raise_error(F.lit(f"{name} is missing from some fixes"))).otherwise(F.col(name)).cast("int"))

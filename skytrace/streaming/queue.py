@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,3 +31,22 @@ def score_files(spark: SparkSession, incoming: str, schema: str, out: str, check
 def behind(tracks: DataFrame, version: int) -> DataFrame:
     """Stored tracks of an older version, which a backfill encodes again."""
     return tracks.where(F.col("version") < version)
+
+
+def states(log: DataFrame) -> DataFrame:
+    """(flight_id, state, attempts, created_at, started_at, finished_at, error) of every job, from its log (flight_id, at, event, error)
+    of queued, running, done and failed. A job is queued once; each run is an attempt; an error stays until a run ends well."""
+    last = F.max(F.when(F.col("event") != "queued", F.struct("at", "event", "error"))).alias("_last")
+    ran = F.max(F.when(F.col("event") == "running", F.col("at"))).alias("started_at")
+    ended = F.max(F.when(F.col("event").isin("done", "failed"), F.struct("at", "event", "error"))).alias("_end")
+    jobs = log.groupBy("flight_id").agg(F.min(F.when(F.col("event") == "queued", F.col("at"))).alias("created_at"), F.count_if(F.col("event") == "running").alias("attempts"), last, ran, ended)
+    error = F.when(F.col("_end.event") == "failed", F.col("_end.error"))
+    return jobs.where("created_at is not null").select("flight_id", F.coalesce("_last.event", F.lit("queued")).alias("state"), "attempts", "created_at", "started_at", F.col("_end.at").alias("finished_at"), error.alias("error"))
+
+
+def recovered(jobs: DataFrame, booted: Column) -> DataFrame:
+    """jobs after a start at `booted`: those that were running when the process before it ended are queued again."""
+    orphan = (F.col("state") == "running") & (F.col("started_at") < booted)
+    marked = jobs.withColumn("_orphan", F.coalesce(orphan, F.lit(False)))
+    marked = marked.withColumn("started_at", F.when(~F.col("_orphan"), F.col("started_at")))
+    return marked.withColumn("state", F.when(F.col("_orphan"), "queued").otherwise(F.col("state"))).drop("_orphan")

@@ -48,10 +48,6 @@ def test_deltas_round_trip(spark):
     assert first[0, 0] == a[0, 0] and first[2, 0] == a[2, 0] - a[1, 0] and first[2, 3] == a[2, 3] - a[2, 2]
     got = back(tiles.undeltas(d.drop("value")), (5, 7))
     assert np.allclose(got[0, 0, 0], a) and np.allclose(got[1, 0, 1], a * 2)
-    width = tiles.bit_width(d).where("z = 0").first()
-    deltas = np.array(list(first.values()))
-    cost = {w: len(deltas) * w + 16 * sum(not -(1 << (w - 1)) <= x < 1 << (w - 1) for x in deltas) for w in range(2, 9)}
-    assert (width.bits, width.width) == min((c, w) for w, c in cost.items())
 
 
 def test_samples(spark):
@@ -61,11 +57,6 @@ def test_samples(spark):
     assert all(r.m == r.want for r in df.select(tiles.terrarium(*map(F.col, "rgba")).alias("m"), "want").collect())
 
 
-def test_blocks(spark):
-    df = spark.createDataFrame([(7, 0, 0, "a"), (7, 1, 0, "a"), (7, 2, 0, "b"), (7, 64, 0, "b")], "z int, x int, y int, p string")
-    assert [r.reused for r in tiles.blocks(df, "p").orderBy("x").collect()] == [False, True, False, False]
-
-
 def test_nearest_sites_over_the_date_line_and_poles(spark):
     import random
 
