@@ -288,3 +288,38 @@ def flight_windows(fixes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx", "takeoff_t", "landing_t"])
 
     return fixes.select("flight_id", *_FIX).groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long, takeoff_t long, landing_t long")
+
+
+def plausible_fixes(fixes: DataFrame) -> DataFrame:
+    """(flight_id, idx) of the fixes that can be reached from the last one kept."""
+    kind = fixes.schema["flight_id"].dataType.simpleString()
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx", ignore_index=True)
+        keep = plausible(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5")))
+        return pd.DataFrame({"flight_id": key[0], "idx": f["idx"][keep]})
+
+    return fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, idx long")
+
+
+def shifted_flights(fixes: DataFrame) -> DataFrame:
+    """(flight_id, shifted): whether time runs backward for more than SLIP_FIXES fixes somewhere. Nested backward runs are shorter than
+    the outer, so each backward step is looked at on its own: a window finds where the time before it is passed."""
+    w = in_order()
+    back = fixes.select("flight_id", "idx", "t").withColumn("_p", F.lag("t").over(w)).withColumn("_next", F.collect_list("t").over(w.rowsBetween(0, SLIP_FIXES)))
+    # More than SLIP_FIXES: neither the fix itself nor the next ones, as many as there must be, are later.
+    run = (F.size("_next") > SLIP_FIXES) & ~F.exists("_next", lambda t: t > F.col("_p"))
+    return back.groupBy("flight_id").agg(F.coalesce(F.bool_or((F.col("t") < F.col("_p")) & run), F.lit(False)).alias("shifted"))
+
+
+def speed_windows(fixes: DataFrame) -> DataFrame:
+    """(flight_id, takeoff_idx, landing_idx) by the plain model of speeds alone, whatever the altitudes tell."""
+    kind = fixes.schema["flight_id"].dataType.simpleString()
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx", ignore_index=True)
+        found = _by_speed(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5"))) if len(f) > 1 else None
+        rows = [] if found is None else [(key[0], *(int(f["idx"][i]) for i in found))]
+        return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx"])
+
+    return fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long")

@@ -155,6 +155,9 @@ def free_distance(lat: np.ndarray, lon: np.ndarray) -> np.ndarray | None:
     moved = np.flatnonzero(np.append(True, (np.diff(lat) != 0) | (np.diff(lon) != 0)))
     a, o = lat[moved], lon[moved]
     fewest, most = int(FD_POINTS * (1 - FD_SPREAD)), int(FD_POINTS * (1 + FD_SPREAD))
+    if 5 <= len(moved) < FD_LAST:  # few enough for the last search at once
+        way = longest_way(a, o, np.arange(len(moved)))
+        return None if way is None else moved[way]
     thinned = lambda rows: rows[simplify_to(plane_m(a[rows], o[rows]), fewest, most, FD_LOW_M, FD_HIGH_M)]
     if len(moved) < 5:
         return None
@@ -313,13 +316,18 @@ def _kind(lat: np.ndarray, lon: np.ndarray, kind: str, fd_m: int) -> dict | None
     return best
 
 
+def free_distance_m(lat: np.ndarray, lon: np.ndarray, way: np.ndarray) -> tuple[list[int], int]:
+    """(legs, distance) of a way in whole metres; the distance is rounded to ten."""
+    legs = [int(np.floor(haversine_km(lat[x], lon[x], lat[y], lon[y]) * 1000 + 0.5)) for x, y in zip(way, way[1:])]
+    return legs, int(np.floor(sum(legs) / 10 + 0.5)) * 10
+
+
 def evaluate(lat: np.ndarray, lon: np.ndarray) -> list[dict]:
     """The routes of one flight. Without a free distance there is no other; a task is never scored."""
     way = free_distance(lat, lon)
     if way is None:
         return []
-    legs = [int(np.floor(haversine_km(lat[x], lon[x], lat[y], lon[y]) * 1000 + 0.5)) for x, y in zip(way, way[1:])]
-    distance = int(np.floor(sum(legs) / 10 + 0.5)) * 10
+    legs, distance = free_distance_m(lat, lon, way)
     routes = [{"type": "free_distance", "sub_type": "none", "turns": way.tolist(), "legs_m": legs, "distance_m": distance, "gap_m": None, "gap_ends": None, "factor": 1.0, "score": distance / 1000, "optimal": len(lat) <= FD_LAST}]
     return routes + [r for kind in ("free_triangle", "fai_triangle") if (r := _kind(lat, lon, kind, distance))]
 
@@ -365,3 +373,37 @@ def aspect_ratios(fixes: DataFrame) -> DataFrame:
         return pd.DataFrame({"flight_id": [key[0]], "aspect_ratio": [aspect_ratio(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))]})
 
     return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, aspect_ratio double")
+
+
+def free_distances(fixes: DataFrame) -> DataFrame:
+    """(flight_id, turns, distance_m) of the free distance of each flight that has one; turns are idx."""
+    kind = fixes.schema["flight_id"].dataType.simpleString()
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx", ignore_index=True)
+        lat, lon = (f[c].to_numpy(dtype=float) for c in ("lat_e5", "lon_e5"))
+        way = free_distance(lat, lon)
+        if way is None:
+            return pd.DataFrame(columns=["flight_id", "turns", "distance_m"])
+        return pd.DataFrame({"flight_id": [key[0]], "turns": [f["idx"].to_numpy()[way].tolist()], "distance_m": [free_distance_m(lat, lon, way)[1]]})
+
+    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, turns array<long>, distance_m long")
+
+
+def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(flight_id, type, sub_type, turns, gap_ends, perimeter_km, gap_km): the best triangle of each flight, shape and gap; turns and
+    gap_ends are idx. sides: the least side of each shape as a share of the perimeter and in km."""
+    kind, shapes = fixes.schema["flight_id"].dataType.simpleString(), sides or {"free_triangle": (0.0, 0.0), "fai_triangle": (FAI_SIDE, FAI_SIDE_KM)}
+    names = ["flight_id", "type", "sub_type", "turns", "gap_ends", "perimeter_km", "gap_km"]
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx", ignore_index=True)
+        lat, lon, idx = f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float), f["idx"].to_numpy()
+        out = []
+        for shape, (share, km) in shapes.items():
+            for sub_type, gap in gaps.items():
+                if (found := best_triangle(lat, lon, gap, share, km)) is not None:
+                    out.append((key[0], shape, sub_type, idx[list(found.turns)].tolist(), idx[list(found.gap)].tolist(), found.perimeter_km, found.gap_km))
+        return pd.DataFrame(out, columns=names)
+
+    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, type string, sub_type string, turns array<long>, gap_ends array<long>, perimeter_km double, gap_km double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions import gliders
-from skytrace.operators import charts, lookup, routes, series, tiles
+from skytrace.operators import charts, lookup, series, tiles
 from skytrace.plans.tables import FIXES, fixes, haversine_sql, table
 from skytrace.sources import catalog
 
@@ -107,12 +107,6 @@ def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.map_runs(w, seg)
 
 
-@query()
-def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs of all routes."""
-    return charts.route_legs(routes.scored_routes(fixes(spark, sf_dir)))
-
-
 @query(f"""WITH {FIXES}, {_WINDOWS}, cur AS (SELECT flight_id, share, CAST(floor(takeoff_idx + share * (landing_idx - takeoff_idx) + 0.5) AS BIGINT) AS idx FROM win, (VALUES (0.0), (0.25), (1.0)) v(share))
 SELECT c.flight_id, CAST(c.share AS DOUBLE) AS share, c.idx, f.t, f.alt_dm FROM cur c JOIN fixes f ON f.flight_id = c.flight_id AND f.idx = c.idx""")
 def cursor_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +156,6 @@ def catalog_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.models(json).groupBy("kind", "brand", "class", "name").agg(F.count("*").alias("n"))
 
 
-@query()
-def route_turnpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turnpoints of all routes as JSON."""
-    f = fixes(spark, sf_dir)
-    return charts.turnpoints_json(routes.scored_routes(f), f)
-
-
 @query(f"""WITH {FIXES}, b AS (SELECT flight_id, min(lon_e5) / 1e5 AS west, min(lat_e5) / 1e5 AS south, max(lon_e5) / 1e5 AS east, max(lat_e5) / 1e5 AS north FROM fixes GROUP BY 1),
 t AS (SELECT flight_id, floor((west / 360 + 0.5) * 1024) AS x0, ceil((east / 360 + 0.5) * 1024) - 1 AS x1, floor((0.5 - asinh(tan(radians(north))) / (2 * pi())) * 1024) AS y0, ceil((0.5 - asinh(tan(radians(south))) / (2 * pi())) * 1024) - 1 AS y1 FROM b)
 SELECT flight_id, 10 AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM t, range(0, 1024) a(x), range(0, 1024) c(y) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")

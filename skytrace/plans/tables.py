@@ -47,3 +47,21 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SITES = "sites AS (SELECT s_suppkey AS site_id, CAST(4600000 + (s_suppkey * 1009) % 20000 AS INT) AS lat_e5, CAST(1300000 + (s_suppkey * 3001) % 30000 AS INT) AS lon_e5 FROM supplier)"
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights along a path: each event of a user is a step of some 15 s, up to 250 m and 12 m of height from the fix before it."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    key = F.col("event_id")
+    walk = lambda times, of, less: F.sum(F.pmod(key * times, F.lit(of)) - less).over(w.rowsBetween(W.unboundedPreceding, 0))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("flight_id"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "event_id",
+        (F.lit(1_700_000_000) + F.col("user_id") * 86_400 + walk(17, 13, -9)).alias("t"),
+        (4_600_000 + walk(7_919, 401, 195)).cast("int").alias("lat_e5"), (1_300_000 + walk(104_729, 601, 290)).cast("int").alias("lon_e5"), (15_000 + walk(31, 241, 119)).cast("int").alias("geo_dm"),
+    )
+    return rows.withColumn("pressure_dm", F.lit(None).cast("int"))
+
+
+_WALK = "sum((event_id * {}) % {} - {}) OVER w"
+PATHS = f"""paths AS (SELECT user_id AS flight_id, row_number() OVER w - 1 AS idx, event_id, CAST(1700000000 + user_id * 86400 + {_WALK.format(17, 13, "(-9)")} AS BIGINT) AS t, CAST(4600000 + {_WALK.format(7919, 401, 195)} AS INT) AS lat_e5,
+  CAST(1300000 + {_WALK.format(104729, 601, 290)} AS INT) AS lon_e5, CAST(15000 + {_WALK.format(31, 241, 119)} AS INT) AS geo_dm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""

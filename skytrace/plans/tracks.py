@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.operators import cleaning, routes, segments, series, tiles
+from skytrace.operators import tiles
 from skytrace.plans.tables import FIXES, fixes, table
 from skytrace.sources import codec, igc
 from skytrace.streaming import live, queue
@@ -50,44 +50,6 @@ def igc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return igc.parse(lines).select(F.col("path").cast("long").alias("flight_id"), "idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm", "tas_kmh")
 
 
-@query()
-def flight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takeoff and landing of each flight. A kernel per flight; no SQL."""
-    return cleaning.flight_windows(_tracks(spark, sf_dir))
-
-
-@query()
-def cleaned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks without slips and jumps, cut to the longest flight. A kernel per flight; no SQL."""
-    return cleaning.cleaned(_tracks(spark, sf_dir))
-
-
-@query()
-def simplified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes that a simplification to 500 m with a chord cap of 5 km keeps. A kernel per flight; no SQL."""
-    return routes.simplified(fixes(spark, sf_dir), 500.0, 5_000.0)
-
-
-@query()
-def scored_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free distance and triangles of each flight. A kernel per flight; no SQL."""
-    found = routes.scored_routes(fixes(spark, sf_dir))
-    return found.withColumn("score", F.round("score", 6))
-
-
-@query()
-def aspect_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sides' ratio of the smallest rectangle around each flight. A kernel per flight; no SQL."""
-    return routes.aspect_ratios(fixes(spark, sf_dir)).withColumn("aspect_ratio", F.round("aspect_ratio", 6))
-
-
-@query()
-def climb_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of climb without short ones. A kernel per flight; no SQL."""
-    f = series.vario_ms(_tracks(spark, sf_dir), 86, "geo_dm")
-    return segments.climb_segments(series.runs(f.withColumn("bucket", series.vario_bucket(F.col("vario"))), "bucket"))
-
-
 # --- tiles: each embedding is a tile of 8 x 8 pixels at zoom 10 ---------------------------------------------------------------------
 
 
