@@ -90,7 +90,7 @@ def cursor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir)
 
 
-@query(f"WITH {_TEXTS} SELECT flight_id, max(length(gps)) AS gps, max(length(baro)) AS baro, max(length(path_speed)) AS path_speed, max(length(vario)) AS vario FROM x GROUP BY 1")
+@query(f"WITH {_TEXTS} SELECT flight_id, max(length(gps))::INT AS gps, max(length(baro))::INT AS baro, max(length(path_speed))::INT AS path_speed, max(length(vario))::INT AS vario FROM x GROUP BY 1")
 def cursor_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The widest labels of each flight's cursors."""
     return charts.label_widths(_texts(spark, sf_dir), ["gps", "baro", "path_speed", "vario"])
