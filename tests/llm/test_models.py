@@ -1,6 +1,7 @@
 """Toxicity, quality, URL filter, vectors and the pipeline."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -323,18 +324,63 @@ def test_recall_on_the_test_table(spark):
 # --- the pipeline -----------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark):
+def test_pipeline_by_force(spark):
+    """Each stage against a plain reckoning of its own input, over the documents table; the whole against the stages."""
+    import hashlib
+
     import corpus_pipeline as p
+    import public_tokenizers
+    import tiktoken
+
+    from skytrace.llm.bpe import codec
+    from tests.llm.test_texts import groups_by_force, spans_by_force
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "substrings", "mix", "encode"]
-    docs = table(spark, DATA, "documents")
+    stages, docs = dict(p.STAGES), table(spark, DATA, "documents")
+    fixed = lambda rows: spark.createDataFrame(rows, docs.schema)
+    toxic = {r.doc_id for r in queries.op2_toxicity(spark, DATA).collect() if r.predicted}
+    kept = stages["toxicity"](spark, docs, DATA).collect()
+    assert Counter(kept) == Counter(r for r in docs.collect() if r.doc_id not in toxic)
+    groups = groups_by_force([(r.doc_id, r.text) for r in kept])
+    one = stages["near_duplicates"](spark, fixed(kept), DATA).collect()
+    assert sorted(r.doc_id for r in one) == sorted({least for _, _, least in groups})
+    spans = spans_by_force([(r.doc_id, r.text) for r in one])
+    cut = stages["substrings"](spark, fixed(one), DATA).collect()
+    want = {}
+    for r in one:
+        raw = (r.text or "").encode()
+        for s, e in reversed(spans.get(r.doc_id, [])):
+            raw = raw[:s] + raw[e:]
+        if r.doc_id not in spans or raw.split():
+            want[r.doc_id] = raw.decode()
+    assert {r.doc_id: r.text or "" for r in cut} == want
+    mixed = stages["mix"](spark, fixed(cut), DATA).collect()
+    sizes, taken = Counter(), Counter()
+    for r in cut:
+        sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    for r in mixed:
+        taken[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.25) and max(Counter(r.doc_id for r in mixed).values()) <= 2
+    assert {r.doc_id: r for r in mixed}.items() <= {r.doc_id: r for r in cut}.items()
+    own = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(codec()._own._mergeable_ranks), special_tokens={})
+    out = stages["encode"](spark, fixed(mixed), DATA).collect()
+    digest = lambda text: (len(ids := own.encode_ordinary(text or "")), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == Counter((r.doc_id, *digest(r.text)) for r in mixed)
+    assert Counter(map(tuple, p.run(spark, DATA).collect())) == Counter(map(tuple, out))
+
+
+def test_pipeline_of_odd_documents(spark, odd_docs, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and columns of clashing names go through all stages."""
+    import corpus_pipeline as p
+
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-    last = p.STAGES[-1][1](spark, docs, DATA)
-    assert last.count() == docs.count()
-    assert Counter(map(tuple, p.run(spark, DATA).collect())) == Counter(map(tuple, last.collect()))
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd_docs.columns
+    ids = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == ids <= {r.doc_id for r in odd_docs.collect()}
 
 
 def test_pipeline_of_nothing(spark, no_docs):
