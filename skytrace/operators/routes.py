@@ -1,9 +1,9 @@
 """Simplification, hulls and cross-country routes: per-flight kernels on arrays, applied to all flights in parallel.
 
 Free distance is the longest way over five fixes in order. A triangle is three fixes in order whose perimeter, less the gap between
-the closest fixes before the first and after the last, is largest. Triangles are searched over a simplified track exhaustively,
-with matrices over all pairs of turnpoints, and then moved to the best fixes near by; `optimal` tells whether the search had every
-fix of the track.
+the closest fixes before the first and after the last, is largest. Triangles of short tracks are searched exhaustively, with matrices over
+all pairs of turnpoints. Of long ones a first is found over a simplified track; then all triples of blocks of fixes whose bounds could
+hold a better one are halved, down to small blocks that are searched exhaustively. `optimal` tells whether that came to its end.
 """
 
 from __future__ import annotations
@@ -181,8 +181,10 @@ PROBE_GAP = 0.25
 FACTORS = {("fai_triangle", "olc_open"): 1.4, ("fai_triangle", "olc_closed"): 1.6, ("free_triangle", "olc_open"): 1.2, ("free_triangle", "olc_closed"): 1.4}
 FAI_SIDE, FAI_SIDE_KM, FAI_LEAST_FD_M, FAI_MOST_ASPECT, FAI_LEAST_M, FAI_TO_FD = 0.28, 1.4, 5_000, 7.0, 10_000, 0.25
 FREE_PROBE_TO_FD, FREE_TO_FD = 0.5, 0.25
-#: Turnpoints of an exhaustive search, and fixes among which a gap is searched.
+#: Turnpoints of an exhaustive search, and fixes among which the first gap is searched; the least fixes of a block, the most blocks of a
+#: track, and the most triples of blocks that are held at once.
 CORNERS, GAP_FIXES = 160, 1_200
+BLOCK_FIXES, MOST_BLOCKS, MOST_TRIPLES = 16, 2_048, 1 << 21
 
 
 @dataclass
@@ -191,6 +193,7 @@ class Triangle:
     gap: tuple[int, int]
     perimeter_km: float
     gap_km: float
+    optimal: bool = True
 
 
 def _pairs_km(lat: np.ndarray, lon: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,31 +233,140 @@ def best_triangle(lat: np.ndarray, lon: np.ndarray, most_gap: float, side: float
         if value.flat[at] > best:
             best, (j, k) = float(value.flat[at]), np.unravel_index(at, value.shape)
             found = (i, i + 1 + int(j), i + 1 + int(k))
-    if found is None:
-        return None
-    turns = [int(corners[x]) for x in found]
-    if n > CORNERS:
-        turns = _moved(lat, lon, turns, corners, rows, most_gap, side, side_km)
-    return _measured(lat, lon, turns, most_gap, side, side_km)
+    first = None
+    if found is not None:
+        turns = [int(corners[x]) for x in found]
+        if n > CORNERS:
+            turns = _moved(lat, lon, turns, corners, rows, most_gap, side, side_km)
+        first = _measured(lat, lon, turns, most_gap, side, side_km)
+    return first if n <= CORNERS else _improved(lat, lon, first, most_gap, side, side_km)
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Fixes on the unit sphere: the closer two are, the larger their product."""
+    a, o = np.radians(lat / 1e5), np.radians(lon / 1e5)
+    return np.stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)], axis=1)
+
+
+def _product_km(product: np.ndarray) -> np.ndarray:
+    return 2 * RADIUS_M / 1000 * np.arcsin(np.minimum(np.sqrt(np.maximum(2 - 2 * product, 0)) / 2, 1))
 
 
 def _measured(lat: np.ndarray, lon: np.ndarray, turns: list[int], most_gap: float, side: float, side_km: float) -> Triangle | None:
     """The triangle over these fixes with its closest gap over all fixes, if it is valid."""
     a, b, c = turns
     legs = [float(haversine_km(lat[x], lon[x], lat[y], lon[y])) for x, y in ((a, b), (b, c), (c, a))]
-    least, pair = np.inf, (a, c)
-    late = np.arange(c, len(lat))
+    unit, least, pair = _unit(lat, lon), np.inf, (a, c)
+    late = unit[c:]
     for lo in range(0, a + 1, 512):
-        early = np.arange(lo, min(a + 1, lo + 512))
-        d = _pairs_km(lat, lon, early, late)
-        at = int(d.argmin())
-        if d.flat[at] < least:
-            least, pair = float(d.flat[at]), (int(early[at // len(late)]), int(late[at % len(late)]))
+        near = unit[lo : min(a + 1, lo + 512)] @ late.T
+        q, w = np.unravel_index(int(near.argmax()), near.shape)
+        d = float(haversine_km(lat[lo + q], lon[lo + q], lat[c + w], lon[c + w]))
+        if d < least:
+            least, pair = d, (int(lo + q), int(c + w))
     total = sum(legs)
     valid = least <= most_gap * total and min(legs) >= side * total and min(legs) >= side_km
     return Triangle((a, b, c), pair, total, least) if valid and total > least else None
 
 
+class _Blocks:
+    """Blocks of a track's fixes, and on every level above pairs of them: boxes, and the closest fixes before and after."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray):
+        n = len(lat)
+        self.size = max(BLOCK_FIXES, -(-n // MOST_BLOCKS))
+        self.unit, self.starts = _unit(lat, lon), np.arange(0, n, self.size)
+        self.n = len(self.starts)
+        # closest[a, c]: the largest product of a fix up to the end of block a with one from the start of block c on.
+        self.closest, so_far = np.empty((self.n, self.n)), np.full(n, -2.0)
+        for k, lo in enumerate(self.starts):
+            so_far = np.maximum(so_far, (self.unit[lo : lo + self.size] @ self.unit.T).max(axis=0))
+            self.closest[k] = np.maximum.accumulate(so_far[::-1])[::-1][self.starts]
+        a, o = np.radians(lat / 1e5), np.radians(lon / 1e5)
+        boxes = [f.reduceat(x, self.starts) for x in (a, o) for f in (np.minimum, np.maximum)]
+        self.levels = [boxes]
+        while len(self.levels[-1][0]) > 1:
+            heads = np.arange(0, len(self.levels[-1][0]), 2)
+            self.levels.append([f.reduceat(x, heads) for x, f in zip(self.levels[-1], (np.minimum, np.maximum) * 2)])
+
+    def most_km(self, level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """No two fixes of blocks p and q are further apart: a straight line in degrees, at the widest parallel between."""
+        south, north, west, east = self.levels[level]
+        dy = np.maximum(north[p] - south[q], north[q] - south[p])
+        dx = np.maximum(east[p] - west[q], east[q] - west[p])
+        lo, hi = np.minimum(south[p], south[q]), np.maximum(north[p], north[q])
+        widest = np.cos(np.where((lo < 0) & (hi > 0), 0, np.minimum(np.abs(lo), np.abs(hi))))
+        return RADIUS_M / 1000 * np.hypot(dy, dx * widest)
+
+    def least_gap_km(self, level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """No gap of a triangle from block p to block q is smaller, but for a metre of rounding."""
+        last = np.minimum((p + 1) << level, self.n) - 1
+        return np.maximum(_product_km(self.closest[last, q << level]) - 1e-3, 0)
+
+    def gaps_km(self, p: int, q: int) -> np.ndarray:
+        """The gap of every fix of block p with every one of block q."""
+        first, last = slice(self.starts[p], self.starts[p] + self.size), slice(self.starts[q], self.starts[q] + self.size)
+        own, ends = self.unit[first], self.unit[last]
+        before = (self.unit[: self.starts[p]] @ ends.T).max(axis=0, initial=-2.0)
+        if p and q + 1 < self.n:
+            before[-1] = max(before[-1], self.closest[p - 1, q + 1])
+        before = np.maximum.accumulate(before[::-1])[::-1]
+        near = own @ self.unit[self.starts[q] :].T
+        here = near[:, : len(ends)].copy()
+        here[:, -1] = np.maximum(here[:, -1], near[:, len(ends) :].max(axis=1, initial=-2.0))
+        here = np.maximum.accumulate(np.maximum.accumulate(here[:, ::-1], axis=1)[:, ::-1], axis=0)
+        return _product_km(np.maximum(here, before[None]))
+
+
+def _improved(lat: np.ndarray, lon: np.ndarray, best: Triangle | None, most_gap: float, side: float, side_km: float) -> Triangle | None:
+    """The best triangle of all, from the best so far on. Where more than MOST_TRIPLES triples of blocks could hold a better one, the best
+    so far, which isn't known to be optimal then."""
+    blocks = _Blocks(lat, lon)
+    value = best.perimeter_km - best.gap_km if best else 0.0
+
+    def bounds(level: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ab, bc, ca, gap = blocks.most_km(level, a, b), blocks.most_km(level, b, c), blocks.most_km(level, c, a), blocks.least_gap_km(level, a, c)
+        total, least = ab + bc + ca, np.minimum(np.minimum(ab, bc), ca)
+        total = np.minimum(total, least / side) if side else total
+        upper = np.where((gap <= most_gap * total) & (least >= side_km), total - gap, 0.0)
+        return upper, upper > value + 1e-9
+
+    level = len(blocks.levels) - 1
+    a = b = c = np.zeros(1, dtype=np.int64)
+    upper, _ = bounds(level, a, b, c)
+    while level:
+        level -= 1
+        n = len(blocks.levels[level][0])
+        halves = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+        a, b, c = (np.concatenate([2 * x + h[t] for h in halves]) for t, x in enumerate((a, b, c)))
+        keep = (a <= b) & (b <= c) & (c < n)
+        a, b, c = a[keep], b[keep], c[keep]
+        upper, keep = bounds(level, a, b, c)
+        a, b, c, upper = a[keep], b[keep], c[keep], upper[keep]
+        if len(a) > MOST_TRIPLES:
+            return Triangle(best.turns, best.gap, best.perimeter_km, best.gap_km, False) if best else None
+    gaps: dict[tuple[int, int], np.ndarray] = {}
+    fixes = lambda k: np.arange(blocks.starts[k], min(blocks.starts[k] + blocks.size, len(lat)))
+    for at in np.argsort(-upper, kind="stable").tolist():
+        if upper[at] <= value + 1e-9:
+            break
+        p, q, r = int(a[at]), int(b[at]), int(c[at])
+        if (p, r) not in gaps:
+            gaps[p, r] = blocks.gaps_km(p, r)
+        i, j, k = fixes(p), fixes(q), fixes(r)
+        ab, bc, ca, gap = _pairs_km(lat, lon, i, j)[:, :, None], _pairs_km(lat, lon, j, k)[None], _pairs_km(lat, lon, i, k)[:, None], gaps[p, r][:, None]
+        total, least = ab + bc + ca, np.minimum(np.minimum(ab, bc), ca)
+        fits = (i[:, None, None] < j[None, :, None]) & (j[None, :, None] < k[None, None]) & (gap <= most_gap * total) & (least >= side * total) & (least >= side_km)
+        worth = np.where(fits, total - gap, 0.0)
+        while worth.max() > value + 1e-9:
+            x, y, z = np.unravel_index(int(worth.argmax()), worth.shape)
+            found = _measured(lat, lon, [int(i[x]), int(j[y]), int(k[z])], most_gap, side, side_km)
+            worth[x, y, z] = 0.0
+            if found is not None and found.perimeter_km - found.gap_km > value:
+                best, value = found, found.perimeter_km - found.gap_km
+    return best
+
+
 def _moved(lat: np.ndarray, lon: np.ndarray, turns: list[int], corners: np.ndarray, rows: np.ndarray, most_gap: float, side: float, side_km: float) -> list[int]:
     """Each turnpoint in turn is moved to the fix between its neighbours among the corners that gives the largest valid triangle."""
     gap_km = float(_gaps(lat, lon, np.array([turns[0], turns[2]]), np.union1d(rows, turns))[0, 1])
@@ -311,7 +423,7 @@ def _kind(lat: np.ndarray, lon: np.ndarray, kind: str, fd_m: int) -> dict | None
         if kind == "free_triangle" and sub_type == "olc_open" and distance < FREE_TO_FD * fd_m:
             return None
         factor = FACTORS[kind, sub_type]
-        route = {"type": kind, "sub_type": sub_type, "turns": list(found.turns), "legs_m": legs, "distance_m": distance, "gap_m": gap, "gap_ends": list(found.gap), "factor": factor, "score": distance / 1000 * factor, "optimal": len(lat) <= CORNERS}
+        route = {"type": kind, "sub_type": sub_type, "turns": list(found.turns), "legs_m": legs, "distance_m": distance, "gap_m": gap, "gap_ends": list(found.gap), "factor": factor, "score": distance / 1000 * factor, "optimal": found.optimal}
         best = route if best is None or route["score"] > best["score"] else best
     return best
 

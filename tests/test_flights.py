@@ -186,3 +186,32 @@ def test_simplification():
     a, o = np.array([0, 0, 1000, 1000, 0.0]), np.array([0, 5000, 5000, 0, 0.0])
     assert routes.aspect_ratio(a, o) == pytest.approx(5, rel=0.01)
     assert routes.aspect_ratio(a[:2], o[:2]) is None
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_blocks_find_the_best_triangle(monkeypatch, seed):
+    """Tracks beyond the exhaustive search give what it would find."""
+    lat, lon = wander(90 + 7 * seed, seed)
+    for gap in (0.2, 0.05):
+        for side, km in ((0.0, 0.0), (routes.FAI_SIDE, 0.2)):
+            want = routes.best_triangle(lat, lon, gap, side, km)
+            with monkeypatch.context() as m:
+                m.setattr(routes, "CORNERS", 12)
+                m.setattr(routes, "BLOCK_FIXES", 4)
+                got = routes.best_triangle(lat, lon, gap, side, km)
+            assert (got is None) == (want is None)
+            if want is not None:
+                assert got.optimal and got.perimeter_km - got.gap_km == pytest.approx(want.perimeter_km - want.gap_km, abs=1e-9)
+
+
+def test_long_tracks_are_searched_to_the_end():
+    """An hour at 1 Hz: optimal, and no worse than its every tenth fix searched exhaustively."""
+    t = np.arange(3_600)
+    lat = 4_700_000 + 18_000 * np.sin(t / 570) + 1_500 * np.sin(t / 31) + t * 0.4
+    lon = 1_300_000 + 26_000 * np.cos(t / 575) + 2_100 * np.cos(t / 37)
+    lat, lon = np.round(lat), np.round(lon)
+    for gap in (0.2, 0.05):
+        found = routes.best_triangle(lat, lon, gap, routes.FAI_SIDE, routes.FAI_SIDE_KM)
+        coarse = routes.best_triangle(lat[::24], lon[::24], gap, routes.FAI_SIDE, routes.FAI_SIDE_KM)
+        assert found is not None and found.optimal
+        assert coarse is None or found.perimeter_km - found.gap_km >= coarse.perimeter_km - coarse.gap_km - 1e-9
