@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skytrace.operators.series import in_order
+from skytrace.operators.series import each_flight, in_order
 
 # Speed that no fix can exceed, in m/s; a gap that ends a track; how long a backward run is a slip; most pieces of a
 # shifted track.
@@ -274,7 +274,7 @@ def cleaned(fixes: DataFrame) -> DataFrame:
         out = clean(f[_FIX])
         return out.assign(flight_id=key[0], raw_idx=out["idx"], idx=np.arange(len(out)))
 
-    return fixes.select("flight_id", *_FIX).groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, idx long, raw_idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int")
+    return each_flight(fixes.select("flight_id", *_FIX)).applyInPandas(one, f"flight_id {kind}, idx long, raw_idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int")
 
 
 def flight_windows(fixes: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def flight_windows(fixes: DataFrame) -> DataFrame:
         rows = [] if found is None else [(key[0], *(int(f["idx"][i]) for i in found), *(int(f["t"][i]) for i in found))]
         return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx", "takeoff_t", "landing_t"])
 
-    return fixes.select("flight_id", *_FIX).groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long, takeoff_t long, landing_t long")
+    return each_flight(fixes.select("flight_id", *_FIX)).applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long, takeoff_t long, landing_t long")
 
 
 def plausible_fixes(fixes: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def plausible_fixes(fixes: DataFrame) -> DataFrame:
         keep = plausible(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5")))
         return pd.DataFrame({"flight_id": key[0], "idx": f["idx"][keep]})
 
-    return fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, idx long")
+    return each_flight(fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, idx long")
 
 
 def shifted_flights(fixes: DataFrame) -> DataFrame:
@@ -322,4 +322,4 @@ def speed_windows(fixes: DataFrame) -> DataFrame:
         rows = [] if found is None else [(key[0], *(int(f["idx"][i]) for i in found))]
         return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx"])
 
-    return fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long")
+    return each_flight(fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long")

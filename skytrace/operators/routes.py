@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skytrace.operators.series import each_flight
+
 RADIUS_M = 6_371_000.0
 
 
@@ -462,7 +464,7 @@ def scored_routes(fixes: DataFrame) -> DataFrame:
             r |= {"flight_id": key[0], "turns": idx[r["turns"]].tolist(), "gap_ends": None if r["gap_ends"] is None else idx[r["gap_ends"]].tolist()}
         return pd.DataFrame(found, columns=names).astype({"gap_m": "Int64"})
 
-    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, {ROUTE}")
+    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, {ROUTE}")
 
 
 def simplified(fixes: DataFrame, tolerance_m: float, chord_m: float | None = None) -> DataFrame:
@@ -474,7 +476,7 @@ def simplified(fixes: DataFrame, tolerance_m: float, chord_m: float | None = Non
         xy = plane_m(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))
         return pd.DataFrame({"flight_id": key[0], "idx": f["idx"].to_numpy()[simplify(xy, tolerance_m, chord_m)]})
 
-    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, idx long")
+    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, idx long")
 
 
 def aspect_ratios(fixes: DataFrame) -> DataFrame:
@@ -484,7 +486,7 @@ def aspect_ratios(fixes: DataFrame) -> DataFrame:
         f = f.sort_values("idx")
         return pd.DataFrame({"flight_id": [key[0]], "aspect_ratio": [aspect_ratio(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))]})
 
-    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, aspect_ratio double")
+    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, aspect_ratio double")
 
 
 def free_distances(fixes: DataFrame) -> DataFrame:
@@ -499,7 +501,7 @@ def free_distances(fixes: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=["flight_id", "turns", "distance_m"])
         return pd.DataFrame({"flight_id": [key[0]], "turns": [f["idx"].to_numpy()[way].tolist()], "distance_m": [free_distance_m(lat, lon, way)[1]]})
 
-    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, turns array<long>, distance_m long")
+    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, turns array<long>, distance_m long")
 
 
 def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -518,4 +520,4 @@ def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[
                     out.append((key[0], shape, sub_type, idx[list(found.turns)].tolist(), idx[list(found.gap)].tolist(), found.perimeter_km, found.gap_km))
         return pd.DataFrame(out, columns=names)
 
-    return fixes.select("flight_id", "idx", "lat_e5", "lon_e5").groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, type string, sub_type string, turns array<long>, gap_ends array<long>, perimeter_km double, gap_km double")
+    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, type string, sub_type string, turns array<long>, gap_ends array<long>, perimeter_km double, gap_km double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skytrace.operators.series import each_flight
+
 # How long an odd run between two equal ones may be, and the least duration of a run, in seconds.
 ODD_S, LEAST_S = 8, 15
 
@@ -56,4 +58,4 @@ def climb_segments(runs: DataFrame) -> DataFrame:
         found = dissolve_short(absorb_odd(f.sort_values("start_idx")[names].values.tolist()))
         return pd.DataFrame(found, columns=names).assign(flight_id=key[0])
 
-    return runs.select("flight_id", *names).groupBy("flight_id").applyInPandas(one, f"flight_id {kind}, bucket int, start_idx long, end_idx long, start_t long, end_t long")
+    return each_flight(runs.select("flight_id", *names)).applyInPandas(one, f"flight_id {kind}, bucket int, start_idx long, end_idx long, start_t long, end_t long")

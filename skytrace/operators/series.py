@@ -6,7 +6,7 @@ shuffle on flight_id serves them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, GroupedData, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,13 @@ def in_order() -> WindowSpec:
     return W.partitionBy("flight_id").orderBy("idx")
 
 
+def each_flight(fixes: DataFrame) -> GroupedData:
+    """Fixes grouped by flight for a kernel: dealt to as many tasks as the session shuffles to, however few bytes they are, as a kernel's
+    work is not in its bytes; left alone, few bytes would all go to one task."""
+    n = int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fixes.repartition(n, "flight_id").groupBy("flight_id")
+
+
 def _around(seconds: int) -> WindowSpec:
     return W.partitionBy("flight_id").orderBy("t").rangeBetween(-seconds, seconds)
 
