@@ -119,3 +119,38 @@ def test_inflation_is_bounded():
     with pytest.raises(ValueError):
         xmltracks.inflated(gzip.compress(bytes(1000)), 999)
     assert xmltracks.inflated(gzip.compress(bytes(1000)), 1000) == bytes(1000)
+
+
+def test_one_way_in_for_all_files(spark):
+    """Logs in windows-1251, gzipped ones, and files that are refused, each with its reason."""
+
+    from skytrace.sources import ingest
+
+    log = "AXCT\nHFDTE010524\nHFPLTПилот\nB1200004646349N01308989EA0010000200\nB1200014646350N01308990EA0010100201\n"
+    files = [("a.IGC", log.encode("cp1251")), ("b.igc.gz", gzip.compress(log.encode())), ("c.igc", b"AXCT\n"), ("d.igc", b"x" * (ingest.MOST_BYTES + 1)), ("e.txt", b""), ("f.gpx", b"<gpx"), ("g.igc.gz", gzip.compress(log.encode())[:-9])]
+    got = ingest.fixes_of(spark.createDataFrame(files, "path string, content binary")).collect()
+    read = {p: sorted((r.idx, r.geo_dm, r.pressure_dm) for r in got if r.path == p and r.error is None) for p in ("a.IGC", "b.igc.gz")}
+    assert read["a.IGC"] == read["b.igc.gz"] == [(0, 2000, 1000), (1, 2010, 1010)]
+    errors = {r.path: r.error for r in got if r.error is not None}
+    assert set(errors) == {"c.igc", "d.igc", "e.txt", "f.gpx", "g.igc.gz"}
+    assert errors["c.igc"] == "no fixes" and errors["d.igc"] == "the file is too large" and errors["e.txt"] == "unknown format"
+    assert ingest.decoded("Пилот".encode("cp1251")) == "Пилот"
+    assert all(r.t is None and r.lat_e5 is None for r in got if r.error is not None)
+
+
+def test_long_flights_are_encoded_in_proportion(spark):
+    """A flight of 60,000 fixes comes back; with a list of all steps in each row it would hold 3.6 billion numbers."""
+    fixes = spark.range(60_000).selectExpr("1L flight_id", "id idx", "1700000000 + id + id div 1000 t", "int(4700000 + id % 90) lat_e5", "int(1300000 + id) lon_e5", "int(10000 + id % 50) geo_dm", "cast(null as int) pressure_dm", "cast(null as int) tas_kmh")
+    back = codec.decode(codec.encode(fixes))
+    assert back.select(fixes.columns).exceptAll(fixes).count() == 0 and back.count() == 60_000
+
+
+def test_a_zoom_reads_the_one_below(spark):
+    """Every zoom of a pyramid is computed once: its plan holds the scans of its own zoom, not of all below it."""
+    from skytrace.operators import tiles
+
+    px = spark.range(64).selectExpr("6 z", "int(id % 8) x", "int(id div 8) y").selectExpr("z", "x", "y", "explode(sequence(0, 15)) i").selectExpr("z", "x", "y", "int(i div 4) row", "int(i % 4) col", "double(x + y) value")
+    out = tiles.pyramid(px, 4, 0, 6)
+    counts = {r.z: r["count"] for r in out.groupBy("z").count().collect()}
+    assert counts == {6: 1024, 5: 256, 4: 64, 3: 16, 2: 16, 1: 16, 0: 16}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 6
