@@ -58,11 +58,6 @@ def decode_cursor(text: str) -> tuple[int, str]:
     return at, key
 
 
-def top_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def ranked_enum(value: Column, names: list[str]) -> Column:
     """The place of a value in the order in which an enum declares its names, from 1; 0 for others."""
     return F.array_position(F.array(*map(F.lit, names)), value)

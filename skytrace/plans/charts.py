@@ -116,6 +116,15 @@ def cursor_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.readout(f, cursors).select("flight_id", "share", "idx", "t", "alt_dm")
 
 
+@query(f"""WITH {FIXES}, {_WINDOWS} SELECT f.flight_id, f.idx, round(CASE WHEN landing_idx > takeoff_idx THEN (f.idx - takeoff_idx) / (landing_idx - takeoff_idx)::DOUBLE ELSE 0 END, 9) AS share FROM fixes f JOIN win USING (flight_id) WHERE f.idx BETWEEN takeoff_idx AND landing_idx""")
+def fix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each fix lies within its flight, from 0 at takeoff to 1 at landing."""
+    f = fixes(spark, sf_dir)
+    within = f.join(_windows(f).select("flight_id", "takeoff_idx", "landing_idx"), "flight_id").where("idx between takeoff_idx and landing_idx")
+    share = charts.share_of(F.col("idx"), F.col("takeoff_idx"), F.col("landing_idx"))
+    return within.select("flight_id", "idx", F.round(share, 9).alias("share"))
+
+
 @query(f"""WITH {FIXES}, p AS (SELECT user_id AS flight_id, event_id AS point_id, CAST(4590000 + (event_id * 31) % 40000 AS INT) AS lat_e5, CAST(1290000 + (event_id * 57) % 50000 AS INT) AS lon_e5 FROM events)
 SELECT p.point_id, p.flight_id, arg_min(f.idx, (CAST(f.lat_e5 - p.lat_e5 AS BIGINT) * (f.lat_e5 - p.lat_e5) + CAST(f.lon_e5 - p.lon_e5 AS BIGINT) * (f.lon_e5 - p.lon_e5), f.idx)) AS idx FROM p JOIN fixes f ON f.flight_id = p.flight_id GROUP BY 1, 2""")
 def nearest_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:

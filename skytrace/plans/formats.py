@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions import geo
 from skytrace.operators import charts, tiles
-from skytrace.plans.tables import FIXES, fixes, table
+from skytrace.plans.tables import FIXES, fixes, haversine_sql, table
 from skytrace.sources import codec, igc, ingest
 
 QUERIES, SQL = {}, {}
@@ -89,7 +89,7 @@ def archives_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.fixes_of(kept).select("path", "idx", "t", "lat_e5", "lon_e5", "geo_dm")
 
 
-_LOG = f"""{FIXES}, g AS (SELECT flight_id, idx, 1_700_000_000 + t // 500 % 100_000_000 AS t, alt_dm FROM fixes), w AS (SELECT flight_id, min(t) + 3000 AS a, max(t) - 3000 AS b FROM g GROUP BY 1)"""
+_LOG = f"""{FIXES}, g AS (SELECT flight_id, idx, 1_700_000_000 + t // 500 % 100_000_000 AS t, alt_dm FROM fixes), w AS (SELECT flight_id, min(t) + 1000 AS a, max(t) - 1000 AS b FROM g GROUP BY 1)"""
 
 
 @query(f"""WITH {_LOG} SELECT g.flight_id, (row_number() OVER (PARTITION BY g.flight_id ORDER BY idx) - 1) AS idx, t, CAST(alt_dm // 10 * 10 AS INT) AS geo_dm FROM g JOIN w USING (flight_id) WHERE t BETWEEN a AND b""")
@@ -97,7 +97,7 @@ def sliced_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The logs of the stretches between takeoff and landing, read again."""
     t = F.expr("1700000000 + t div 500 % 100000000")
     f = fixes(spark, sf_dir).select("flight_id", "idx", t.alias("t"), "lat_e5", "lon_e5", F.col("alt_dm").alias("geo_dm"), F.lit(None).cast("int").alias("pressure_dm"), F.lit(None).cast("int").alias("tas_kmh"))
-    w = f.groupBy("flight_id").agg((F.min("t") + 3_000).alias("takeoff_t"), (F.max("t") - 3_000).alias("landing_t"))
+    w = f.groupBy("flight_id").agg((F.min("t") + 1_000).alias("takeoff_t"), (F.max("t") - 1_000).alias("landing_t"))
     lines = charts.sliced_logs(f, w).select(F.col("flight_id").cast("string").alias("path"), F.posexplode(F.split("igc", "\n")).alias("n", "line"))
     return igc.parse(lines).select(F.col("path").cast("long").alias("flight_id"), "idx", "t", "geo_dm")
 
@@ -136,7 +136,7 @@ def tile_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNK = """chunk AS (SELECT vec_id % 12 AS cx, vec_id // 12 AS cy, CAST((i - 1) // 8 AS INT) AS r, CAST((i - 1) % 8 AS INT) AS c, embedding[i]::DOUBLE * 1000 AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i) WHERE embedding IS NOT NULL),
-px AS (SELECT CAST(cx * 8 + c AS INT) AS gx, CAST(cy * 8 + r AS INT) AS gy, CASE WHEN isfinite(v) THEN least(greatest(round(v), 0), 32767) ELSE 0 END AS v FROM chunk),
+px AS (SELECT CAST(cx * 8 + c AS INT) AS gx, CAST(cy * 8 + r AS INT) AS gy, CASE WHEN isfinite(v) AND round(v) > 0 THEN least(round(v), 32767) ELSE 0 END AS v FROM chunk),
 reg AS (SELECT * FROM (VALUES (1, 3, 5, 20, 12), (2, 0, 0, 96, 96), (3, 40, 17, 33, 50)) t(region_id, x0, y0, w, h))"""
 
 
@@ -185,3 +185,15 @@ def plane_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ax, ay, bx, by = (lag(c, k).cast("double") for k in (2, 1) for c in ("lon_e5", "lat_e5"))
     f = fixes(spark, sf_dir)
     return f.select("flight_id", "idx", F.round(_cross(ax, ay, bx, by, x, y), 3).alias("twice_area"), F.round(geo.segment_distance_m(x, y, ax, ay, bx, by), 6).alias("off"), F.round(geo.fcc_distance_km(lag("lat_e5", 1), lag("lon_e5", 1), "lat_e5", "lon_e5"), 6).alias("fcc_km"))
+
+
+@query(f"""WITH {FIXES}, l AS (SELECT *, lag(lat_e5) OVER w AS la, lag(lon_e5) OVER w AS lo FROM fixes WINDOW w AS (PARTITION BY flight_id ORDER BY idx))
+SELECT flight_id, idx, CAST(round({haversine_sql("la", "lo", "lat_e5", "lon_e5")}) AS BIGINT) AS leg_m, CAST(round((lat_e5 - 4610000) / 7 * 1e5) AS INT) AS e5, CAST(round((alt_dm - 5000) / 3 * 10) AS INT) AS dm FROM l""")
+def rounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs between neighbouring fixes in whole metres; degrees and metres in the units that tracks are kept in."""
+    from skytrace.operators.series import in_order
+
+    lag = lambda c: F.lag(c).over(in_order())
+    leg = geo.leg_m(lag("lat_e5"), lag("lon_e5"), "lat_e5", "lon_e5")
+    e5, dm = geo.to_e5((F.col("lat_e5") - 4_610_000) / 7), geo.decimetres((F.col("alt_dm") - 5_000) / 3)
+    return fixes(spark, sf_dir).select("flight_id", "idx", leg.alias("leg_m"), e5.alias("e5"), dm.alias("dm"))

@@ -41,6 +41,15 @@ def test_fnv(spark):
     assert spark.range(1).select(codec.fnv1a(F.lit("foobar").cast("binary")).alias("h")).first().h == 0xBF9CF968
 
 
+def test_etag(spark):
+    from pyspark.sql import functions as F
+    from xxhash import xxh64
+
+    blobs = [b"", b"foobar", bytes(range(256)) * 40, b"12263"]
+    got = spark.createDataFrame([(bytearray(b),) for b in blobs], "data binary").select(codec.etag(F.col("data")).alias("tag")).collect()
+    assert [r.tag for r in got] == [f"{xxh64(b, seed=42).intdigest():016x}" for b in blobs]
+
+
 def read_igc(spark, tmp_path, text, name="a.igc"):
     (tmp_path / name).write_text(text)
     return igc.parse(igc.lines(spark, str(tmp_path))).orderBy("idx").collect()
