@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import bpe, chunks, mixing, quality, shards, toxicity, urls, vectors
-from skytrace.llm.common import crc32_of_id, new_folder, table
+from skytrace.llm import bpe, chunks, mixing, periods, quality, shards, toxicity, turns, urls, vectors
+from skytrace.llm.common import WORD, crc32_of_id, new_folder, table, written
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
 
@@ -67,7 +67,44 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_neighbours, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards, op10_embeddings)}
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The contract's damage: in a tenth of the texts, told by their ids, the words from some place on repeat the first of them."""
+    words, n, a, p = F.regexp_extract_all("text", F.lit(WORD), 0), F.col("_n"), F.col("_a"), F.col("_p")
+    code = crc32_of_id("doc_id")
+    split = docs.select("doc_id", "text", F.when((code % 10 == 0) & F.col("text").isNotNull(), words).alias("_words"), F.floor(code / 10).alias("_g"))
+    placed = split.withColumn("_n", F.size("_words").cast("long")).withColumn("_a", F.when(n > 0, F.col("_g") % n))
+    placed = placed.withColumn("_p", 1 + F.floor((n - a) / (3 + F.col("_g") % 8)))
+    head, unit = F.slice("_words", F.lit(1), a.cast("int")), F.slice("_words", (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document of the periodic runs of its words after the contract's damage: their number, the longest one (nulls without
+    any), and digests of all runs and of the text without what they repeat. A null doc_id is not damaged; rows stay as they are,
+    repeated ones too."""
+    found = periods.with_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("_best"), F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("_best.start"), F.col("_best.length"), -F.col("_best.period")
+    return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation of its faults after the contract's damage and of the cheapest repair. Null ids are one conversation;
+    turns without a number come first; one whose turns are all dropped has zeros, no edits and the digest of an empty text."""
+    conversations = table(spark, sf_dir, "conversations")
+    known, edited = turns.repair(turns.damaged(conversations))
+    told, whole = written(known, "summary"), turns.as_documents(edited).withColumnRenamed("conv_id", "_conv")
+    both = told.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv").withColumnRenamed("conv_id", "_id")
+    every = conversations.select("conv_id").distinct().join(both, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return every.select("conv_id", *counts, none("audit").alias("audit"), F.sha2(none("repaired"), 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_neighbours, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards, op10_embeddings, op12_periods, op13_turns)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
