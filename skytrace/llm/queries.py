@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import bpe, chunks, mixing, periods, quality, shards, toxicity, turns, urls, vectors
+from skytrace.llm import bpe, chunks, identifiers, mixing, periods, quality, shards, toxicity, turns, urls, vectors
 from skytrace.llm.common import WORD, crc32_of_id, new_folder, table, written
 from skytrace.llm.simhash import fingerprint_text, near_duplicate_groups
 
@@ -67,6 +67,17 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: how many of each kind the fixed patterns find, their digest, and all spans, the added ones too. Null and
+    empty texts have none; repeated rows and ids, null ones too, are rows of their own."""
+    found = identifiers.personal_data(table(spark, sf_dir, "documents"))
+    named = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, identifiers.KINDS)), s["kind"] + 1), s["start"], s["end"])
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(identifiers.KINDS)]
+    listed = lambda spans: F.array_join(F.transform(spans, named), ",")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """The contract's damage: in a tenth of the texts, told by their ids, the words from some place on repeat the first of them."""
     words, n, a, p = F.regexp_extract_all("text", F.lit(WORD), 0), F.col("_n"), F.col("_a"), F.col("_p")
@@ -104,7 +115,7 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, none("audit").alias("audit"), F.sha2(none("repaired"), 256).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_neighbours, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards, op10_embeddings, op12_periods, op13_turns)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_neighbours, op4_simhash, op5_bpe, op6_substrings, op7_quality, op8_urls, op9_shards, op10_embeddings, op11_personal_data, op12_periods, op13_turns)}
 
 _SOURCES = """
 sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
