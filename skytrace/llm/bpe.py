@@ -24,20 +24,36 @@ LEAF, WINDOW = 4096, 64
 #: Between a character that is no white space and a plain blank, every way to split a text has a border: a piece holds white space
 #: only as its first character or throughout, and looks ahead at most one character behind itself.
 _BORDER = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: White space as the tokenizer's pattern knows it. A long run of it is taken out before the library sees it, whose pattern would look
+#: ahead from within it too deeply: before a character that is none, the run is one piece but for its last character.
+_LONG_RUN = 1_000
+_SPACE = "[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
+@lru_cache(maxsize=4)
+def _long_runs(least: int) -> re.Pattern:
+    return re.compile(f"{_SPACE}{{{least},}}+")
 
 
 class Codec:
     """The tokenizer of a rank file, and the byte length of each id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, long_run: int = _LONG_RUN):
         import tiktoken
 
+        self.long_run = long_run
         self._own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.size[list(ranks.values())] = [len(x) for x in ranks]
 
     def leaf(self, text: str) -> np.ndarray:
-        return np.array(self._own.encode_ordinary(text), dtype="<u4")
+        """Ids of a text that is encoded on its own."""
+        parts, at = [], 0
+        for run in _long_runs(self.long_run).finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            parts += [*self._own.encode_ordinary(text[at : run.start()]), *self._own._encode_single_piece(text[run.start() : stop])]
+            at = stop
+        return np.array(parts + self._own.encode_ordinary(text[at:]), dtype="<u4")
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= LEAF:
@@ -113,7 +129,8 @@ def _decoder(path: str | None) -> Callable[[bytes], bytes]:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): ids of each whole text as little-endian unsigned 32-bit integers; a null text counts as empty. Rows keep
-    their number and order within their partition; other columns are left out."""
+    their number and order within their partition, repeated ones too; other columns are left out. A text may be of any length, a
+    million blanks in a row included; an empty table gives no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = few_at_once(docs).select("doc_id", "text")
     return source.mapInArrow(partial(_mapped, take="text", give="ids", change=partial(_encoder, path)), f"doc_id {kind}, ids binary")
