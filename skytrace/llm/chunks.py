@@ -81,7 +81,7 @@ def chunk_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
 
 
 def _window_texts(ids: pa.Array, marks: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_128_digest
 
     gap = bytes(GEAR_BYTES)
     joined = gap.join(texts) + gap
@@ -102,9 +102,10 @@ def _window_texts(ids: pa.Array, marks: np.ndarray, texts: list[bytes]) -> pa.Re
     known = last[head] != tail
     tail, head = tail[known], head[known]
     of, begin, end = np.append(of[whole], of[tail]), np.append(begin[whole], begin[head]), np.append(end[last[whole]], end[tail])
-    digests = np.array([xxh3_64_intdigest(joined[s:e]) for s, e in zip(begin.tolist(), end.tolist())], dtype=np.uint64).view(np.int64)
+    digests = np.frombuffer(b"".join([xxh3_128_digest(joined[s:e]) for s, e in zip(begin.tolist(), end.tolist())]), dtype=np.int64).reshape(-1, 2)
     place = (begin - starts[of]) << _SIZE_BITS | (end - begin)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(place), pa.array(marks[of]), pa.array(digests)], ["doc_id", "place", "mark", "digest"])
+    columns = [ids.take(pa.array(of)), pa.array(place), pa.array(marks[of]), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "mark", "digest", "digest2"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +125,11 @@ def _mark() -> Column:
 
 
 def text_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, mark, digest): the window at every chunk of every whole text that has enough words or bytes from there on;
-    place packs offset and bytes into one long."""
+    """(doc_id, place, mark, digest, digest2): the window at every chunk of every whole text that has enough words or bytes from there
+    on; place packs offset and bytes into one long. The digest has 128 bits, as among 10^12 windows some pairs share any 64."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = few_at_once(docs).where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("text"), _mark().alias("mark"), F.octet_length("text").alias("size"))
-    return texts.mapInArrow(_window_batches, f"doc_id {kind}, place long, mark long, digest long")
+    return texts.mapInArrow(_window_batches, f"doc_id {kind}, place long, mark long, digest long, digest2 long")
 
 
 def _start(place: str) -> Column:
@@ -177,15 +178,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     windows = written(text_windows(docs), "windows")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    key, own = ["digest", "size"], F.struct("doc_id", "place", "mark")
-    windows = windows.withColumn("size", _size("place"))
+    key, own = ["digest", "digest2"], F.struct("doc_id", "place", "mark")
     # A min and a max per digest, on the map side first: a passage in a third of all texts is one row per task.
     first = windows.groupBy(*key).agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first != last").select(*key, "first")
     later = windows.join(first, key).where(own != F.col("first"))
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
     # A window that overlaps its own first occurrence is cut from where that ends.
     start = F.when(same, F.greatest(_start("place"), _start("first.place") + _size("first.place"))).otherwise(_start("place"))
-    found = later.select("doc_id", "mark", F.struct(start.alias("start"), (_start("place") + F.col("size")).alias("end"), F.col("first.doc_id").alias("first_id")).alias("found"))
+    found = later.select("doc_id", "mark", F.struct(start.alias("start"), (_start("place") + _size("place")).alias("end"), F.col("first.doc_id").alias("first_id")).alias("found"))
     listed = found.groupBy("doc_id", "mark").agg(F.collect_set("found").alias("found"))  # a set, as repeated rows bring each again
     return listed.mapInArrow(_joined, f"doc_id {kind}, mark long, starts array<long>, ends array<long>, cut_bytes long, first_ids array<{kind}>")
 
@@ -197,7 +197,8 @@ _OWN = "__chunks_"
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, texts, lengths = [], [], []
-        old = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+        counted = "n_chars" in batch.schema.names and pa.types.is_integer(batch.schema.field("n_chars").type)
+        old = batch.column("n_chars").to_pylist() if counted else [None] * batch.num_rows
         for n, (text, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", _OWN + "starts", _OWN + "ends")))):
             if starts:
                 raw, at, parts = text.encode(), 0, []
@@ -213,7 +214,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             lengths.append(old[n])
         kept = pa.array(rows, pa.int64())
-        new = {"text": texts, "n_chars": lengths}
+        new = {"text": texts} | ({"n_chars": lengths} if counted else {})
         names = [c for c in batch.schema.names if not c.startswith(_OWN)]
         yield pa.RecordBatch.from_arrays([pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(c).take(kept) for c in names], names)
 
@@ -221,7 +222,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeated_passages(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from the texts; a document of which no word is left goes, one that had none stays.
 
-    n_chars, if there is one, follows the text where it was cut. Other columns stay as they are.
+    n_chars, if there is one of whole numbers, follows the text where it was cut. All other columns stay as they are, whatever their
+    names; rows that repeat an id and a text are cut alike; null ids are ids. An empty table gives no rows.
     """
     spans = repeated_spans(docs.select("doc_id", "text")).select([F.col(c).alias(_OWN + c) for c in ("doc_id", "mark", "starts", "ends")])
     same = docs["doc_id"].eqNullSafe(spans[_OWN + "doc_id"]) & (_mark() == spans[_OWN + "mark"])
