@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from skytrace.llm.common import WORD, partitions, written
 
@@ -53,10 +54,12 @@ def offset(source: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _mark() -> list[Column]:
-    """128 bits that name a row by its id, source and text."""
-    none = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in ("doc_id", "source", "text")])
-    return [F.xxhash64(F.lit(seed), none, "doc_id", "source", "text") for seed in (0, 1)]
+def _mark(docs: DataFrame) -> list[Column]:
+    """128 bits that name a row by all its columns, so unlike rows are different documents even where id, source and text agree."""
+    plain = lambda f: F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    columns = [plain(f) for f in docs.schema.fields if not isinstance(f.dataType, NullType)]
+    none = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
+    return [F.xxhash64(F.lit(seed), none, *columns) for seed in (0, 1)]
 
 
 def copies(docs: DataFrame, **targets) -> DataFrame:
@@ -68,7 +71,7 @@ def copies(docs: DataFrame, **targets) -> DataFrame:
     interchangeable. A null text has size 0. mark and check tell apart rows that share an id. A null source is a source; rows with
     null ids come first among those of their size. Texts may have any length, other columns any name; an empty table gives no rows.
     """
-    mark, check = _mark()
+    mark, check = _mark(docs)
     slim = written(docs.select("doc_id", mark.alias("mark"), check.alias("check"), n_words().alias("size"), "source"), "sizes")
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "mark"]
     slim = written(slim.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()), "ordered")
@@ -88,13 +91,15 @@ def copies(docs: DataFrame, **targets) -> DataFrame:
 def mix(docs: DataFrame, **targets) -> DataFrame:
     """docs with each row as often as the mix takes it; columns as they come, whatever their names.
 
-    Rows with the same id, source and text are one document, of which any row stands for all: it comes as often as the mix takes
-    them together. They are brought together on the map side first, so a row that a third of all repeat is one row per task. Whole
+    Rows that agree in all columns are one document, which comes as often as the mix takes them together; unlike rows are documents
+    of their own, whatever id and text they share. Only rows that repeat each other are brought together, on the map side first. Whole
     texts of any length are kept; an empty table gives none.
     """
-    drawn = copies(docs, **targets).groupBy("mark", "check").agg(F.sum("n_copies").cast("int").alias(_OWN + "n")).where(F.col(_OWN + "n") > 0)
-    drawn = drawn.select(F.col("mark").alias(_OWN + "mark"), F.col("check").alias(_OWN + "check"), _OWN + "n")
-    keys = [c.alias(_OWN + k) for c, k in zip(_mark(), ("mark", "check"))]
-    ones = docs.select(*keys, F.struct(docs.columns).alias(_OWN + "row")).groupBy(_OWN + "mark", _OWN + "check").agg(F.first(_OWN + "row").alias(_OWN + "row"))
-    times = ones.join(drawn, [_OWN + "mark", _OWN + "check"])
-    return times.select(_OWN + "row", F.explode(F.array_repeat(F.lit(1), F.col(_OWN + "n")))).select(_OWN + "row.*")
+    keys = [_OWN + "mark", _OWN + "check"]
+    drawn = copies(docs, **targets).groupBy(F.col("mark").alias(keys[0]), F.col("check").alias(keys[1])).agg(F.sum("n_copies").cast("int").alias(_OWN + "n"), F.count("*").alias(_OWN + "rows")).where(F.col(_OWN + "n") > 0)
+    named = docs.select(*[c.alias(k) for c, k in zip(_mark(docs), keys)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_OWN + "row"))
+    # One shuffle of the rows serves both branches.
+    taken = named.join(drawn, keys)
+    once = taken.where(F.col(_OWN + "rows") == 1).select(_OWN + "row", _OWN + "n")
+    more = taken.where(F.col(_OWN + "rows") > 1).groupBy(*keys).agg(F.first(_OWN + "row").alias(_OWN + "row"), F.first(_OWN + "n").alias(_OWN + "n")).select(_OWN + "row", _OWN + "n")
+    return once.unionByName(more).select(_OWN + "row", F.explode(F.array_repeat(F.lit(1), F.col(_OWN + "n")))).select(_OWN + "row.*")
