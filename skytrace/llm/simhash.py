@@ -325,18 +325,27 @@ def _row_key() -> dict[str, Column]:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one of least doc_id (null ids last), then of least text hash. Rows with the same id
-    and text are one document and stay or go together. Columns as they come."""
+    """docs with one row of each group: that of least doc_id (null ids last), then of least text hash. Of rows that share both, one
+    stays: the one of least hash over all columns. Columns as they come; a null or empty text is a text like any other; texts may have
+    any length; an empty table gives no rows."""
     own = _row_key()
     rank = F.struct(F.col(_OWN + "id").isNull().alias("none"), *own)
     prints = written(fingerprints(docs.select(*(c.alias(k) for k, c in own.items()), "text")), "fingerprints")
     groups = connected_components(fingerprint_links(prints)).withColumnRenamed("node", "fp")
-    members = prints.distinct().join(groups, "fp", "left").select(*own, F.coalesce("component", "fp").alias("component"))
+    counted = prints.groupBy(*own, "fp").agg(F.count("*").alias("n"))
+    members = counted.join(groups, "fp", "left").select(*own, "n", F.coalesce("component", "fp").alias("component"))
     # A min per group, summed on the map side: a large group is one row per task.
     least = members.groupBy("component").agg(F.min(rank).alias("least"))
-    gone = members.join(least, "component").where(rank != F.col("least")).select(*own)
-    same = [c.eqNullSafe(gone[k]) for k, c in own.items()]
-    return docs.join(gone, same[0] & same[1] & same[2], "left_anti")
+    leaves = (rank != F.col("least")).alias(_OWN + "leaves")
+    fate = members.join(least, "component").select(*[F.col(k).alias("_" + k) for k in own], leaves, "n").where(F.col(_OWN + "leaves") | (F.col("n") > 1)).drop("n")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_OWN + "row")
+    # One shuffle of the rows serves both branches.
+    told = docs.select(row, *[c.alias(k) for k, c in own.items()])
+    told = told.join(fate, told[_OWN + "id"].eqNullSafe(fate["_" + _OWN + "id"]) & (told[_OWN + "h1"] == fate["_" + _OWN + "h1"]) & (told[_OWN + "h2"] == fate["_" + _OWN + "h2"]), "left")
+    once = told.where(F.col(_OWN + "leaves").isNull()).select(_OWN + "row")
+    digest = F.xxhash64(*[F.col(f"{_OWN}row.`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"{_OWN}row.`{f.name}`") for f in docs.schema.fields])
+    one = told.where(~F.col(_OWN + "leaves")).groupBy(*own).agg(F.min_by(_OWN + "row", digest).alias(_OWN + "row")).select(_OWN + "row")
+    return once.unionByName(one).select(_OWN + "row.*")
 
 
 def fingerprint_text(fp: Column) -> Column:
