@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ LEAST_Z, LEAST_TEXTS, LEAST_SHARE = 5.5, 4, 0.01
 #: Letters of a stem: the beginning that two or more different words of a text share.
 STEMS = (5, 6, 7)
 REJECT_FROM = 0.7
+#: Bounds of the estimated share of toxic texts, and the chance that its bounds may fail.
+LEAST_PRIOR, MOST_PRIOR, RISK = 1e-3, 0.9, 0.1
 _WORDS_OF = re.compile(r"[^\W_]+").findall
 
 
@@ -89,23 +92,37 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w.astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labels of rows whose crc32(doc_id as text) mod 3 is not 1, and from unlabelled texts of such rows.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of toxic texts among unlabelled ones, from how both kinds show the signs; no clean label is needed.
+
+    Of texts that score c or more, unlabelled ones hold at least prior times the share of toxic ones; near the top they hold hardly
+    more. The c is the one at which this ratio is surely lowest, as both shares are samples (best bin estimation, Garg et al., 2021).
+    """
+    weights = np.maximum(np.log((positive.mean(axis=0) + 0.5 / len(positive)) / (unlabelled.mean(axis=0) + 0.5 / len(unlabelled))), 0)
+    p, u = (np.sort(x @ weights) for x in (positive, unlabelled))
+    at = np.unique(p)
+    in_p, in_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    slack = math.sqrt(math.log(4 / RISK) / 2 / len(u)) + math.sqrt(math.log(4 / RISK) / 2 / len(p))
+    best = int(((in_u + slack) / in_p).argmin())
+    return float(np.clip(in_u[best] / in_p[best], LEAST_PRIOR, MOST_PRIOR))
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+    """Learn from toxic labels of rows whose crc32(doc_id as text) mod 3 is not 1, and from unlabelled texts of such rows.
 
     Both samples hold whole texts, those of the smallest hashes of their ids, so reruns agree; rows that share an id are as many texts,
     but no more than POSITIVES + UNLABELLED in all, those of the smallest hashes. Of repeated labels of an id one that says toxic
     tells. Words and stems are picked by how much more often toxic texts have them; what reaches the driver is the picked ones and
-    which of them each sampled text has. The class prior is the share of toxic rows among the learning labels. Without a toxic text
-    the model scores every text 0.
+    which of them each sampled text has. Labels that say clean are not looked at. The class prior, if none is given, is estimated from
+    the unlabelled texts. Without a toxic text, or without signs that LEAST_TEXTS of them share, the model scores every text 0.
     """
     learn = crc32_of_id("doc_id") % 3 != 1
-    known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    known = labels.where(learn & (F.col("toxic") == 1) & F.col("doc_id").isNotNull())
     none = Model([], np.array([-np.inf]))
-    if not toxic:
+    if known.isEmpty():
         return none
     hashed = F.xxhash64(F.lit("toxicity"), "doc_id")
-    picked = known.where("toxic = 1").select("doc_id").distinct().orderBy(hashed).limit(POSITIVES).select(F.col("doc_id").alias("_p"))
+    picked = known.select("doc_id").distinct().orderBy(hashed).limit(POSITIVES).select(F.col("doc_id").alias("_p"))
     told = F.col("_p").isNotNull()
     # Two bounded sets of ids, so both may be sent to all tasks; each text of them comes back as its words and stems.
     spare = docs.where(learn).select("doc_id").distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id")).limit(UNLABELLED).select(F.col("doc_id").alias("_u"))
@@ -128,11 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     table = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
     for i, at in enumerate(rows["has"]):
         table[i, np.asarray(at, dtype=int) - 1] = 1
-    return Model(vocabulary, fit_nnpu(table[rows["toxic"]], table[rows["unlabelled"]], toxic / n))
+    positive, unlabelled = table[rows["toxic"]], table[rows["unlabelled"]]
+    if not vocabulary:
+        return none
+    prior = class_prior(positive, unlabelled) if prior is None else min(max(prior, LEAST_PRIOR), MOST_PRIOR)
+    return Model(vocabulary, fit_nnpu(positive, unlabelled, prior))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a last column toxic_score: 0 to 1 for each whole text; a null or empty text has the score of no word."""
+def score(docs: DataFrame, model: Model, out: str = "toxic_score") -> DataFrame:
+    """docs with a column `out`, the last unless there is one of that name, which it replaces: 0 to 1 for each whole text; a null or
+    empty text has the score of no word. Rows are scored on their own, repeated ones alike."""
     place = {w: i for i, w in enumerate(model.words)}
     weights = model.weights
 
@@ -141,10 +163,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pa.array(own.scores([[place[w] for w in place.keys() & signs(t)] for t in batch.to_pylist()]), pa.float64())
 
-    return few_at_once(docs).withColumn("toxic_score", F.arrow_udf(one, "double")("text"))
+    return few_at_once(docs).withColumn(out, F.arrow_udf(one, "double")("text"))
+
+
+#: A column that is added to documents for a while; documents bring none like it.
+_OWN = "__toxicity_score"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
-    """docs without those that score reject_from or more; columns as they come."""
-    rated = score(docs.select(*docs.columns), fit(docs, labels))
-    return rated.where(F.col("toxic_score") < reject_from).select(docs.columns)
+    """docs without those that score reject_from or more; columns as they come, whatever their names. Null and empty texts stay, rows
+    that share an id are judged each by its own text, and an empty table gives no rows."""
+    return score(docs.select("*"), fit(docs, labels), _OWN).where(F.col(_OWN) < reject_from).drop(_OWN)
