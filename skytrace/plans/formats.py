@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions import geo
 from skytrace.operators import charts, tiles
-from skytrace.plans.tables import FIXES, fixes, haversine_sql, table
+from skytrace.plans.tables import FIXES, fixes, haversine_sql, igc_e5_sql, table
 from skytrace.sources import codec, igc, ingest
 
 QUERIES, SQL = {}, {}
@@ -30,26 +30,27 @@ def query(sql: str | None = None):
 
 
 def _wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as the bytes of a file: zipped for .kmz, gzipped for .gz."""
+    """Texts as the bytes of a file: logs in windows-1251, zipped for .kmz, gzipped for .gz, cut short for x.igc.gz."""
     for batch in batches:
         out = []
         for path, text in batch[["path", "text"]].itertuples(index=False):
-            data = text.encode()
+            data = text.encode("cp1251" if path.endswith(".igc") else "utf-8")
             if path.endswith(".kmz"):
                 made = io.BytesIO()
                 with zipfile.ZipFile(made, "w") as z:
                     z.writestr("doc.kml", data)
                 data = made.getvalue()
-            out.append((path, gzip.compress(data) if path.endswith(".gz") else data))
+            data = gzip.compress(data) if path.endswith(".gz") else data
+            out.append((path, data[: len(data) // 2] if path.endswith("x.igc.gz") else data))
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
-#: File names by flight_id % 7.
-ENDINGS = ("a.gpx", "b.KML", "c.kml", "d.kml", "e.kmz", "f.gpx.gz", "g.txt")
+#: File names by flight_id % 11: the last three are a log, one that is gzipped, and one that breaks off; i.gpx has an infinite elevation.
+ENDINGS = ("a.gpx", "b.KML", "c.kml", "d.kml", "e.kmz", "f.gpx.gz", "g.txt", "i.gpx", "j.igc", "k.igc.gz", "x.igc.gz")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per flight, in all layouts of GPX and KML."""
+    """A file per flight, in all layouts of GPX and KML and as logs."""
     f = fixes(spark, sf_dir)
     lat, lon, ele = (F.format_string(form, F.col(c) / by) for form, c, by in (("%.5f", "lat_e5", 1e5), ("%.5f", "lon_e5", 1e5), ("%.1f", "alt_dm", 10.0)))
     at = F.timestamp_seconds("t")
@@ -66,23 +67,28 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     dump = kml(F.concat(F.lit('<Placemark><Metadata type="track"><FsInfo time_of_first_point="'), F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"><SecondsFromTimeOfFirstPoint>'), seconds, F.lit("</SecondsFromTimeOfFirstPoint></FsInfo></Metadata><LineString><coordinates>"), body("place", " "), F.lit("</coordinates></LineString></Placemark>")))
     gx, folder = kml(F.concat(F.lit("<Placemark><gx:Track>"), body("track"), F.lit("</gx:Track></Placemark>"))), kml(F.concat(F.lit("<Folder><name>track_points</name>"), body("point"), F.lit("</Folder>")))
     whole = F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'), body("gpx"), F.lit("</trkseg></trk></gpx>"))
-    which = F.col("flight_id") % 7
-    text = F.when(which.isin(1, 4), dump).when(which == 2, gx).when(which == 3, folder).otherwise(whole)
+    which = F.col("flight_id") % 11
+    logged = f.where("flight_id % 11 > 7").select("flight_id", "idx", F.expr("1700000000 + t div 500 % 100000000").alias("t"), "lat_e5", "lon_e5", F.col("alt_dm").alias("geo_dm"), F.lit(None).cast("int").alias("pressure_dm"), F.lit(None).cast("int").alias("tas_kmh"))
+    listed = listed.join(igc.compose(logged, "AXSKYTRACE\nHFPLTПилот"), "flight_id", "left")
+    odd = F.regexp_replace(whole, "<ele>[^<]*</ele>", "<ele>inf</ele>")
+    text = F.when(which.isin(1, 4), dump).when(which == 2, gx).when(which == 3, folder).when(which == 7, odd).when(which > 7, F.col("igc")).otherwise(whole)
     path = F.concat(F.lit("flights/"), F.col("flight_id").cast("string"), F.element_at(F.array(*map(F.lit, ENDINGS)), (which + 1).cast("int")))
     return listed.select(path.alias("path"), text.alias("text")).mapInPandas(_wrapped, "path string, content binary")
 
 
-_PATH = f"'flights/' || flight_id || {list(ENDINGS)}[(flight_id % 7 + 1)::INT]"
+_PATH = f"'flights/' || flight_id || {list(ENDINGS)}[(flight_id % 11 + 1)::INT]"
 
 
-@query(f"""WITH {FIXES} SELECT {_PATH} AS path, idx, t, lat_e5, lon_e5, alt_dm AS geo_dm, CAST(NULL AS VARCHAR) AS error FROM fixes WHERE flight_id % 7 <> 6
-UNION ALL SELECT DISTINCT {_PATH}, NULL, NULL, NULL, NULL, NULL, 'unknown format' FROM fixes WHERE flight_id % 7 = 6""")
+@query(f"""WITH {FIXES} SELECT {_PATH} AS path, idx, t, lat_e5, lon_e5, alt_dm AS geo_dm, CAST(NULL AS VARCHAR) AS error FROM fixes WHERE flight_id % 11 < 6
+UNION ALL SELECT {_PATH}, idx, 1_700_000_000 + t // 500 % 100_000_000, CAST({igc_e5_sql("lat_e5")} AS INT), CAST({igc_e5_sql("lon_e5")} AS INT), CAST(alt_dm // 10 * 10 AS INT), NULL FROM fixes WHERE flight_id % 11 IN (8, 9)
+UNION ALL SELECT DISTINCT {_PATH}, NULL, NULL, NULL, NULL, NULL, CASE flight_id % 11 WHEN 6 THEN 'unknown format' WHEN 7 THEN 'an elevation out of range' ELSE 'gzip data ends early' END FROM fixes WHERE flight_id % 11 IN (6, 7, 10)""")
 def track_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every flight written as a GPX, KML or KMZ file of some layout, zipped or not, and read again by the ending of its name."""
+    """Every flight written as a GPX, KML, KMZ or IGC file of some layout, zipped or not, broken ones among them, and read again by the
+    ending of its name."""
     return ingest.fixes_of(_files(spark, sf_dir)).select("path", "idx", "t", "lat_e5", "lon_e5", "geo_dm", "error")
 
 
-@query(f"""WITH {FIXES} SELECT regexp_replace({_PATH}, '\\.kmz$', '.kml') AS path, idx, t, lat_e5, lon_e5, alt_dm AS geo_dm FROM fixes WHERE flight_id % 7 = 4""")
+@query(f"""WITH {FIXES} SELECT regexp_replace({_PATH}, '\\.kmz$', '.kml') AS path, idx, t, lat_e5, lon_e5, alt_dm AS geo_dm FROM fixes WHERE flight_id % 11 = 4""")
 def archives_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zipped tracks as they are kept, read again."""
     kept = ingest.stored_form(_files(spark, sf_dir).where(F.endswith("path", F.lit(".kmz"))))

@@ -40,6 +40,11 @@ def flat_sql(a: str, b: str, c: str, d: str) -> str:
     return f"(6371000.0 * sqrt(pow((radians({d} / 1e5) - radians({b} / 1e5)) * cos((radians({a} / 1e5) + radians({c} / 1e5)) / 2), 2) + pow(radians({c} / 1e5) - radians({a} / 1e5), 2)))"
 
 
+def igc_e5_sql(c: str) -> str:
+    """SQL of an E5 value written in thousandths of a minute and read again."""
+    return f"CASE WHEN {c} < 0 THEN -1 ELSE 1 END * (abs({c}) // 100000 * 100000 + (CAST(round(abs({c}) % 100000 * 0.6) AS BIGINT) * 5 + 1) // 3)"
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites, from suppliers."""
     key = F.col("s_suppkey")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.operators import tiles
-from skytrace.plans.tables import FIXES, fixes, table
+from skytrace.plans.tables import FIXES, fixes, igc_e5_sql, table
 from skytrace.sources import codec, igc
 from skytrace.streaming import live, queue
 
@@ -35,10 +35,7 @@ def compact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.decode(codec.encode(_tracks(spark, sf_dir)))
 
 
-_BACK = "CASE WHEN {c} < 0 THEN -1 ELSE 1 END * (abs({c}) // 100000 * 100000 + (CAST(round(abs({c}) % 100000 * 0.6) AS BIGINT) * 5 + 1) // 3)"
-
-
-@query(f"""WITH {FIXES} SELECT flight_id, idx, 1_700_000_000 + t // 500 % 100_000_000 AS t, CAST({_BACK.format(c="lat_e5")} AS INT) AS lat_e5, CAST({_BACK.format(c="lon_e5")} AS INT) AS lon_e5,
+@query(f"""WITH {FIXES} SELECT flight_id, idx, 1_700_000_000 + t // 500 % 100_000_000 AS t, CAST({igc_e5_sql("lat_e5")} AS INT) AS lat_e5, CAST({igc_e5_sql("lon_e5")} AS INT) AS lon_e5,
 CAST(alt_dm // 10 * 10 AS INT) AS geo_dm, CASE WHEN flight_id % 2 = 0 THEN CAST((alt_dm + 57) // 10 * 10 AS INT) END AS pressure_dm, CASE WHEN flight_id % 3 > 0 THEN CAST(event_id % 90 AS INT) END AS tas_kmh FROM fixes""")
 def igc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every track written as an IGC log and read again, over midnight where it comes, with a pressure for every other flight and TAS for

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.sources import igc, xmltracks
-from skytrace.sources.xmltracks import MOST_BYTES, MOST_FIXES, inflated, kml_of_kmz
+from skytrace.sources.xmltracks import BROKEN, MOST_BYTES, MOST_FIXES, inflated, kml_of_kmz
 
 FIX = ["path", "idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm", "tas_kmh", "error"]
 
@@ -33,8 +32,8 @@ def _log_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 lines = decoded(inflated(bytes(data))).replace("\r\n", "\n").split("\n")
                 if sum(x.startswith("B") for x in lines) > MOST_FIXES:
                     raise ValueError("too many fixes")
-            except (ValueError, OSError) as e:
-                lines, error = [None], str(e)
+            except BROKEN as e:
+                lines, error = [None], str(e) or type(e).__name__
             yield pd.DataFrame({"path": path, "n": range(len(lines)), "line": lines, "error": error})
 
 
@@ -64,7 +63,7 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if path.lower().endswith(".kmz"):
                 try:
                     path, data = path[:-4] + ".kml", kml_of_kmz(bytes(data))
-                except (ValueError, zipfile.BadZipFile):
+                except BROKEN:
                     pass  # as it came; fixes_of() tells what is wrong with it
             out.append((path, bytes(data)))
         yield pd.DataFrame(out, columns=["path", "content"])

@@ -11,12 +11,16 @@ from datetime import datetime, timezone
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Most bytes of an upload and of what it inflates to, and most fixes of a track.
 MOST_BYTES, MOST_INFLATED, MOST_FIXES = 2 << 20, 32 << 20, 300_000
+#: The last second of year 9999, and the most decimetres that a column holds.
+LAST_T, MOST_DM = 253_402_300_799, (1 << 31) - 1
+#: What parsing raises on a file that is broken in whatever way: it is one row with an error, and the files beside it are read.
+BROKEN = (ValueError, LookupError, ArithmeticError, EOFError, OSError, RuntimeError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error)
 FORMATS = {"igc": "igc", "gpx": "gpx", "kml": "kml", "kmz": "kmz"}
+#: What _parse_files gives.
 FIX = "path string, idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, error string"
 
 
@@ -70,7 +74,12 @@ def _fix(t: int, lat: str, lon: str, ele: str | None) -> tuple[int, int, int, in
     a, o = float(lat), float(lon)
     if not (abs(a) <= 90 and abs(o) <= 180):
         raise ValueError("a position off the globe")
-    return t, _away(a * 1e5), _away(o * 1e5), _away(float(ele or 0) * 10)
+    z = float(ele or 0) * 10
+    if not abs(z) <= MOST_DM - 1:
+        raise ValueError("an elevation out of range")
+    if not abs(t) <= LAST_T:
+        raise ValueError("a time out of range")
+    return t, _away(a * 1e5), _away(o * 1e5), _away(z)
 
 
 def _named(node: ElementTree.Element, *names: str) -> Iterator[ElementTree.Element]:
@@ -147,14 +156,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, kind, data in batch[["path", "kind", "content"]].itertuples(index=False):
             try:
                 rows = parse(kind, bytes(data))
-            except (ValueError, KeyError, IndexError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error) as e:
+            except BROKEN as e:
                 yield pd.DataFrame({"path": [path], "idx": [None], "t": [None], "lat_e5": [None], "lon_e5": [None], "geo_dm": [None], "error": [str(e) or type(e).__name__]})
                 continue
             yield pd.DataFrame(rows, columns=["t", "lat_e5", "lon_e5", "geo_dm"]).assign(path=path, idx=range(len(rows)), error=None)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, idx, t, lat_e5, lon_e5, geo_dm, error) of every GPX, KML and KMZ file below path; a broken file is one row with an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", format_of(F.regexp_replace("path", r"\.gz$", "")).alias("kind"), "content").where("kind in ('gpx', 'kml', 'kmz')")
-    return files.mapInPandas(_parse_files, FIX)

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from skytrace.sources import codec, igc, xmltracks
+from skytrace.sources import codec, igc, ingest, xmltracks
 
 FIXES = "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int, tas_kmh int"
 
@@ -52,7 +52,7 @@ def test_etag(spark):
 
 def read_igc(spark, tmp_path, text, name="a.igc"):
     (tmp_path / name).write_text(text)
-    return igc.parse(igc.lines(spark, str(tmp_path))).orderBy("idx").collect()
+    return ingest.read(spark, str(tmp_path)).orderBy("idx").collect()
 
 
 def test_igc_round_trip(spark, tmp_path):
@@ -114,7 +114,7 @@ def test_xml_files(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     got = {}
-    for r in xmltracks.read(spark, str(tmp_path)).collect():
+    for r in ingest.read(spark, str(tmp_path)).collect():
         got.setdefault(r.path.rpartition("/")[2][0], []).append(r)
     assert {k: len(v) for k, v in got.items()} == {**dict.fromkeys("abce", 2), **dict.fromkeys("dfghijl", 1)}
     assert {k for k, v in got.items() if v[0].error} == set("hijl")
@@ -124,6 +124,21 @@ def test_xml_files(spark, tmp_path):
     assert {r.geo_dm for r in got["e"]} == {9_000}
 
 
+def test_no_file_ends_a_job(spark):
+    """Each broken file is one row with an error, and the good ones beside it are read whole."""
+    log = gzip.compress(b"HFDTE010524\nB1200004646349N01308989EA0010000200\n" * 500)
+    bad = {
+        "a.igc.gz": log[:20] + b"\xff" * 40 + log[60:], "b.gpx.gz": b"\x1f\x8b" + b"junk" * 9, "c.gpx": GPX.replace("1000.25", "inf").encode(), "d.gpx": GPX.replace("1000.25", "1e12").encode(),
+        "e.gpx": GPX.replace("1000.25", "nan").encode(), "f.kml": OFFSETS.replace("0 5", "0 99999999999999999999").encode(), "g.gpx": b'<?xml version="1.0" encoding="nope"?><gpx/>', "h.kmz": b"PK\x03\x04" + b"x" * 40,
+        "i.gpx": GPX.replace("46.5", "1e400").encode(), "j.gpx": GPX.replace("2024-05-01T12:00:00Z", "99999-01-01T00:00:00Z").encode(), "k.kml": b"<kml><Placemark><Metadata type='track'><FsInfo/></Metadata></Placemark></kml>", "l.igc": b"\x00\xff" * 10,
+    }
+    files = [*bad.items(), ("ok.gpx", GPX.encode()), ("ok.igc.gz", log)]
+    got = ingest.fixes_of(spark.createDataFrame(files, "path string, content binary").repartition(1)).collect()
+    assert {p: [r.t for r in got if r.path == p] for p in bad} == {p: [None] for p in bad}
+    assert all(r.error for r in got if r.path in bad)
+    assert sum(r.path == "ok.gpx" for r in got) == 2 and sum(r.path == "ok.igc.gz" and r.error is None for r in got) == 500
+
+
 def test_inflation_is_bounded():
     with pytest.raises(ValueError):
         xmltracks.inflated(gzip.compress(bytes(1000)), 999)
@@ -133,8 +148,6 @@ def test_inflation_is_bounded():
 def test_one_way_in_for_all_files(spark):
     """Logs in windows-1251, gzipped ones, and files that are refused, each with its reason."""
 
-    from skytrace.sources import ingest
-
     log = "AXCT\nHFDTE010524\nHFPLTПилот\nB1200004646349N01308989EA0010000200\nB1200014646350N01308990EA0010100201\n"
     files = [("a.IGC", log.encode("cp1251")), ("b.igc.gz", gzip.compress(log.encode())), ("c.igc", b"AXCT\n"), ("d.igc", b"x" * (ingest.MOST_BYTES + 1)), ("e.txt", b""), ("f.gpx", b"<gpx"), ("g.igc.gz", gzip.compress(log.encode())[:-9])]
     got = ingest.fixes_of(spark.createDataFrame(files, "path string, content binary")).collect()
