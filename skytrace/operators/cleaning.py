@@ -1,18 +1,19 @@
-"""Cleaning of fixes and detection of the flight within a track.
+"""Cleaning of fixes: what depends on neighbours by rank or value is a window; what depends on decisions about earlier fixes (the
+filter that anchors on the last fix it kept) follows pointers, whose number of hops doubles from join to join.
 
-What depends on neighbours by rank or value is a window function. What depends on decisions about earlier fixes (the filter that
-anchors on the last fix it kept, the joining of shifted pieces, the hidden Markov model) runs per flight in a small kernel.
+A flight_id may be of any type that Spark can compare, a struct of a flight and one of its candidates among them.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skytrace.operators.series import each_flight, in_order
+from skytrace.functions.geo import flat_distance_m
+from skytrace.operators.detection import flight_windows
+from skytrace.operators.series import in_order
+from skytrace.storage import settled
 
 # Speed that no fix can exceed, in m/s; a gap that ends a track; how long a backward run is a slip; most pieces of a
 # shifted track.
@@ -65,241 +66,73 @@ def time_slice(fixes: DataFrame, windows: DataFrame) -> DataFrame:
     return fixes.join(windows, "flight_id").where(F.col("t").between(F.col("takeoff_t"), F.col("landing_t"))).drop("takeoff_t", "landing_t")
 
 
-# --- kernels on one flight --------------------------------------------------------------------------------------------------------
+# --- fixes that can be reached ----------------------------------------------------------------------------------------------------
 
 
-def flat_steps_m(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Metres between neighbours, equirectangular."""
-    a, o = np.radians(lat / 1e5), np.radians(lon / 1e5)
-    return 6_371_000.0 * np.hypot(np.diff(a), np.diff(o) * np.cos((a[1:] + a[:-1]) / 2))
+def _reach(a: str, b: str) -> Column:
+    """Whether fix b lies after fix a and can be reached from it at less than MOST_MPS; both are structs (t, lat_e5, lon_e5)."""
+    dt = F.col(f"{b}.t") - F.col(f"{a}.t")
+    return (dt > 0) & (flat_distance_m(f"{a}.lat_e5", f"{a}.lon_e5", f"{b}.lat_e5", f"{b}.lon_e5") < MOST_MPS * dt)
 
 
-def plausible(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Which fixes can be reached from the last one kept at less than MOST_MPS. If only the first step is out of reach, the first
-    fix is the odd one. Runs of fixes that fit their neighbours are taken at once."""
-    n, keep = len(t), np.ones(len(t), dtype=bool)
-    if n < 2:
-        return keep
-    reach = lambda i, j: t[j] > t[i] and flat_steps_m(lat[[i, j]], lon[[i, j]])[0] / (t[j] - t[i]) < MOST_MPS
-    dt = np.diff(t)
-    fits = (dt > 0) & (flat_steps_m(lat, lon) < MOST_MPS * np.maximum(dt, 1))
-    at = 1 if n > 2 and not fits[0] and fits[1] else 0
-    keep[:at] = False
-    breaks = np.flatnonzero(~fits)
+def _next_reachable(places: DataFrame, breaks: DataFrame) -> DataFrame:
+    """(flight_id, at, next): the first fix behind each break that can be reached from it; breaks without one are left out. The fixes
+    that are tried double from round to round, so a break costs as many rows as twice the fixes it skips."""
+    found, todo, tried = None, breaks, 1
     while True:
-        k = np.searchsorted(breaks, at)
-        if k == len(breaks):
-            return keep
-        at, i = int(breaks[k]), int(breaks[k]) + 1
-        while i < n and not reach(at, i):
-            keep[i] = False
-            i += 1
-        if i == n:
-            return keep
-        at = i
-
-
-def has_shift(t: np.ndarray) -> bool:
-    """Whether more than SLIP_FIXES fixes in a row lie at or before a time that ran backward."""
-    i = 1
-    while i < len(t):
-        if t[i] >= t[i - 1]:
-            i += 1
-            continue
-        later = np.flatnonzero(t[i:] > t[i - 1])
-        run = int(later[0]) if len(later) else len(t) - i
-        if run > SLIP_FIXES:
-            return True
-        i += run
-    return False
-
-
-def clean(fixes: pd.DataFrame) -> pd.DataFrame:
-    """One flight's fixes (idx, t, lat_e5, lon_e5, geo_dm, pressure_dm), in order, without repeated times, slips, jumps and all but
-    the longest flight. A track of more than MOST_PIECES shifted pieces, or without a flight among them, has no rows."""
-    f = fixes.sort_values("idx", ignore_index=True)
-    t = f["t"].to_numpy()
-    f = f[np.append(True, t[1:] != t[:-1])[: len(f)]].reset_index(drop=True)
-    t = f["t"].to_numpy()
-    if not has_shift(t):
-        forward = np.append(True, t[1:] > np.maximum.accumulate(t)[:-1])[: len(t)]
-        return _longest_flight(f[forward].reset_index(drop=True))
-    starts = np.append(0, np.flatnonzero(np.diff(t) < 0) + 1)
-    pieces = [f.iloc[lo:hi] for lo, hi in zip(starts, np.append(starts[1:], len(f)))]
-    if len(pieces) > MOST_PIECES:
-        return f.iloc[:0]
-    pieces.sort(key=lambda p: p["t"].iloc[0])
-    best, longest = f.iloc[:0], -1
-    for k in range(len(pieces)):
-        chain = [pieces[k]]
-        for piece in pieces[k + 1 :]:
-            if piece["t"].iloc[0] > chain[-1]["t"].iloc[-1]:
-                chain.append(piece)
-        one = _longest_flight(pd.concat(chain, ignore_index=True))
-        window = flight_window(one)
-        if window is not None and (length := one["t"].iloc[window[1]] - one["t"].iloc[window[0]]) > longest:
-            best, longest = one, length
-    return best
-
-
-def _longest_flight(f: pd.DataFrame) -> pd.DataFrame:
-    f = f[plausible(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5")))].reset_index(drop=True)
-    cuts = np.flatnonzero(np.diff(f["t"].to_numpy()) > GAP_S) + 1
-    if not len(cuts):
-        return f
-    best, longest = f, -1
-    for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(f))):
-        part = f.iloc[lo:hi].reset_index(drop=True)
-        window = flight_window(part)
-        if window is not None and (length := part["t"].iloc[window[1]] - part["t"].iloc[window[0]]) > longest:
-            best, longest = part, length
-    return best
-
-
-# --- takeoff and landing ----------------------------------------------------------------------------------------------------------
-
-# Half the smoothing period; speeds (horizontal, vertical) that start and keep up a flight and that end one on the
-# ground, in m/s; how long each must last; what makes an altitude tell something; the speed of the plain model, in km/h, its
-# chances (at the start, of staying, of a right sign), and how short a stop is none.
-HALF_PERIOD_S = 5
-START_MPS, GO_ON_MPS, GROUND_MPS = (5.0, 0.9), (1.5, 0.05), (2.5, 0.1)
-FLIGHT_S, GROUND_S = 60, 20
-ALTITUDE_FIXES, ALTITUDE_RANGE_DM, ALTITUDE_VALUES = 5, 100, 4
-PLAIN_KMH, START_CHANCES, STAY, RIGHT, SHORT_STOP_S = 15.0, (0.8, 0.2), 0.9995, 0.8, 300
-
-
-def flight_window(f: pd.DataFrame) -> tuple[int, int] | None:
-    """(takeoff, landing) rows of the flight in one track, or None."""
-    if len(f) < 2:
-        return None
-    t, lat, lon = (f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5"))
-    for name in ("pressure_dm", "geo_dm"):
-        z = f[name]
-        if z.notna().all() and len(z) >= ALTITUDE_FIXES and z.max() - z.min() >= ALTITUDE_RANGE_DM and z.nunique() >= ALTITUDE_VALUES:
-            found = _by_altitude(t, lat, lon, z.to_numpy(dtype=float) / 10)
-            return found if found is not None else _by_speed(t, lat, lon)
-    return _by_speed(t, lat, lon)
-
-
-def _smooth(t: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Means from the last fix HALF_PERIOD_S or more before each to the first as much after it, by prefix sums."""
-    n = len(t)
-    lo = np.maximum(np.searchsorted(t, t - HALF_PERIOD_S, side="right") - 1, 0)
-    hi = np.minimum(np.searchsorted(t, t + HALF_PERIOD_S, side="left"), n - 1)
-    return [(np.append(0, np.cumsum(v))[hi + 1] - np.append(0, np.cumsum(v))[lo]) / (hi - lo + 1) for v in values]
-
-
-def _lasting(t: np.ndarray, begins: np.ndarray, goes_on: np.ndarray, seconds: int) -> np.ndarray:
-    """Fixes of runs that begin where `begins` holds, last while `goes_on` does, and are longer than `seconds`; the last fix of a
-    track is never tested. A fix that begins a run must keep it up too."""
-    on, out = goes_on.copy(), np.zeros(len(t), dtype=bool)
-    on[-1] = False
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    for lo, hi in zip(edges[::2], edges[1::2]):
-        first = np.flatnonzero(begins[lo:hi])
-        if len(first) and t[hi - 1] > t[lo + first[0]] + seconds:
-            out[lo + first[0] : hi] = True
-    return out
-
-
-def _by_altitude(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, z: np.ndarray) -> tuple[int, int] | None:
-    dt, steps = np.diff(t), flat_steps_m(lat, lon)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        speeds = pd.DataFrame({"h": steps / dt, "v": np.diff(z) / dt})
-    speeds[dt <= 0] = np.nan
-    h, v = (np.append(0.0, speeds[c].ffill().fillna(0).to_numpy()) for c in ("h", "v"))
-    h, v = _smooth(t, h, np.abs(v))
-    flying = _lasting(t, (h > START_MPS[0]) & (v > START_MPS[1]), (h > GO_ON_MPS[0]) & (v > GO_ON_MPS[1]), FLIGHT_S)
-    slow = (h < GROUND_MPS[0]) & (v < GROUND_MPS[1])
-    ground = np.flatnonzero(_lasting(t, slow, slow, GROUND_S))
-    path, n, best, i = np.append(0, np.cumsum(steps)), len(t), None, 0
-    while len(up := np.flatnonzero(flying[i : n - 1])):
-        at = i + int(up[0])
-        k = np.searchsorted(ground, at, side="right")
-        takeoff = int(ground[k - 1]) if k else 0
-        k = np.searchsorted(ground, at)
-        landing = max(at, min(int(ground[k]) if k < len(ground) else n - 2, n - 2))
-        far = path[landing] - path[takeoff]
-        if best is None or far >= best[0]:
-            best = (far, takeoff, landing)
-        i = landing + 1
-    return best and best[1:]
-
-
-def likeliest_states(signs: np.ndarray) -> np.ndarray:
-    """The likeliest path through two states that tend to stay and mostly show their own sign. A state keeps its predecessor's
-    unless changing pays; of equal ends the second."""
-    stay, change, right, wrong = np.log([STAY, 1 - STAY, RIGHT, 1 - RIGHT])
-    a, b = np.log(START_CHANCES[0]) + (wrong if signs[0] else right), np.log(START_CHANCES[1]) + (right if signs[0] else wrong)
-    came = np.zeros((len(signs), 2), dtype=np.int8)
-    for i, s in enumerate(signs[1:].tolist(), 1):
-        ra, rb = (wrong, right) if s else (right, wrong)
-        came[i] = (a + stay < b + change, a + change < b + stay)
-        a, b = max(a + stay, b + change) + ra, max(a + change, b + stay) + rb
-    out = np.zeros(len(signs), dtype=np.int8)
-    out[-1] = b >= a
-    for i in range(len(signs) - 1, 0, -1):
-        out[i - 1] = came[i, out[i]]
-    return out
-
-
-def _by_speed(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[int, int] | None:
-    from skytrace.operators.routes import haversine_km
-
-    dt = np.diff(t)
-    km = haversine_km(lat[:-1], lon[:-1], lat[1:], lon[1:])
-    fast = (dt > 0) & (km * 3600 > PLAIN_KMH * np.maximum(dt, 1))
-    flying = likeliest_states(np.append(fast[0], fast)).astype(bool)
-    edges = np.flatnonzero(np.diff(flying.astype(np.int8))) + 1
-    for lo, hi in zip(edges, edges[1:]):
-        if not flying[lo] and t[hi] - t[lo] < SHORT_STOP_S:
-            flying[lo:hi] = True
-    up, down = np.flatnonzero(flying), np.flatnonzero(flying[:-1] & ~flying[1:]) + 1
-    if not len(up):
-        return None
-    return int(up[0]), int(down[-1]) if len(down) else len(t) - 1
+        offsets = F.explode(F.sequence(F.lit(tried + 1), F.lit(2 * tried))).alias("_by")
+        tries = todo.select("flight_id", "at", F.col("here").alias("from"), offsets).withColumn("i", F.col("at") + F.col("_by")).join(places.select("flight_id", "i", F.col("here").alias("to")), ["flight_id", "i"])
+        hits = tries.where(_reach("from", "to")).groupBy("flight_id", "at").agg(F.min("i").alias("next"))
+        hits = settled(hits)
+        found = hits if found is None else found.unionByName(hits)
+        tried *= 2
+        todo = settled(todo.where(F.col("at") + tried < F.col("last")).join(hits, ["flight_id", "at"], "left_anti"))
+        if todo.isEmpty():
+            return found
+
+
+def _visited(hops: DataFrame, heads: DataFrame) -> DataFrame:
+    """The nodes (flight_id, at) on the way from each head along hops (flight_id, at, to): each round adds what lies twice as many hops
+    away, by hops that have doubled."""
+    seen, n = settled(heads), -1
+    while n != (n := seen.count()):
+        further = seen.join(hops, ["flight_id", "at"]).select("flight_id", F.col("to").alias("at"))
+        seen = settled(seen.unionByName(further).distinct())
+        hops = settled(hops.join(hops.select("flight_id", F.col("at").alias("to"), F.col("to").alias("_to")), ["flight_id", "to"]).select("flight_id", "at", F.col("_to").alias("to")))
+    return seen
 
 
-# --- on all flights ---------------------------------------------------------------------------------------------------------------
-
-_FIX = ["idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm"]
-
-
-def cleaned(fixes: DataFrame) -> DataFrame:
-    """The cleaned fixes of every flight, with new dense idx and the old one as raw_idx; one flight, of at most some 300,000 fixes,
-    is one group. fixes: (flight_id, idx, t, lat_e5, lon_e5, geo_dm, pressure_dm)."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        out = clean(f[_FIX])
-        return out.assign(flight_id=key[0], raw_idx=out["idx"], idx=np.arange(len(out)))
-
-    return each_flight(fixes.select("flight_id", *_FIX)).applyInPandas(one, f"flight_id {kind}, idx long, raw_idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int")
-
-
-def flight_windows(fixes: DataFrame) -> DataFrame:
-    """(flight_id, takeoff_idx, landing_idx, takeoff_t, landing_t) of every flight that has one."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        found = flight_window(f)
-        rows = [] if found is None else [(key[0], *(int(f["idx"][i]) for i in found), *(int(f["t"][i]) for i in found))]
-        return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx", "takeoff_t", "landing_t"])
-
-    return each_flight(fixes.select("flight_id", *_FIX)).applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long, takeoff_t long, landing_t long")
+def plausible_fixes(fixes: DataFrame) -> DataFrame:
+    """(flight_id, idx) of the fixes that can be reached from the last one kept at less than MOST_MPS; if only the first step is out of
+    reach, the first fix is the odd one.
 
+    Between breaks, where a fix can't be reached from the one before it, all are kept or none. So only breaks need a search for the
+    next fix that can be reached, and the kept ones are those on the way of pointers from break to break.
+    """
+    w = in_order()
+    places = fixes.select("flight_id", "idx", F.struct("t", "lat_e5", "lon_e5").alias("here"), (F.row_number().over(w) - 1).cast("long").alias("i"))
+    places = places.withColumn("last", F.count("*").over(W.partitionBy("flight_id")) - 1).withColumn("_n", F.lead("here").over(w))
+    places = places.withColumn("fits", _reach("here", "_n")).drop("_n")
+    odd = (F.col("last") > 1) & ~F.col("fits") & F.lead("fits").over(w)
+    stop = F.min(F.when(~F.coalesce("fits", F.lit(False)), F.col("i"))).over(W.partitionBy("flight_id").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0))
+    # stop: the first break, or the last fix, from each fix on.
+    places = settled(places.withColumn("odd", odd & (F.col("i") == 0)).withColumn("stop", stop))
+    breaks = places.where("fits = false").select("flight_id", F.col("i").alias("at"), "here", "last")
+    nexts = _next_reachable(places, breaks)
+    # From break to break: behind the next reachable fix, the first break from there on.
+    to = places.select("flight_id", F.col("i").alias("next"), "stop", "last")
+    hops = nexts.join(to, ["flight_id", "next"]).select("flight_id", "at", F.col("stop").alias("to"))
+    begin = F.when(F.col("odd"), 1).otherwise(0).cast("long")
+    heads = places.where("i = 0").select("flight_id", begin.alias("i")).join(places.select("flight_id", "i", "stop"), ["flight_id", "i"])
+    seen = _visited(hops, heads.select("flight_id", F.col("stop").alias("at")))
+    starts = heads.select("flight_id", "i").unionByName(nexts.join(seen, ["flight_id", "at"]).select("flight_id", F.col("next").alias("i"))).withColumn("starts", F.lit(True))
+    kept = F.last(F.when(F.col("starts"), F.col("stop")), ignorenulls=True).over(W.partitionBy("flight_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    return places.join(starts, ["flight_id", "i"], "left").withColumn("_until", kept).where(F.col("_until") >= F.col("i")).select("flight_id", "idx")
 
-def plausible_fixes(fixes: DataFrame) -> DataFrame:
-    """(flight_id, idx) of the fixes that can be reached from the last one kept."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
 
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        keep = plausible(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5")))
-        return pd.DataFrame({"flight_id": key[0], "idx": f["idx"][keep]})
+# --- on all flights ---------------------------------------------------------------------------------------------------------------
 
-    return each_flight(fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, idx long")
+_FIX = ["idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm"]
 
 
 def shifted_flights(fixes: DataFrame) -> DataFrame:
@@ -312,14 +145,48 @@ def shifted_flights(fixes: DataFrame) -> DataFrame:
     return back.groupBy("flight_id").agg(F.coalesce(F.bool_or((F.col("t") < F.col("_p")) & run), F.lit(False)).alias("shifted"))
 
 
-def speed_windows(fixes: DataFrame) -> DataFrame:
-    """(flight_id, takeoff_idx, landing_idx) by the plain model of speeds alone, whatever the altitudes tell."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
+def chained_pieces(fixes: DataFrame) -> DataFrame:
+    """(flight_id, segment, chain, place): for each of a track's pieces between backward steps the chain that it begins, of the later pieces
+    that each begin after the one before has ended. Tracks of more than MOST_PIECES pieces have none."""
+    pieces = monotone_segments(fixes).groupBy("flight_id", "segment").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    listed = pieces.groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("first", "segment", "last"))).alias("p")).where(F.size("p") <= MOST_PIECES)
+    # At most MOST_PIECES entries, so each chain is folded in place.
+    none = F.array().cast("array<struct<first:bigint,segment:bigint,last:bigint>>")
+    own = F.aggregate(F.slice("p", F.col("chain") + 1, F.size("p")), none, lambda c, x: F.when((F.size(c) == 0) | (x["first"] > F.element_at(c, -1)["last"]), F.concat(c, F.array(x))).otherwise(c))
+    chains = listed.withColumn("chain", F.explode(F.sequence(F.lit(0), F.size("p") - 1))).select("flight_id", "chain", F.posexplode(own).alias("place", "piece"))
+    return chains.select("flight_id", F.col("piece.segment").alias("segment"), "chain", "place")
+
 
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        found = _by_speed(*(f[c].to_numpy() for c in ("t", "lat_e5", "lon_e5"))) if len(f) > 1 else None
-        rows = [] if found is None else [(key[0], *(int(f["idx"][i]) for i in found))]
-        return pd.DataFrame(rows, columns=["flight_id", "takeoff_idx", "landing_idx"])
+def longest_flights(fixes: DataFrame) -> DataFrame:
+    """The plausible fixes of each track, cut to the part between gaps longer than GAP_S with the longest flight; all of them where
+    there is no gap, or no flight in any part."""
+    parts = settled(gap_segments(fixes.join(plausible_fixes(fixes), ["flight_id", "idx"])))
+    cut = parts.groupBy("flight_id").agg(F.max("segment").alias("most")).where("most > 0").select("flight_id")
+    own = parts.join(cut, "flight_id", "left_semi").withColumn("flight_id", F.struct("flight_id", "segment"))
+    length = F.struct((F.col("landing_t") - F.col("takeoff_t")).alias("s"), (-F.col("flight_id.segment")).alias("_segment"))
+    best = flight_windows(own).groupBy(F.col("flight_id.flight_id").alias("flight_id")).agg((-F.max(length)["_segment"]).alias("best"))
+    return parts.join(best, "flight_id", "left").where(F.col("best").isNull() | (F.col("best") == F.col("segment"))).drop("segment", "best")
 
-    return each_flight(fixes.select("flight_id", "idx", "t", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, takeoff_idx long, landing_idx long")
+
+def cleaned(fixes: DataFrame) -> DataFrame:
+    """The cleaned fixes of every flight, without repeated times, slips, jumps and all but the longest flight, with new dense idx and the
+    old one as raw_idx. fixes: (flight_id, idx, t, lat_e5, lon_e5, geo_dm, pressure_dm).
+
+    A track whose time runs backward for long is tried as every chain of its pieces, of which the one with the longest flight stays,
+    the first of equals; one of more than MOST_PIECES pieces, or without a flight in any chain, has no rows.
+    """
+    once = settled(drop_same_time(fixes.select("flight_id", *_FIX)))
+    shifted = settled(shifted_flights(once))
+    plain = drop_backward(once.join(shifted.where("not shifted"), "flight_id", "left_semi")).withColumn("raw_idx", F.col("idx"))
+    apart = once.join(shifted.where("shifted"), "flight_id", "left_semi")
+    straight = longest_flights(plain).select("flight_id", "raw_idx", *_FIX)
+    chained = monotone_segments(apart).join(chained_pieces(apart), ["flight_id", "segment"]).withColumn("raw_idx", F.col("idx"))
+    chained = chained.withColumn("flight_id", F.struct("flight_id", "chain"))
+    chained = chained.withColumn("idx", (F.row_number().over(W.partitionBy("flight_id").orderBy("place", "raw_idx")) - 1).cast("long")).drop("segment", "chain", "place")
+    tried = settled(longest_flights(chained))
+    length = F.struct((F.col("landing_t") - F.col("takeoff_t")).alias("s"), (-F.col("flight_id.chain")).alias("_chain"))
+    best = flight_windows(tried).groupBy(F.col("flight_id.flight_id").alias("flight_id")).agg((-F.max(length)["_chain"]).alias("best"))
+    joined = tried.select(F.col("flight_id.flight_id").alias("flight_id"), F.col("flight_id.chain").alias("chain"), "raw_idx", *_FIX).join(best, "flight_id").where("chain = best")
+    both = straight.unionByName(joined.select(straight.columns))
+    dense = (F.row_number().over(in_order()) - 1).cast("long")
+    return both.withColumn("_idx", dense).select("flight_id", F.col("_idx").alias("idx"), "raw_idx", "t", "lat_e5", "lon_e5", "geo_dm", "pressure_dm")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.operators import charts, cleaning, routes, segments, series
+from skytrace.operators import charts, cleaning, detection, outline, routes, segments, series
 from skytrace.plans.tables import PATHS, flat_sql, haversine_sql, paths
 
 QUERIES, SQL = {}, {}
@@ -88,7 +88,7 @@ by_speed AS (SELECT flight_id, min(idx) FILTER (WHERE up = 1) AS takeoff_idx, co
 @query(f"WITH RECURSIVE {_SLOW}, {_SPEED} SELECT flight_id, takeoff_idx, landing_idx FROM by_speed")
 def speed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Takeoff and landing by the likeliest states of a hidden Markov model of speeds."""
-    return cleaning.speed_windows(_slow(spark, sf_dir))
+    return detection.speed_windows(_slow(spark, sf_dir))
 
 
 _ALTITUDE = f"""st0 AS (SELECT *, t - lag(t) OVER w AS dt, coalesce({flat_sql("lag(lat_e5) OVER w", "lag(lon_e5) OVER w", "lat_e5", "lon_e5")}, 0) AS m, (geo_dm / 10.0::DOUBLE - lag(geo_dm) OVER w / 10.0::DOUBLE) AS dz FROM f WINDOW w AS (PARTITION BY flight_id ORDER BY idx)),
@@ -112,7 +112,7 @@ usable AS (SELECT flight_id, count(*) >= 5 AND max(geo_dm) - min(geo_dm) >= 100
 SELECT w.*, x.t AS takeoff_t, y.t AS landing_t FROM w JOIN f x ON x.flight_id = w.flight_id AND x.idx = w.takeoff_idx JOIN f y ON y.flight_id = w.flight_id AND y.idx = w.landing_idx""")
 def flight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Takeoff and landing of each flight, by altitudes where they tell, else by speeds."""
-    return cleaning.flight_windows(_slow(spark, sf_dir))
+    return detection.flight_windows(_slow(spark, sf_dir))
 
 
 # --- climb segments ---------------------------------------------------------------------------------------------------------------
@@ -160,7 +160,7 @@ kept AS (SELECT flight_id, lo AS idx FROM seg UNION SELECT flight_id, hi FROM se
 @query(f"WITH RECURSIVE {_PLANE}, {_rdp(400.0, 3000.0)} SELECT flight_id, idx FROM kept")
 def simplified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes that a simplification to 400 m with a chord cap of 3 km keeps."""
-    return routes.simplified(paths(spark, sf_dir), 400.0, 3_000.0)
+    return outline.simplified(paths(spark, sf_dir), 400.0, 3_000.0)
 
 
 @query(f"""WITH RECURSIVE {_PLANE}, {_rdp(100.0, None)}, pt AS (SELECT DISTINCT flight_id, x, y FROM kept JOIN xy USING (flight_id, idx)),
@@ -169,7 +169,7 @@ side AS (SELECT e.flight_id, e.dx, e.dy, (max(r.x * e.dx + r.y * e.dy) - min(r.x
 SELECT f.flight_id, s.ratio AS aspect_ratio FROM (SELECT DISTINCT flight_id FROM paths) f LEFT JOIN (SELECT flight_id, round(arg_min(greatest(w, h) / least(w, h), w * h), 6) AS ratio FROM side GROUP BY 1) s USING (flight_id)""")
 def aspect_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides' ratio of the smallest rectangle around each flight."""
-    return routes.aspect_ratios(paths(spark, sf_dir)).withColumn("aspect_ratio", F.round("aspect_ratio", 6))
+    return outline.aspect_ratios(paths(spark, sf_dir)).withColumn("aspect_ratio", F.round("aspect_ratio", 6))
 
 
 # --- routes -----------------------------------------------------------------------------------------------------------------------

@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skytrace.operators import cleaning, routes, segments
+from skytrace.operators import cleaning, detection, outline, routes, segments
+from tests import sequential
 
 FIXES = "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int"
 
@@ -31,83 +32,118 @@ def still(t0, n, lon=0):
     return leg(t0, n, lon, 0)
 
 
-def test_steady_flight_is_kept_whole():
-    assert len(cleaning.clean(leg(1000, 400))) == 400
-
-
-def test_repeated_times_and_slips_go():
-    f = leg(1000, 400)
-    f.loc[100, "t"] = f.loc[99, "t"]
-    f.loc[200, "t"] = 1010
-    got = cleaning.clean(f)
-    assert len(got) == 398 and (np.diff(got["t"]) > 0).all()
-
-
-def test_impossible_fixes_go():
-    f = leg(1000, 400)
-    f.loc[50:54, "lat_e5"] = 5_500_000
-    assert len(cleaning.clean(f)) == 395
-    f = leg(1000, 400)
-    f.loc[0, "lat_e5"] = 5_500_000
-    assert cleaning.clean(f)["t"].iloc[0] == 1001
-
-
-def test_shifted_pieces_are_joined_or_dropped():
-    f = glue(leg(5000, 300, 8_000), leg(1000, 400))
-    got = cleaning.clean(f)
-    assert len(got) == 400 or len(got) == 700
-    assert (np.diff(got["t"]) > 0).all()
-    many = glue(*[leg(9000 - 900 * k, 100) for k in range(7)])
-    assert len(cleaning.clean(many)) == 0
-
-
-def test_longest_segment_by_gap():
-    f = glue(leg(1000, 200), leg(1200 + 1801, 600, 4_000))
-    assert cleaning.clean(f)["t"].iloc[0] == 3001
-    f = glue(leg(1000, 200), leg(1199 + 1800, 600, 4_000))
-    assert len(cleaning.clean(f)) == 800
-
-
-def test_window_by_speed():
-    f = glue(still(0, 400), leg(400, 900), still(1300, 400, 18_000))
-    takeoff, landing = cleaning.flight_window(f)
-    assert abs(takeoff - 400) < 20 and abs(landing - 1300) < 20
-    assert cleaning.flight_window(still(0, 600)) is None
-    assert cleaning.flight_window(still(0, 1)) is None
-    f = glue(leg(0, 600), still(600, 200, 12_000), leg(800, 600, 12_000))
-    assert cleaning.flight_window(f) == (0, 1399)
-    f = glue(leg(0, 600), still(600, 400, 12_000), leg(1000, 600, 12_000))
-    assert cleaning.flight_window(f) == (0, 1599) or cleaning.flight_window(f)[1] < 1000
-
-
-def test_window_by_altitude():
+def tracks():
+    """Tracks by name, each with what is known of it."""
+    out = {"steady": leg(1000, 400)}
+    out["slips"] = leg(1000, 400)
+    out["slips"].loc[100, "t"] = out["slips"].loc[99, "t"]
+    out["slips"].loc[200, "t"] = 1010
+    out["far"] = leg(1000, 400)
+    out["far"].loc[50:54, "lat_e5"] = 5_500_000
+    out["odd start"] = leg(1000, 400)
+    out["odd start"].loc[0, "lat_e5"] = 5_500_000
+    out["never back"] = leg(1000, 60)
+    out["never back"].loc[40:, "lat_e5"] = [5_500_000 + 1_000_000 * (k % 3) for k in range(20)]
+    out["shifted"] = glue(leg(5000, 300, 8_000), leg(1000, 400))
+    out["pieces"] = glue(*[leg(9000 - 900 * k, 100) for k in range(7)])
+    out["wide gap"], out["gap"] = (glue(leg(1000, 200), leg(t, 600, 4_000)) for t in (1200 + 1801, 1199 + 1800))
+    out["speed"] = glue(still(0, 400), leg(400, 900), still(1300, 400, 18_000))
+    out["still"], out["one"] = still(0, 600), still(0, 1)
+    out["stop"] = glue(leg(0, 600), still(600, 200, 12_000), leg(800, 600, 12_000))
+    out["long stop"] = glue(leg(0, 600), still(600, 400, 12_000), leg(1000, 600, 12_000))
     climb = [10_000] * 300 + [10_000 + 15 * i for i in range(600)] + [19_000 - 20 * i for i in range(400)] + [11_000] * 300
-    f = glue(still(0, 300), leg(300, 1000), still(1300, 300, 20_000)).assign(geo_dm=climb)
-    takeoff, landing = cleaning.flight_window(f)
+    out["altitude"] = glue(still(0, 300), leg(300, 1000), still(1300, 300, 20_000)).assign(geo_dm=climb)
+    rng = np.random.default_rng(11)
+    for k in range(12):  # bursts of noise, jumps, slips, gaps and climbs
+        n = int(rng.integers(2, 400))
+        t = 1000 + np.cumsum(rng.choice([0, 1, 1, 1, 2, 9, 900 if k % 3 else 1900], n, p=[0.02, 0.3, 0.3, 0.2, 0.1, 0.07, 0.01]))
+        for at in rng.integers(0, n, k % 4):
+            t[at:] -= int(rng.integers(1, 400))
+        lat, lon = (4_700_000 + np.cumsum(rng.integers(-30, 31, n) * (np.arange(n) // 60 % 2)) for _ in range(2))
+        lat[rng.random(n) < 0.04] += 400_000
+        out[f"random {k}"] = frame(t.tolist(), lat.tolist(), lon.tolist(), (15_000 + np.cumsum(rng.integers(-40, 41, n))).tolist() if k % 2 else None)
+    return out
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """(tracks, their cleaned fixes, their flights): all tracks in one table."""
+    own = tracks()
+    rows = [(name, int(r.idx), int(r.t), int(r.lat_e5), int(r.lon_e5), int(r.geo_dm), None) for name, f in own.items() for r in f.itertuples()]
+    df = spark.createDataFrame(rows, FIXES.replace("flight_id long", "flight_id string")).repartition(3)
+    clean = {name: [] for name in own}
+    for r in cleaning.cleaned(df).orderBy("flight_id", "idx").collect():
+        clean[r.flight_id].append(r)
+    windows = {r.flight_id: (r.takeoff_idx, r.landing_idx) for r in detection.flight_windows(df).collect()}
+    assert cleaning.cleaned(df.limit(0)).count() == 0 and detection.flight_windows(df.limit(0)).count() == 0
+    return own, clean, windows
+
+
+def test_relations_do_what_a_plain_program_does(found):
+    own, clean, windows = found
+    for name, f in own.items():
+        assert [r.raw_idx for r in clean[name]] == sequential.clean(f)["idx"].tolist(), name
+        assert [r.idx for r in clean[name]] == list(range(len(clean[name])))
+        if (np.diff(f["t"]) > 0).all():
+            assert windows.get(name) == sequential.flight_window(f), name
+
+
+def test_fixes_that_go(found):
+    _, clean, _ = found
+    n = {k: len(v) for k, v in clean.items()}
+    assert n["steady"] == 400 and n["slips"] == 398 and n["far"] == 395 and n["never back"] == 40
+    assert clean["odd start"][0].t == 1001
+    assert all(a.t < b.t for v in clean.values() for a, b in zip(v, v[1:]))
+
+
+def test_shifted_pieces_are_joined_or_dropped(found):
+    _, clean, _ = found
+    assert len(clean["shifted"]) in (400, 700) and not clean["pieces"]
+
+
+def test_longest_segment_by_gap(found):
+    _, clean, _ = found
+    assert clean["wide gap"][0].t == 3001 and len(clean["gap"]) == 800
+
+
+def test_windows(found):
+    _, _, windows = found
+    takeoff, landing = windows["speed"]
+    assert abs(takeoff - 400) < 20 and abs(landing - 1300) < 20
+    assert "still" not in windows and "one" not in windows and windows["stop"] == (0, 1399)
+    takeoff, landing = windows["altitude"]
     assert 285 <= takeoff <= 310 and 1290 <= landing <= 1320
 
 
-def test_states_are_the_likeliest():
+def test_states_are_the_likeliest(spark):
     rng = random.Random(3)
-    stay, right = np.log([cleaning.STAY, 1 - cleaning.STAY]), np.log([cleaning.RIGHT, 1 - cleaning.RIGHT])
-    for _ in range(30):
-        signs = np.array([rng.random() < 0.5 for _ in range(10)], dtype=int)
+    stay, right = np.log([detection.STAY, 1 - detection.STAY]), np.log([detection.RIGHT, 1 - detection.RIGHT])
+    signs = {k: [rng.random() < 0.5 for _ in range(rng.choice((1, 2, 3, 8, 10)))] for k in range(30)}
+    df = spark.createDataFrame([(k, i, s) for k, own in signs.items() for i, s in enumerate(own)], "flight_id long, idx long, s boolean")
+    paths = {k: [0] * len(own) for k, own in signs.items()}
+    for r in detection.likeliest_states(df, "s", detection.rounds_for(df)).collect():
+        paths[r.flight_id][r.idx] = r.state
+    for k, own in signs.items():
 
         def chance(path):
-            p = np.log(cleaning.START_CHANCES[path[0]]) + sum(right[0 if s == x else 1] for s, x in zip(signs, path))
+            p = np.log(detection.START_CHANCES[path[0]]) + sum(right[0 if s == x else 1] for s, x in zip(own, path))
             return p + sum(stay[0 if a == b else 1] for a, b in zip(path, path[1:]))
 
-        assert chance(cleaning.likeliest_states(signs)) == pytest.approx(max(map(chance, itertools.product((0, 1), repeat=10))))
-
-
-def test_all_flights(spark):
-    rows = [f.assign(flight_id=k) for k, f in enumerate((glue(still(0, 400), leg(400, 900), still(1300, 400, 18_000)), still(0, 50)))]
-    both = pd.concat(rows).astype({"pressure_dm": "float64"})
-    df = spark.createDataFrame(both[["flight_id", "idx", "t", "lat_e5", "lon_e5", "geo_dm"]]).selectExpr("flight_id", "idx", "t", "int(lat_e5) lat_e5", "int(lon_e5) lon_e5", "int(geo_dm) geo_dm", "int(null) pressure_dm")
-    assert [r.flight_id for r in cleaning.flight_windows(df).collect()] == [0]
-    assert cleaning.cleaned(df).count() == 1750
-    assert cleaning.cleaned(df.limit(0)).count() == 0
-    assert routes.scored_routes(df).where("flight_id = 1").count() == 0
+        assert chance(paths[k]) == pytest.approx(max(map(chance, itertools.product((0, 1), repeat=len(own)))))
+
+
+@pytest.mark.parametrize("tolerance,chord", [(400.0, None), (30.0, 900.0), (0.5, None)])
+def test_simplification_level_by_level(spark, tolerance, chord):
+    """All stretches at once keep what halving one after the other keeps; hulls have the same rectangles."""
+    own = {k: wander(n, k) for k, n in enumerate((1, 2, 3, 40, 130))}
+    df = spark.createDataFrame([(k, i, int(a), int(o)) for k, (lat, lon) in own.items() for i, (a, o) in enumerate(zip(lat, lon))], "flight_id long, idx long, lat_e5 int, lon_e5 int")
+    kept = {k: [] for k in own}
+    for r in outline.simplified(df, tolerance, chord).orderBy("flight_id", "idx").collect():
+        kept[r.flight_id].append(r.idx)
+    assert kept == {k: routes.simplify(routes.plane_m(*x), tolerance, chord).tolist() for k, x in own.items()}
+    if chord is None:
+        got = {r.flight_id: r.aspect_ratio for r in outline.aspect_ratios(df).collect()}
+        assert got == {k: pytest.approx(routes.aspect_ratio(*x)) if len(x[0]) > 2 else None for k, x in own.items()}
 
 
 # --- climb segments ---------------------------------------------------------------------------------------------------------------
