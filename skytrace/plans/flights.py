@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.operators import charts, cleaning, detection, outline, routes, segments, series
+from skytrace.operators import charts, cleaning, detection, distance, outline, routes, segments, series
 from skytrace.plans.tables import PATHS, flat_sql, haversine_sql, paths
 
 QUERIES, SQL = {}, {}
@@ -183,7 +183,7 @@ fd AS (SELECT flight_id, arg_max(way, v) AS turns FROM w4 GROUP BY 1), fdm AS (S
 @query(f"WITH {_WAYS} SELECT flight_id, array_to_string(turns, '-') AS turns, CAST(floor(total / 10 + 0.5) * 10 AS BIGINT) AS distance_m FROM fdm")
 def free_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest way over five fixes of each flight; as every flight here has few fixes, the search has them all."""
-    found = routes.free_distances(paths(spark, sf_dir))
+    found = distance.free_distances(paths(spark, sf_dir))
     return found.select("flight_id", F.array_join(F.transform("turns", lambda x: x.cast("string")), "-").alias("turns"), "distance_m")
 
 
