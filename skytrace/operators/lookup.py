@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.functions.geo import degrees, mercator_x, mercator_y
+from skytrace.storage import settled
 
 # Fixed value: cells along a flight's longer side.
 CELLS = 200
@@ -21,16 +22,18 @@ def nearest_fix(fixes: DataFrame, points: DataFrame, rings: int = 3) -> DataFram
     bounds = fixes.groupBy("flight_id").agg(F.min("lat_e5").alias("_a"), F.min("lon_e5").alias("_o"), F.greatest(F.max("lat_e5") - F.min("lat_e5"), F.max("lon_e5") - F.min("lon_e5"), F.lit(1)).alias("_span"))
     bounds = bounds.withColumn("_size", F.col("_span") / CELLS)
     cell = lambda v, low: F.floor((F.col(v) - F.col(low)) / F.col("_size")).cast("long")
-    placed = fixes.join(bounds, "flight_id").select("flight_id", "idx", F.col("lat_e5").alias("_fa"), F.col("lon_e5").alias("_fo"), cell("lat_e5", "_a").alias("_y"), cell("lon_e5", "_o").alias("_x"))
-    own = points.join(bounds, "flight_id").withColumn("_py", cell("lat_e5", "_a")).withColumn("_px", cell("lon_e5", "_o"))
+    bounds = settled(bounds)
+    placed = settled(fixes.join(bounds, "flight_id").select("flight_id", "idx", F.col("lat_e5").alias("_fa"), F.col("lon_e5").alias("_fo"), cell("lat_e5", "_a").alias("_y"), cell("lon_e5", "_o").alias("_x")))
+    own = settled(points.join(bounds, "flight_id", "left").withColumn("_py", cell("lat_e5", "_a")).withColumn("_px", cell("lon_e5", "_o")))
     around = own.withColumn("_y", F.explode(F.sequence(F.col("_py") - rings, F.col("_py") + rings))).withColumn("_x", F.explode(F.sequence(F.col("_px") - rings, F.col("_px") + rings)))
     square = lambda a, b: (F.col(a) - F.col(b)).cast("double") * (F.col(a) - F.col(b))
     best = F.min(F.struct((square("lat_e5", "_fa") + square("lon_e5", "_fo")).alias("d"), "idx")).alias("_best")
     near = around.join(placed, ["flight_id", "_y", "_x"]).groupBy("point_id").agg(best)
-    sure = own.join(near, "point_id", "left").withColumn("_sure", F.coalesce(F.sqrt("_best.d") <= rings * F.col("_size"), F.lit(False)))
+    sure = settled(own.join(near, "point_id", "left").withColumn("_sure", F.coalesce(F.sqrt("_best.d") <= rings * F.col("_size"), F.lit(False))))
     rest = sure.where(~F.col("_sure")).select(points.columns).join(placed, "flight_id").groupBy("point_id").agg(best)
-    found = sure.where("_sure").select("point_id", F.col("_best.idx").alias("idx")).unionByName(rest.select("point_id", F.col("_best.idx").alias("idx")))
-    return points.join(found, "point_id", "left")
+    rest = rest.select("point_id", F.col("_best.idx").alias("_rest"))
+    found = F.when(F.col("_sure"), F.col("_best.idx")).otherwise(F.col("_rest"))
+    return sure.join(rest, "point_id", "left").select(*points.columns, found.alias("idx"))
 
 
 def ground_elevation(fixes: DataFrame, tiles: DataFrame, zoom: int, side: int) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.storage import settled
+
 
 def insert_missing(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new whose key the table lacks are added; the first of rows that share a key is any of them."""
@@ -82,13 +84,20 @@ def flights_transferred(flights: DataFrame, models: DataFrame, brands: DataFrame
     brand_goes = goes & (F.col("_brand_user") == F.col("user_id"))
     both = both.withColumn("_goes", F.coalesce(goes, F.lit(False))).withColumn("_brand_goes", F.coalesce(brand_goes, F.lit(False)))
     both = both.withColumn("_brand", F.when(F.col("_brand_goes"), _reslugged(F.col("brand_id"), F.col("new_user"))).otherwise(F.col("brand_id")))
-    both = both.withColumn("_model", F.when(F.col("_goes"), _reslugged(F.col("model_id"), F.col("new_user"))).otherwise(F.col("model_id")))
+    both = settled(both.withColumn("_model", F.when(F.col("_goes"), _reslugged(F.col("model_id"), F.col("new_user"))).otherwise(F.col("model_id"))))
     after = both.select("id", F.coalesce("new_user", "user_id").alias("user_id"), F.col("_brand").alias("brand_id"), "kind", F.col("_model").alias("model_id"))
+    key = ["brand_id", "kind", "model_id"]
     came = both.where("_goes").select(F.col("_brand").alias("brand_id"), "kind", F.col("_model").alias("model_id"), F.col("_model_name").alias("name"), F.col("new_user").alias("user_id"))
-    left = both.where("_goes").select("brand_id", "kind", "model_id").distinct().withColumn("_left", F.lit(True))
-    all_models = insert_missing(models, came, ["brand_id", "kind", "model_id"]).join(left, ["brand_id", "kind", "model_id"], "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
-    kept_models = reap_orphans(all_models, after, ["brand_id", "kind", "model_id"], F.col("_left")).select(models.columns)
+    kept_models = settled(_kept(key, models, came, both.where("_goes").select(key), after.select(key)))
     came_brands = both.where("_brand_goes").select(F.col("_brand").alias("brand_id"), F.col("_brand_name").alias("name"), F.col("new_user").alias("user_id"))
-    left_brands = both.where("_brand_goes").select("brand_id").distinct().withColumn("_left", F.lit(True))
-    all_brands = insert_missing(brands, came_brands, ["brand_id"]).join(left_brands, ["brand_id"], "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
-    return after, kept_models, reap_orphans(all_brands, kept_models, ["brand_id"], F.col("_left")).select(brands.columns)
+    return after, kept_models, _kept(["brand_id"], brands, came_brands, both.where("_brand_goes").select("brand_id"), kept_models.select("brand_id"))
+
+
+def _kept(key: list[str], rows: DataFrame, came: DataFrame, left: DataFrame, used: DataFrame) -> DataFrame:
+    """rows and those that came (the old one where both have a key), without those that were left and that nothing uses. One shuffle: what
+    is known of a key meets in one aggregate."""
+    rest = [c for c in rows.columns if c not in key]
+    said = lambda df, place, was_left, is_used: df.select(*key, (F.struct(F.lit(place).alias("_place"), *rest) if place is not None else F.lit(None)).alias("_row"), F.lit(was_left).alias("_left"), F.lit(is_used).alias("_used"))
+    known = said(rows, 0, False, False).unionByName(said(came, 1, False, False)).unionByName(said(left, None, True, False)).unionByName(said(used, None, False, True))
+    told = known.groupBy(*key).agg(F.min("_row").alias("_row"), F.bool_or("_left").alias("_left"), F.bool_or("_used").alias("_used"))
+    return told.where(F.col("_row").isNotNull() & (~F.col("_left") | F.col("_used"))).select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns])

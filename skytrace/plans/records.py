@@ -164,7 +164,6 @@ def catalog_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM part, (VALUES {", ".join(f"('{k}', '{c}')" for k in ("pg", "hg", "sp") for c in ("en-a", "ccc", "kingpost", "rigid", "open", "club", "none"))}) k(kind, key)""")
 def glider_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes in a catalogue's spelling, for the kinds that have them and for others."""
-    keys = spark.createDataFrame([(k, c) for k in ("pg", "hg", "sp") for c in ("en-a", "ccc", "kingpost", "rigid", "open", "club", "none")], "kind string, key string")
-    models = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(1).alias("_"))
-    both = models.join(keys.withColumn("_", F.lit(1)), "_")
+    asked = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("key")) for k in ("pg", "hg", "sp") for c in ("en-a", "ccc", "kingpost", "rigid", "open", "club", "none")])
+    both = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(asked).alias("_asked")).select("id", "_asked.*")
     return both.select("id", "kind", "key", gliders.glider_class(F.col("kind"), F.col("key")).alias("class"))
