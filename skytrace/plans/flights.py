@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.operators import charts, cleaning, detection, distance, outline, routes, segments, series
+from skytrace.operators import charts, cleaning, detection, distance, outline, routes, segments, series, triangles
 from skytrace.plans.tables import PATHS, flat_sql, haversine_sql, paths
 
 QUERIES, SQL = {}, {}
@@ -199,7 +199,7 @@ _TRIANGLES = _TRIANGLES.replace("min((d, i, j))", "min({'d': d, 'i': i, 'j': j})
 @query(f"WITH {_TRIANGLES} SELECT flight_id, type, sub_type, round(b.total, 6) AS perimeter_km, round(b.gap, 6) AS gap_km FROM best")
 def best_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best triangle of each flight, shape and gap."""
-    found = routes.best_triangles(paths(spark, sf_dir))
+    found = triangles.best_triangles(paths(spark, sf_dir))
     return found.select("flight_id", "type", "sub_type", F.round("perimeter_km", 6).alias("perimeter_km"), F.round("gap_km", 6).alias("gap_km"))
 
 
@@ -207,7 +207,7 @@ def best_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT flight_id, 'free_triangle' AS type, leg, role, from_idx, to_idx FROM (SELECT flight_id, unnest([0, 1, 2, 3]) AS leg, unnest(['scored', 'scored', 'closing', 'auxiliary']) AS role, unnest([b.i, b.j, b.k, b.w]) AS from_idx, unnest([b.j, b.k, b.i, b.q]) AS to_idx FROM o)""")
 def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legs of each flight's best open triangle."""
-    return charts.route_legs(routes.best_triangles(paths(spark, sf_dir), {"olc_open": 0.2}, {"free_triangle": (0.0, 0.0)}))
+    return charts.route_legs(triangles.best_triangles(paths(spark, sf_dir), {"olc_open": 0.2}, {"free_triangle": (0.0, 0.0)}))
 
 
 @query(f"""WITH {_TRIANGLES}, o AS (SELECT flight_id, b FROM best WHERE type = 'free_triangle' AND sub_type = 'olc_open'), p AS (SELECT flight_id, unnest([0, 1, 2]) AS k, unnest([b.i, b.j, b.k]) AS idx FROM o)
@@ -215,7 +215,7 @@ SELECT flight_id, 'free_triangle' AS type, '[' || string_agg('{{"type":"point","
 def route_turnpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turnpoints of each flight's best open triangle as JSON."""
     f = paths(spark, sf_dir)
-    return charts.turnpoints_json(routes.best_triangles(f, {"olc_open": 0.2}, {"free_triangle": (0.0, 0.0)}), f)
+    return charts.turnpoints_json(triangles.best_triangles(f, {"olc_open": 0.2}, {"free_triangle": (0.0, 0.0)}), f)
 
 
 @query()

@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names: its lineage ends there, rows stay in their partitions,
-    and lost executors cost nothing. In local mode, where nothing names a folder, one in the warehouse does."""
-    spark = df.sparkSession
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; in local mode, where nothing names one, a folder in
+    the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a table in the shared folder: its lineage ends there, and lost executors cost nothing. A table, as a
+    checkpoint computes twice and hands on all that is known of its columns, which a loop piles up until planning takes longer than the work.
+    The tables go when the driver's process ends, or with forget_settled()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(forget_settled)
+    _kept.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_settled() -> None:
+    """Delete what settled() has left in the shared folder; call it when no result that reads it is needed any more."""
+    while _kept:
+        spark, path = _kept.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended, and with it the way to reach the folder
+            return
