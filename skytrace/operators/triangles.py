@@ -94,18 +94,29 @@ def _gaps(near: DataFrame, asked: DataFrame) -> DataFrame:
 _SEARCH = ["flight_id", "type", "sub_type"]
 
 
+def _legs(triples: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(flight_id, x, y, leg) of every two blocks that are corners of a triple: no two of their fixes are further apart than leg.most; leg.ff and
+    leg.fl are the distances of the first fix of x from the first and the last of y, null where these don't come in this order."""
+    two = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = triples.select("flight_id", F.explode(F.array(two("a", "b"), two("b", "c"), two("a", "c"))).alias("p")).select("flight_id", "p.*").distinct()
+    both = pairs.join(_of(boxes, "x"), ["flight_id", "x"]).join(_of(boxes, "y"), ["flight_id", "y"])
+    real = lambda end: F.when(F.col("_x.first.i") < F.col(f"_y.{end}.i"), _km(F.col("_x.first"), F.col(f"_y.{end}")))
+    return both.select("flight_id", "x", "y", F.struct(_most_km(F.col("_x"), F.col("_y")).alias("most"), real("first").alias("ff"), real("last").alias("fl")).alias("leg"))
+
+
 def _bounded(triples: DataFrame, gaps: DataFrame, boxes: DataFrame) -> DataFrame:
-    """triples with `bound`, what a triangle over them is worth at most, and `known`, what one over fixes of theirs is worth at least."""
-    own = triples.join(gaps, ["flight_id", "a", "c"])
-    for block in "abc":
-        own = own.join(_of(boxes, block), ["flight_id", block])
-    corners = [F.col("_a.first"), F.col("_b.first"), F.col("_c.last")]
-    legs = lambda far, x, y, z: [far(x, y), far(y, z), far(z, x)]
-    most, real = legs(_most_km, F.col("_a"), F.col("_b"), F.col("_c")), legs(_km, *corners)
+    """triples with `bound`, what a triangle over them is worth at most, and `worth`, that over the first fixes of a and b and the last of c,
+    null where it isn't valid."""
+    legs = settled(_legs(triples, boxes))
+    of = lambda x, y: legs.select("flight_id", F.col("x").alias(x), F.col("y").alias(y), F.col("leg").alias(x + y))
+    own = triples.join(of("a", "c").join(gaps, ["flight_id", "a", "c"]), ["flight_id", "a", "c"]).join(of("a", "b"), ["flight_id", "a", "b"]).join(of("b", "c"), ["flight_id", "b", "c"])
+    most = [F.col("ab.most"), F.col("bc.most"), F.col("ac.most")]
+    # From the first fix of a by the first of b to the last of c; null unless they come in this order.
+    real = [F.col("ab.ff"), F.col("bc.fl"), F.col("ac.fl")]
     own = own.withColumns({"_most": most[0] + most[1] + most[2], "_least": F.least(*most), "_real": real[0] + real[1] + real[2], "_side": F.least(*real)})
     total = F.when(F.col("side") > 0, F.least(F.col("_most"), F.col("_least") / F.col("side"))).otherwise(F.col("_most")) + ROUNDING_KM
     fits = (F.col("close.km") <= F.col("most_gap") * total + ROUNDING_KM) & (F.col("_least") >= F.col("side_km") - ROUNDING_KM)
-    valid = (corners[0]["i"] < corners[1]["i"]) & (corners[1]["i"] < corners[2]["i"]) & (F.col("shown") <= F.col("most_gap") * F.col("_real")) & (F.col("_side") >= F.col("side") * F.col("_real")) & (F.col("_side") >= F.col("side_km"))
+    valid = F.col("_real").isNotNull() & (F.col("shown") <= F.col("most_gap") * F.col("_real")) & (F.col("_side") >= F.col("side") * F.col("_real")) & (F.col("_side") >= F.col("side_km"))
     own = own.withColumn("bound", total - F.col("close.km")).withColumn("worth", F.when(valid, F.col("_real") - F.col("shown"))).where(fits)
     return own.select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", "known", "bound", "worth", "close", F.col("_real").alias("perimeter_km"))
 
@@ -126,7 +137,8 @@ def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[
     while True:
         boxes = settled(_boxes(places, sizes.select("flight_id", "size")))
         near = settled(_near(pairs, boxes))
-        gap = _gaps(near, triples.select("flight_id", "a", "c").distinct())
+        triples = settled(triples)
+        gap = settled(_gaps(near, triples.select("flight_id", "a", "c").distinct()))
         found = settled(_bounded(triples, gap, boxes))
         known = found.groupBy(*_SEARCH).agg(F.greatest(F.max("known"), F.coalesce(F.max("worth"), F.lit(0.0))).alias("known"))
         ended = found.where((F.col("size") == 1) & F.col("worth").isNotNull())
