@@ -121,24 +121,27 @@ def _bounded(triples: DataFrame, gaps: DataFrame, boxes: DataFrame) -> DataFrame
     return own.select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", "known", "bound", "worth", "close", F.col("_real").alias("perimeter_km"))
 
 
-def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] = SIDES) -> DataFrame:
+def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] = SIDES, searches: DataFrame | None = None) -> DataFrame:
     """(flight_id, type, sub_type, turns, gap_ends, perimeter_km, gap_km): the best triangle of each flight, shape and gap; turns and
     gap_ends are idx; of equals the one of the first turns. gaps: the largest gap as a share of the perimeter; sides: the least side of
-    each shape as a share of the perimeter and in km. Flights without a valid triangle have no row."""
-    places = settled(_places(fixes))
+    each shape as a share of the perimeter and in km. searches, if given, says what to look for in which flight: (flight_id, type, sub_type,
+    most_gap, side, side_km). Flights without a valid triangle have no row."""
+    places = settled(_places(fixes if searches is None else fixes.join(searches.select("flight_id").distinct(), "flight_id", "left_semi")))
     halvings = F.ceil(F.greatest(F.log2(F.col("n") / FIRST_BLOCKS), F.lit(0.0)))
     sizes = settled(places.groupBy("flight_id").agg(F.max("n").alias("n")).select("flight_id", "n", F.pow(F.lit(2.0), halvings).cast("long").alias("size")))
     block = lambda low: F.explode(F.sequence(low, F.floor((F.col("n") - 1) / F.col("size"))))
     pairs = sizes.withColumn("q", block(F.lit(0).cast("long"))).withColumn("w", block(F.col("q"))).select("flight_id", "q", "w", F.lit(float("inf")).alias("cap"))
-    searches = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("sub_type"), F.lit(float(g)).alias("most_gap"), F.lit(float(share)).alias("side"), F.lit(float(km)).alias("side_km")) for t, (share, km) in sides.items() for s, g in gaps.items()]))
+    if searches is None:
+        each = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("sub_type"), F.lit(float(g)).alias("most_gap"), F.lit(float(share)).alias("side"), F.lit(float(km)).alias("side_km")) for t, (share, km) in sides.items() for s, g in gaps.items()])
+        searches = sizes.select("flight_id", F.explode(each).alias("s")).select("flight_id", "s.*")
     triples = sizes.withColumn("a", block(F.lit(0).cast("long"))).withColumn("b", block(F.col("a"))).withColumn("c", block(F.col("b"))).where("size > 1 or (a < b and b < c)")
-    triples = triples.withColumn("s", searches).select("flight_id", "s.*", "size", "a", "b", "c", F.lit(0.0).alias("known"))
+    triples = triples.join(searches, "flight_id").select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", F.lit(0.0).alias("known"))
     done = None
     while True:
         boxes = settled(_boxes(places, sizes.select("flight_id", "size")))
         near = settled(_near(pairs, boxes))
         triples = settled(triples)
-        gap = settled(_gaps(near, triples.select("flight_id", "a", "c").distinct()))
+        gap = _gaps(near, triples.select("flight_id", "a", "c").distinct())
         found = settled(_bounded(triples, gap, boxes))
         known = found.groupBy(*_SEARCH).agg(F.greatest(F.max("known"), F.coalesce(F.max("worth"), F.lit(0.0))).alias("known"))
         ended = found.where((F.col("size") == 1) & F.col("worth").isNotNull())
@@ -150,7 +153,7 @@ def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[
         cut = alive.select(*_SEARCH, "most_gap", "side", "side_km", (F.col("size") / 2).cast("long").alias("size"), "a", "b", "c", "known")
         rest = lambda df, c: df.select(*[x for x in df.columns if x != c], halves(c))
         triples = rest(rest(rest(cut, "a"), "b"), "c").where("(a < b and b < c) or (size > 1 and a <= b and b <= c)")
-        sizes = settled(cut.groupBy("flight_id").agg(F.first("size").alias("size"), (F.max("a") * 2 + 1).alias("last_a"), (F.min("c") * 2).alias("first_c")))
+        sizes = cut.groupBy("flight_id").agg(F.first("size").alias("size"), (F.max("a") * 2 + 1).alias("last_a"), (F.min("c") * 2).alias("first_c"))
         pairs = rest(rest(near.select("flight_id", "q", "w", "cap").join(sizes, "flight_id"), "q"), "w").where("q <= w and q <= last_a and w >= first_c").select("flight_id", "q", "w", "cap")
     best = done.groupBy(*_SEARCH).agg(F.max(F.struct("worth", (-F.col("a")).alias("_a"), (-F.col("b")).alias("_b"), (-F.col("c")).alias("_c"), "close", "perimeter_km")).alias("t"))
     ends = F.array(-F.col("t._a"), -F.col("t._b"), -F.col("t._c"), F.col("t.close.q"), F.col("t.close.w"))
