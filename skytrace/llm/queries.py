@@ -15,11 +15,18 @@ def _held_out(mod: int, is_: int) -> F.Column:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its size, its source's size and target, and the words the mix takes of it. A null or empty text has size 0, a
+    null source is a source, and null ids come first among documents of one size; equal rows share what they are taken by. Ties of size
+    go by id, then by a digest of the whole row. Texts may be of any length; other columns only tell rows apart; an empty table gives no rows."""
     drawn = mixing.copies(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: whether its labels were held out, its score and what it comes to. A null or empty text has the score of no sign;
+    rows that share an id are scored each by its own text, repeated ones alike; a null id is never held out and never labelled. Of
+    repeated labels one that says toxic tells. Without toxic labels all score 0. Texts are read whole, whatever their length; other
+    columns, also one called toxic_score, are not read; an empty table gives no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rated = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
     predicted = (F.col("toxic_score") >= toxicity.REJECT_FROM).cast("int")
@@ -27,15 +34,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every hundredth id. Null ids ask and answer nothing; vectors that are null, zero or hold null or non-finite
+    components take no part, those of another length are no neighbours. Equal distances go by the smaller id; of repeated rows with an
+    id one asks, each answers. Other columns are not read; an empty table gives no rows."""
     return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its fingerprint and the least id that links reach. Null, empty and blank texts have fingerprint zero and link
+    like any other; repeated rows stay; a null id names no group unless all its members are null. Texts may be of any length; other
+    columns are not read; an empty table gives no rows."""
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.withColumn("fingerprint", fingerprint_text(groups["fp"])).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: how many ids its text has, and digests of the ids and of what they decode to. A null text counts as empty;
+    repeated rows and ids stay. Texts may be of any length, runs of white space too; other columns are not read; an empty table gives no rows."""
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
@@ -46,6 +61,9 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: whether its labels were held out, its score and what it comes to. Null and empty texts are scored by what little
+    they show; rows that share an id are scored each by its own text, repeated ones alike. Without labels all score alike. Texts are
+    read whole; other columns, also one called quality_score, are not read; an empty table gives no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rated = quality.score(docs, quality.fit(docs, labels))
     predicted = (F.col("quality_score") >= quality.KEEP_FROM).cast("int")
@@ -53,10 +71,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page: host, path, the rule that fits and the verdict. A null URL or one without :// has neither host nor path and no rule;
+    repeated rows and ids stay; of rules that fit, the longest wins. A URL may be of any length; other columns are not read; an empty
+    table gives no rows."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document as its shard's index has it: where its ids begin, how many they are, and their crc32. A null text counts as
+    empty; repeated rows have entries of their own, a null id too; ties of ids go by a digest of the text. Texts may be of any length;
+    other columns are not read; an empty table gives no rows. An id that is no whole number comes back as its type casts it."""
     docs, path = table(spark, sf_dir, "documents"), new_folder(spark, "ids")
     shards.write_shards(docs, path)
     doc_id = F.col("key").cast(docs.schema["doc_id"].dataType)
@@ -64,6 +88,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector: how many others it links to, the least id that links reach, and whether it is that one. Vectors that are null, zero
+    or hold null or non-finite components, and those of another length, link with nothing. Repeated rows count as vectors; a null id
+    names no group unless all its members are null, and is kept only then. Other columns are not read; an empty table gives no rows."""
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
