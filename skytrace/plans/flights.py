@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.operators import charts, cleaning, detection, distance, outline, routes, segments, series, triangles
+from skytrace.operators import charts, cleaning, detection, distance, outline, scoring, segments, series, triangles
 from skytrace.plans.tables import PATHS, flat_sql, haversine_sql, paths
 
 QUERIES, SQL = {}, {}
@@ -53,7 +53,7 @@ def shifted_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cleaned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks without slips and jumps, cut to the longest flight: a kernel per flight, whose steps have queries with SQL of their own."""
+    """Tracks without slips and jumps, cut to the longest flight: tests hold them against a plain program."""
     f = paths(spark, sf_dir).drop("event_id").withColumn("t", F.expr("if(idx > 40, t + 2000, t)"))
     return cleaning.cleaned(f)
 
@@ -220,6 +220,5 @@ def route_turnpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scored_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free distance and triangles of each flight as the scorer takes them, coarse probes first: a kernel per flight, whose searches have
-    queries with SQL of their own (free_distances, best_triangles, simplified_tracks, aspect_ratios)."""
-    return routes.scored_routes(paths(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    """Free distance and triangles of each flight as they score; tests hold them against a plain program."""
+    return scoring.scored_routes(paths(spark, sf_dir)).withColumn("score", F.round("score", 6))

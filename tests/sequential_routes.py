@@ -1,4 +1,5 @@
-"""Simplification, hulls and cross-country routes: per-flight kernels on arrays, applied to all flights in parallel.
+"""Simplification, hulls and routes of one flight, as a plain program would: what the relations of outline, distance, triangles and
+scoring are held against.
 
 Free distance is the longest way over five fixes in order. A triangle is three fixes in order whose perimeter, less the gap between
 the closest fixes before the first and after the last, is largest. Triangles of short tracks are searched exhaustively, with matrices over
@@ -11,10 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from skytrace.operators.series import each_flight
 
 RADIUS_M = 6_371_000.0
 
@@ -444,80 +441,3 @@ def evaluate(lat: np.ndarray, lon: np.ndarray) -> list[dict]:
     legs, distance = free_distance_m(lat, lon, way)
     routes = [{"type": "free_distance", "sub_type": "none", "turns": way.tolist(), "legs_m": legs, "distance_m": distance, "gap_m": None, "gap_ends": None, "factor": 1.0, "score": distance / 1000, "optimal": len(lat) <= FD_LAST}]
     return routes + [r for kind in ("free_triangle", "fai_triangle") if (r := _kind(lat, lon, kind, distance))]
-
-
-# --- on all flights ---------------------------------------------------------------------------------------------------------------
-
-ROUTE = "type string, sub_type string, turns array<long>, legs_m array<long>, distance_m long, gap_m long, gap_ends array<long>, factor double, score double, optimal boolean"
-
-
-def scored_routes(fixes: DataFrame) -> DataFrame:
-    """A row per flight and route; turns and gap_ends are idx of the fixes. Flights are scored in parallel, one to a group."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-    names = ["flight_id", *(x.split(" ")[0] for x in ROUTE.split(", "))]
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        found = evaluate(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))
-        idx = f["idx"].to_numpy()
-        for r in found:
-            r |= {"flight_id": key[0], "turns": idx[r["turns"]].tolist(), "gap_ends": None if r["gap_ends"] is None else idx[r["gap_ends"]].tolist()}
-        return pd.DataFrame(found, columns=names).astype({"gap_m": "Int64"})
-
-    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, {ROUTE}")
-
-
-def simplified(fixes: DataFrame, tolerance_m: float, chord_m: float | None = None) -> DataFrame:
-    """(flight_id, idx) of the fixes that a simplification keeps."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        xy = plane_m(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))
-        return pd.DataFrame({"flight_id": key[0], "idx": f["idx"].to_numpy()[simplify(xy, tolerance_m, chord_m)]})
-
-    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, idx long")
-
-
-def aspect_ratios(fixes: DataFrame) -> DataFrame:
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        return pd.DataFrame({"flight_id": [key[0]], "aspect_ratio": [aspect_ratio(f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float))]})
-
-    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, aspect_ratio double")
-
-
-def free_distances(fixes: DataFrame) -> DataFrame:
-    """(flight_id, turns, distance_m) of the free distance of each flight that has one; turns are idx."""
-    kind = fixes.schema["flight_id"].dataType.simpleString()
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        lat, lon = (f[c].to_numpy(dtype=float) for c in ("lat_e5", "lon_e5"))
-        way = free_distance(lat, lon)
-        if way is None:
-            return pd.DataFrame(columns=["flight_id", "turns", "distance_m"])
-        return pd.DataFrame({"flight_id": [key[0]], "turns": [f["idx"].to_numpy()[way].tolist()], "distance_m": [free_distance_m(lat, lon, way)[1]]})
-
-    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, turns array<long>, distance_m long")
-
-
-def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """(flight_id, type, sub_type, turns, gap_ends, perimeter_km, gap_km): the best triangle of each flight, shape and gap; turns and
-    gap_ends are idx. sides: the least side of each shape as a share of the perimeter and in km."""
-    kind, shapes = fixes.schema["flight_id"].dataType.simpleString(), sides or {"free_triangle": (0.0, 0.0), "fai_triangle": (FAI_SIDE, FAI_SIDE_KM)}
-    names = ["flight_id", "type", "sub_type", "turns", "gap_ends", "perimeter_km", "gap_km"]
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx", ignore_index=True)
-        lat, lon, idx = f["lat_e5"].to_numpy(dtype=float), f["lon_e5"].to_numpy(dtype=float), f["idx"].to_numpy()
-        out = []
-        for shape, (share, km) in shapes.items():
-            for sub_type, gap in gaps.items():
-                if (found := best_triangle(lat, lon, gap, share, km)) is not None:
-                    out.append((key[0], shape, sub_type, idx[list(found.turns)].tolist(), idx[list(found.gap)].tolist(), found.perimeter_km, found.gap_km))
-        return pd.DataFrame(out, columns=names)
-
-    return each_flight(fixes.select("flight_id", "idx", "lat_e5", "lon_e5")).applyInPandas(one, f"flight_id {kind}, type string, sub_type string, turns array<long>, gap_ends array<long>, perimeter_km double, gap_km double")

@@ -7,8 +7,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skytrace.operators import cleaning, detection, outline, routes, segments
+from skytrace.operators import cleaning, detection, distance, outline, scoring, segments, triangles
 from tests import sequential
+from tests import sequential_routes as routes
 
 FIXES = "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int"
 
@@ -251,3 +252,93 @@ def test_long_tracks_are_searched_to_the_end():
         coarse = routes.best_triangle(lat[::24], lon[::24], gap, routes.FAI_SIDE, routes.FAI_SIDE_KM)
         assert found is not None and found.optimal
         assert coarse is None or found.perimeter_km - found.gap_km >= coarse.perimeter_km - coarse.gap_km - 1e-9
+
+
+# --- routes of all flights, as relations --------------------------------------------------------------------------------------------
+
+
+def steps(n, seed):
+    rng = np.random.default_rng(seed)
+    return 4_700_000.0 + np.cumsum(rng.integers(-300, 301, n)), 1_000_000.0 + np.cumsum(rng.integers(-400, 401, n))
+
+
+def circle(n):
+    t = np.arange(n)
+    return np.round(4_700_000 + 18_000 * np.sin(t / (n / 6.3))), np.round(1_300_000 + 26_000 * np.cos(t / (n / 6.3)))
+
+
+def as_table(spark, own):
+    rows = [(k, 3 * i, int(a), int(o)) for k, (lat, lon) in own.items() for i, (a, o) in enumerate(zip(lat, lon))]
+    return spark.createDataFrame(rows, "flight_id long, idx long, lat_e5 int, lon_e5 int").repartition(3)
+
+
+def test_free_distance_is_the_longest(spark):
+    """At any length the way is that of all fixes, also where many are nearly as long (a circle); idx need not be dense."""
+    own = {n: steps(n, n) for n in (4, 5, 64, 65, 300, 900)} | {1_000: circle(600), 1_001: (np.zeros(9), np.zeros(9))}
+    got = {r.flight_id: r for r in distance.free_distances(as_table(spark, own)).collect()}
+    assert set(got) == set(own) - {4, 1_001} and all(r.optimal for r in got.values())
+    for k, r in got.items():
+        lat, lon = own[k]
+        moved = np.flatnonzero(np.append(True, (np.diff(lat) != 0) | (np.diff(lon) != 0)))
+        way = routes.longest_way(lat, lon, moved)
+        assert r.turns == (3 * way).tolist() and (r.legs_m, r.distance_m) == routes.free_distance_m(lat, lon, way)
+
+
+def test_triangles_are_the_best(spark, monkeypatch):
+    own = {n: steps(n, n) for n in (2, 3, 24, 25, 130, 400)} | {1_000: circle(260)}
+    sides = {"free_triangle": (0.0, 0.0), "fai_triangle": (0.28, 0.2)}
+    got = {(r.flight_id, r.type, r.sub_type): r for r in triangles.best_triangles(as_table(spark, own), sides=sides).collect()}
+    monkeypatch.setattr(routes, "CORNERS", 400)
+    for k, (lat, lon) in own.items():
+        for shape, side in sides.items():
+            for sub_type, gap in triangles.GAPS.items():
+                want, r = routes.best_triangle(lat, lon, gap, *side), got.pop((k, shape, sub_type), None)
+                assert (r is None) == (want is None)
+                if want is not None:
+                    assert r.perimeter_km - r.gap_km == pytest.approx(want.perimeter_km - want.gap_km, abs=1e-9)
+                    a, b, c, q, w = (x // 3 for x in (*r.turns, *r.gap_ends))
+                    assert q <= a < b < c <= w and r.gap_km == pytest.approx(float(routes.haversine_km(lat[q], lon[q], lat[w], lon[w])), abs=1e-9)
+    assert not got
+
+
+def kind_by_force(lat, lon, kind, fd):
+    """The better triangle of a kind, with a probe over all fixes."""
+    side, side_km = 0.0, 0.0
+    if kind == "fai_triangle":
+        ratio = routes.aspect_ratio(lat, lon)
+        if fd < scoring.FAI_LEAST_FD_M or (ratio is not None and ratio >= scoring.FAI_MOST_ASPECT):
+            return None
+        probe = routes.best_triangle(lat, lon, scoring.PROBE_GAP, routes.FAI_SIDE, routes.FAI_SIDE_KM)
+        if probe is None or routes.triangle_distance_m(lat, lon, probe)[2] < max(scoring.FAI_LEAST_M, scoring.FAI_TO_FD * fd):
+            return None
+        side, side_km = routes.FAI_SIDE, max(routes.FAI_SIDE_KM, fd / 1000 * scoring.FAI_TO_FD * routes.FAI_SIDE)
+    else:
+        probe = routes.best_triangle(lat, lon, scoring.PROBE_GAP)
+        if (routes.triangle_distance_m(lat, lon, probe)[2] if probe else 0) < scoring.FREE_PROBE_TO_FD * fd:
+            return None
+    best = None
+    for sub_type, gap in routes.GAPS.items():
+        found = routes.best_triangle(lat, lon, gap, side, side_km)
+        if found is None:
+            break
+        legs, gap_m, metres = routes.triangle_distance_m(lat, lon, found)
+        if kind == "free_triangle" and sub_type == "olc_open" and metres < scoring.FREE_TO_FD * fd:
+            return None
+        score = metres / 1000 * scoring.FACTORS[kind, sub_type]
+        best = (sub_type, legs, metres, gap_m, score) if best is None or score > best[-1] else best
+    return best
+
+
+def test_scored_routes(spark):
+    own = {k: tuple(4 * x - 3 * x[0] for x in steps(n, n + k)) for k, n in enumerate((30, 60, 90, 120, 150))} | {9: circle(140), 10: steps(3, 1)}
+    got = {(r.flight_id, r.type): r for r in scoring.scored_routes(as_table(spark, own)).collect()}
+    for k, (lat, lon) in own.items():
+        way = routes.longest_way(lat, lon, np.flatnonzero(np.append(True, (np.diff(lat) != 0) | (np.diff(lon) != 0))))
+        if way is None:
+            continue
+        fd = routes.free_distance_m(lat, lon, way)[1]
+        assert got.pop((k, "free_distance")).distance_m == fd
+        for kind in ("free_triangle", "fai_triangle"):
+            want, r = kind_by_force(lat, lon, kind, fd), got.pop((k, kind), None)
+            assert want == (None if r is None else (r.sub_type, r.legs_m, r.distance_m, r.gap_m, pytest.approx(r.score)))
+    assert not got

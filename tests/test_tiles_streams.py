@@ -60,7 +60,7 @@ def test_samples(spark):
 def test_nearest_sites_over_the_date_line_and_poles(spark):
     import random
 
-    from skytrace.operators.routes import haversine_km
+    from tests.sequential_routes import haversine_km
 
     r = random.Random(5)
     place = lambda k: (k, r.choice([8_990_000, -8_950_000, 0, 4_600_000]) + r.randint(-9_000, 9_000), r.choice([17_999_000, -17_999_000, 0]) + r.randint(-999, 999))
