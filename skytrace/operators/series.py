@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skytrace.functions.geo import flat_distance_m, haversine_m
+from skytrace.storage import settled
 
 
 def in_order() -> WindowSpec:
@@ -65,12 +66,37 @@ def with_best_altitude(fixes: DataFrame, pressure: str = "pressure_dm", gps: str
     return fixes.withColumn("best_dm", F.when(whole, F.col(pressure)).otherwise(F.col(gps)))
 
 
+def _positions(fixes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(flight_id, range_id, lo, hi, first, n): the place of each range's first fix within its flight, from 0, and how many fixes it has. Ends
+    of ranges stand among the fixes in one order, so a running count places them all."""
+    end = lambda c, place: F.struct(F.col(c).cast("long").alias("idx"), F.lit(place).alias("_place"))
+    ends = ranges.where("lo <= hi").select("flight_id", "range_id", "lo", "hi", F.explode(F.array(end("lo", 0), end("hi", 2))).alias("_e")).select("flight_id", "range_id", "lo", "hi", "_e.*")
+    rows = fixes.select("flight_id", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("_place")).unionByName(ends, allowMissingColumns=True)
+    before = F.count_if(F.col("_place") == 1).over(W.partitionBy("flight_id").orderBy("idx", "_place").rowsBetween(W.unboundedPreceding, 0))
+    both = rows.withColumn("_before", before).where("_place <> 1").groupBy("flight_id", "range_id", "lo", "hi")
+    counts = both.agg(F.min("_before").alias("first"), (F.max("_before") - F.min("_before")).alias("n"))
+    return counts.where("n > 0")
+
+
 def range_boxes(fixes: DataFrame, ranges: DataFrame) -> DataFrame:
     """The bounding box of the fixes of each range (flight_id, range_id, lo, hi) of idx, both ends included; a range without fixes has
-    none. Flights meet their ranges in an equi-join, and partial boxes are made where the fixes are."""
-    within = fixes.select("flight_id", "idx", "lat_e5", "lon_e5").join(ranges, "flight_id").where(F.col("idx").between(F.col("lo"), F.col("hi")))
-    box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat_e5", "lon_e5") for f in (F.min, F.max)]
-    return within.groupBy("flight_id", "range_id").agg(*box)
+    none, ranges of one id share a box.
+
+    A sparse table: each fix knows the boxes of the 1, 2, 4 ... fixes from it on, each of two boxes of the level below, all in one order of
+    the flight. A range is covered by two boxes of one level, whatever its length, so it costs two look-ups by (flight_id, place)."""
+    asked = settled(_positions(fixes, ranges).withColumn("level", F.length(F.bin("n")) - 1))
+    levels = asked.agg(F.max("level")).first()[0] or 0  # one number
+    sides = [(f"{f.__name__}_{c}", c, f, g) for c in ("lat_e5", "lon_e5") for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    table = fixes.join(asked.select("flight_id").distinct(), "flight_id", "left_semi").select("flight_id", "idx", F.struct(*[F.col(c).alias(name) for name, c, _, _ in sides]).alias("_0"))
+    table = table.withColumn("i", (F.row_number().over(in_order()) - 1).cast("long"))
+    for k in range(1, levels + 1):
+        table = table.withColumn("_far", F.lead(f"_{k - 1}", 2 ** (k - 1)).over(in_order()))
+        table = table.withColumn(f"_{k}", F.struct(*[g(F.col(f"_{k - 1}.{name}"), F.col(f"_far.{name}")).alias(name) for name, _, _, g in sides])).drop("_far")
+    table = table.select("flight_id", "i", F.array(*[f"_{k}" for k in range(levels + 1)]).alias("_boxes"))
+    last = F.col("first") + F.col("n") - F.pow(F.lit(2.0), F.col("level")).cast("long")
+    looked = asked.select("flight_id", "range_id", "level", F.explode(F.array("first", last)).alias("i")).join(table, ["flight_id", "i"])
+    box = F.element_at("_boxes", F.col("level") + 1)
+    return looked.withColumn("_b", box).groupBy("flight_id", "range_id").agg(*[f(f"_b.{name}").alias(name) for name, _, f, _ in sides])
 
 
 def compared(fixes: DataFrame, about: DataFrame, flight_ids: list) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skytrace.operators import cleaning, detection, distance, outline, scoring, segments, triangles
+from skytrace.operators import cleaning, detection, distance, outline, scoring, segments, series, triangles
 from tests import sequential
 from tests import sequential_routes as routes
 
@@ -342,3 +342,19 @@ def test_scored_routes(spark):
             want, r = kind_by_force(lat, lon, kind, fd), got.pop((k, kind), None)
             assert want == (None if r is None else (r.sub_type, r.legs_m, r.distance_m, r.gap_m, pytest.approx(r.score)))
     assert not got
+
+
+def test_range_boxes_by_brute_force(spark):
+    r = random.Random(11)
+    fixes = [(f, i, r.randint(-9_000_000, 9_000_000), r.choice([None, r.randint(-18_000_000, 18_000_000)])) for f, n in ((1, 1), (2, 70), (3, 300)) for i in sorted(r.sample(range(2 * n), n))]
+    ranges = [(f, k, lo, lo + r.choice([0, 1, 2, 3, 8, 63, 64, 65, 700, -1])) for f in (1, 2, 3, 4) for k, lo in enumerate(r.choices(range(-5, 620), k=120))] + [(2, None, 3, 30), (2, 999, None, 30), (2, 5, 0, 10), (2, 5, 0, 10)]
+    got = series.range_boxes(spark.createDataFrame(fixes, "flight_id long, idx long, lat_e5 int, lon_e5 int"), spark.createDataFrame(ranges, "flight_id long, range_id long, lo long, hi long"))
+    want = {}
+    for f, k, lo, hi in ranges:
+        if lo is not None:
+            want.setdefault((f, k), []).extend(x for x in fixes if x[0] == f and lo <= x[1] <= hi)
+    ends = lambda v: (min(v, default=None), max(v, default=None))
+    want = {(*k, *ends([x[2] for x in v]), *ends([x[3] for x in v if x[3] is not None])) for k, v in want.items() if v}
+    found = [tuple(x) for x in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert series.range_boxes(spark.createDataFrame([], "flight_id long, idx long, lat_e5 int, lon_e5 int"), spark.createDataFrame(ranges, "flight_id long, range_id long, lo long, hi long")).count() == 0
