@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skytrace.functions import geo
 from skytrace.operators import cleaning, series
 from skytrace.plans.tables import FIXES, fixes, flat_sql, haversine_sql, table
+from skytrace.storage import drained, replayed
+from skytrace.streaming import live
 
 QUERIES, SQL = {}, {}
 DAY = 86_400
@@ -190,3 +193,22 @@ def flights_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = [r.flight_id for r in f.select("flight_id").distinct().orderBy(F.col("flight_id").desc()).limit(3).collect()]
     pilots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("flight_id"), F.col("c_name").alias("pilot"))
     return series.compared(f, pilots, ids).select("flight_id", "pilot", "idx", "since_s", "alt_dm")
+
+
+# A log in which single records run backward, and a block of a hundred has another clock now and then.
+_LOG_T = "{n} * 4 - CASE WHEN event_id % 50 = 7 THEN 900 ELSE 0 END - CASE WHEN {n} // 25 % 3 = 1 THEN 100000 ELSE 0 END - CASE WHEN event_id % 11 = 3 THEN 4 ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT user_id AS flight_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, event_id FROM events), timed AS (SELECT flight_id, n, CAST({_LOG_T.format(n="n")} AS BIGINT) AS t FROM raw),
+one AS (SELECT flight_id, n, t, row_number() OVER (PARTITION BY flight_id ORDER BY n) AS i FROM (SELECT *, lag(t) OVER (PARTITION BY flight_id ORDER BY n) AS p FROM timed) WHERE p IS NULL OR p <> t),
+hop AS (SELECT flight_id, n, t, i, CASE WHEN t1 > t THEN i + 1 WHEN t2 > t THEN i + 2 WHEN t3 > t THEN i + 3 WHEN t4 > t THEN i + 4 WHEN t4 IS NOT NULL THEN i + 1 END AS next, coalesce(greatest(t1, t2, t3, t4) <= t, false) AS split
+  FROM (SELECT *, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(t, 3) OVER w AS t3, lead(t, 4) OVER w AS t4 FROM one WINDOW w AS (PARTITION BY flight_id ORDER BY i))),
+walk AS (SELECT flight_id, n, t, next, split, 0::BIGINT AS segment FROM hop WHERE i = 1 UNION ALL SELECT h.flight_id, h.n, h.t, h.next, h.split, w.segment + w.split::BIGINT FROM walk w JOIN hop h ON h.flight_id = w.flight_id AND h.i = w.next)
+SELECT flight_id, n, t, segment FROM walk""")
+def fixes_put_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of flights as a stream of files, dealt to them out of order: what is kept, with its timeline."""
+    n, event = F.col("n"), F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("flight_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("n"), "event_id", F.col("ts").cast("timestamp").alias("sent"))
+    t = n * 4 - F.when(event % 50 == 7, 900).otherwise(0) - F.when(F.expr("n div 25 % 3 = 1"), 100_000).otherwise(0) - F.when(event % 11 == 3, 4).otherwise(0)
+    feed = replayed(rows.select("flight_id", "n", t.cast("long").alias("t"), "sent").repartition(8, F.hash("n")), 3)
+    return drained(live.fixes_in_order(feed, late="36500 days"))  # files of all times come in any order

@@ -1,4 +1,4 @@
-"""Live tracking: sessions of fixes that end at a gap, and midnight rollover, as streams."""
+"""Live tracking: sessions of fixes that end at a gap, midnight rollover, and fixes put in order, as streams."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skytrace.operators.cleaning import SLIP_FIXES
+
 
 def sessions(fixes: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(flight_id, start, end, n): runs of fixes with no gap longer than `gap`. Fixes later than `late` are dropped; a session is
@@ -40,3 +42,74 @@ def rolled_over(times: DataFrame) -> DataFrame:
     """(flight_id, n, t): seconds since the first midnight, of records (flight_id, n, s) whose s is the seconds of a day. Records of a
     flight come in order of n; each flight keeps two numbers of state."""
     return times.groupBy("flight_id").applyInPandasWithState(_roll, "flight_id long, n long, t long", "last long, days long", "append", GroupStateTimeout.NoTimeout)
+
+
+_TOLD = ["flight_id", "n", "t", "segment"]
+
+
+class _Timeline:
+    """What a flight's log has come to: `prev` is the time of the record before, `top` that of the last fix kept, `run` the records since
+    then that lie at or before it."""
+
+    def __init__(self, prev: int | None, top: int | None, segment: int, run: list[tuple[int, int]]):
+        self.prev, self.top, self.segment, self.run = prev, top, segment, run
+
+    def take(self, n: int, t: int) -> list[tuple[int, int, int]]:
+        """(n, t, segment) of the fixes that the next record settles."""
+        if t == self.prev:
+            return []
+        self.prev = t
+        out, todo = [], [(n, t)]
+        while todo:
+            n, t = todo.pop(0)
+            if self.top is None or t > self.top:
+                self.top, self.run = t, []
+                out.append((n, t, self.segment))
+                continue
+            self.run.append((n, t))
+            if len(self.run) > SLIP_FIXES:
+                self.segment, self.top, todo, self.run = self.segment + 1, None, self.run + todo, []
+        return out
+
+
+def _in_order(wait_ms: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        after, prev, top, segment, run_n, run_t, held_n, held_t, held_at = state.get if state.exists else (0, None, None, 0, [], [], [], [], [])
+        line = _Timeline(prev, top, segment, list(zip(run_n or [], run_t or [])))
+        held = {n: (t, at) for n, t, at in zip(held_n or [], held_t or [], held_at or [])}
+        if not state.hasTimedOut:
+            for batch in batches:
+                sent = (batch["sent"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+                for n, t, at in sorted(zip(batch["n"].tolist(), batch["t"].tolist(), sent.tolist())):
+                    if n >= after:
+                        held.setdefault(n, (t, at))
+        out, now = [], state.getCurrentWatermarkMs()
+        while held:
+            n = min(held) if after not in held and min(at for _, at in held.values()) + wait_ms <= now else after
+            if n not in held:
+                break
+            out += [(key[0], *x) for x in line.take(n, held.pop(n)[0])]
+            after = n + 1
+        rest = sorted((n, t, at) for n, (t, at) in held.items())
+        ns, ts, ats = ([x[k] for x in rest] for k in range(3))
+        state.update((after, line.prev, line.top, line.segment, [n for n, _ in line.run], [t for _, t in line.run], ns, ts, ats))
+        if ats:
+            state.setTimeoutTimestamp(max(min(ats) + wait_ms, now + 1))
+        yield pd.DataFrame(out, columns=_TOLD)
+
+    return step
+
+
+def fixes_in_order(fixes: DataFrame, wait_s: int = 600, late: str = "1 hour") -> DataFrame:
+    """(flight_id, n, t, segment): the fixes of a stream (flight_id, n, t, sent) that a flight's log keeps, in whatever order they come in. n
+    is the logger's own count from 0, t the fix's time, sent the timestamp at which it went out.
+
+    A record waits until all before it are there, or until the watermark (the latest sent, less `late`) is wait_s past the oldest that
+    waits: then what is missing is given up with the next batch, and is dropped if it comes after that. Of records with one n the first batch's stays, within a
+    batch the one of the least t. Records that repeat the time of the one before go. Up to SLIP_FIXES records in a row that aren't later than
+    the last kept one go; a longer run is another timeline, and starts the next segment with its first record. A log's last records
+    that run backward go unless they are more than that. Rows with a null in n, t, sent or flight_id go. State is the run, at most SLIP_FIXES records,
+    and what waits."""
+    whole = fixes.select("flight_id", "n", "t", "sent").dropna().withWatermark("sent", late)
+    types = "after long, prev long, top long, segment long, run_n array<long>, run_t array<long>, held_n array<long>, held_t array<long>, held_at array<long>"
+    return whole.groupBy("flight_id").applyInPandasWithState(_in_order(wait_s * 1000), "flight_id long, n long, t long, segment long", types, "append", GroupStateTimeout.EventTimeTimeout)

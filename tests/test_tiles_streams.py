@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -124,3 +125,49 @@ def test_written_tiles_are_pruned(spark, tmp_path):
     tiles.write_tiles(df, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.count() == 140 and back.where("z = 2 and block_x = 1").count() == 6
+
+
+def put_in_order(spark, folder, name, batches, **how):
+    """What fixes_in_order tells of batches of (flight_id, n, t, sent in s), each a file."""
+    schema = "flight_id long, n long, t long, sent timestamp"
+    for batch in batches:
+        rows = spark.createDataFrame(batch, "flight_id long, n long, t long, s long")
+        rows.select("flight_id", "n", "t", F.timestamp_seconds("s").alias("sent")).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    live.fixes_in_order(stream, **how).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return sorted((r.flight_id, r.n, r.t, r.segment) for r in spark.table(name).collect())
+
+
+def kept_by_a_loop(times):
+    """(n, t, segment): from each kept record the next one is the first later one of the four behind it, or the very next on a new timeline."""
+    rows = [(n, t) for n, t in enumerate(times) if n == 0 or t != times[n - 1]]
+    at, segment, out = 0, 0, []
+    while at < len(rows):
+        out.append((*rows[at], segment))
+        behind = range(at + 1, min(at + 5, len(rows)))
+        later = [k for k in behind if rows[k][1] > rows[at][1]]
+        if not later and len(behind) < 4:
+            break
+        at, segment = (later[0], segment) if later else (at + 1, segment + 1)
+    return out
+
+
+def test_fixes_in_any_order_by_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    logs = {f: [r.choice([k, k, k, k - 3]) - 200 * (k // 20 % 3 == 1) for k in range(n)] for f, n in ((1, 120), (2, 5), (3, 1), (4, 60))}
+    rows = [(f, n, t, 1_000 + n) for f, log in logs.items() for n, t in enumerate(log)]
+    r.shuffle(rows)
+    got = put_in_order(spark, tmp_path, "any_order", [rows[:90], rows[90:] + rows[:20] + [(None, 0, 1, 1), (1, None, 1, 1)]], late="10 hours")
+    assert got == sorted((f, *x) for f, log in logs.items() for x in kept_by_a_loop(log))
+    assert max(x[3] for x in got) > 0
+
+
+def test_missing_fixes_are_waited_for_and_given_up(spark, tmp_path):
+    first = [(1, 0, 10, 100), (1, 2, 30, 102), (2, 1, 20, 101)]
+    second = [(1, 1, 20, 103), (1, 3, 40, 104), (9, 0, 1, 5_000)]
+    third = [(1, 4, 50, 4_990), (9, 1, 2, 5_001)]
+    fourth = [(2, 0, 10, 4_991), (2, 2, 30, 4_992), (9, 2, 3, 9_000)]
+    got = put_in_order(spark, tmp_path, "waited", [first, second, third, fourth], wait_s=600, late="1 minute")
+    assert [x[:3] for x in got if x[0] == 1] == [(1, n, 10 * n + 10) for n in range(5)]
+    assert [x[:3] for x in got if x[0] == 2] == [(2, 1, 20), (2, 2, 30)]  # its record 0 came when it had been given up
