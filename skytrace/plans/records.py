@@ -9,6 +9,7 @@ from skytrace.functions import gliders, text
 from skytrace.operators import listing, resolve, snapshots
 from skytrace.plans.tables import table
 from skytrace.sources import catalog
+from skytrace.storage import drained, replayed
 from skytrace.streaming import queue
 
 QUERIES, SQL = {}, {}
@@ -100,6 +101,25 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.recovered(queue.states(log).join(F.broadcast(booted)), F.col("_booted")).drop("_booted")  # one row
 
 
+# Seconds until a failed job is tried again, and until one that runs is given up; what may be told late.
+RETRY_S, STALL_S, LATE_S = 40_000, 200_000, 100_000
+
+
+@query(f"""WITH told AS (SELECT user_id AS flight_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS at_ms, event_id AS n, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'queued' END AS event, 'event ' || event_id AS error FROM events),
+since AS (SELECT *, bool_or(event = 'queued') OVER up AS known, count(*) FILTER (WHERE event = 'queued') OVER up AS q, max(at_ms) OVER (PARTITION BY flight_id) AS last FROM told WINDOW up AS (PARTITION BY flight_id ORDER BY at_ms, n ROWS UNBOUNDED PRECEDING)),
+taken AS (SELECT * FROM since WHERE known AND (event <> 'queued' OR q = 1)),
+states AS (SELECT *, count(*) FILTER (WHERE event = 'running') OVER up AS attempts, last_value(CASE event WHEN 'failed' THEN error WHEN 'done' THEN '' END IGNORE NULLS) OVER up AS err, lead(at_ms) OVER (PARTITION BY flight_id ORDER BY at_ms, n) AS next FROM taken WINDOW up AS (PARTITION BY flight_id ORDER BY at_ms, n ROWS UNBOUNDED PRECEDING)),
+timers AS (SELECT *, CASE event WHEN 'running' THEN at_ms + {STALL_S * 1000} WHEN 'failed' THEN CASE WHEN attempts < 3 THEN at_ms + {RETRY_S * 1000} END END AS due FROM states),
+told_all AS (SELECT flight_id, at_ms, event AS state, attempts, err FROM timers UNION ALL SELECT flight_id, due, 'queued', attempts, err FROM timers WHERE due IS NOT NULL AND CASE WHEN next IS NOT NULL THEN due <= next ELSE due <= last OR due < (SELECT max(at_ms) FROM told) - {LATE_S * 1000} END)
+SELECT flight_id, at_ms, state, attempts, nullif(err, '') AS error FROM told_all""")
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state that scoring jobs come to, retries and runs that were given up among them, as a stream tells it."""
+    event = F.col("event_type")
+    told = table(spark, sf_dir, "events").select(F.col("user_id").alias("flight_id"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"), F.col("event_id").alias("n"), F.when(event == "click", "running").when(event == "purchase", "done").when(event == "error", "failed").otherwise("queued").alias("event"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("error"))
+    stream = queue.lifecycle(replayed(told, 1_000_000), 3, RETRY_S, STALL_S, f"{LATE_S} seconds")
+    return drained(stream).select("flight_id", F.unix_millis("at").alias("at_ms"), "state", "attempts", "error")
+
+
 @query("""SELECT c_custkey AS user_id, c_name AS model FROM customer WHERE c_custkey % 3 = 0 OR c_nationkey = 7""")
 def visible_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models that belong to all, and those of one user."""

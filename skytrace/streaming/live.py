@@ -95,7 +95,8 @@ def _in_order(wait_ms: int):
         state.update((after, line.prev, line.top, line.segment, [n for n, _ in line.run], [t for _, t in line.run], ns, ts, ats))
         if ats:
             state.setTimeoutTimestamp(max(min(ats) + wait_ms, now + 1))
-        yield pd.DataFrame(out, columns=_TOLD)
+        if out:
+            yield pd.DataFrame(out, columns=_TOLD)
 
     return step
 

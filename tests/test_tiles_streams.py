@@ -171,3 +171,41 @@ def test_missing_fixes_are_waited_for_and_given_up(spark, tmp_path):
     got = put_in_order(spark, tmp_path, "waited", [first, second, third, fourth], wait_s=600, late="1 minute")
     assert [x[:3] for x in got if x[0] == 1] == [(1, n, 10 * n + 10) for n in range(5)]
     assert [x[:3] for x in got if x[0] == 2] == [(2, 1, 20), (2, 2, 30)]  # its record 0 came when it had been given up
+
+
+def test_a_scorer_that_raises_fails_its_flight_alone(spark, tmp_path):
+    schema, bad = "flight_id long, v long", {7, 23}
+
+    def raising(batch):
+        def one(pdf):
+            if set(pdf.flight_id) & bad:
+                raise ValueError(f"no route for {pdf.flight_id[0]}")
+            return pdf
+
+        return batch.groupBy("flight_id").applyInPandas(one, schema)
+
+    spark.createDataFrame([(f, v) for f in range(30) for v in range(3)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    queue.score_files(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), raising).awaitTermination(300)
+    assert sorted((r.flight_id, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(f, v) for f in range(30) if f not in bad for v in range(3)]
+    failed = {r.flight_id: (r.attempts, r.error, r.batch) for r in spark.read.parquet(str(tmp_path / "out_failed")).collect()}
+    assert failed == {f: (2, f"ValueError: no route for {f}", 0) for f in bad}
+
+
+def test_job_lifecycle_timers(spark, tmp_path):
+    batches = [
+        [(1, 1, "queued"), (1, 1, "queued"), (1, 5, "running"), (2, 1, "running"), (3, 2, "queued"), (3, 3, "running")],
+        [(1, 9, "failed"), (3, 4, "done"), (9, 500, "queued")],
+        [(9, 501, "running")],
+        [(1, 520, "running"), (1, 521, "failed"), (9, 1_200, "done")],
+        [(9, 9_000, "queued")],
+    ]
+    for k, batch in enumerate(batches):
+        rows = spark.createDataFrame([(f, s, 10 * k + i, e, f"at {s}" if e == "failed" else None) for i, (f, s, e) in enumerate(batch)], "flight_id long, s long, n long, event string, error string")
+        rows.select("flight_id", F.timestamp_seconds("s").alias("at"), "n", "event", "error").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("flight_id long, at timestamp, n long, event string, error string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    queue.lifecycle(stream, most_attempts=2, retry_s=60, stall_s=600, late="10 seconds").writeStream.format("memory").queryName("jobs").outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+    got = [(r.flight_id, r.s, r.state, r.attempts, r.error) for r in spark.table("jobs").withColumn("s", F.unix_seconds("at")).orderBy("flight_id", "s").collect()]
+    assert [x for x in got if x[0] == 1] == [(1, 1, "queued", 0, None), (1, 5, "running", 1, None), (1, 9, "failed", 1, "at 9"), (1, 69, "queued", 1, "at 9"), (1, 520, "running", 2, "at 9"), (1, 521, "failed", 2, "at 521")]
+    assert [x for x in got if x[0] in (2, 3)] == [(3, 2, "queued", 0, None), (3, 3, "running", 1, None), (3, 4, "done", 1, None)]
+    assert [x[1:4] for x in got if x[0] == 9] == [(500, "queued", 0), (501, "running", 1), (1_101, "queued", 1), (1_200, "done", 1)]
