@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skytrace.functions import gliders, text
 from skytrace.operators import listing, resolve, snapshots
 from skytrace.plans.tables import table
-from skytrace.sources import catalog
-from skytrace.storage import drained, replayed
+from skytrace.sources import catalog, stored
+from skytrace.storage import drained, place, replayed
 from skytrace.streaming import queue
 
 QUERIES, SQL = {}, {}
@@ -187,3 +187,40 @@ def glider_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("key")) for k in ("pg", "hg", "sp") for c in ("en-a", "ccc", "kingpost", "rigid", "open", "club", "none")])
     both = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(asked).alias("_asked")).select("id", "_asked.*")
     return both.select("id", "kind", "key", gliders.glider_class(F.col("kind"), F.col("key")).alias("class"))
+
+
+_SOURCES = "sources AS (SELECT o_orderkey AS flight_id, 'b' || o_custkey % 5 AS brand, CASE WHEN o_orderkey % 3 = 0 THEN 'hg' ELSE 'pg' END AS kind, 'm' || o_custkey % 17 AS model, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"
+_RESCORED = "news AS (SELECT l_orderkey AS flight_id, CAST(count(*) AS BIGINT) AS cents FROM lineitem WHERE l_partkey % 40 = 3 GROUP BY 1 UNION ALL SELECT -flight_id, cents FROM sources WHERE cents % 500 = 1)"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Where sources are stored by bucket, after an upsert, and what became of each of its rows."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda letter, n: F.concat(F.lit(letter), (owner % n).cast("string")).alias({"b": "brand", "m": "model"}[letter])
+    rows = table(spark, sf_dir, "orders").select(key.alias("flight_id"), name("b", 5), F.when(key % 3 == 0, "hg").otherwise("pg").alias("kind"), name("m", 17), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    path = place(spark, "sources")
+    stored.write(rows, path, ["flight_id"], 32)
+    again = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 3").groupBy(F.col("l_orderkey").alias("flight_id")).agg(F.count("*").alias("cents"))
+    fresh = rows.where("cents % 500 = 1").select((-F.col("flight_id")).alias("flight_id"), "cents")
+    new = again.unionByName(fresh).select("flight_id", F.lit("none").alias("brand"), F.lit("pg").alias("kind"), F.lit("none").alias("model"), "cents")
+    return path, stored.upsert_into(spark, path, new, ["flight_id"], ["cents"], 32)
+
+
+@query(f"""WITH {_SOURCES}, {_RESCORED} SELECT flight_id, coalesce(brand, 'none') AS brand, coalesce(kind, 'pg') AS kind, coalesce(model, 'none') AS model, coalesce(n.cents, s.cents) AS cents,
+CASE WHEN s.flight_id IS NULL THEN 'inserted' WHEN n.flight_id IS NOT NULL THEN 'updated' END AS outcome FROM sources s FULL JOIN news n USING (flight_id)""")
+def buckets_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by bucket after an upsert that sets one column, with what the upsert did to each row."""
+    path, done = _stored(spark, sf_dir)
+    return stored.read(spark, path, ["flight_id"]).join(done, "flight_id", "left")
+
+
+@query(f"""WITH {_SOURCES}, {_RESCORED}, after AS (SELECT flight_id, coalesce(brand, 'none') AS brand, coalesce(kind, 'pg') AS kind, coalesce(model, 'none') AS model, coalesce(n.cents, s.cents) AS cents FROM sources s FULL JOIN news n USING (flight_id)),
+wanted AS (SELECT DISTINCT l_orderkey AS flight_id FROM lineitem WHERE l_quantity > 45), models AS (SELECT DISTINCT brand, kind, model, brand || ' ' || model || ' ' || kind AS name FROM sources WHERE model <> 'm3')
+SELECT flight_id, cents, name FROM after JOIN wanted USING (flight_id) JOIN models USING (brand, kind, model)""")
+def sources_by_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sources of a table of wanted flights, with the glider's name by brand, kind and model; others' buckets aren't read."""
+    path, _ = _stored(spark, sf_dir)
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("flight_id"))
+    models = table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 5).cast("string")).alias("brand"), F.when(F.col("o_orderkey") % 3 == 0, "hg").otherwise("pg").alias("kind"), F.concat(F.lit("m"), (F.col("o_custkey") % 17).cast("string")).alias("model"))
+    named = models.where("model <> 'm3'").distinct().withColumn("name", F.concat_ws(" ", "brand", "model", "kind"))
+    return stored.read(spark, path, ["flight_id"], wanted, 32).join(named, ["brand", "kind", "model"]).select("flight_id", "cents", "name")

@@ -22,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _place(spark: SparkSession, kind: str) -> str:
+def place(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder, which goes when the driver's process ends, or with forget_settled()."""
     path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
     if not _kept:
         atexit.register(forget_settled)
@@ -35,7 +36,7 @@ def settled(df: DataFrame) -> DataFrame:
     checkpoint computes twice and hands on all that is known of its columns, which a loop piles up until planning takes longer than the work.
     The tables go when the driver's process ends, or with forget_settled()."""
     spark = df.sparkSession
-    path = _place(spark, "settled")
+    path = place(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,14 +45,14 @@ def drained(stream: DataFrame) -> DataFrame:
     """The rows of a stream over what its source holds now, kept as settled() does; its checkpoint lies beside them, so a batch that is cut
     off is done again without leaving rows behind."""
     spark = stream.sparkSession
-    path, at = _place(spark, "drained"), _place(spark, "stream")
+    path, at = place(spark, "drained"), place(spark, "stream")
     stream.writeStream.format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def replayed(df: DataFrame, files_at_once: int) -> DataFrame:
     """df, settled, as a stream of its files."""
-    spark, path = df.sparkSession, _place(df.sparkSession, "replayed")
+    spark, path = df.sparkSession, place(df.sparkSession, "replayed")
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from skytrace.sources import codec, igc, ingest, xmltracks
+from skytrace.sources import codec, igc, ingest, stored, xmltracks
 
 FIXES = "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, geo_dm int, pressure_dm int, tas_kmh int"
 
@@ -176,3 +176,27 @@ def test_a_zoom_reads_the_one_below(spark):
     counts = {r.z: r["count"] for r in out.groupBy("z").count().collect()}
     assert counts == {6: 1024, 5: 256, 4: 64, 3: 16, 2: 16, 1: 16, 0: 16}
     assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 6
+
+
+def test_buckets_that_an_upsert_touches(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id long, kind string, v long"
+    rows = [(i, "a", i) for i in range(500)] + [(None, "n", 1)]
+    stored.write(spark.createDataFrame(rows, schema), path, ["id"], 16)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(7, "b", 70), (1000, "b", 71)], schema)
+    done = stored.upsert_into(spark, path, new, ["id"], ["v"], 16)
+    assert sorted((r.id, r.outcome) for r in done.collect()) == [(7, "updated"), (1000, "inserted")]
+    want = {(i, "a", 70 if i == 7 else i) for i in range(500)} | {(None, "n", 1), (1000, "b", 71)}
+    found = [tuple(r) for r in stored.read(spark, path, ["id"]).collect()]
+    assert len(found) == 502 and set(found) == want
+    buckets = {b for (b,) in new.select(stored.bucket_of(["id"], 16)).collect()}
+    gone = {f.split("bucket=")[1].split("/")[0] for f in before.keys() - files().keys()}
+    assert gone <= {str(b) for b in buckets} and len(buckets) <= 2 and before.keys() & files().keys()
+    asked = stored.read(spark, path, ["id"], spark.createDataFrame([(7,), (7,), (9999,)], "id long"), 16)
+    assert [tuple(r) for r in asked.collect()] == [(7, "a", 70)]
+    scan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert stored.upsert_into(spark, path, new.limit(0), ["id"], ["v"], 16).count() == 0 and stored.read(spark, path, ["id"]).count() == 502
+    with pytest.raises(ValueError):
+        stored.write(spark.range(3).withColumnRenamed("id", "bucket"), path, ["bucket"])
