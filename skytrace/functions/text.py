@@ -122,3 +122,17 @@ def local_time_text(epoch: Column, offset_s: Column) -> Column:
 def preference(own: Column, system: Column, otherwise: str) -> Column:
     """A user's choice; 'system' and null follow the system's, which may be missing too."""
     return F.coalesce(F.nullif(own, F.lit("system")), system, F.lit(otherwise))
+
+
+# Regions that go by imperial units, and what the units of climb and speed are then and otherwise.
+IMPERIAL_REGIONS = ("US", "GB", "LR", "MM")
+FOLLOWING = {"vario_unit": ("fpm", "mps"), "speed_unit": ("mph", "kmh")}
+
+
+def preferences(units: Column, vario_unit: Column, speed_unit: Column, region: Column) -> Column:
+    """struct(units, vario_unit, speed_unit) without 'system': units go by the region, and the units of climb and speed by the units that
+    came out. Null choices are 'system', a null region is metric."""
+    of_region = F.when(region.isin(*IMPERIAL_REGIONS), "imperial")
+    own = preference(units, of_region, "metric")
+    follow = lambda choice, name: preference(choice, F.when(own == "imperial", FOLLOWING[name][0]), FOLLOWING[name][1])
+    return F.struct(own.alias("units"), follow(vario_unit, "vario_unit").alias("vario_unit"), follow(speed_unit, "speed_unit").alias("speed_unit"))

@@ -66,6 +66,14 @@ def time_slice(fixes: DataFrame, windows: DataFrame) -> DataFrame:
     return fixes.join(windows, "flight_id").where(F.col("t").between(F.col("takeoff_t"), F.col("landing_t"))).drop("takeoff_t", "landing_t")
 
 
+def slice_bounds(fixes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(flight_id, first_idx, last_idx, n, error): which fixes time_slice() leaves of each flight in windows; without any, error says so, as for
+    a flight that has no fixes or a null takeoff_t or landing_t."""
+    kept = time_slice(fixes, windows).groupBy("flight_id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n"))
+    told = windows.select("flight_id").distinct().join(kept, "flight_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return told.withColumn("error", F.when(F.col("n") == 0, "no fixes between takeoff and landing"))
+
+
 # --- fixes that can be reached ----------------------------------------------------------------------------------------------------
 
 

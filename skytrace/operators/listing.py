@@ -33,6 +33,12 @@ def page(rows: DataFrame, keys: list[tuple[str, bool]], limit: int, cursor: list
     return rows.orderBy(*[F.col(k).desc_nulls_first() if d else F.col(k).asc_nulls_last() for k, d in keys]).limit(limit + 1)
 
 
+def page_limit(asked: Column, otherwise: int, most: int = 100) -> Column:
+    """struct(limit, error): the limit asked for, `otherwise` where none is, and what is wrong with one that isn't from 1 to most."""
+    bad = ~asked.between(1, most)
+    return F.struct(F.when(bad, None).otherwise(F.coalesce(asked, F.lit(otherwise))).cast("int").alias("limit"), F.when(bad, f"limit must be from 1 to {most}").alias("error"))
+
+
 def with_more(rows: DataFrame, keys: list[tuple[str, bool]], limit: int) -> DataFrame:
     """A page without its extra row; has_more tells on each row whether there was one. At most limit + 1 rows come in."""
     w = W.orderBy(*[F.col(k).desc_nulls_first() if d else F.col(k).asc_nulls_last() for k, d in keys])

@@ -59,11 +59,6 @@ def next_id(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.greatest(F.coalesce(F.max(column), F.lit(0)), F.lit(1)).alias("next_id"))
 
 
-def emptied(table: DataFrame) -> DataFrame:
-    """The table without rows, whose identity starts again at 1."""
-    return table.limit(0)
-
-
 def _reslugged(name: Column, user: Column) -> Column:
     """A private 'user:rest' under another user."""
     return F.concat(user.cast("string"), F.lit(":"), F.element_at(F.split(name, ":", 2), -1))

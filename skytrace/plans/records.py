@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions import gliders, text
-from skytrace.operators import listing, resolve, snapshots
+from skytrace.operators import accounts, listing, resolve, snapshots
 from skytrace.plans.tables import table
 from skytrace.sources import catalog, stored
 from skytrace.storage import drained, place, replayed
@@ -134,11 +134,17 @@ def flights_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.any_row(orders.where("o_totalprice > 1000")).unionByName(listing.any_row(orders.where("o_totalprice < 0")))
 
 
-@query("SELECT count(*) AS n, 1 AS next_id FROM orders WHERE false")
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS id, user_id AS flight_id FROM events WHERE event_type = 'purchase'")
 def jobs_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table that was emptied: its rows and its next identity."""
-    left = snapshots.emptied(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("id")))
-    return left.agg(F.count("*").alias("n")).join(snapshots.next_id(left, "id"))  # a row each
+    """A stored table of jobs that was emptied, and then had others put in: their identities start again at 1."""
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("flight_id"))
+    path = place(spark, "jobs")
+    jobs.write.parquet(path)
+    stored.truncate(spark, path)
+    start = snapshots.next_id(spark.read.parquet(path), "id").first()[0]
+    queued = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("long").alias("flight_id"), "ts", "event_id")
+    listing.earlier_count(queued, ["ts", "event_id"]).select((F.col("ahead") + start).cast("long").alias("id"), "flight_id").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("""SELECT c_custkey AS user_id, c_name AS name, n_name AS country, CASE WHEN c_custkey % 4 = 0 THEN 'imperial' WHEN c_custkey % 4 = 1 THEN CASE WHEN n_regionkey = 1 THEN 'imperial' ELSE 'metric' END ELSE 'metric' END AS units
@@ -224,3 +230,46 @@ def sources_by_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 5).cast("string")).alias("brand"), F.when(F.col("o_orderkey") % 3 == 0, "hg").otherwise("pg").alias("kind"), F.concat(F.lit("m"), (F.col("o_custkey") % 17).cast("string")).alias("model"))
     named = models.where("model <> 'm3'").distinct().withColumn("name", F.concat_ws(" ", "brand", "model", "kind"))
     return stored.read(spark, path, ["flight_id"], wanted, 32).join(named, ["brand", "kind", "model"]).select("flight_id", "cents", "name")
+
+
+@query("""WITH users AS (SELECT c_custkey AS user_id, c_mktsegment || c_custkey % 400 AS name FROM customer), asked AS (SELECT CASE WHEN c_custkey % 9 > 0 THEN c_custkey END AS user_id, c_custkey AS n, lower(c_mktsegment) || c_custkey * (1 + c_custkey % 2) % 400 AS name FROM customer)
+SELECT n, user_id, name, EXISTS (SELECT 1 FROM users u WHERE lower(u.name) = lower(a.name) AND u.user_id IS DISTINCT FROM a.user_id) AS taken FROM asked a""")
+def names_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that users ask for, and whether another user has them."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    users = c.select(key.alias("user_id"), F.concat("c_mktsegment", (key % 400).cast("string")).alias("name"))
+    asked = c.select(key.alias("n"), F.when(key % 9 > 0, key).alias("user_id"), F.concat(F.lower("c_mktsegment"), (key * (1 + key % 2) % 400).cast("string")).alias("name"))
+    return accounts.name_taken(asked, users)
+
+
+_NEW_USERS = "SELECT o_orderkey AS n, CASE WHEN o_orderkey % 13 = 0 THEN '  ' ELSE trim('User ' || o_custkey) END AS name, CASE WHEN o_orderkey % 17 > 0 THEN 'c' || o_custkey || '@x.org' END AS email FROM orders"
+
+
+@query(f"""WITH new AS ({_NEW_USERS}), v AS (SELECT *, trim(name) <> '' AS valid FROM new), r AS (SELECT *, row_number() OVER (PARTITION BY email, valid ORDER BY n) AS k FROM v)
+SELECT n, trim(name) AS name, email, CASE WHEN NOT valid THEN 'invalid' WHEN email IS NOT NULL AND (k > 1 OR email IN (SELECT 'c' || c_custkey || '@x.org' FROM customer WHERE c_custkey % 3 = 0)) THEN 'conflict' ELSE 'inserted' END AS outcome FROM r""")
+def users_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who sign up, as they are stored, and what becomes of each."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    there = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit(" C"), F.col("c_custkey").cast("string"), F.lit("@x.org")).alias("email"))
+    new = table(spark, sf_dir, "orders").select(key.alias("n"), F.when(key % 13 == 0, "  ").otherwise(F.concat(F.lit(" User "), owner)).alias("name"), F.when(key % 17 > 0, F.concat(F.lit("C"), owner, F.lit("@X.org "))).alias("email"))
+    return accounts.users_added(there, new)
+
+
+@query("""WITH p AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'imperial' WHEN 1 THEN 'system' WHEN 2 THEN 'metric' END AS u, CASE c_custkey % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'fpm' END AS v, CASE c_custkey % 5 WHEN 0 THEN 'mph' WHEN 1 THEN 'kmh' WHEN 2 THEN 'system' END AS s,
+CASE c_nationkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'AT' WHEN 3 THEN 'LR' WHEN 4 THEN 'MM' END AS region FROM customer), r AS (SELECT *, CASE WHEN u IN ('imperial', 'metric') THEN u WHEN region IN ('US', 'GB', 'LR', 'MM') THEN 'imperial' ELSE 'metric' END AS units FROM p)
+SELECT user_id, units, CASE WHEN v = 'fpm' OR units = 'imperial' THEN 'fpm' ELSE 'mps' END AS vario_unit, CASE WHEN s IN ('mph', 'kmh') THEN s WHEN units = 'imperial' THEN 'mph' ELSE 'kmh' END AS speed_unit FROM r""")
+def preferences_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all users; climb and speed follow the units where nothing else is chosen."""
+    key, pick = F.col("c_custkey"), lambda by, n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (by % n + 1).cast("int"))
+    p = text.preferences(pick(key, 4, "imperial", "system", "metric", None), pick(key, 3, "system", "fpm", None), pick(key, 5, "mph", "kmh", "system", None, None), pick(F.col("c_nationkey"), 6, "US", "GB", "AT", "LR", "MM", None))
+    return table(spark, sf_dir, "customer").select(key.alias("user_id"), p.alias("p")).select("user_id", "p.*")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 140 - 10 END AS asked, o_custkey % 2 = 0 AS sites FROM orders)
+SELECT request_id, CASE WHEN asked IS NULL THEN CASE WHEN sites THEN 50 ELSE 25 END WHEN asked BETWEEN 1 AND 100 THEN CAST(asked AS INT) END AS "limit", CASE WHEN asked NOT BETWEEN 1 AND 100 THEN 'limit must be from 1 to 100' END AS error FROM a""")
+def limits_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes that requests ask for: 25 flights or 50 sites where none is, and an error beyond 100."""
+    key = F.col("o_orderkey")
+    asked = F.when(key % 7 > 0, key % 140 - 10)
+    p = F.when(F.col("o_custkey") % 2 == 0, listing.page_limit(asked, 50)).otherwise(listing.page_limit(asked, 25))
+    return table(spark, sf_dir, "orders").select(key.alias("request_id"), p.alias("p")).select("request_id", "p.*")

@@ -121,6 +121,15 @@ def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.time_slice(f, w).select("flight_id", "idx", "t")
 
 
+@query(f"""WITH {FIXES}, w AS (SELECT flight_id, min(t) + flight_id % 5 * 200000 AS a, max(t) - flight_id % 7 * 100000 AS b FROM fixes GROUP BY 1), k AS (SELECT flight_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n FROM fixes JOIN w USING (flight_id) WHERE t BETWEEN a AND b GROUP BY 1)
+SELECT w.flight_id, first_idx, last_idx, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'no fixes between takeoff and landing' END AS error FROM w LEFT JOIN k USING (flight_id)""")
+def slice_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fixes lie between takeoff and landing; a flight without any has an error."""
+    f = fixes(spark, sf_dir)
+    w = f.groupBy("flight_id").agg((F.min("t") + F.col("flight_id") % 5 * 200_000).alias("takeoff_t"), (F.max("t") - F.col("flight_id") % 7 * 100_000).alias("landing_t"))
+    return cleaning.slice_bounds(f, w)
+
+
 _SHUFFLED = f"{FIXES}, raw AS (SELECT flight_id, idx, lat_e5, lon_e5, alt_dm, t // 1000 * 1000 + CASE WHEN event_id % 50 = 7 THEN -900000 ELSE 0 END AS t FROM fixes)"
 
 

@@ -59,3 +59,9 @@ def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str],
     after = settled(upsert(old, keyed.select(old.columns), ["bucket", *keys], set_columns))
     _put(after.drop("bucket", "outcome"), path, keys, buckets)
     return after.where("outcome <> 'kept'").select(*keys, "outcome")
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """The table at path without rows; its schema stays. For tables that aren't by bucket."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
