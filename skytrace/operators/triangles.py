@@ -4,10 +4,15 @@ A triangle is three fixes in order; its gap is the distance of the closest fixes
 less the gap. The frontier holds triples of blocks of fixes with a bound on what a triangle over them can be worth. Each level
 halves the blocks, reckons bounds by joins with the blocks' boxes, and drops triples below a triangle that is known, until blocks are single
 fixes. Pairs of blocks that may hold the closest fixes are halved beside them. Nothing is given up, so what is left is the best of all.
+A flight of no more than WHOLE_FIXES fixes is a single block: its triples are compared at once where its row is, without a frontier.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +28,8 @@ FAI_SIDE, FAI_SIDE_KM = 0.28, 1.4
 SIDES = {"free_triangle": (0.0, 0.0), "fai_triangle": (FAI_SIDE, FAI_SIDE_KM)}
 #: Blocks of a flight to begin with, at most; kilometres by which rounding may move a bound.
 FIRST_BLOCKS, ROUNDING_KM = 24, 1e-6
+#: Fixes of a flight whose triples (350,000 at most) are all compared; bounds over so few fixes drop too little to pay for their rows.
+WHOLE_FIXES = 128
 
 
 def _half_chord_km(dlat: Column, dlon: Column, cosines: Column) -> Column:
@@ -53,13 +60,14 @@ def _least_km(p: Column, q: Column) -> Column:
 def _places(fixes: DataFrame) -> DataFrame:
     """(flight_id, idx, i, n, lat, lon, cos): fixes numbered from 0, in radians."""
     lat, lon = F.radians(F.col("lat_e5") / 1e5), F.radians(F.col("lon_e5") / 1e5)
-    own = fixes.select("flight_id", "idx", lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"), (F.row_number().over(in_order()) - 1).cast("long").alias("i"))
+    own = fixes.where("lat_e5 is not null and lon_e5 is not null")
+    own = own.select("flight_id", "idx", lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"), (F.row_number().over(in_order()) - 1).cast("long").alias("i"))
     return own.withColumn("n", F.count("*").over(W.partitionBy("flight_id"))).where("n > 2")
 
 
 def _boxes(places: DataFrame, sizes: DataFrame) -> DataFrame:
     """(flight_id, block, box): bounds of the blocks of each flight's size, with the first and the last fix of each."""
-    own = places.join(sizes, "flight_id").withColumn("block", F.floor(F.col("i") / F.col("size")))
+    own = places.join(_dealt(sizes), "flight_id").withColumn("block", F.floor(F.col("i") / F.col("size")))
     one = F.struct("i", "lat", "lon", "cos")
     box = F.struct(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("cos").alias("narrow"), F.max("cos").alias("wide"), F.min(one).alias("first"), F.max(one).alias("last"))
     # The equator is wider than either end of a box across it.
@@ -67,8 +75,13 @@ def _boxes(places: DataFrame, sizes: DataFrame) -> DataFrame:
     return made.withColumn("box", F.when((F.col("box.south") < 0) & (F.col("box.north") > 0), F.col("box").withField("wide", F.lit(1.0))).otherwise(F.col("box")))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, never broadcast: tables of the search grow with the flights, and take far more memory than their files."""
+    return df.hint("merge")
+
+
 def _of(boxes: DataFrame, block: str) -> DataFrame:
-    return boxes.select("flight_id", F.col("block").alias(block), F.col("box").alias("_" + block))
+    return _dealt(boxes.select("flight_id", F.col("block").alias(block), F.col("box").alias("_" + block)))
 
 
 def _near(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -84,7 +97,7 @@ def _near(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def _gaps(near: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (flight_id, a, c) with `close`, the least of near pairs with q up to a and w from c on, and `shown`, the least that is shown."""
-    upto = near.join(asked.select("flight_id", "a").distinct(), "flight_id").where(F.col("q") <= F.col("a"))
+    upto = near.join(_dealt(asked.select("flight_id", "a").distinct()), "flight_id").where(F.col("q") <= F.col("a"))
     upto = upto.groupBy("flight_id", "a", F.col("w").alias("c")).agg(F.min("close").alias("close"), F.min("shown").alias("shown"))
     rows = upto.withColumn("asks", F.lit(False)).unionByName(asked.select("flight_id", "a", "c").withColumn("asks", F.lit(True)), allowMissingColumns=True)
     on = W.partitionBy("flight_id", "a").orderBy(F.desc("c"), "asks").rowsBetween(W.unboundedPreceding, 0)
@@ -108,8 +121,8 @@ def _bounded(triples: DataFrame, gaps: DataFrame, boxes: DataFrame) -> DataFrame
     """triples with `bound`, what a triangle over them is worth at most, and `worth`, that over the first fixes of a and b and the last of c,
     null where it isn't valid."""
     legs = settled(_legs(triples, boxes))
-    of = lambda x, y: legs.select("flight_id", F.col("x").alias(x), F.col("y").alias(y), F.col("leg").alias(x + y))
-    own = triples.join(of("a", "c").join(gaps, ["flight_id", "a", "c"]), ["flight_id", "a", "c"]).join(of("a", "b"), ["flight_id", "a", "b"]).join(of("b", "c"), ["flight_id", "b", "c"])
+    of = lambda x, y: _dealt(legs.select("flight_id", F.col("x").alias(x), F.col("y").alias(y), F.col("leg").alias(x + y)))
+    own = triples.join(_dealt(of("a", "c").join(_dealt(gaps), ["flight_id", "a", "c"])), ["flight_id", "a", "c"]).join(of("a", "b"), ["flight_id", "a", "b"]).join(of("b", "c"), ["flight_id", "b", "c"])
     most = [F.col("ab.most"), F.col("bc.most"), F.col("ac.most")]
     # From the first fix of a by the first of b to the last of c; null unless they come in this order.
     real = [F.col("ab.ff"), F.col("bc.fl"), F.col("ac.fl")]
@@ -121,21 +134,80 @@ def _bounded(triples: DataFrame, gaps: DataFrame, boxes: DataFrame) -> DataFrame
     return own.select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", "known", "bound", "worth", "close", F.col("_real").alias("perimeter_km"))
 
 
+def _best_triples(lat: np.ndarray, lon: np.ndarray, searches: list[dict]) -> list[tuple | None]:
+    """The best (worth, turns, gap_ends, perimeter_km, gap_km) of each search over all triples of a few fixes, None where none is valid; the
+    first turns of equals, then the first ends. lat, lon in radians."""
+    half = np.sin((lat - lat[:, None]) / 2) ** 2 + np.cos(lat) * np.cos(lat)[:, None] * np.sin((lon - lon[:, None]) / 2) ** 2
+    km = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(half, 1.0))) / 1000
+    # At (a, c): the least distance of a fix up to a from one from c on.
+    near = np.minimum.accumulate(np.minimum.accumulate(km[:, ::-1], axis=1)[:, ::-1], axis=0)
+    best = [(0.0, 0, 0, 0)] * len(searches)
+    for b in range(1, len(lat) - 1):
+        ab, bc, ac, gap = km[:b, b, None], km[b, b + 1 :], km[:b, b + 1 :], near[:b, b + 1 :]
+        total = ab + bc + ac
+        worth = total - gap
+        most, least = worth.max(), np.minimum(np.minimum(ab, bc), ac)
+        for k, s in enumerate(searches):
+            if most >= best[k][0]:
+                valid = (gap <= s["most_gap"] * total) & (least >= s["side"] * total) & (least >= s["side_km"])
+                own = np.where(valid, worth, 0.0)
+                a, c = divmod(int(own.argmax()), own.shape[1])
+                best[k] = max(best[k], (float(own[a, c]), -a, -b, -(b + 1 + c)))
+    out = []
+    for worth, *turns in best:
+        a, b, c = (-x for x in turns)
+        if worth > 0:
+            q, w = divmod(int(km[: a + 1, c:].argmin()), len(lat) - c)
+            out.append((worth, [a, b, c], [q, c + w], float(km[a, b] + km[b, c] + km[a, c]), float(km[q, c + w])))
+        else:
+            out.append(None)
+    return out
+
+
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, own = [], batch.column("fixes")
+        for k, searches in enumerate(batch.column("searches").to_pylist()):
+            idx, lat, lon = (own[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "lat", "lon"))
+            for s, found in zip(searches, _best_triples(lat, lon, searches)):
+                if found is not None:
+                    rows.append((k, s["type"], s["sub_type"], idx[found[1]].tolist(), idx[found[2]].tolist(), *found[3:]))
+        of = lambda c, kind: pa.array([r[c] for r in rows], kind)  # noqa: E731, B023
+        columns = [batch.column("flight_id").take(of(0, pa.int64())), of(1, pa.string()), of(2, pa.string()), of(3, pa.list_(pa.int64())), of(4, pa.list_(pa.int64())), of(5, pa.float64()), of(6, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*_SEARCH, "turns", "gap_ends", "perimeter_km", "gap_km"])
+
+
+def _at_once(places: DataFrame, searches: DataFrame) -> DataFrame:
+    """The best triangles of flights of up to WHOLE_FIXES fixes: a row per flight, dealt to as many tasks as the session shuffles to, as
+    the work is not in the bytes."""
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = places.repartition(tasks, "flight_id").groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("idx").cast("long").alias("idx"), "lat", "lon"))).alias("fixes"))
+    asked = searches.groupBy("flight_id").agg(F.collect_list(F.struct("type", "sub_type", "most_gap", "side", "side_km")).alias("searches"))
+    flight = places.select("flight_id").schema[0].dataType.simpleString()
+    return told.join(_dealt(asked), "flight_id").mapInArrow(_of_rows, f"flight_id {flight}, type string, sub_type string, turns array<long>, gap_ends array<long>, perimeter_km double, gap_km double")
+
+
 def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] = SIDES, searches: DataFrame | None = None) -> DataFrame:
     """(flight_id, type, sub_type, turns, gap_ends, perimeter_km, gap_km): the best triangle of each flight, shape and gap; turns and
     gap_ends are idx; of equals the one of the first turns. gaps: the largest gap as a share of the perimeter; sides: the least side of
     each shape as a share of the perimeter and in km. searches, if given, says what to look for in which flight: (flight_id, type, sub_type,
     most_gap, side, side_km). Flights without a valid triangle have no row."""
-    places = settled(_places(fixes if searches is None else fixes.join(searches.select("flight_id").distinct(), "flight_id", "left_semi")))
+    places = settled(_places(fixes if searches is None else fixes.join(_dealt(searches.select("flight_id").distinct()), "flight_id", "left_semi")))
+    if searches is None:
+        each = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("sub_type"), F.lit(float(g)).alias("most_gap"), F.lit(float(share)).alias("side"), F.lit(float(km)).alias("side_km")) for t, (share, km) in sides.items() for s, g in gaps.items()])
+        searches = places.where("i = 0").select("flight_id", F.explode(each).alias("s")).select("flight_id", "s.*")
+    found, more = _at_once(places.where(F.col("n") <= WHOLE_FIXES), searches), places.where(F.col("n") > WHOLE_FIXES)
+    return found if more.isEmpty() else found.unionByName(_by_blocks(more, searches))
+
+
+def _by_blocks(places: DataFrame, searches: DataFrame) -> DataFrame:
+    """The best triangles of longer flights, by branch and bound."""
     halvings = F.ceil(F.greatest(F.log2(F.col("n") / FIRST_BLOCKS), F.lit(0.0)))
     sizes = settled(places.groupBy("flight_id").agg(F.max("n").alias("n")).select("flight_id", "n", F.pow(F.lit(2.0), halvings).cast("long").alias("size")))
     block = lambda low: F.explode(F.sequence(low, F.floor((F.col("n") - 1) / F.col("size"))))
     pairs = sizes.withColumn("q", block(F.lit(0).cast("long"))).withColumn("w", block(F.col("q"))).select("flight_id", "q", "w", F.lit(float("inf")).alias("cap"))
-    if searches is None:
-        each = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("sub_type"), F.lit(float(g)).alias("most_gap"), F.lit(float(share)).alias("side"), F.lit(float(km)).alias("side_km")) for t, (share, km) in sides.items() for s, g in gaps.items()])
-        searches = sizes.select("flight_id", F.explode(each).alias("s")).select("flight_id", "s.*")
     triples = sizes.withColumn("a", block(F.lit(0).cast("long"))).withColumn("b", block(F.col("a"))).withColumn("c", block(F.col("b"))).where("size > 1 or (a < b and b < c)")
-    triples = triples.join(searches, "flight_id").select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", F.lit(0.0).alias("known"))
+    triples = triples.join(_dealt(searches), "flight_id").select(*_SEARCH, "most_gap", "side", "side_km", "size", "a", "b", "c", F.lit(0.0).alias("known"))
     done = None
     while True:
         boxes = settled(_boxes(places, sizes.select("flight_id", "size")))
@@ -146,7 +218,7 @@ def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[
         known = found.groupBy(*_SEARCH).agg(F.greatest(F.max("known"), F.coalesce(F.max("worth"), F.lit(0.0))).alias("known"))
         ended = found.where((F.col("size") == 1) & F.col("worth").isNotNull())
         done = ended if done is None else done.unionByName(ended)
-        alive = settled(found.where("size > 1").drop("known").join(known, _SEARCH).where(F.col("bound") >= F.col("known") - ROUNDING_KM))
+        alive = settled(found.where("size > 1").drop("known").join(_dealt(known), _SEARCH).where(F.col("bound") >= F.col("known") - ROUNDING_KM))
         if alive.isEmpty():
             break
         halves = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
@@ -154,9 +226,9 @@ def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[
         rest = lambda df, c: df.select(*[x for x in df.columns if x != c], halves(c))
         triples = rest(rest(rest(cut, "a"), "b"), "c").where("(a < b and b < c) or (size > 1 and a <= b and b <= c)")
         sizes = cut.groupBy("flight_id").agg(F.first("size").alias("size"), (F.max("a") * 2 + 1).alias("last_a"), (F.min("c") * 2).alias("first_c"))
-        pairs = rest(rest(near.select("flight_id", "q", "w", "cap").join(sizes, "flight_id"), "q"), "w").where("q <= w and q <= last_a and w >= first_c").select("flight_id", "q", "w", "cap")
+        pairs = rest(rest(near.select("flight_id", "q", "w", "cap").join(_dealt(sizes), "flight_id"), "q"), "w").where("q <= w and q <= last_a and w >= first_c").select("flight_id", "q", "w", "cap")
     best = done.groupBy(*_SEARCH).agg(F.max(F.struct("worth", (-F.col("a")).alias("_a"), (-F.col("b")).alias("_b"), (-F.col("c")).alias("_c"), "close", "perimeter_km")).alias("t"))
     ends = F.array(-F.col("t._a"), -F.col("t._b"), -F.col("t._c"), F.col("t.close.q"), F.col("t.close.w"))
     told = best.where("t.worth > 0").select(*_SEARCH, F.posexplode(ends).alias("k", "i"), F.col("t.perimeter_km").alias("perimeter_km"), F.col("t.close.km").alias("gap_km"))
-    named = told.join(places.select("flight_id", "i", "idx"), ["flight_id", "i"]).groupBy(*_SEARCH, "perimeter_km", "gap_km").agg(F.sort_array(F.collect_list(F.struct("k", "idx")))["idx"].alias("idx"))
+    named = told.join(_dealt(places.select("flight_id", "i", "idx")), ["flight_id", "i"]).groupBy(*_SEARCH, "perimeter_km", "gap_km").agg(F.sort_array(F.collect_list(F.struct("k", "idx")))["idx"].alias("idx"))
     return named.select(*_SEARCH, F.slice("idx", 1, 3).alias("turns"), F.slice("idx", 4, 2).alias("gap_ends"), "perimeter_km", "gap_km")

@@ -358,3 +358,18 @@ def test_range_boxes_by_brute_force(spark):
     found = [tuple(x) for x in got.collect()]
     assert len(found) == len(want) and set(found) == want
     assert series.range_boxes(spark.createDataFrame([], "flight_id long, idx long, lat_e5 int, lon_e5 int"), spark.createDataFrame(ranges, "flight_id long, range_id long, lo long, hi long")).count() == 0
+
+
+def test_short_flights_are_searched_whole(spark, monkeypatch):
+    """Flights of up to WHOLE_FIXES fixes need no frontier, and both ways find the same; fixes without a place take no part."""
+    own = {n: steps(n, n) for n in (2, 3, 40, 128)} | {1_000: circle(90)}
+    told = as_table(spark, own).unionByName(spark.createDataFrame([(40, 4, None, 0)], "flight_id long, idx long, lat_e5 int, lon_e5 int"))
+    keyed = lambda df: {(r.flight_id, r.type, r.sub_type): r for r in df.collect()}
+    with monkeypatch.context() as m:
+        m.setattr(triangles, "_by_blocks", None)
+        whole = keyed(triangles.best_triangles(told))
+    monkeypatch.setattr(triangles, "WHOLE_FIXES", 2)
+    blocks = keyed(triangles.best_triangles(told))
+    assert whole and set(whole) == set(blocks)
+    for key, r in whole.items():
+        assert r.perimeter_km - r.gap_km == pytest.approx(blocks[key].perimeter_km - blocks[key].gap_km, abs=1e-9)
