@@ -1,14 +1,11 @@
-"""Takeoff and landing, as windows over fixes and scans of small steps.
-
-A scan puts together, for every fix, all steps before it. The steps here (2 x 2 matrices in the max-plus sense, and maps of two states)
-can be put together in any grouping, so each of log2(n) rounds joins a fix's stretch with the one as long before it, by a window
-that looks so many rows back. No round shuffles or sorts anew, as all share one order.
-"""
+"""Takeoff and landing, as windows over fixes; the likeliest states take a flight's signs, one by one, from one row."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,12 +22,7 @@ START_MPS, GO_ON_MPS, GROUND_MPS = (5.0, 0.9), (1.5, 0.05), (2.5, 0.1)
 FLIGHT_S, GROUND_S = 60, 20
 ALTITUDE_FIXES, ALTITUDE_RANGE_DM, ALTITUDE_VALUES = 5, 100, 4
 PLAIN_KMH, START_CHANCES, STAY, RIGHT, SHORT_STOP_S = 15.0, (0.8, 0.2), 0.9995, 0.8, 300
-#: Logarithms of chances are whole numbers of so many parts, so sums agree however they are grouped.
-PARTS = 1 << 40
-
-
-def _log(chance: float) -> int:
-    return round(math.log(chance) * PARTS)
+CHANGE, WRONG = 0.0005, 0.2  # what STAY and RIGHT leave, without the rounding of a difference
 
 
 def _upto() -> WindowSpec:
@@ -50,33 +42,35 @@ def rounds_for(fixes: DataFrame) -> int:
 # --- the likeliest states -----------------------------------------------------------------------------------------------------------
 
 
-def likeliest_states(fixes: DataFrame, sign: str, rounds: int) -> DataFrame:
+def _path(signs: Iterable[bool | None]) -> list[int]:
+    """The likeliest states behind some signs; sums of logarithms in the order of the fixes, as their rounding decides between equals."""
+    stay, change, right, wrong = map(math.log, (STAY, CHANGE, RIGHT, WRONG))
+    came, a, b = [], None, None
+    for s in signs:
+        ra, rb = (wrong, right) if s else (right, wrong)
+        if a is None:
+            a, b = math.log(START_CHANCES[0]) + ra, math.log(START_CHANCES[1]) + rb
+        else:
+            came.append((a + stay < b + change, a + change < b + stay))
+            a, b = max(a + stay, b + change) + ra, max(a + change, b + stay) + rb
+    states = [int(b >= a)]
+    for to in reversed(came):
+        states.append(int(to[states[-1]]))
+    return states[::-1]
+
+
+def _states(signs: pd.Series) -> pd.Series:
+    return signs.map(_path)
+
+
+def likeliest_states(fixes: DataFrame, sign: str, rounds: int | None = None) -> DataFrame:
     """fixes with `state`: the likeliest path through two states (0, 1) that tend to stay and mostly show their own sign. A state keeps
-    its predecessor's unless changing pays; of equal ends the second."""
-    stay, change, right, wrong = map(_log, (STAY, 1 - STAY, RIGHT, 1 - RIGHT))
-    shown = [F.when(F.col(sign), F.lit(x)).otherwise(F.lit(y)) for x, y in ((wrong, right), (right, wrong))]
-    first = F.row_number().over(in_order()) == 1
-    # Row from, column to; the first fix's matrix has the chances of the start, whatever it comes from.
-    start = [_log(x) for x in START_CHANCES]
-    names = {"m00": (start[0], stay, 0), "m01": (start[1], change, 1), "m10": (start[0], change, 0), "m11": (start[1], stay, 1)}
-    out = fixes.withColumn("_first", first).withColumns({k: F.when(F.col("_first"), F.lit(s)).otherwise(F.lit(go)).cast("long") + shown[to] for k, (s, go, to) in names.items()})
-    for k in range(rounds):
-        before = [F.lag(c, 1 << k).over(in_order()) for c in names]
-        out = out.withColumns({f"_{c}": b for c, b in zip(names, before)})
-        joined = {f"m{a}{b}": F.when(F.col("_m00").isNull(), F.col(f"m{a}{b}")).otherwise(F.greatest(F.col(f"_m{a}0") + F.col(f"m0{b}"), F.col(f"_m{a}1") + F.col(f"m1{b}"))) for a in (0, 1) for b in (0, 1)}
-        out = out.withColumns(joined)
-    # Now m00 and m01 are the best scores of a path that ends here in either state; each fix maps its state to its predecessor's.
-    out = out.withColumns({"_a": F.lag("m00").over(in_order()), "_b": F.lag("m01").over(in_order())})
-    came = {"to0": F.col("_a") + stay < F.col("_b") + change, "to1": F.col("_a") + change < F.col("_b") + stay}
-    # A fix's own map leads from the next fix's state to its own; the last fix has its state from the scores, whatever comes.
-    out = out.withColumns({k: c.cast("int") for k, c in came.items()})
-    out = out.withColumns({f"_{k}": F.lead(k).over(in_order()) for k in came}).withColumn("_end", (F.col("m01") >= F.col("m00")).cast("int"))
-    out = out.withColumns({k: F.coalesce(f"_{k}", "_end") for k in came})
-    for k in range(rounds):
-        out = out.withColumns({f"_{c}": F.lead(c, 1 << k).over(in_order()) for c in came})
-        follow = lambda c: F.when(F.col("_to0").isNull(), F.col(c)).otherwise(F.when(F.col("_to0") == 0, F.col("to0")).otherwise(F.col("to1"))) if c == "to0" else F.when(F.col("_to1").isNull(), F.col(c)).otherwise(F.when(F.col("_to1") == 0, F.col("to0")).otherwise(F.col("to1")))
-        out = out.withColumns({c: follow(c) for c in came})
-    return out.withColumn("state", F.col("to0")).select(*fixes.columns, "state")
+    its predecessor's unless changing pays; of equal ends the second. Equals are many, and which of them a sum of doubles makes the greater
+    depends on its order, so a flight's signs are a row and summed one by one, whatever `rounds`."""
+    rest = [c for c in fixes.columns if c not in ("flight_id", "idx", sign)]
+    told = fixes.groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("idx", sign, *rest))).alias("_f"))
+    each = F.explode(F.arrays_zip("_f", F.pandas_udf(_states, "array<tinyint>")(F.col(f"_f.{sign}")).alias("_states"))).alias("_e")
+    return told.select("flight_id", each).select("flight_id", "_e._f.*", F.col("_e._states").cast("int").alias("state")).select(*fixes.columns, "state")
 
 
 def speed_windows(fixes: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -88,7 +82,7 @@ def speed_windows(fixes: DataFrame, rounds: int | None = None) -> DataFrame:
     own = fixes.select("flight_id", "idx", "t", ((dt > 0) & (moved * 3.6 > PLAIN_KMH * F.greatest(dt, F.lit(1)))).alias("_fast"))
     own = own.withColumn("_n", F.count("*").over(_flight())).where("_n > 1")
     own = own.withColumn("fast", F.coalesce("_fast", F.lead("_fast").over(w)))
-    told = likeliest_states(own.select("flight_id", "idx", "t", "fast"), "fast", rounds or rounds_for(fixes))
+    told = likeliest_states(own.select("flight_id", "idx", "t", "fast"), "fast", rounds)
     new = F.when(F.lag("state").over(w) == F.col("state"), 0).otherwise(1)
     told = told.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_upto()))
     runs = told.groupBy("flight_id", "_run").agg(F.first("state").alias("state"), F.min("idx").alias("idx"), F.min_by("t", "idx").alias("t"), F.max("idx").alias("last"))

@@ -373,3 +373,32 @@ def test_short_flights_are_searched_whole(spark, monkeypatch):
     assert whole and set(whole) == set(blocks)
     for key, r in whole.items():
         assert r.perimeter_km - r.gap_km == pytest.approx(blocks[key].perimeter_km - blocks[key].gap_km, abs=1e-9)
+
+
+def test_equal_ways_go_by_the_sums_in_order(spark):
+    """Of ways through the states that are equally likely, the sums of the SQL, taken fix by fix, decide."""
+    rng, (stay, change, right, wrong) = np.random.default_rng(5), np.log([0.9995, 0.0005, 0.8, 0.2])
+    signs = {k: np.repeat(rng.random(20) < 0.5, rng.integers(1, 9, 20)).tolist() for k in range(60)}
+    df = spark.createDataFrame([(k, i, s) for k, own in signs.items() for i, s in enumerate(own)], "flight_id long, idx long, s boolean").repartition(3)
+    got = {k: [0] * len(own) for k, own in signs.items()}
+    for r in detection.likeliest_states(df, "s").collect():
+        got[r.flight_id][r.idx] = r.state
+    for k, own in signs.items():
+        a, b, came = np.log(0.8) + (wrong if own[0] else right), np.log(0.2) + (right if own[0] else wrong), []
+        for s in own[1:]:
+            came.append((a + stay < b + change, a + change < b + stay))
+            a, b = max(a + stay, b + change) + (wrong if s else right), max(a + change, b + stay) + (right if s else wrong)
+        want = [int(b >= a)]
+        for to in came[::-1]:
+            want.append(int(to[want[-1]]))
+        assert got[k] == want[::-1]
+
+
+def test_ends_of_a_window_among_fixes_of_one_time(spark):
+    """The first and the last fix of a window are those by idx where several have its time, in whatever order rows come."""
+    rows = [(1, 2, 9, 0, 30, 900), (1, 3, 9, 0, 90, 500), (1, 0, 0, 0, 0, 100), (1, 1, 0, 0, 50, 300)]
+    for own in (rows, rows[::-1], [rows[k] for k in (3, 0, 2, 1)]):
+        df = spark.createDataFrame(own, "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, alt_dm int").coalesce(1)
+        peak = series.peaks(series.vario_ms(df, 10)).first()
+        assert peak.peak_climb == pytest.approx((500 - 100) / 10 / 9) and peak.peak_sink == 0
+        assert {round(r.ground_kmh, 6) for r in series.ground_speed_kmh(df, 10).collect()} == {round(float(routes.haversine_km(0, 0, 0, 90)) / 9 * 3600, 6)}
