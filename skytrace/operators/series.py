@@ -30,6 +30,13 @@ def _around(seconds: int) -> WindowSpec:
     return W.partitionBy("flight_id").orderBy("t").rangeBetween(-seconds, seconds)
 
 
+def _ends(fixes: DataFrame, half_s: int, *columns: str) -> DataFrame:
+    """fixes with _a and _b (t, idx, columns), the first and the last fix of the centred window; idx decides among fixes of one time, which
+    a window in the order of t alone has in any order."""
+    end = F.struct("t", "idx", *columns)
+    return fixes.withColumn("_a", F.min(end).over(_around(half_s))).withColumn("_b", F.max(end).over(_around(half_s)))
+
+
 def path_speed_kmh(fixes: DataFrame) -> DataFrame:
     """path_kmh: speed over the step to each fix; a step of no time repeats the speed before; the first fix has the second's."""
     dt = F.col("t") - F.lag("t").over(in_order())
@@ -43,9 +50,7 @@ def path_speed_kmh(fixes: DataFrame) -> DataFrame:
 
 def ground_speed_kmh(fixes: DataFrame, half_s: int = 30) -> DataFrame:
     """ground_kmh: displacement between the ends of the centred window over its time; 0 where the window has no time."""
-    w = _around(half_s)
-    first, last = F.first(F.struct("t", "lat_e5", "lon_e5")).over(w), F.last(F.struct("t", "lat_e5", "lon_e5")).over(w)
-    both = fixes.withColumn("_a", first).withColumn("_b", last)
+    both = _ends(fixes, half_s, "lat_e5", "lon_e5")
     dt = F.col("_b.t") - F.col("_a.t")
     moved = haversine_m("_a.lat_e5", "_a.lon_e5", "_b.lat_e5", "_b.lon_e5")
     return both.withColumn("ground_kmh", F.when(dt > 0, moved / dt * 3.6).otherwise(0.0)).drop("_a", "_b")
@@ -53,10 +58,9 @@ def ground_speed_kmh(fixes: DataFrame, half_s: int = 30) -> DataFrame:
 
 def vario_ms(fixes: DataFrame, half_s: int = 5, altitude: str = "alt_dm") -> DataFrame:
     """vario: climb in m/s between the ends of the centred window; 0 where it has no time."""
-    w = _around(half_s)
-    both = fixes.withColumn("_a", F.first(F.struct("t", F.col(altitude).alias("z"))).over(w)).withColumn("_b", F.last(F.struct("t", F.col(altitude).alias("z"))).over(w))
+    both = _ends(fixes, half_s, altitude)
     dt = F.col("_b.t") - F.col("_a.t")
-    return both.withColumn("vario", F.when(dt > 0, (F.col("_b.z") - F.col("_a.z")) / 10 / dt).otherwise(0.0)).drop("_a", "_b")
+    return both.withColumn("vario", F.when(dt > 0, (F.col(f"_b.{altitude}") - F.col(f"_a.{altitude}")) / 10 / dt).otherwise(0.0)).drop("_a", "_b")
 
 
 def with_best_altitude(fixes: DataFrame, pressure: str = "pressure_dm", gps: str = "alt_dm") -> DataFrame:
