@@ -97,10 +97,10 @@ def converted(value: Column, unit: str, into: str) -> Column:
     return value if unit == into else value * _PER[unit, into] if (unit, into) in _PER else value / _PER[into, unit]
 
 
-def signed(value: Column, digits: int) -> Column:
-    """A number with its sign, a true minus."""
-    text = F.format_number(F.abs(value), digits)
-    return F.concat(F.when(F.round(value, digits) < 0, "−").when(F.round(value, digits) > 0, "+").otherwise(""), text)
+def signed(value: Column, digits: int, by: Column | None = None) -> Column:
+    """A number with its sign, a true minus; that of the number before it is rounded, or of `by`. 0 has none."""
+    by = value if by is None else by
+    return F.concat(F.when(by < 0, "−").when(by > 0, "+").otherwise(""), F.format_number(F.abs(value), digits))
 
 
 def distance_text(metres: Column) -> Column:

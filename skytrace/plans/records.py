@@ -171,7 +171,7 @@ def codes_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = text.country(raw)
     model = text.model_name(F.concat(F.lit(" "), F.translate(name, "#", " "), F.when(key % 3 == 0, text.TANDEM_SUFFIX).otherwise("")))
     found = text.contains_ignoring_case(name, "00A") | text.contains_ignoring_case(name, "7")
-    balance = text.signed(F.when(F.col("c_acctbal") < 0, -1).otherwise(1) * (F.abs("c_acctbal") % 1000), 1)
+    balance = text.signed(F.abs("c_acctbal") % 1000, 1, F.when(F.col("c_acctbal") < 0, -1).otherwise(1))
     out = table(spark, sf_dir, "customer").select(key.alias("user_id"), code.alias("country"), text.flag(code).alias("flag"), text.sex(spelled).alias("sex"), text.short_id(F.concat(name, F.lit("/"), key.cast("string"))).alias("short_id"), found.alias("found"), balance.alias("balance"), model.alias("m"))
     return out.select("user_id", "country", "flag", "sex", "short_id", "found", "balance", F.col("m.name").alias("model"), F.col("m.is_tandem").alias("is_tandem"))
 

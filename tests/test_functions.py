@@ -67,3 +67,9 @@ def test_pages_over_ties(spark):
     assert seen == list(range(39, -1, -1))
     with pytest.raises(ValueError):
         listing.page(rows, keys, 0)
+
+
+def test_sign_of_what_rounds_to_nothing(spark):
+    """The sign is that of the number, also where its digits are all 0, or of another."""
+    assert one(spark, text.signed(F.lit(0.04), 1)) == "+0.0" and one(spark, text.signed(F.lit(-0.04), 1)) == "−0.0" and one(spark, text.signed(F.lit(0.0), 1)) == "0.0"
+    assert one(spark, text.signed(F.lit(0.0), 1, F.lit(-1))) == "−0.0"
