@@ -116,9 +116,9 @@ def blob_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS flight_id, max(l_linenumber) AS version, arg_max(l_returnflag, l_linenumber) AS note FROM lineitem WHERE l_orderkey IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144) GROUP BY 1""")
 def stored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest stored source of some flights."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("flight_id"), F.col("l_linenumber").alias("version"), F.col("l_returnflag").alias("note"))
-    return ingest.by_flight(rows, [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
+    """The newest stored source of some flights; of equals the first in the table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("flight_id"), F.col("l_linenumber").alias("version"), F.col("l_returnflag").alias("note"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return ingest.by_flight(rows, [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144], ["file", "row"])
 
 
 # --- rasters ----------------------------------------------------------------------------------------------------------------------

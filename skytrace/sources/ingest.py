@@ -74,7 +74,14 @@ def stored_form(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_stored, "path string, content binary")
 
 
-def by_flight(sources: DataFrame, flight_ids: list[int]) -> DataFrame:
-    """The newest stored source of some flights. sources: (flight_id, version, ...)."""
-    newest = F.max(F.struct("version", *[c for c in sources.columns if c not in ("flight_id", "version")])).alias("_s")
-    return sources.where(F.col("flight_id").isin(flight_ids)).groupBy("flight_id").agg(newest).select("flight_id", "_s.*")
+def by_flight(sources: DataFrame, flight_ids: list[int], order: list[str] | None = None) -> DataFrame:
+    """The newest stored source of some flights; of equals the first in `order`, or else the one of the greatest values. sources: (flight_id,
+    version, ...), versions numbers."""
+    order = order or []
+    rest = [c for c in sources.columns if c not in ("flight_id", *order)]
+    if order:
+        newest = F.min(F.struct(F.col("version").isNull(), -F.col("version"), *order, *[F.col(c).alias(f"_{c}") for c in rest])).alias("_s")
+    else:
+        newest = F.max(F.struct("version", *[F.col(c).alias(f"_{c}") for c in rest if c != "version"], F.col("version").alias("_version"))).alias("_s")
+    found = sources.where(F.col("flight_id").isin(flight_ids)).groupBy("flight_id").agg(newest)
+    return found.select("flight_id", *[F.col(f"_s._{c}").alias(c) for c in rest])

@@ -200,3 +200,10 @@ def test_buckets_that_an_upsert_touches(spark, tmp_path):
     assert stored.upsert_into(spark, path, new.limit(0), ["id"], ["v"], 16).count() == 0 and stored.read(spark, path, ["id"]).count() == 502
     with pytest.raises(ValueError):
         stored.write(spark.range(3).withColumnRenamed("id", "bucket"), path, ["bucket"])
+
+
+def test_of_equally_new_sources_the_first_stays(spark):
+    rows = spark.createDataFrame([(1, 7, "a", 2), (1, 7, "z", 3), (1, 7, "n", 1), (1, 6, "q", 0), (2, None, "x", 0), (2, 1, "y", 5), (3, 1, "o", 1)], "flight_id long, version int, note string, at long").repartition(3)
+    got = {r.flight_id: (r.version, r.note) for r in ingest.by_flight(rows, [1, 2], ["at"]).collect()}
+    assert got == {1: (7, "n"), 2: (1, "y")}
+    assert {(r.flight_id, r.note) for r in ingest.by_flight(rows.drop("at"), [1, 3]).collect()} == {(1, "z"), (3, "o")}
