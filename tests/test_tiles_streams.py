@@ -2,10 +2,12 @@ import random
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skytrace.operators import sites, tiles
+from skytrace.operators import lookup, sites, tiles
 from skytrace.streaming import live, queue
+from tests.sequential_routes import haversine_km
 
 
 def long_form(spark, arrays):
@@ -209,3 +211,34 @@ def test_job_lifecycle_timers(spark, tmp_path):
     assert [x for x in got if x[0] == 1] == [(1, 1, "queued", 0, None), (1, 5, "running", 1, None), (1, 9, "failed", 1, "at 9"), (1, 69, "queued", 1, "at 9"), (1, 520, "running", 2, "at 9"), (1, 521, "failed", 2, "at 521")]
     assert [x for x in got if x[0] in (2, 3)] == [(3, 2, "queued", 0, None), (3, 3, "running", 1, None), (3, 4, "done", 1, None)]
     assert [x[1:4] for x in got if x[0] == 9] == [(500, "queued", 0), (501, "running", 1), (1_101, "queued", 1), (1_200, "done", 1)]
+
+
+def test_nearest_site_where_sites_are_crowded(spark, monkeypatch):
+    """Crowded sites are met within parts of the radius; far points still find theirs, and places with several sites give the smallest id."""
+    rng = random.Random(8)
+    there = [(i, 4_600_000 + rng.randrange(0, 300), 1_300_000 + rng.randrange(0, 300)) for i in range(3_000)]
+    points = [(i, 4_600_000 + rng.randrange(-3_000, 3_000), 1_300_000 + rng.randrange(-4_000, 4_000)) for i in range(150)] + [(1_000 + i, *there[-1 - i][1:]) for i in range(50)]
+    radii, within = [], sites._within
+    monkeypatch.setattr(sites, "_within", lambda points, places, key, radius_m, site_key: radii.append(radius_m) or within(points, places, key, radius_m, site_key))
+    got = {r.id: (r.site_id, r.distance_m) for r in sites.nearest_site(spark.createDataFrame(points, "id long, lat_e5 int, lon_e5 int"), spark.createDataFrame(there, "site_id long, lat_e5 int, lon_e5 int"), "id", 2_500).collect()}
+    assert len(radii) > 2 and radii == sorted(radii) and radii[-1] == 2_500
+    for k, lat, lon in points:
+        d = haversine_km(*(np.array(x) for x in (lat, lon, [s[1] for s in there], [s[2] for s in there]))) * 1000
+        if d.min() <= 2_500:
+            assert got[k][1] == pytest.approx(d.min(), abs=1e-6) and got[k][0] == int(np.flatnonzero(d <= d.min() + 1e-9)[0])
+        else:
+            assert got[k] == (None, None)
+
+
+def test_nearest_fix_of_short_and_long_flights(spark):
+    """Points of short flights are sent once, those of long ones go by the grid; a flight without fixes has none."""
+    rng = random.Random(9)
+    own = [(f, i, 4_600_000 + rng.randrange(0, 500), 1_300_000 + rng.randrange(0, 900)) for f, n in ((1, 5), (2, lookup.WHOLE_FIXES), (3, 700)) for i in range(n)]
+    points = [(k, k % 4 + 1, 4_600_000 + rng.randrange(-200, 700), 1_300_000 + rng.randrange(-200, 1_100)) for k in range(400)]
+    fixes = spark.createDataFrame([*own, (1, 99, None, None)], "flight_id long, idx long, lat_e5 int, lon_e5 int")
+    found = lookup.nearest_fix(fixes, spark.createDataFrame(points, "point_id long, flight_id long, lat_e5 int, lon_e5 int"))
+    got = {r.point_id: r.idx for r in found.collect()}
+    for k, f, lat, lon in points:
+        assert got[k] == min(((a - lat) ** 2 + (o - lon) ** 2, i) for g, i, a, o in own if g == f)[1] if f < 4 else got[k] is None
+    short = lookup.nearest_fix(fixes.where("flight_id < 3"), spark.createDataFrame(points, "point_id long, flight_id long, lat_e5 int, lon_e5 int"))
+    assert "Generate" not in short._jdf.queryExecution().optimizedPlan().toString()
