@@ -20,10 +20,11 @@ LEVELS = 4
 
 
 def on_plane(fixes: DataFrame) -> DataFrame:
-    """fixes with x and y: metres on a plane around the flight's mean, each fix with its own cosine."""
-    flight = W.partitionBy("flight_id")
+    """fixes with x and y: metres on a plane around the flight's mean, each fix with its own cosine. The mean sums in order of idx, so that
+    reruns agree to the last bit, by which equally small rectangles are told apart."""
+    flight = in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lat, lon = F.radians(degrees("lat_e5")), F.radians(degrees("lon_e5"))
-    return fixes.withColumn("x", (lon - F.avg(lon).over(flight)) * F.cos(lat) * EARTH_RADIUS_M).withColumn("y", (lat - F.avg(lat).over(flight)) * EARTH_RADIUS_M)
+    return fixes.withColumn("x", F.lit(EARTH_RADIUS_M) * (lon - F.avg(lon).over(flight)) * F.cos(lat)).withColumn("y", F.lit(EARTH_RADIUS_M) * (lat - F.avg(lat).over(flight)))
 
 
 def _levels(points: DataFrame, halved: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -105,9 +106,10 @@ def aspect_ratios(fixes: DataFrame, tolerance_m: float = 100.0) -> DataFrame:
     there = F.coalesce(F.lead(F.struct("x", "y")).over(ring), F.first(F.struct("x", "y")).over(ring))
     sides = turned.withColumn("_to", there).select("flight_id", "_angle", (F.col("_to.x") - F.col("x")).alias("dx"), (F.col("_to.y") - F.col("y")).alias("dy")).where("dx != 0 or dy != 0")
     size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    sides = sides.select("flight_id", "_angle", (F.col("dx") / size).alias("ux"), (F.col("dy") / size).alias("uy"))
-    along, across = F.col("x") * F.col("ux") + F.col("y") * F.col("uy"), F.col("y") * F.col("ux") - F.col("x") * F.col("uy")
-    boxes = sides.join(corners, "flight_id").groupBy("flight_id", "_angle").agg((F.max(along) - F.min(along)).alias("w"), (F.max(across) - F.min(across)).alias("h"))
+    # Two rectangles on one diagonal of the hull are equally large: rounding tells which is taken, so the division comes last, as in the SQL.
+    along, across = F.col("x") * F.col("dx") + F.col("y") * F.col("dy"), F.col("y") * F.col("dx") - F.col("x") * F.col("dy")
+    boxes = sides.join(corners, "flight_id").groupBy("flight_id", "_angle", size.alias("_size")).agg((F.max(along) - F.min(along)).alias("w"), (F.max(across) - F.min(across)).alias("h"))
+    boxes = boxes.withColumn("w", F.col("w") / F.col("_size")).withColumn("h", F.col("h") / F.col("_size"))
     least, most = F.least("w", "h"), F.greatest("w", "h")
     ratio = F.when(least <= most * 1e-9, F.lit(float("inf"))).otherwise(most / least)
     best = boxes.groupBy("flight_id").agg(F.min_by(ratio, F.struct(F.col("w") * F.col("h"), "_angle")).alias("aspect_ratio"))

@@ -3,11 +3,14 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+from skytrace import plans
 from skytrace.operators import cleaning, detection, distance, outline, scoring, segments, series, triangles
+from skytrace.plans.tables import PATHS
 from tests import sequential
 from tests import sequential_routes as routes
 
@@ -147,6 +150,21 @@ def test_simplification_level_by_level(spark, tolerance, chord):
         assert got == {k: pytest.approx(routes.aspect_ratio(*x)) if len(x[0]) > 2 else None for k, x in own.items()}
 
 
+def test_of_equally_large_rectangles_the_one_of_the_sql(spark):
+    """The rectangles on the sides of an acute triangle are equally large but for their last bits, by which the SQL tells them apart."""
+    own = [
+        [(4601716, 1304379), (4601512, 1302610), (4600514, 1304222)], [(4600275, 1301710), (4601804, 1301329), (4600450, 1302785)], [(4600110, 1304326), (4601220, 1300745), (4602851, 1302139)],
+        [(4601456, 1300237), (4600114, 1302288), (4601934, 1302123)], [(4600112, 1301238), (4602419, 1303812), (4602686, 1301197)], [(4601304, 1300755), (4602957, 1302997), (4600079, 1302768)],
+    ]
+    rows = [(k, i, a, o) for k, places in enumerate(own) for i, (a, o) in enumerate(places)]
+    c = duckdb.connect(config={"threads": 1})
+    c.execute("CREATE TABLE own (flight_id BIGINT, idx BIGINT, lat_e5 INT, lon_e5 INT)")
+    c.executemany("INSERT INTO own VALUES (?, ?, ?, ?)", rows)
+    want = c.execute(plans.SQL["aspect_ratios"].replace(PATHS, "paths AS (SELECT * FROM own)")).fetchall()
+    got = outline.aspect_ratios(spark.createDataFrame(rows, "flight_id long, idx long, lat_e5 int, lon_e5 int").repartition(3)).collect()
+    assert {r.flight_id: round(r.aspect_ratio, 6) for r in got} == dict(want)
+
+
 # --- climb segments ---------------------------------------------------------------------------------------------------------------
 
 
