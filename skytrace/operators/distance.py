@@ -46,11 +46,12 @@ def _most_km(a: str, b: str) -> Column:
     return F.hypot(_per_degree(near)[1] * across, _per_degree(far)[0] * up)
 
 
-def moved(fixes: DataFrame) -> DataFrame:
-    """(flight_id, idx, i, n, lat, lon): fixes without those that repeat the place before, numbered anew."""
+def moved(fixes: DataFrame, latest: bool = False) -> DataFrame:
+    """(flight_id, idx, i, n, lat, lon): fixes without those that repeat the place before (latest: the place behind), numbered anew."""
     w = in_order()
     here = F.struct("lat_e5", "lon_e5")
-    own = fixes.select("flight_id", "idx", F.col("lat_e5").cast("double").alias("lat"), F.col("lon_e5").cast("double").alias("lon"), F.coalesce(F.lag(here).over(w) == here, F.lit(False)).alias("_same")).where("not _same").drop("_same")
+    beside = F.lead(here) if latest else F.lag(here)
+    own = fixes.select("flight_id", "idx", F.col("lat_e5").cast("double").alias("lat"), F.col("lon_e5").cast("double").alias("lon"), F.coalesce(beside.over(w) == here, F.lit(False)).alias("_same")).where("not _same").drop("_same")
     return own.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("n", F.count("*").over(W.partitionBy("flight_id")))
 
 
@@ -85,22 +86,23 @@ def _relaxed(alive: DataFrame, forward: bool) -> DataFrame:
     return out
 
 
-def _ways(alive: DataFrame) -> DataFrame:
-    """(flight_id, way, km): the longest way over single fixes; the first fixes of equal ways to a turn, the last of equal ends."""
+def _ways(alive: DataFrame, latest: bool) -> DataFrame:
+    """(flight_id, way, km): the longest way over single fixes; the first fixes (latest: the last) of equal ways to a turn, the last of equal ends."""
     layer = alive.where("turn = 0").select("flight_id", "box.one", F.lit(0.0).alias("km"), F.array(F.col("box.one.i")).alias("way"))
     for turn in range(1, TURNS):
         here = alive.where(F.col("turn") == turn).select("flight_id", F.col("box.one").alias("to"))
         both = layer.join(here, "flight_id").where(F.col("one.i") < F.col("to.i"))
         km = F.col("km") + fcc_km(F.col("one.lat"), F.col("one.lon"), F.col("to.lat"), F.col("to.lon"))
-        best = F.max(F.struct(km.alias("km"), (-F.col("one.i")).alias("_i"), F.concat("way", F.array(F.col("to.i"))).alias("way"))).alias("best")
+        best = F.max(F.struct(km.alias("km"), (F.col("one.i") if latest else -F.col("one.i")).alias("_i"), F.concat("way", F.array(F.col("to.i"))).alias("way"))).alias("best")
         layer = both.groupBy("flight_id", "to").agg(best).select("flight_id", F.col("to").alias("one"), "best.km", "best.way")
     return layer.groupBy("flight_id").agg(F.max(F.struct("km", F.element_at("way", -1).alias("_i"), "way")).alias("best")).select("flight_id", "best.way", "best.km").where("km > 0")
 
 
-def free_distances(fixes: DataFrame) -> DataFrame:
+def free_distances(fixes: DataFrame, latest: bool = False) -> DataFrame:
     """(flight_id, turns, legs_m, distance_m, optimal) of the free distance of each flight that has one; turns are idx, legs whole metres on
-    the sphere, the distance rounded to ten. optimal is always true: whatever was left out is proven to be no longer."""
-    places = settled(moved(fixes))
+    the sphere, the distance rounded to ten. optimal is always true: whatever was left out is proven to be no longer. Of ways that are equally
+    long, as a place comes again, the first fix of a turn is taken, or the last."""
+    places = settled(moved(fixes, latest))
     sizes = places.groupBy("flight_id").agg(F.max("n").alias("n")).where(F.col("n") >= TURNS)
     steps = F.ceil(F.greatest(F.log2(F.col("n") / FIRST_BLOCKS), F.lit(0.0)) / 2)  # cuts by four down to a fix
     sizes = settled(sizes.select("flight_id", F.pow(F.lit(float(SPLIT)), steps).cast("long").alias("size")))
@@ -117,7 +119,7 @@ def free_distances(fixes: DataFrame) -> DataFrame:
         finer = kept.select("flight_id", (F.col("size") / SPLIT).cast("long").alias("size")).distinct()
         alive = settled(parts.join(_blocks(places, finer), ["flight_id", "size", "block"]).select("flight_id", "turn", "block", "size", "box"))
         done, todo = done.unionByName(alive.where("size = 1")), alive.where("size > 1")
-    found = _ways(done).select("flight_id", F.posexplode("way").alias("turn", "i")).join(places.select("flight_id", "i", "idx", "lat", "lon"), ["flight_id", "i"])
+    found = _ways(done, latest).select("flight_id", F.posexplode("way").alias("turn", "i")).join(places.select("flight_id", "i", "idx", "lat", "lon"), ["flight_id", "i"])
     by_turn = W.partitionBy("flight_id").orderBy("turn")
     leg = F.when(F.col("turn") > 0, F.floor(haversine_m(F.lag("lat").over(by_turn), F.lag("lon").over(by_turn), "lat", "lon") + 0.5).cast("long"))
     listed = found.withColumn("leg", leg).groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("turn", "idx", "leg"))).alias("l"))

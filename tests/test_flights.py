@@ -302,6 +302,15 @@ def test_free_distance_is_the_longest(spark):
         assert r.turns == (3 * way).tolist() and (r.legs_m, r.distance_m) == routes.free_distance_m(lat, lon, way)
 
 
+def test_of_equal_ways_the_first_or_the_last(spark):
+    """Turns whose place comes again, at once (fixes 3 and 4, the end) or later (6 and 8)."""
+    places = [(4_600_000, 1_300_000), (4_600_010, 1_300_500), (4_600_300, 1_301_000), (4_600_100, 1_309_000), (4_600_100, 1_309_000), (4_603_000, 1_308_000), (4_608_000, 1_300_000), (4_607_000, 1_300_500), (4_608_000, 1_300_000), (4_607_500, 1_309_000), (4_600_500, 1_300_200), (4_600_500, 1_300_200)]
+    fixes = spark.createDataFrame([(1, i, a, o) for i, (a, o) in enumerate(places)], "flight_id long, idx long, lat_e5 int, lon_e5 int")
+    first, last = (distance.free_distances(fixes, latest).first() for latest in (False, True))
+    assert first.turns == [0, 3, 6, 9, 10] and last.turns == [0, 4, 8, 9, 11]
+    assert first.distance_m == last.distance_m and first.legs_m == last.legs_m
+
+
 def test_triangles_are_the_best(spark, monkeypatch):
     own = {n: steps(n, n) for n in (2, 3, 24, 25, 130, 400)} | {1_000: circle(260)}
     sides = {"free_triangle": (0.0, 0.0), "fai_triangle": (0.28, 0.2)}
