@@ -72,29 +72,60 @@ class _Timeline:
         return out
 
 
+#: Flights whose ids differ in so many low bits only share a call and a row of state, as a call costs Spark some ten milliseconds.
+SHARED_BITS = 6
+_STATE = "flights array<long>, after array<long>, prev array<long>, top array<long>, segment array<long>, run array<long>, run_n array<long>, run_t array<long>, held array<long>, held_n array<long>, held_t array<long>, held_at array<long>"
+
+
+def _restored(state: GroupState) -> dict[int, tuple[_Timeline, dict[int, tuple[int, int]], int]]:
+    """By flight its timeline, the records that wait (time and when sent by n), and the n that comes next."""
+    if not state.exists:
+        return {}
+    flights, after, prev, top, segment, run, run_n, run_t, held, held_n, held_t, held_at = (list(x) for x in state.get)
+    out = {f: (_Timeline(p, m, s, []), {}, a) for f, a, p, m, s in zip(flights, after, prev, top, segment)}
+    for f, n, t in zip(run, run_n, run_t):
+        out[f][0].run.append((n, t))
+    for f, n, t, at in zip(held, held_n, held_t, held_at):
+        out[f][1][n] = (t, at)
+    return out
+
+
+def _stored(flights: dict[int, tuple[_Timeline, dict[int, tuple[int, int]], int]]) -> tuple[list[int | None], ...]:
+    """The row of state that _restored reads."""
+    ids = list(flights)
+    lines, after = [flights[f][0] for f in ids], [flights[f][2] for f in ids]
+    run = [(f, *x) for f, line in zip(ids, lines) for x in line.run]
+    held = [(f, n, *x) for f in ids for n, x in flights[f][1].items()]
+    column = lambda rows, k: [x[k] for x in rows]
+    return (ids, after, [x.prev for x in lines], [x.top for x in lines], [x.segment for x in lines], *(column(run, k) for k in range(3)), *(column(held, k) for k in range(4)))
+
+
 def _in_order(wait_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        after, prev, top, segment, run_n, run_t, held_n, held_t, held_at = state.get if state.exists else (0, None, None, 0, [], [], [], [], [])
-        line = _Timeline(prev, top, segment, list(zip(run_n or [], run_t or [])))
-        held = {n: (t, at) for n, t, at in zip(held_n or [], held_t or [], held_at or [])}
+        flights, now, told = _restored(state), state.getCurrentWatermarkMs(), set()
         if not state.hasTimedOut:
             for batch in batches:
                 sent = (batch["sent"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
-                for n, t, at in sorted(zip(batch["n"].tolist(), batch["t"].tolist(), sent.tolist())):
+                for f, n, t, at in sorted(zip(batch["flight_id"].tolist(), batch["n"].tolist(), batch["t"].tolist(), sent.tolist())):
+                    told.add(f)
+                    _, held, after = flights.setdefault(f, (_Timeline(None, None, 0, []), {}, 0))
                     if n >= after:
                         held.setdefault(n, (t, at))
-        out, now = [], state.getCurrentWatermarkMs()
-        while held:
-            n = min(held) if after not in held and min(at for _, at in held.values()) + wait_ms <= now else after
-            if n not in held:
-                break
-            out += [(key[0], *x) for x in line.take(n, held.pop(n)[0])]
-            after = n + 1
-        rest = sorted((n, t, at) for n, (t, at) in held.items())
-        ns, ts, ats = ([x[k] for x in rest] for k in range(3))
-        state.update((after, line.prev, line.top, line.segment, [n for n, _ in line.run], [t for _, t in line.run], ns, ts, ats))
-        if ats:
-            state.setTimeoutTimestamp(max(min(ats) + wait_ms, now + 1))
+        out, ends = [], []
+        for f, (line, held, after) in flights.items():
+            # A flight without records in this batch is given up as by a timer of its own, which goes off behind its time.
+            late = now if f in told else now - 1
+            while held:
+                n = min(held) if after not in held and min(at for _, at in held.values()) + wait_ms <= late else after
+                if n not in held:
+                    ends.append(min(at for _, at in held.values()) + wait_ms)
+                    break
+                out += [(f, *x) for x in line.take(n, held.pop(n)[0])]
+                after = n + 1
+            flights[f] = (line, held, after)
+        state.update(_stored(flights))
+        if ends:
+            state.setTimeoutTimestamp(max(min(ends), now + 1))
         if out:
             yield pd.DataFrame(out, columns=_TOLD)
 
@@ -109,8 +140,8 @@ def fixes_in_order(fixes: DataFrame, wait_s: int = 600, late: str = "1 hour") ->
     waits: then what is missing is given up with the next batch, and is dropped if it comes after that. Of records with one n the first batch's stays, within a
     batch the one of the least t. Records that repeat the time of the one before go. Up to SLIP_FIXES records in a row that aren't later than
     the last kept one go; a longer run is another timeline, and starts the next segment with its first record. A log's last records
-    that run backward go unless they are more than that. Rows with a null in n, t, sent or flight_id go. State is the run, at most SLIP_FIXES records,
-    and what waits."""
+    that run backward go unless they are more than that. Rows with a null in n, t, sent or flight_id go. State is a flight's run, at most SLIP_FIXES records,
+    and what waits; the flights of 2**SHARED_BITS neighbouring ids, never more, share a row of it."""
     whole = fixes.select("flight_id", "n", "t", "sent").dropna().withWatermark("sent", late)
-    types = "after long, prev long, top long, segment long, run_n array<long>, run_t array<long>, held_n array<long>, held_t array<long>, held_at array<long>"
-    return whole.groupBy("flight_id").applyInPandasWithState(_in_order(wait_s * 1000), "flight_id long, n long, t long, segment long", types, "append", GroupStateTimeout.EventTimeTimeout)
+    groups = whole.withColumn("_group", F.shiftright(F.col("flight_id").cast("long"), SHARED_BITS))
+    return groups.groupBy("_group").applyInPandasWithState(_in_order(wait_s * 1000), "flight_id long, n long, t long, segment long", _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -175,6 +175,23 @@ def test_missing_fixes_are_waited_for_and_given_up(spark, tmp_path):
     assert [x[:3] for x in got if x[0] == 2] == [(2, 1, 20), (2, 2, 30)]  # its record 0 came when it had been given up
 
 
+def test_neighbouring_flights_share_a_row_of_state(spark, tmp_path):
+    """A call costs Spark far more than a flight's records, so 64 ids share one; each flight is told as if alone."""
+    r = random.Random(6)
+    logs = {f: [r.choice([k, k, k - 3]) for k in range(r.randrange(1, 9))] for f in range(-70, 130)}
+    rows = [(f, n, t, 1_000 + n) for f, log in logs.items() for n, t in enumerate(log)]
+    r.shuffle(rows)
+    for part in (rows[:500], rows[500:]):
+        df = spark.createDataFrame(part, "flight_id long, n long, t long, s long")
+        df.select("flight_id", "n", "t", F.timestamp_seconds("s").alias("sent")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/shared")
+    stream = spark.readStream.schema("flight_id long, n long, t long, sent timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/shared")
+    query = live.fixes_in_order(stream, late="10 hours").writeStream.format("memory").queryName("shared").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((x.flight_id, x.n, x.t, x.segment) for x in spark.table("shared").collect())
+    assert got == sorted((f, *x) for f, log in logs.items() for x in kept_by_a_loop(log))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len({f >> 6 for f in logs}) == 5
+
+
 def test_a_scorer_that_raises_fails_its_flight_alone(spark, tmp_path):
     schema, bad = "flight_id long, v long", {7, 23}
 
