@@ -97,15 +97,20 @@ def converted(value: Column, unit: str, into: str) -> Column:
     return value if unit == into else value * _PER[unit, into] if (unit, into) in _PER else value / _PER[into, unit]
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, its thousands unparted."""
+    return F.translate(F.format_number(value, digits), ",", "")
+
+
 def signed(value: Column, digits: int, by: Column | None = None) -> Column:
     """A number with its sign, a true minus; that of the number before it is rounded, or of `by`. 0 has none."""
     by = value if by is None else by
-    return F.concat(F.when(by < 0, "−").when(by > 0, "+").otherwise(""), F.format_number(F.abs(value), digits))
+    return F.concat(F.when(by < 0, "−").when(by > 0, "+").otherwise(""), fixed(F.abs(value), digits))
 
 
 def distance_text(metres: Column) -> Column:
     """Metres below one kilometre, else kilometres with one decimal."""
-    return F.when(metres < 1000, F.concat(F.round(metres).cast("long").cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_number(metres / 1000, 1), F.lit(" km")))
+    return F.when(metres < 1000, F.concat(F.round(metres).cast("long").cast("string"), F.lit(" m"))).otherwise(F.concat(fixed(metres / 1000, 1), F.lit(" km")))
 
 
 def duration_text(seconds: Column) -> Column:

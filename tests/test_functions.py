@@ -73,3 +73,9 @@ def test_sign_of_what_rounds_to_nothing(spark):
     """The sign is that of the number, also where its digits are all 0, or of another."""
     assert one(spark, text.signed(F.lit(0.04), 1)) == "+0.0" and one(spark, text.signed(F.lit(-0.04), 1)) == "−0.0" and one(spark, text.signed(F.lit(0.0), 1)) == "0.0"
     assert one(spark, text.signed(F.lit(0.0), 1, F.lit(-1))) == "−0.0"
+
+
+def test_thousands_are_not_parted(spark):
+    """Also where rounding makes the thousand."""
+    assert one(spark, text.signed(F.lit(999.95), 1)) == "+1000.0" and one(spark, text.signed(F.lit(-1234567.89), 1)) == "−1234567.9"
+    assert one(spark, text.distance_text(F.lit(1_234_500.0))) == "1234.5 km"
