@@ -23,6 +23,8 @@ FLIGHT_S, GROUND_S = 60, 20
 ALTITUDE_FIXES, ALTITUDE_RANGE_DM, ALTITUDE_VALUES = 5, 100, 4
 PLAIN_KMH, START_CHANCES, STAY, RIGHT, SHORT_STOP_S = 15.0, (0.8, 0.2), 0.9995, 0.8, 300
 CHANGE, WRONG = 0.0005, 0.2  # what STAY and RIGHT leave, without the rounding of a difference
+#: Decimals of mean speeds and of ways that are compared: a mean that is just a limit, and ways of one length, are told so whatever the order of their sums.
+MEAN_DIGITS, WAY_DIGITS = 9, 6
 
 
 def _upto() -> WindowSpec:
@@ -97,7 +99,7 @@ def speed_windows(fixes: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def _smoothed(fixes: DataFrame, *columns: str) -> DataFrame:
-    """Each column's mean from the last fix HALF_PERIOD_S or more before to the first as much after it."""
+    """Each column's mean from the last fix HALF_PERIOD_S or more before to the first as much after it, to MEAN_DIGITS decimals."""
     out = fixes
     near = W.partitionBy("flight_id").orderBy("t").rangeBetween(-HALF_PERIOD_S + 1, HALF_PERIOD_S - 1)
     before = W.partitionBy("flight_id").orderBy("t").rangeBetween(W.unboundedPreceding, -HALF_PERIOD_S)
@@ -105,7 +107,7 @@ def _smoothed(fixes: DataFrame, *columns: str) -> DataFrame:
     out = out.withColumn("_lo", F.max(F.struct("t", "idx", *columns)).over(before)).withColumns({f"_s_{c}": F.sum(c).over(near) for c in columns}).withColumn("_c", F.count("*").over(near))
     out = out.withColumn("_hi", F.max(F.struct((-F.col("t")).alias("t"), (-F.col("idx")).alias("idx"), *columns)).over(after))
     n = F.col("_c") + F.col("_lo").isNotNull().cast("int") + F.col("_hi").isNotNull().cast("int")
-    mean = lambda c: (F.col(f"_s_{c}") + F.coalesce(f"_lo.{c}", F.lit(0.0)) + F.coalesce(f"_hi.{c}", F.lit(0.0))) / n
+    mean = lambda c: F.round((F.col(f"_s_{c}") + F.coalesce(f"_lo.{c}", F.lit(0.0)) + F.coalesce(f"_hi.{c}", F.lit(0.0))) / n, MEAN_DIGITS)
     return out.withColumns({c: mean(c) for c in columns}).drop("_lo", "_hi", "_c", *[f"_s_{c}" for c in columns])
 
 
@@ -144,7 +146,7 @@ def altitude_windows(fixes: DataFrame) -> DataFrame:
     at = own.groupBy("flight_id", F.coalesce("_to._i", F.lit(-1)).alias("_g")).agg(F.min(F.struct("_i", here.alias("at"), "_from", "_to", "_start", "_stop")).alias("f")).select("flight_id", "f.*")
     landing = F.greatest(F.col("at"), F.least(F.coalesce("_to", "_stop"), F.col("_stop")))
     ends = at.select("flight_id", F.coalesce("_from", "_start").alias("a"), landing.alias("b"), F.col("_i"))
-    best = ends.groupBy("flight_id").agg(F.max(F.struct((F.col("b._path") - F.col("a._path")).alias("far"), "_i", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))).alias("best"))
+    best = ends.groupBy("flight_id").agg(F.max(F.struct(F.round(F.col("b._path") - F.col("a._path"), WAY_DIGITS).alias("far"), "_i", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))).alias("best"))
     return best.select("flight_id", F.col("best.a").alias("takeoff_idx"), F.col("best.b").alias("landing_idx"))
 
 

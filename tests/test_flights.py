@@ -92,6 +92,13 @@ def test_relations_do_what_a_plain_program_does(found):
             assert windows.get(name) == sequential.flight_window(f), name
 
 
+def test_a_mean_that_is_just_a_limit(spark):
+    """Climbing 5 cm a second is too little to go on flying, though the mean of three such speeds is a little more in doubles."""
+    climb = np.cumsum([0] + [80] * 3 + [4] * 16).tolist()
+    df = spark.createDataFrame([(climbs, i, 8 * i, 4_700_000 + 72 * i, 1_300_000, z + climbs * i) for climbs in (0, 1) for i, z in enumerate(climb)], "flight_id long, idx long, t long, lat_e5 int, lon_e5 int, z_dm int")
+    assert [r.flight_id for r in detection.altitude_windows(df).collect()] == [1]
+
+
 def test_fixes_that_go(found):
     _, clean, _ = found
     n = {k: len(v) for k, v in clean.items()}
