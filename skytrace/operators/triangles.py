@@ -135,8 +135,8 @@ def _bounded(triples: DataFrame, gaps: DataFrame, boxes: DataFrame) -> DataFrame
 
 
 def _best_triples(lat: np.ndarray, lon: np.ndarray, searches: list[dict]) -> list[tuple | None]:
-    """The best (worth, turns, gap_ends, perimeter_km, gap_km) of each search over all triples of a few fixes, None where none is valid; the
-    first turns of equals, then the first ends. lat, lon in radians."""
+    """The best (worth, turns, gap_ends, perimeter_km, gap_km) of each search over all triples of a few fixes, None where none is valid; of equals
+    the last second turn, then the first other turns and ends. lat, lon in radians."""
     half = np.sin((lat - lat[:, None]) / 2) ** 2 + np.cos(lat) * np.cos(lat)[:, None] * np.sin((lon - lon[:, None]) / 2) ** 2
     km = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(half, 1.0))) / 1000
     # At (a, c): the least distance of a fix up to a from one from c on.
@@ -152,10 +152,10 @@ def _best_triples(lat: np.ndarray, lon: np.ndarray, searches: list[dict]) -> lis
                 valid = (gap <= s["most_gap"] * total) & (least >= s["side"] * total) & (least >= s["side_km"])
                 own = np.where(valid, worth, 0.0)
                 a, c = divmod(int(own.argmax()), own.shape[1])
-                best[k] = max(best[k], (float(own[a, c]), -a, -b, -(b + 1 + c)))
+                best[k] = max(best[k], (float(own[a, c]), b, -a, -(b + 1 + c)))
     out = []
-    for worth, *turns in best:
-        a, b, c = (-x for x in turns)
+    for worth, b, *ends in best:
+        a, c = (-x for x in ends)
         if worth > 0:
             q, w = divmod(int(km[: a + 1, c:].argmin()), len(lat) - c)
             out.append((worth, [a, b, c], [q, c + w], float(km[a, b] + km[b, c] + km[a, c]), float(km[q, c + w])))
@@ -189,9 +189,9 @@ def _at_once(places: DataFrame, searches: DataFrame) -> DataFrame:
 
 def best_triangles(fixes: DataFrame, gaps: dict[str, float] = GAPS, sides: dict[str, tuple[float, float]] = SIDES, searches: DataFrame | None = None) -> DataFrame:
     """(flight_id, type, sub_type, turns, gap_ends, perimeter_km, gap_km): the best triangle of each flight, shape and gap; turns and
-    gap_ends are idx; of equals the one of the first turns. gaps: the largest gap as a share of the perimeter; sides: the least side of
-    each shape as a share of the perimeter and in km. searches, if given, says what to look for in which flight: (flight_id, type, sub_type,
-    most_gap, side, side_km). Flights without a valid triangle have no row."""
+    gap_ends are idx; of equals the one of the last second turn, then of the first others. gaps: the largest gap as a share of the perimeter;
+    sides: the least side of each shape as a share of the perimeter and in km. searches, if given, says what to look for in which flight:
+    (flight_id, type, sub_type, most_gap, side, side_km). Flights without a valid triangle have no row."""
     places = settled(_places(fixes if searches is None else fixes.join(_dealt(searches.select("flight_id").distinct()), "flight_id", "left_semi")))
     if searches is None:
         each = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("sub_type"), F.lit(float(g)).alias("most_gap"), F.lit(float(share)).alias("side"), F.lit(float(km)).alias("side_km")) for t, (share, km) in sides.items() for s, g in gaps.items()])
@@ -227,8 +227,8 @@ def _by_blocks(places: DataFrame, searches: DataFrame) -> DataFrame:
         triples = rest(rest(rest(cut, "a"), "b"), "c").where("(a < b and b < c) or (size > 1 and a <= b and b <= c)")
         sizes = cut.groupBy("flight_id").agg(F.first("size").alias("size"), (F.max("a") * 2 + 1).alias("last_a"), (F.min("c") * 2).alias("first_c"))
         pairs = rest(rest(near.select("flight_id", "q", "w", "cap").join(_dealt(sizes), "flight_id"), "q"), "w").where("q <= w and q <= last_a and w >= first_c").select("flight_id", "q", "w", "cap")
-    best = done.groupBy(*_SEARCH).agg(F.max(F.struct("worth", (-F.col("a")).alias("_a"), (-F.col("b")).alias("_b"), (-F.col("c")).alias("_c"), "close", "perimeter_km")).alias("t"))
-    ends = F.array(-F.col("t._a"), -F.col("t._b"), -F.col("t._c"), F.col("t.close.q"), F.col("t.close.w"))
+    best = done.groupBy(*_SEARCH).agg(F.max(F.struct("worth", "b", (-F.col("a")).alias("_a"), (-F.col("c")).alias("_c"), "close", "perimeter_km")).alias("t"))
+    ends = F.array(-F.col("t._a"), F.col("t.b"), -F.col("t._c"), F.col("t.close.q"), F.col("t.close.w"))
     told = best.where("t.worth > 0").select(*_SEARCH, F.posexplode(ends).alias("k", "i"), F.col("t.perimeter_km").alias("perimeter_km"), F.col("t.close.km").alias("gap_km"))
     named = told.join(_dealt(places.select("flight_id", "i", "idx")), ["flight_id", "i"]).groupBy(*_SEARCH, "perimeter_km", "gap_km").agg(F.sort_array(F.collect_list(F.struct("k", "idx")))["idx"].alias("idx"))
     return named.select(*_SEARCH, F.slice("idx", 1, 3).alias("turns"), F.slice("idx", 4, 2).alias("gap_ends"), "perimeter_km", "gap_km")

@@ -335,6 +335,15 @@ def test_triangles_are_the_best(spark, monkeypatch):
     assert not got
 
 
+@pytest.mark.parametrize("whole_fixes", [triangles.WHOLE_FIXES, 2])
+def test_of_equal_triangles_the_one_of_the_sql(spark, monkeypatch, whole_fixes):
+    """Each turn's place comes twice: the SQL takes the later one for the second turn, the earlier one for the first; for the third it takes either."""
+    monkeypatch.setattr(triangles, "WHOLE_FIXES", whole_fixes)
+    way = [(0, 0)] * 2 + [(0, 90_000)] * 2 + [(77_942, 45_000)] * 2 + [(0, 10_000)]
+    fixes = spark.createDataFrame([(1, i, *p) for i, p in enumerate(way)], "flight_id long, idx long, lat_e5 int, lon_e5 int")
+    assert {(tuple(r.turns), tuple(r.gap_ends)) for r in triangles.best_triangles(fixes).collect()} == {((0, 3, 4), (0, 6))}
+
+
 def kind_by_force(lat, lon, kind, fd):
     """The better triangle of a kind, with a probe over all fixes."""
     side, side_km = 0.0, 0.0
