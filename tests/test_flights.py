@@ -1,6 +1,7 @@
 """Cleaning, detection, climb segments and routes, against documented cases and brute force."""
 
 import itertools
+import json
 import random
 
 import duckdb
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 
 from skytrace import plans
-from skytrace.operators import cleaning, detection, distance, outline, scoring, segments, series, triangles
+from skytrace.operators import charts, cleaning, detection, distance, outline, scoring, segments, series, triangles
 from skytrace.plans.tables import PATHS
 from tests import sequential
 from tests import sequential_routes as routes
@@ -344,6 +345,14 @@ def test_of_equal_triangles_the_one_of_the_sql(spark, monkeypatch, whole_fixes):
     assert {(tuple(r.turns), tuple(r.gap_ends)) for r in triangles.best_triangles(fixes).collect()} == {((0, 3, 4), (0, 6))}
 
 
+def test_turnpoints_of_equal_triangles(spark):
+    """The later of two fixes at the second turn's place is named, the earlier one at the others'."""
+    way = [(0, 0)] * 2 + [(0, 90_000)] * 2 + [(77_942, 45_000)] * 2 + [(0, 10_000)]
+    fixes = spark.createDataFrame([(1, i, *p) for i, p in enumerate(way)], "flight_id long, idx long, lat_e5 int, lon_e5 int")
+    told = charts.turnpoints_json(triangles.best_triangles(fixes, {"olc_open": 0.2}, {"free_triangle": (0.0, 0.0)}), fixes).first().turnpoints
+    assert [x["fix"] for x in json.loads(told)] == [{"idx": i, "lat": way[i][0], "lon": way[i][1]} for i in (0, 3, 4)]
+
+
 def kind_by_force(lat, lon, kind, fd):
     """The better triangle of a kind, with a probe over all fixes."""
     side, side_km = 0.0, 0.0
